@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, mixing, secrets, sharding, tokens, topk, wavelet
+from . import decontam, jaccard, langid, mixing, secrets, sharding, suffixes, tokens, topk, wavelet
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -30,6 +30,10 @@ def op1_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -67,7 +71,7 @@ def op10_jaccard_join(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_language_id, op3_exact_topk, op4_secret_scan, op5_decontamination, op6_token_ids,
+        op1_language_id, op2_suffix_dedup, op3_exact_topk, op4_secret_scan, op5_decontamination, op6_token_ids,
         op7_mixing, op8_sharding, op9_token_counts, op10_jaccard_join,
     )
 }
