@@ -153,7 +153,9 @@ def describe(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         ),
         ",",
     )
-    counts = [
-        F.size(F.filter("spans", lambda s, i=i: s["ord"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules)
-    ]
+
+    def count(order: int, kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["ord"] == order)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(i, r.kind) for i, r in enumerate(rules)]
     return found.select("doc_id", *counts, F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
