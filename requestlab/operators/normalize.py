@@ -405,7 +405,7 @@ def parse_params(df: DataFrame) -> DataFrame:
     """
 
     def pieces(p: Column) -> Column:
-        parts = F.filter(F.transform(F.split(p["text"], ";", -1), F.trim), lambda x: x != "")
+        parts = F.filter(F.transform(F.split(p["text"], ";", -1), lambda x: F.trim(x)), lambda x: x != "")
         pairs = F.size(F.filter(F.split(p["text"], ";", -1), lambda x: x.contains("=")))
         amps = F.length(p["text"]) - F.length(F.replace(p["text"], F.lit("&"), F.lit("")))
         split = p["text"].contains(";") & (amps <= 1) & (pairs >= 2)

@@ -77,7 +77,7 @@ def requests_from_header_blob(df: DataFrame) -> DataFrame:
 
     def lines(c: str) -> Column:
         given = F.when(F.lower(F.trim(F.col(c))) == "null", F.lit("")).otherwise(F.coalesce(F.col(c), F.lit("")))
-        return F.filter(F.transform(F.split(given, r"\\n"), F.trim), lambda x: x != "")
+        return F.filter(F.transform(F.split(given, r"\\n"), lambda x: F.trim(x)), lambda x: x != "")
 
     text = F.array_join(F.concat(F.array(F.concat_ws(" ", "method", "url", F.lit("HTTP/1.1"))), lines("request_headers"), lines("custom_headers")), "\n")
     return df.select(F.col("id").alias("request_id"), text.alias("request"), F.when(F.col("label") == "Valid", "valid").otherwise("attack").alias("label"))
