@@ -15,6 +15,8 @@ from .tables import connected_components, materialize
 #: Shingles whose order comes last in prefixes: a bounded list of the most frequent ones.  It
 #: steers the cost only; prefixes are complete under any common order.
 FREQUENT = 200_000
+#: Shares of the hash range looked at by the two pruning rounds; they steer the cost only.
+REGIONS = (0.3, 0.6)
 #: Shingles held by one tree.
 UNIT = 4_000_000
 LEAF = 16
@@ -155,50 +157,84 @@ def _width(sizes: list[int]) -> int:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """Per document: ``doc_id, n, hi, lo``; and shingles found more than once in a portion: ``gram, c``."""
+    """Per document: ``doc_id, n, hi, lo`` (set size and fingerprint)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, his, los = [], [], []
+            for data in texts(batch.column(1)):
+                s = shingle_set(data)
+                hi, lo = fingerprint(s) if len(s) else (None, None)
+                n.append(len(s))
+                his.append(hi)
+                los.append(lo)
+            cols = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, his, los))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "hi", "lo"])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n long, hi long, lo long")
+
+
+def _often(docs: DataFrame, frequent: int) -> np.ndarray:
+    """The ``frequent`` most frequent shingles, sorted; counted in portions that add up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         held: list[np.ndarray] = []
         size = 0
 
-        def rows(ids, n, hi, lo, gram, c):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (ids, n, hi, lo, gram, c)],
-                names=["doc_id", "n", "hi", "lo", "gram", "c"],
-            )
-
-        def frequent():
+        def counted() -> pa.RecordBatch:
             grams, c = np.unique(np.concatenate(held), return_counts=True)
-            grams, c = grams[c > 1].view(np.int64), c[c > 1]
-            none = [None] * len(c)
-            return rows(none, none, none, none, grams, c)
+            return pa.RecordBatch.from_arrays([pa.array(grams[c > 1].view(np.int64)), pa.array(c[c > 1])], names=["gram", "c"])
 
         for batch in batches:
-            ids, n, hi, lo = batch.column(0).to_pylist(), [], [], []
-            for data in texts(batch.column(1)):
-                s = shingle_set(data)
-                a, b = fingerprint(s) if len(s) else (None, None)
-                n.append(len(s))
-                hi.append(a)
-                lo.append(b)
-                if len(s) and (a, b) not in seen:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add((a, b))
-                    held.append(s)
-                    size += len(s)
-                    if size >= 2_000_000:
-                        yield frequent()
-                        held, size = [], 0
-            none = [None] * len(ids)
-            yield rows(ids, n, hi, lo, none, none)
+            for data in texts(batch.column(0)):
+                held.append(shingle_set(data))
+                size += len(held[-1])
+                if size >= 2_000_000:
+                    yield counted()
+                    held, size = [], 0
         if held:
-            yield frequent()
+            yield counted()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(
-        run, "doc_id long, n long, hi long, lo long, gram long, c long"
-    )
+    got = docs.select("text").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")).where("c >= 8")
+    top = got.orderBy(F.desc("c"), "gram").limit(frequent).select("gram").toArrow()["gram"].to_numpy()
+    return np.sort(np.ascontiguousarray(top).view(np.uint64)) if len(top) else np.empty(0, np.uint64)
+
+
+def _crowded(docs: DataFrame, sizes: DataFrame, share: float, percent: int) -> DataFrame:
+    """Sets that may link, ``node, n``: those with too few shingles of their own.
+
+    Looks at the shingles whose hash lies in the lowest ``share`` of all.  Order shingles so that
+    those of them which one set alone holds come first: a set with at least
+    n - ceil(percent n) + 1 such shingles has a prefix that no other set shares, so it has no link.
+    """
+    top = np.uint64(int(share * 2**64) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            keys, nodes, held = [], [], 0
+            for data in texts(batch.column(0)):
+                s = shingle_set(data)
+                if not len(s) or (f := fingerprint(s)) in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(f)
+                low = s[: int(np.searchsorted(s, top, side="right"))]
+                keys.append(low.view(np.int64))
+                nodes.append(np.full(len(low), f[0], np.int64))
+                held += len(low)
+                if held > 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+                    keys, nodes, held = [], [], 0
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+
+    keys = docs.select("text").mapInArrow(run, "key long, node long")
+    keys = keys.groupBy("key").agg(F.min("node").alias("node"), F.max("node").alias("high"))
+    own = keys.where("node = high").groupBy("node").agg(F.count("*").alias("own"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return sizes.join(own, "node", "left").where(F.coalesce("own", F.lit(0)) < prefix).select("node", "n")
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
@@ -354,36 +390,36 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, unit: int = UNIT, freque
     """Classes of documents under links of Jaccard >= percent/100: ``doc_id, n_shingles, component_id``.
 
     1. Texts with equal shingle sets are one class; only one text of a class goes on.
-    2. Prefix entries deal candidates: classes that share a prefix shingle are tied to the
+    2. Classes with enough shingles of their own cannot link and leave (two rounds, the second
+       among what the first kept).
+    3. Prefix entries deal candidates: classes that share a prefix shingle are tied to the
        smallest class under that shingle (a star, not all pairs), and stars join to candidate
        components, which hold every possible link.
-    3. Each candidate component, cut into bounded units where large, is joined by signature
+    4. Each candidate component, cut into bounded units where large, is joined by signature
        trees; links are verified on the exact sets.
-    4. Verified links give components, named by their smallest doc_id.
+    5. Verified links give components, named by their smallest doc_id.
 
     Null and empty texts have no shingles and stay alone, each row under its own doc_id.
     Repeated rows are linked; null doc_ids take part and are never a class's smallest id unless
     alone.  Further columns are ignored; an empty table gives no rows.  Shingles are 64-bit
     hashes, sets are named by 128 bits.
     """
-    spark = docs.sparkSession
-    scan = materialize(_scan(docs), "scan")
-    mine = scan.where("n is not null").select("doc_id", "n", "hi", "lo")
-    often = scan.where("gram is not null").groupBy("gram").agg(F.sum("c").alias("c")).where("c >= 8")
-    top = often.orderBy(F.desc("c"), "gram").limit(frequent).select("gram").toArrow()["gram"].to_numpy()
-    top = np.sort(top.view(np.uint64)) if len(top) else np.empty(0, np.uint64)
-
-    entries = materialize(_prefixes(docs, top, percent), "prefix", "lz4")
-    keys = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    stars = entries.join(keys, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    comp = connected_components(stars)
-
+    mine = materialize(_scan(docs), "scan")
     classes = materialize(
         mine.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes"
     )
-    sized = materialize(comp.join(classes.groupBy(F.col("hi").alias("node")).agg(F.max("n").alias("n")), "node"), "comp")
-    dealt = _units(sized, unit)
-    work = _with_sets(docs).join(dealt, F.col("hi") == F.col("node"))
+    sizes = classes.groupBy(F.col("hi").alias("node")).agg(F.max("n").alias("n"))
+    first = _crowded(docs, sizes, REGIONS[0], percent)
+    held = materialize(_with_sets(docs).join(first, F.col("hi") == F.col("node")).drop("node", "n"), "crowded")
+    second = materialize(_crowded(held, held.join(sizes, F.col("hi") == F.col("node")).select("node", "n").distinct(), REGIONS[1], percent), "crowded")
+    held = held.join(second.select("node"), F.col("hi") == F.col("node")).drop("node")
+
+    entries = materialize(_prefixes(held, _often(held, frequent), percent), "prefix", "lz4")
+    keys = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    stars = entries.join(keys, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    comp = connected_components(stars)
+    dealt = _units(materialize(comp.join(second, "node"), "comp"), unit)
+    work = held.join(dealt, F.col("hi") == F.col("node"))
     work = work.repartition("unit").sortWithinPartitions("unit", "side", "hi", "lo")
     united = materialize(_join_units(work, percent), "united")
 
