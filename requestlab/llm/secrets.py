@@ -132,7 +132,8 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     index = materialize(postings(docs, rules), "postings")
     cand = candidates(index, rules).withColumnRenamed("doc_id", "cand_id")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.join(cand, F.col("doc_id").eqNullSafe(F.col("cand_id")), "left")
+    # both sides grow with the input: a sort-merge join at every size, never a broadcast
+    rows = rows.join(cand.hint("merge"), F.col("doc_id").eqNullSafe(F.col("cand_id")), "left")
     empty = F.array().cast("array<struct<start:int,ord:int,end:int>>")
     parts = []
     for i, r in enumerate(rules):
