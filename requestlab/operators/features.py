@@ -250,9 +250,14 @@ def multi_vector_fde(tokens: DataFrame, key: str = "request_id", reps: int = 20,
     schema = f"{key} long, slot long, p array<double>"
     cells = tokens.select(key, "vec", "is_special").mapInPandas(run, schema)
     cells = cells.select(key, "slot", F.posexplode("p").alias("d", "x")).groupBy(key, (F.col("slot") * dim + F.col("d")).alias("i")).agg(F.avg("x").alias("x"))
-    filled = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))  # at most reps * 2^k_sim * dim
     size = reps * (1 << k_sim) * dim
-    return filled.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0))).alias("embedding"))
+
+    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:  # at most ``size`` cells a request
+        out = np.zeros(size)
+        out[pdf["i"].to_numpy()] = pdf["x"].to_numpy()
+        return pd.DataFrame({key: pdf[key].iloc[:1], "embedding": [out]})
+
+    return cells.groupBy(key).applyInPandas(assemble, f"{key} long, embedding array<double>")
 
 
 def flag_features(flags: DataFrame, names: list[str], key: str = "request_id") -> DataFrame:

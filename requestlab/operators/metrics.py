@@ -81,12 +81,21 @@ def label_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("label").agg(F.count("*").alias("n")).withColumn("ratio", F.col("n") / total)
 
 
-def flag_stats(requests: DataFrame, flags: DataFrame, k: int = 25) -> DataFrame:
-    """Per label the k most frequent flags: total, per request, presence rate (ties by name)."""
-    n = requests.groupBy("label").agg(F.count("*").alias("n_requests"))
-    got = flags.groupBy("label", "flag", "request_id").agg(F.count("*").alias("c"))
-    got = got.groupBy("label", "flag").agg(F.sum("c").alias("total"), F.count("*").alias("n_with"))
-    got = got.join(n, "label")
+def flag_stats(requests: DataFrame, k: int = 25) -> DataFrame:
+    """Per label the k most frequent flags: total, per request, presence rate (ties by name).
+
+    ``requests`` has ``label`` and ``all_flags``.  One pass: a request sends each of its flags once
+    with its count, and one empty name that counts the request itself.
+    """
+    flags = F.col("all_flags")
+    each = F.transform(
+        F.array_distinct(flags), lambda f: F.struct(f.alias("flag"), F.size(F.filter(flags, lambda x: x == f)).cast("long").alias("c"))
+    )
+    own = F.array(F.struct(F.lit("").alias("flag"), F.lit(1).cast("long").alias("c")))
+    rows = requests.select("label", F.explode(F.concat(own, each)).alias("x"))
+    got = rows.groupBy("label", F.col("x.flag").alias("flag")).agg(F.sum("x.c").alias("total"), F.count("*").alias("n_with"))
+    n = F.max(F.when(F.col("flag") == "", F.col("n_with"))).over(W.partitionBy("label"))
+    got = got.withColumn("n_requests", n).where("flag <> ''")
     rank = F.row_number().over(W.partitionBy("label").orderBy(F.desc("total"), "flag"))
     out = got.withColumn("rank", rank).where(F.col("rank") <= k)
     return out.select(
@@ -99,7 +108,7 @@ def nearest_rank_summary(df: DataFrame, value: str, by: str) -> DataFrame:
 
     Ranks are read off the counts of distinct values, so a group may be of any size.
     """
-    hist = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    hist = df.groupBy(by, F.col(value).alias("v")).agg(F.count(value).alias("c"))
     w = W.partitionBy(by)
     hist = hist.withColumn("upto", F.sum("c").over(w.orderBy("v"))).withColumn("n", F.sum("c").over(w))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import q_eval, q_models, q_requests
+
 FLAGSHIP = "top_flags"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = {**q_requests.QUERIES, **q_eval.QUERIES, **q_models.QUERIES}
+ORACLES: dict[str, str] = {**q_requests.ORACLES, **q_eval.ORACLES, **q_models.ORACLES}

@@ -38,7 +38,8 @@ def stream_batch_metrics(stream: DataFrame, sink: Callable[[DataFrame, int], Non
 
 def flag_rate_monitor(normalized: DataFrame, window: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """Flags per family and tumbling window of ``ts``; rows later than the watermark are dropped."""
-    flags = normalize.extract_flags(normalized.withWatermark("ts", late), keys=("request_id", "ts"))
+    timed = normalized.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    flags = normalize.extract_flags(timed, keys=("request_id", "ts"))
     family = normalize.family_of(F.col("flag")).alias("family")
     return flags.groupBy(F.window("ts", window).alias("w"), family).agg(F.count("*").alias("n_flags")).select(
         F.col("w.start").alias("window_start"), "family", "n_flags"
