@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 import sys
+from array import array
 from collections.abc import Iterator
 
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
@@ -19,7 +20,7 @@ _FAR = re.compile("[^\x00-ſ]")
 #: White space for Python that the library does not take as such.
 _ODD = re.compile("[\x1c-\x1f]")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[\d²³¹¼-¾]|(?:[^\w\s]|_)+")
-CACHE = 500_000
+CACHE = 800_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -57,41 +58,48 @@ def prove_whole_tokens(path: str) -> dict[str, int]:
 
 
 class WordEncoder(dict):
-    """Chunk -> value, filled on demand; emptied when it holds ``CACHE`` chunks."""
+    """Word -> value (a count, or packed ids), filled on demand and emptied when it holds ``CACHE`` words.
+
+    Chunks that are no plain run of letters are put together from their pieces each time, so
+    that only words take room.
+    """
 
     def __init__(self, path: str, whole: dict[str, int], counts: bool):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
-        self.whole = whole
+        if not counts and self.tok.get_vocab_size() > 65536:
+            raise ValueError("ids above 65535 need a wider file format")
         self.letters = [_byte_letters()[b] for b in range(256)]
         self.special = {s: self.tok.token_to_id(s) for s in ("<|startoftext|>", "<|endoftext|>")}
         self.counts = counts
-        self.pieces: dict[str, tuple[int, ...]] = {}
-
-    def ids_of_piece(self, piece: str) -> tuple[int, ...]:
-        one = self.whole.get(piece)
-        if one is not None:
-            return (one,)
-        got = self.pieces.get(piece)
-        if got is None:
+        self.empty = 0 if counts else b""
+        self.whole = {w: 1 if counts else pack([i]) for w, i in whole.items()}
+        super().__init__(self.whole)
+
+    def _piece(self, piece: str):
+        """A pre-token: proven whole ones are in the table from the start, the rest is merged by the library's model."""
+        value = self.get(piece)
+        if value is None:
             spelled = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode()))
-            got = tuple(t.id for t in self.model.tokenize(spelled))
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            self.pieces[piece] = got
-        return got
+            tokens = self.model.tokenize(spelled)
+            value = len(tokens) if self.counts else array("H", [t.id for t in tokens]).tobytes()
+            if len(self) >= CACHE:
+                self.clear()
+                self.update(self.whole)
+            self[piece] = value
+        return value
 
     def __missing__(self, chunk: str):
-        ids: list[int] = []
+        if chunk.isalpha():
+            return self._piece(chunk)
+        word, mark = chunk[:-1], chunk[-1]
+        if mark in ".,;:!?" and word.isalpha():  # what the pattern finds: one run of letters, then the mark
+            return self[word] + self._piece(mark)
+        value = self.empty
         for piece in _PIECES.findall(chunk):
-            ids += self.ids_of_piece(piece)
-        value = len(ids) if self.counts else pack(ids)
-        if len(self) >= CACHE:
-            self.clear()
-        self[chunk] = value
+            value += self._piece(piece)
         return value
 
     def plain(self, text: str) -> bool:
