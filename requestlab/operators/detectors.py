@@ -72,7 +72,7 @@ def load(spark: SparkSession, path: str) -> Detector:
     row = spark.read.parquet(path).first()
     body = json.loads(row["body"])
     out = DETECTORS[row["name"]](**body["options"])
-    out.params = {k: np.array(v) if isinstance(v, list) else v for k, v in body["params"].items()}
+    out.params = {k: np.array(v) if isinstance(v, list) and k != "trees" else v for k, v in body["params"].items()}
     out.threshold = body["threshold"]
     return out
 
@@ -247,8 +247,8 @@ class IsolationForest(Detector):
             F.sequence(F.lit(0), F.lit(trees - 1)),
             lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col("embedding").cast("string"), F.lit(seed), t).alias("h")),
         )
-        top = int(min(1.0, 1.5 * size / n + 20 / n) * 2**63) if n > size else 2**63
-        picked = F.filter(u, lambda x: F.abs(F.shiftright(x["h"], 1)) < F.lit(min(top // 2, 2**62)))
+        share = min(1.0, (1.5 * size + 20) / n)  # more than enough rows for ``size``
+        picked = F.filter(u, lambda x: F.abs(F.shiftright(x["h"], 1)) <= F.lit(int(share * 2**62)))
         rows = normal.where("embedding IS NOT NULL").select("embedding", F.explode(picked).alias("x")).select("embedding", "x.tree", "x.h")
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from requestlab.functions import text as T
 
@@ -274,7 +275,7 @@ def split_host(df: DataFrame) -> DataFrame:
     return df.withColumn("host", F.when(host_is_valid(F.col("host")), F.col("host"))).drop("_g")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _idna(values: pd.Series) -> pd.Series:
     try:
         import idna
@@ -290,12 +291,12 @@ def _idna(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _nfkc_each(values: pd.Series) -> pd.Series:
     return values.map(lambda vs: None if vs is None else [unicodedata.normalize("NFKC", v) for v in vs])
 
