@@ -76,4 +76,26 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+def _shingles(table_name: str, key: str) -> str:
+    """Distinct five-word shingles of a table: ``key, g``; shorter texts are one shingle, their whole sequence."""
+    return f"""(SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM (SELECT {key}, {_WORDS} AS w FROM {table_name} WHERE text IS NOT NULL))"""
+
+
+#: SQL twins; the others (learned, hashed or library-bound) are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op3_exact_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) WHERE rank <= 5""",
+    # items of fewer than five words do not occur in the tables
+    "op5_decontamination": f"""WITH d AS {_shingles("documents", "doc_id")}, i AS {_shingles("benchmark", "item_id")}, n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY 1)
+SELECT doc_id, item_id, shared, n_item, shared / n_item AS containment FROM (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN i USING (g) GROUP BY ALL) JOIN n USING (item_id) WHERE 100 * shared >= 80 * n_item""",
+    "op10_jaccard_join": f"""WITH RECURSIVE d AS {_shingles("documents", "doc_id")}, n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM d a JOIN d b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT o.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents o LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) m USING (doc_id)""",
+}
