@@ -11,73 +11,81 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 BLOCK_ROWS = 4096
-BLOCK_QUERIES = 256
+BLOCK_QUERIES = 64
+#: Portions in which lists are read; bounds are compared after each.
+STEPS = 4
+LOWEST = -(1 << 62)
 
 
 class SortedLists:
-    """A block of candidates with, for each dimension, their order by value (ascending, ties by id)."""
+    """A block of candidates with the list of every dimension sorted by value (ascending, ties by id)."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.order = np.argsort(self.vectors, axis=0, kind="stable").T.copy()  # dims x rows
-        self.sorted = np.take_along_axis(self.vectors.T, self.order, axis=1)
-
-    def top(self, query: np.ndarray, k: int, own: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of the block for one query: (positions, scores), ties to the smaller id.
-
-        Lists are read from their good end in growing steps.  A seen candidate's score lies
-        between the sum of its read parts plus the worst, or the best, that each unread list
-        still holds.  Reading stops once every candidate outside cannot reach the k-th lower
-        bound (or ``floor``, a score that k candidates elsewhere already reach); those left are
-        read to the end for their final scores.  Ties with the bound are kept.
+        places = np.argsort(self.vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.vectors, places, axis=0)
+        self.rank = np.empty_like(places)  # of a row in each list
+        np.put_along_axis(self.rank, places, np.arange(len(ids))[:, None], axis=0)
+        self._read: dict[tuple[int, type], tuple] = {}
+
+    def _portion(self, depth: int, kind: type) -> tuple:
+        """What the first ``depth`` entries hold, from the high end and from the low end of every list."""
+        if (depth, kind) not in self._read:
+            high, low = self.rank >= len(self.ids) - depth, self.rank < depth
+            v = self.vectors.astype(kind)
+            self._read[depth, kind] = (high.astype(kind), low.astype(kind), v * high, v * low)
+        return self._read[depth, kind]
+
+    def top(self, queries: np.ndarray, k: int, own: np.ndarray, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each query's k best of the block: (positions, scores), ties to the smaller id.
+
+        All lists are read from their good end (high values for a positive weight, low ones for
+        a negative) in portions, for a block of queries at once.  A candidate's score lies
+        between what was read of it plus the worst, or the best, that each unread list still
+        holds.  A query stops when every candidate outside a small rest cannot reach its k-th
+        lower bound, or ``floors``, a score that k candidates elsewhere already reach; the rest
+        is settled to final scores.  Ties with the bound stay in.  ``own`` is the query's own
+        row, or -1.
         """
-        dims = np.flatnonzero(query)
-        n = len(self.ids)
-        if not len(dims):
-            score = np.zeros(n, np.int64)
-            alive = np.arange(n)
-        else:
-            q = query[dims]
-            up = q > 0
-            # parts of the score in reading order: best first
-            best_first = np.where(up[:, None], self.sorted[dims][:, ::-1], self.sorted[dims]) * q[:, None]
-            order = np.where(up[:, None], self.order[dims][:, ::-1], self.order[dims])
-            worst = best_first[:, -1]
-            low = np.full(n, worst.sum())  # lower bound: read parts, worst of the unread
-            gap = np.full(n, 0, np.int64)  # upper minus lower that unread lists still allow
-            read = np.zeros((len(dims), n), bool)
-            depth, step, alive = 0, max(16, n // 64), None
-            while depth < n:
-                to = min(n, depth + step)
-                part, at = best_first[:, depth:to], order[:, depth:to]
-                np.add.at(low, at.ravel(), (part - worst[:, None]).ravel())
-                np.put_along_axis(read, at, True, axis=1)
-                depth, step = to, step * 2
-                if depth == n:
-                    break
-                room = best_first[:, depth] - worst  # what an unread list may still add
-                gap = room @ ~read
-                bar = np.partition(low, n - k)[n - k] if n > k else low.min()
-                if n > k and own >= 0:  # the query's own row must not hold up the bar
-                    others = np.delete(low, own)
-                    bar = np.partition(others, len(others) - k)[len(others) - k] if len(others) > k else others.min()
-                if floor is not None:
-                    bar = max(bar, floor)
-                alive = np.flatnonzero(low + gap >= bar)
-                if len(alive) <= max(4 * k, n // 64):
-                    break
-            else:
-                alive = None
-            if depth >= n or alive is None:
-                alive, score = np.arange(n), low
-            else:
-                score = np.zeros(n, np.int64)
-                score[alive] = self.vectors[alive][:, dims] @ q
-        alive = alive[alive != own]
-        s = score[alive]
-        first = np.lexsort((self.ids[alive], -s))[:k]
-        return alive[first], s[first]
+        n, m = len(self.ids), len(queries)
+        exact = float(np.abs(self.vectors).max(initial=0)) * float(np.abs(queries).sum(axis=1).max(initial=0)) < 2**52
+        kind = np.float64 if exact else np.int64  # doubles are exact while every sum stays below 2^53
+        plus, minus = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
+        bottom, top = self.sorted[0].astype(kind), self.sorted[-1].astype(kind)
+        out: list = [None] * m
+        open_ = np.arange(m)
+        for part in range(1, STEPS):
+            depth = n * part // STEPS
+            if depth == 0 or not len(open_) or n <= k + 1:
+                continue
+            high, low, v_high, v_low = self._portion(depth, kind)
+            p, q = plus[open_].T, minus[open_].T
+            read = v_high @ p + v_low @ q
+            worst_p, worst_q = p * bottom[:, None], q * top[:, None]
+            best_p, best_q = p * self.sorted[n - depth - 1][:, None], q * self.sorted[depth][:, None]
+            lower = read + (worst_p + worst_q).sum(axis=0) - high @ worst_p - low @ worst_q
+            upper = read + (best_p + best_q).sum(axis=0) - high @ best_p - low @ best_q
+            mine = np.flatnonzero(own[open_] >= 0)
+            lower[own[open_][mine], mine] = lower.min() - 1  # a query's own row does not hold up its bar
+            bar = np.maximum(np.partition(lower, n - k, axis=0)[n - k], floors[open_])
+            alive = upper >= bar
+            done = alive.sum(axis=0) <= max(4 * k, n // 64)
+            for j in np.flatnonzero(done):
+                rest = np.flatnonzero(alive[:, j])
+                out[open_[j]] = (rest, self.vectors[rest] @ queries[open_[j]])
+            open_ = open_[~done]
+        if len(open_):  # read to the end
+            scores = self.vectors.astype(kind) @ queries[open_].T.astype(kind)
+            for j, at in enumerate(open_):
+                out[at] = (np.arange(n), scores[:, j])
+        best = []
+        for j, (rest, score) in enumerate(out):
+            keep = rest != own[j]
+            rest, score = rest[keep], np.asarray(score[keep]).astype(np.int64)
+            first = np.lexsort((self.ids[rest], -score))[:k]
+            best.append((rest[first], score[first]))
+        return best
 
 
 def _quantise(cell: str) -> tuple:
@@ -123,30 +131,42 @@ def top_k(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists: tuple[int, SortedLists] | None = None
+        now, reached = None, []  # of the block of queries at hand: each query's k best scores so far
         for batch in batches:
             for i in range(batch.num_rows):
-                at = batch.column("cb")[i].as_py()
+                at, qb_ = batch.column("cb")[i].as_py(), batch.column("qb")[i].as_py()
                 ids, mat = unpack(batch.column("rows"), i)
                 qids, qmat = unpack(batch.column("queries"), i)
                 width = max(mat.shape[1], qmat.shape[1])
                 mat, qmat = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (mat, qmat))
                 if lists is None or lists[0] != at or lists[1].vectors.shape[1] != width:
                     lists = (at, SortedLists(ids, mat))
+                if qb_ != now:
+                    now, reached = qb_, [np.empty(0, np.int64) for _ in qids]
+                floors = np.array([r[-1] if len(r) == k else LOWEST for r in reached])
+                found = np.searchsorted(lists[1].ids, qids)
+                found[found == len(lists[1].ids)] = 0
+                own = np.where(lists[1].ids[found] == qids, found, -1)
+                twice = (np.searchsorted(lists[1].ids, qids, side="right") - np.searchsorted(lists[1].ids, qids)) > 1
+                best = lists[1].top(qmat, k, own, floors)
                 out = []
-                for qid, q in zip(qids, qmat, strict=True):
-                    mine = np.flatnonzero(lists[1].ids == qid)
-                    if len(mine) > 1:
-                        rest = SortedLists(lists[1].ids[lists[1].ids != qid], lists[1].vectors[lists[1].ids != qid])
-                        pos, s = rest.top(q, k, -1, None) if len(rest.ids) else (mine[:0], mine[:0])
+                for j, qid in enumerate(qids):
+                    if twice[j]:  # several rows of the query's own id: leave all of them out
+                        others = lists[1].ids != qid
+                        rest = SortedLists(lists[1].ids[others], lists[1].vectors[others])
+                        pos, s = rest.top(qmat[j : j + 1], k, np.array([-1]), floors[j : j + 1])[0] if len(rest.ids) else (found[:0], found[:0])
                         got = rest.ids[pos]
                     else:
-                        pos, s = lists[1].top(q, k, int(mine[0]) if len(mine) else -1, None)
+                        pos, s = best[j]
                         got = lists[1].ids[pos]
+                    reached[j] = np.sort(np.concatenate([reached[j], s]))[::-1][:k]
                     out.append((np.full(len(got), qid), got, s))
                 cols = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
 
-    found = meet.select("cb", "rows", "queries").mapInArrow(run, "query_id long, vec_id long, score long")
+    # a task takes a block of queries through all candidate blocks, so later blocks stop at what earlier ones reached
+    meet = meet.select("qb", "cb", "rows", "queries").sortWithinPartitions("qb", "cb")
+    found = meet.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
