@@ -6,7 +6,7 @@ import html.entities
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Flags by character class, literal or percent-encoded.
@@ -54,6 +54,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unnest(df: DataFrame, array: str | Column, name: str, *keep: str, pos: str | None = None) -> DataFrame:
+    """``keep``, the place ``pos`` if asked for, and one row for each element of an array that holds no nulls.
+
+    The generator is an outer one: below an inner one the optimizer puts a filter on the array's
+    size, pushes it to the scan and inlines there all the expressions that build the array.
+    """
+    if pos is None:
+        return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, name)).where(F.col(pos).isNotNull())
+
+
 def no_flags() -> Column:
     return F.array().cast(_NO_FLAGS)
 

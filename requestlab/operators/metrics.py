@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from requestlab.functions import text as T
+
 ATTACK, VALID = "attack", "valid"
 
 
@@ -92,7 +94,7 @@ def flag_stats(requests: DataFrame, k: int = 25) -> DataFrame:
         F.array_distinct(flags), lambda f: F.struct(f.alias("flag"), F.size(F.filter(flags, lambda x: x == f)).cast("long").alias("c"))
     )
     own = F.array(F.struct(F.lit("").alias("flag"), F.lit(1).cast("long").alias("c")))
-    rows = requests.select("label", F.explode(F.concat(own, each)).alias("x"))
+    rows = T.unnest(requests, F.concat(own, each), "x", "label")
     got = rows.groupBy("label", F.col("x.flag").alias("flag")).agg(F.sum("x.c").alias("total"), F.count("*").alias("n_with"))
     n = F.max(F.when(F.col("flag") == "", F.col("n_with"))).over(W.partitionBy("label"))
     got = got.withColumn("n_requests", n).where("flag <> ''")

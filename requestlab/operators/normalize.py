@@ -546,15 +546,21 @@ def normalize_requests(df: DataFrame, steps: tuple[Step, ...] = STEPS) -> DataFr
     """The whole job over ``request`` (other columns pass).  Malformed rows keep their error and null parts.
 
     A Python UDF under CASE runs for every row, so rows with non-ASCII text are filtered into a
-    branch of their own, and the branch for all others has no Python in its plan.
+    branch of their own for the steps that need Python; the branch for all others has none.
     """
+    at = [i for i, s in enumerate(steps) if s in (absolute_url, nfkc_parts)]
+    if not at:
+        return apply_steps(df, steps)
+    first, last = at[0], at[-1] + 1
+    df = apply_steps(df, steps[:first])
     other = F.coalesce(F.col("request").rlike(_NON_ASCII), F.lit(False))
 
     def narrow(step: Step) -> Step:
         return (lambda d: step(d, wide=False)) if step in (absolute_url, nfkc_parts) else step
 
-    ascii_ = apply_steps(df.where(~other), tuple(narrow(s) for s in steps))
-    return ascii_.unionByName(apply_steps(df.where(other), steps))
+    ascii_ = apply_steps(df.where(~other), tuple(narrow(s) for s in steps[first:last]))
+    both = ascii_.unionByName(apply_steps(df.where(other), steps[first:last]))
+    return apply_steps(both, steps[last:])
 
 
 def extract_flags(df: DataFrame, keys: tuple[str, ...] = ("request_id", "label")) -> DataFrame:
@@ -564,7 +570,7 @@ def extract_flags(df: DataFrame, keys: tuple[str, ...] = ("request_id", "label")
     sep = F.transform("qsep", lambda f: F.struct(F.lit("qsep").alias("part"), F.lit(0).alias("pos"), f.alias("flag")))
     par = F.flatten(F.transform("params", lambda p: F.transform(p["flags"], lambda f: F.struct(F.lit("query").alias("part"), p["pos"].cast("int").alias("pos"), f.alias("flag")))))
     hdr = F.flatten(F.transform("headers", lambda h, i: F.transform(h["flags"], lambda f: F.struct(F.lit("header").alias("part"), i.cast("int").alias("pos"), f.alias("flag")))))
-    return df.select(*keys, F.explode(F.concat(req, path, par, sep, hdr)).alias("_f")).select(*keys, "_f.part", "_f.pos", "_f.flag")
+    return T.unnest(df, F.concat(req, path, par, sep, hdr), "_f", *keys).select(*keys, "_f.part", "_f.pos", "_f.flag")
 
 
 # Flag families (our grouping of the flag names).

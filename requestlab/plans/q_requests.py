@@ -238,13 +238,13 @@ def b3_split_query_entities(spark, sf_dir):
 @query(f"{BASE} SELECT request_id, pos, line FROM lines")
 def b4_extract_headers(spark, sf_dir):
     df = good(spark, sf_dir, normalize.header_lines)
-    return df.select("request_id", F.posexplode("header_lines").alias("p", "line")).select("request_id", (F.col("p") + 1).cast("long").alias("pos"), "line")
+    return T.unnest(df, "header_lines", "line", "request_id", pos="p").select("request_id", (F.col("p") + 1).cast("long").alias("pos"), "line")
 
 
 @query(f"{BASE} SELECT request_id, hno AS pos, text, CASE WHEN fold THEN 'OBSFOLD' ELSE '' END AS flags FROM unf")
 def b5_unfold_headers(spark, sf_dir):
     df = good(spark, sf_dir, normalize.header_lines, normalize.unfold_headers)
-    return df.select("request_id", F.posexplode("unfolded").alias("p", "h")).select(
+    return T.unnest(df, "unfolded", "h", "request_id", pos="p").select(
         "request_id", (F.col("p") + 1).cast("long").alias("pos"), "h.text", joined("h.flags").alias("flags")
     )
 
@@ -256,7 +256,7 @@ HEADER_STEPS = (normalize.header_lines, normalize.unfold_headers, normalize.norm
   CASE WHEN name IN ('connection','te','upgrade','trailer') THEN 'HOPBYHOP' END, CASE WHEN fold THEN 'OBSFOLD' END) AS flags FROM ent""")
 def b6_normalize_headers(spark, sf_dir):
     df = good(spark, sf_dir, *HEADER_STEPS)
-    return df.select("request_id", F.explode("headers").alias("h")).select("request_id", "h.name", "h.value", joined("h.flags").alias("flags"))
+    return T.unnest(df, "headers", "h", "request_id").select("request_id", "h.name", "h.value", joined("h.flags").alias("flags"))
 
 
 @query(f"""{BASE} SELECT request_id, count(*) AS h_count, count(*) FILTER (many > 1) AS dup_names, CAST(bool_or(name IN ('connection','te','upgrade','trailer')) AS INT) AS hopbyhop,
@@ -268,7 +268,7 @@ def b7_header_aggregates(spark, sf_dir):
 @query(f"""{BASE} SELECT request_id, name, trim(regexp_replace(value, '[ \\t]+', ' ', 'g')) AS value, regexp_matches(value, '  |\\t') AS padded FROM ent""")
 def b8_collapse_header_ws(spark, sf_dir):
     df = good(spark, sf_dir, *HEADER_STEPS, normalize.collapse_header_ws)
-    return df.select("request_id", F.explode("headers").alias("h")).select("request_id", "h.name", "h.value", F.array_contains("h.flags", "WSPAD").alias("padded"))
+    return T.unnest(df, "headers", "h", "request_id").select("request_id", "h.name", "h.value", F.array_contains("h.flags", "WSPAD").alias("padded"))
 
 
 _DANGER = """concat_ws(' ', CASE WHEN regexp_matches(c, '[<>]|%3[CcEe]') THEN 'ANGLE' END, CASE WHEN regexp_matches(c, '\\\\|%5[Cc]') THEN 'BACKSLASH' END,
@@ -282,7 +282,7 @@ UNION ALL SELECT request_id, 'query', pos, token, true FROM tok)""")
 def b9_flag_dangerous_chars(spark, sf_dir):
     df = good(spark, sf_dir, normalize.split_query, *HEADER_STEPS, normalize.flag_dangerous)
     path = df.select("request_id", F.lit("path").alias("part"), F.lit(0).cast("long").alias("pos"), joined("path_flags").alias("flags"))
-    par = df.select("request_id", F.posexplode("params").alias("p", "x"))
+    par = T.unnest(df, "params", "x", "request_id", pos="p")
     return path.unionByName(par.select("request_id", F.lit("query").alias("part"), (F.col("p") + 1).cast("long").alias("pos"), joined("x.flags").alias("flags")))
 
 
@@ -328,7 +328,7 @@ def b13_b14_unicode_nfkc(spark, sf_dir):
 @query(f"""{BASE} SELECT request_id, token, replace(regexp_replace(replace(replace(replace(replace(token, '%00', chr(1)), '%20', chr(2)), '%C3', chr(195)), '%A9', chr(169)), 'zzz', ''), chr(1), '%00').replace(chr(2), '%20') AS decoded,
   concat_ws(' ', CASE WHEN contains(token, '%00') THEN 'PCTNULL' END, CASE WHEN contains(token, '%20') THEN 'PCTSPACE' END) AS flags FROM tok""")
 def b15_percent_decode_once(spark, sf_dir):
-    df = good(spark, sf_dir, normalize.split_query).select("request_id", F.explode("tokens").alias("token"))
+    df = T.unnest(good(spark, sf_dir, normalize.split_query), "tokens", "token", "request_id")
     dec = T.percent_decode_once(F.col("token"), "QUERY")
     return df.withColumn("decoded", dec).select("request_id", "token", "decoded", joined(T.percent_flags(F.col("decoded"), "QUERY")).alias("flags"))
 
@@ -355,7 +355,7 @@ num AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY pos, i) -
 def b17_b18_query_params(spark, sf_dir):
     df = good(spark, sf_dir, *QUERY_STEPS)
     own = F.filter("p.flags", lambda f: f.startswith("Q") & (f != "QUOTE"))
-    return df.select("request_id", F.explode("params").alias("p")).select(
+    return T.unnest(df, "params", "p", "request_id").select(
         "request_id", F.col("p.pos").cast("long").alias("pos"), "p.key", "p.value", joined(own).alias("qflags")
     )
 
@@ -373,7 +373,7 @@ def b19_value_shape(spark, sf_dir):
 @query(f"""{PARAMS} SELECT request_id, n AS pos, CASE WHEN value IS NULL THEN key WHEN key = 'token' OR key = 'k' AND false THEN concat(key, '=<SECRET:b64url:', strlen(value), '>') ELSE concat(key, '=', value) END AS display FROM num""")
 def b20_redact_values(spark, sf_dir):
     df = good(spark, sf_dir, *QUERY_STEPS)
-    return df.select("request_id", F.explode("params").alias("p")).select("request_id", F.col("p.pos").cast("long").alias("pos"), "p.display")
+    return T.unnest(df, "params", "p", "request_id").select("request_id", F.col("p.pos").cast("long").alias("pos"), "p.display")
 
 
 @query(f"{BASE} SELECT request_id, url_decode(query) AS q FROM good WHERE query IS NOT NULL")

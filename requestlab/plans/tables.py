@@ -28,9 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by ``key`` where the scan has fewer splits than there are cores; larger tables stay as they are.
+
+    Per-row work behind a small file would otherwise run in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``request_id, ts, label, request`` of every event."""
-    return spark.sql(REQUESTS_SQL.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    events = spread(table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "user_id", "props"), "event_id")
+    return spark.sql(REQUESTS_SQL.replace("FROM events", "FROM {events}"), events=events)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
