@@ -465,12 +465,15 @@ def _runs(texts_: DataFrame, bounds: np.ndarray) -> DataFrame:
             for i, data in enumerate(texts(batch.column(4))):
                 a = anchors(data)
                 mine = np.isin(a.gram, wanted[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                raw, d = data.tobytes(), len(docs)
-                docs.append((rep[i].as_py(), hi[i].as_py(), lo[i].as_py()))
-                for at, x, y in zip(a.at[mine].tolist(), a.lo[mine].tolist(), a.hi[mine].tolist(), strict=True):
-                    recs.append((raw[at : y + LENGTH], raw[x:at], docs[d][0], x, y, d))
-                if len(recs) >= RUN:
-                    yield flush()
+                raw, own = data.tobytes(), (rep[i].as_py(), hi[i].as_py(), lo[i].as_py())
+                places = a.at[mine], a.lo[mine], a.hi[mine]
+                for some in range(0, len(places[0]), RUN):  # a text of many anchors fills several runs
+                    d = len(docs)
+                    docs.append(own)
+                    for at, x, y in zip(*(c[some : some + RUN].tolist() for c in places), strict=True):
+                        recs.append((raw[at : y + LENGTH], raw[x:at], own[0], x, y, d))
+                    if len(recs) >= RUN:
+                        yield flush()
         if recs:
             yield flush()
 

@@ -64,6 +64,13 @@ def test_suffixes(docs, none):
     assert suffixes.remove_repeats(none).count() == 0
 
 
+def test_suffixes_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "RUN", 50)
+    rows = [(1, "z" * 900 + BASE), (2, words(3, 900)), (3, "ab" * 700 + words(3, 300) + "z" * 300), (4, BASE + words(4, 50) + BASE)]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute.repeats(rows)
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.lists(st.binary(min_size=1, max_size=12), min_size=1, max_size=20), min_size=1, max_size=7))
 def test_merge_runs(runs):
