@@ -31,11 +31,11 @@ def _ceil(n, percent: int):
 class Node:
     """A range of documents: OR of their bitmaps, sizes from ``least`` to ``most``."""
 
-    __slots__ = ("bits", "children", "hi", "least", "lo", "most", "one", "slack")
+    __slots__ = ("bits", "children", "hi", "least", "lo", "most", "slack")
 
     def __init__(self, lo, hi, bits, least, most, slack, children):
         self.lo, self.hi, self.bits, self.least, self.most, self.slack = lo, hi, bits, least, most, slack
-        self.children, self.one = children, hi - lo == 1
+        self.children = children
 
 
 class SignatureTree:
@@ -69,18 +69,36 @@ class SignatureTree:
 
 
 class Join:
-    """Dual traversal of two trees (or of one with itself) that unites linked documents.
+    """Dual traversal of two trees (or of one with itself) that meets every link between them once.
 
-    A pair of nodes is dropped when sizes are too far apart, when the largest possible overlap
-    is below what the smallest sizes need, or when all documents below both are united already.
+    A pair of nodes is dropped when sizes are too far apart or when the largest possible overlap is
+    below what the smallest sizes need; documents that are united already are compared all the same,
+    since every link counts.  ``degree`` adds up the weights of a document's partners.
     """
 
-    def __init__(self, left: SignatureTree, right: SignatureTree, percent: int):
+    def __init__(self, left: SignatureTree, right: SignatureTree, percent: int, weights: np.ndarray):
         self.a, self.b, self.percent = left, right, percent
         self.same = left is right
         self.shift = 0 if self.same else len(left.sets)
         self.parent = np.arange(len(left.sets) + (0 if self.same else len(right.sets)))
-        self.verified = 0
+        self.weights = weights
+        self.degree = np.zeros(len(self.parent), np.int64)
+        self._number()
+        self.now = None
+
+    def _number(self) -> None:
+        """Shingles as dense numbers, all documents of a tree in one array with bounds."""
+        sets = self.a.sets if self.same else self.a.sets + self.b.sets
+        self.at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
+        grams = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        known, ids = np.unique(grams, return_inverse=True)
+        self.ids = ids.astype(np.int32)
+        self.slot = np.full(len(known), -1, np.int32)
+
+    def _rows(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shingle numbers of documents ``lo`` to ``hi`` and, for each, its document's place among them."""
+        at = self.at[lo : hi + 1]
+        return self.ids[at[0] : at[-1]], np.repeat(np.arange(hi - lo), np.diff(at))
 
     def find(self, i: int) -> int:
         p = self.parent
@@ -89,15 +107,6 @@ class Join:
             i = int(p[i])
         return i
 
-    def _united(self, node: Node, shift: int) -> int:
-        """The one component of a node's documents, or -1."""
-        root = self.find(node.lo + shift)
-        if not node.one:
-            if any(self.find(i + shift) != root for i in range(node.lo + 1, node.hi)):
-                return -1
-            node.one = True
-        return root
-
     def run(self) -> None:
         if self.a.root is None or self.b.root is None:
             return
@@ -111,20 +120,35 @@ class Join:
                 best = int(np.bitwise_count(x.bits & y.bits).sum()) + min(x.slack, y.slack)
                 if 100 * best < self.percent * most:
                     continue
-                ux = self._united(x, 0)
-                if ux >= 0 and ux == self._united(y, self.shift):
-                    continue
             if not x.children and not y.children:
                 self._leaves(x, y)
             elif self.same and x is y:
                 kids = x.children
                 stack += [(p, q) for i, p in enumerate(kids) for q in kids[i + 1 :]]
-                stack += [(p, p) for p in kids]  # on top: documents are united inside nodes first
+                stack += [(p, p) for p in kids]
             elif x.children and (not y.children or x.hi - x.lo >= y.hi - y.lo):
                 stack += [(p, y) for p in x.children]
             else:
                 stack += [(x, q) for q in y.children]
 
+    def _shared(self, x: Node, y: Node) -> np.ndarray:
+        """Exact overlaps of the documents of two leaves: a product of 0/1 matrices over the shingles of ``x``."""
+        if self.now is not x:
+            if self.now is not None:
+                self.slot[self.own] = -1
+            ids, row = self._rows(x.lo, x.hi)
+            self.own = np.unique(ids)
+            self.slot[self.own] = np.arange(len(self.own))
+            self.left = np.zeros((x.hi - x.lo, len(self.own)), np.float32)
+            self.left[row, self.slot[ids]] = 1
+            self.now = x
+        ids, row = self._rows(y.lo + self.shift, y.hi + self.shift)
+        to = self.slot[ids]
+        hit = to >= 0
+        right = np.zeros((y.hi - y.lo, len(self.own)), np.float32)
+        right[row[hit], to[hit]] = 1
+        return np.rint(self.left @ right.T).astype(np.int64)  # exact: overlaps are below 2^24
+
     def _leaves(self, x: Node, y: Node) -> None:
         a, b, per = self.a, self.b, self.percent
         na, nb = a.sizes[x.lo : x.hi, None], b.sizes[None, y.lo : y.hi]
@@ -133,22 +157,24 @@ class Join:
         both = np.minimum(both, np.minimum(na, nb))
         # |a n b| * 100 >= per * |a u b|  <=>  |a n b| * (100 + per) >= per * (|a| + |b|)
         ok = both * (100 + per) >= per * (na + nb)
-        for i, j in zip(*np.nonzero(ok), strict=True):
-            p, q = int(i) + x.lo, int(j) + y.lo
-            if self.same and p >= q:
-                continue
-            r, s = self.find(p), self.find(q + self.shift)
-            if r == s:
-                continue
-            self.verified += 1
-            u, v = a.sets[p], b.sets[q]
-            if len(u) > len(v):
-                u, v = v, u
-            at = np.searchsorted(v, u)
-            at[at == len(v)] = 0
-            shared = int((v[at] == u).sum())
-            if shared * (100 + per) >= per * (len(u) + len(v)):
-                self.parent[max(r, s)] = min(r, s)
+        itself = self.same and x is y
+        if itself:
+            np.fill_diagonal(ok, False)
+        if not ok.any():
+            return
+        ok &= self._shared(x, y) * (100 + per) >= per * (na + nb)
+        if not ok.any():
+            return
+        left, right = slice(x.lo, x.hi), slice(y.lo + self.shift, y.hi + self.shift)
+        self.degree[left] += ok.astype(np.int64) @ self.weights[right]
+        if not itself:
+            self.degree[right] += ok.T.astype(np.int64) @ self.weights[left]
+        r = np.array([self.find(i) for i in range(left.start, left.stop)])
+        s = np.array([self.find(i) for i in range(right.start, right.stop)])
+        for i, j in zip(*np.nonzero(ok & (r[:, None] != s[None, :])), strict=True):
+            p, q = self.find(int(r[i])), self.find(int(s[j]))
+            if p != q:
+                self.parent[max(p, q)] = min(p, q)
 
 
 def _width(sizes: list[int]) -> int:
@@ -340,21 +366,22 @@ def _units(comp: DataFrame, unit: int) -> DataFrame:
 
 
 def _join_units(rows: DataFrame, percent: int) -> DataFrame:
-    """Run the trees of each unit: ``hi, lo, root_hi, root_lo, split`` (united with root in its unit)."""
+    """Run the trees of each unit: ``hi, lo, root_hi, root_lo, split, links`` (united with root in its unit).
+
+    ``links`` counts the documents that a set links to in the unit, each set as often as it has
+    ``copies``.  Two sets meet in one unit only, so counts of units add up.
+    """
 
-    def solve(split: bool, sides: list[dict]) -> pa.RecordBatch:
+    def solve(split: bool, sides: list[dict], copies: dict) -> pa.RecordBatch:
         trees, names = [], []
         width = _width([len(s) for side in sides for s in side.values()])
         for side in sides:
             order = sorted(side, key=lambda f: (len(side[f]).bit_length(), int(side[f][0]), len(side[f])))
             trees.append(SignatureTree([side[f] for f in order], width))
             names += order
-        if not split or not sides[1]:
-            join = Join(trees[0], trees[0], percent)
-            join.run()
-        else:
-            join = Join(trees[0], trees[1], percent)
-            join.run()
+        other = trees[1] if split and sides[1] else trees[0]
+        join = Join(trees[0], other, percent, np.array([copies[f] for f in names], np.int64))
+        join.run()
         root = [join.find(i) for i in range(len(join.parent))]
         return pa.RecordBatch.from_arrays(
             [
@@ -363,31 +390,33 @@ def _join_units(rows: DataFrame, percent: int) -> DataFrame:
                 pa.array([names[r][0] for r in root], pa.int64()),
                 pa.array([names[r][1] for r in root], pa.int64()),
                 pa.array([split] * len(names), pa.bool_()),
+                pa.array(join.degree),
             ],
-            names=["hi", "lo", "root_hi", "root_lo", "split"],
+            names=["hi", "lo", "root_hi", "root_lo", "split", "links"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, split, sides = None, False, [{}, {}]
+        now, split, sides, copies = None, False, [{}, {}], {}
         for batch in batches:
-            unit, side, cut, hi, lo = (batch.column(c).to_pylist() for c in range(5))
-            for i, data in enumerate(texts(batch.column(5))):
+            unit, side, cut, hi, lo, many = (batch.column(c).to_pylist() for c in range(6))
+            for i, data in enumerate(texts(batch.column(6))):
                 if unit[i] != now:
                     if now is not None:
-                        yield solve(split, sides)
-                    now, split, sides = unit[i], cut[i], [{}, {}]
+                        yield solve(split, sides, copies)
+                    now, split, sides, copies = unit[i], cut[i], [{}, {}], {}
                 f = (hi[i], lo[i])
                 if f not in sides[side[i]]:
                     sides[side[i]][f] = shingle_set(data)
+                    copies[f] = many[i]
         if now is not None:
-            yield solve(split, sides)
+            yield solve(split, sides, copies)
 
-    rows = rows.select("unit", "side", "split", "hi", "lo", "text")
-    return rows.mapInArrow(run, "hi long, lo long, root_hi long, root_lo long, split boolean")
+    rows = rows.select("unit", "side", "split", "hi", "lo", "copies", "text")
+    return rows.mapInArrow(run, "hi long, lo long, root_hi long, root_lo long, split boolean, links long")
 
 
 def jaccard_classes(docs: DataFrame, percent: int = 80, unit: int = UNIT, frequent: int = FREQUENT) -> DataFrame:
-    """Classes of documents under links of Jaccard >= percent/100: ``doc_id, n_shingles, component_id``.
+    """Classes of documents under links of Jaccard >= percent/100: ``doc_id, n_shingles, component_id, n_links``.
 
     1. Texts with equal shingle sets are one class; only one text of a class goes on.
     2. Classes with enough shingles of their own cannot link and leave (two rounds, the second
@@ -396,9 +425,11 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, unit: int = UNIT, freque
        smallest class under that shingle (a star, not all pairs), and stars join to candidate
        components, which hold every possible link.
     4. Each candidate component, cut into bounded units where large, is joined by signature
-       trees; links are verified on the exact sets.
+       trees; every link is verified on the exact sets and counted at both ends.
     5. Verified links give components, named by their smallest doc_id.
 
+    ``n_links`` is the number of other rows that the row's text links to: a set of c copies gives
+    its rows c - 1 and the copies of every set it links to, so no pair of rows is written.
     Null and empty texts have no shingles and stay alone, each row under its own doc_id.
     Repeated rows are linked; null doc_ids take part and are never a class's smallest id unless
     alone.  Further columns are ignored; an empty table gives no rows.  Shingles are 64-bit
@@ -406,7 +437,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, unit: int = UNIT, freque
     """
     mine = materialize(_scan(docs), "scan")
     classes = materialize(
-        mine.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes"
+        mine.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")), "classes"
     )
     sizes = classes.groupBy(F.col("hi").alias("node")).agg(F.max("n").alias("n"))
     first = _crowded(docs, sizes, REGIONS[0], percent)
@@ -419,7 +450,8 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, unit: int = UNIT, freque
     stars = entries.join(keys, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     comp = connected_components(stars)
     dealt = _units(materialize(comp.join(second, "node"), "comp"), unit)
-    work = held.join(dealt, F.col("hi") == F.col("node"))
+    dealt = dealt.join(classes.select("hi", "lo", "copies"), F.col("hi") == F.col("node")).drop("node")
+    work = held.join(dealt, ["hi", "lo"])
     work = work.repartition("unit").sortWithinPartitions("unit", "side", "hi", "lo")
     united = materialize(_join_units(work, percent), "united")
 
@@ -431,14 +463,21 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, unit: int = UNIT, freque
         cut = united.where("split").select("hi", "lo").distinct().join(whole, "hi", "left")
         cut = cut.select("hi", "lo", F.coalesce("root_hi", "hi").alias("root_hi"), F.lit(0).cast("long").alias("root_lo"))
         roots = united.where("not split").select("hi", "lo", "root_hi", "root_lo").distinct().unionByName(cut)
-    named = classes.join(roots, ["hi", "lo"], "left")
+    links = united.groupBy("hi", "lo").agg(F.sum("links").alias("links"))
+    named = classes.join(roots, ["hi", "lo"], "left").join(links, ["hi", "lo"], "left")
     named = named.select(
-        "hi", "lo", "rep", F.coalesce("root_hi", "hi").alias("root_hi"), F.coalesce("root_lo", "lo").alias("root_lo")
-    )
+        "hi", "lo", "rep", F.coalesce("root_hi", "hi").alias("root_hi"), F.coalesce("root_lo", "lo").alias("root_lo"),
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+    )
     least = named.groupBy("root_hi", "root_lo").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, ["root_hi", "root_lo"]).select("hi", "lo", "component_id")
+    named = named.join(least, ["root_hi", "root_lo"]).select("hi", "lo", "component_id", "n_links")
     out = mine.join(named, ["hi", "lo"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -65,6 +65,11 @@ def op9_token_counts(spark, sf_dir):
 
 
 def op10_jaccard_join(spark, sf_dir):
+    """The columns of the SQL twin; ``op10_jaccard_links`` has the number of links as well."""
+    return op10_jaccard_links(spark, sf_dir).drop("n_links")
+
+
+def op10_jaccard_links(spark, sf_dir):
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
@@ -72,7 +77,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_suffix_dedup, op3_exact_topk, op4_secret_scan, op5_decontamination, op6_token_ids,
-        op7_mixing, op8_sharding, op9_token_counts, op10_jaccard_join,
+        op7_mixing, op8_sharding, op9_token_counts, op10_jaccard_join, op10_jaccard_links,
     )
 }
 

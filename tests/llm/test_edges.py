@@ -184,6 +184,31 @@ def test_jaccard_split_units(spark):
     assert got == brute.components(rows)
 
 
+def links(rows):
+    """[(doc_id, n_links)] of every row by comparing all pairs of rows."""
+    sets = [brute.shingles(t) for _, t in rows]
+    linked = [[bool(x and y) and 100 * len(x & y) >= 80 * len(x | y) for y in sets] for x in sets]
+    return [(i, sum(r) - r[k]) for k, ((i, _), r) in enumerate(zip(rows, linked, strict=True))]
+
+
+def test_jaccard_links(spark, docs):
+    """Every link counts, inside a united group, between blocks and to copies."""
+    rows, r = [(i, t) for i, t, *_ in ROWS], random.Random(5)
+    got = jaccard.jaccard_classes(docs).select("doc_id", "n_links").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, links(rows)))
+    base, rows = words(9, 60).split(), []
+    for i in range(120):
+        w = list(base)
+        for _ in range(i % 4):
+            w[r.randrange(60)] = f"x{r.randrange(9)}"
+        rows += [(i, " ".join(w[: 60 - i % 3]))] * (1 + (i % 10 == 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for unit in (300, jaccard.UNIT):
+        got = jaccard.jaccard_classes(df, unit=unit).select("doc_id", "n_links").collect()
+        assert sorted(map(tuple, got)) == sorted(links(rows))
+    assert max(n for _, n in links(rows)) > 20
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
