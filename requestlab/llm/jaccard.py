@@ -436,6 +436,20 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, unit: int = UNIT, freque
     hashes, sets are named by 128 bits.
     """
     mine = materialize(_scan(docs), "scan")
+    named = _set_classes(docs, mine, percent, unit, frequent)
+    least = named.groupBy("root_hi", "root_lo").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, ["root_hi", "root_lo"]).select("hi", "lo", "component_id", "n_links")
+    out = mine.join(named, ["hi", "lo"], "left")
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
+
+
+def _set_classes(docs: DataFrame, mine: DataFrame, percent: int, unit: int = UNIT, frequent: int = FREQUENT) -> DataFrame:
+    """Every distinct set with the root of its component: ``hi, lo, rep, root_hi, root_lo, n_links``."""
     classes = materialize(
         mine.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")), "classes"
     )
@@ -465,25 +479,32 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, unit: int = UNIT, freque
         roots = united.where("not split").select("hi", "lo", "root_hi", "root_lo").distinct().unionByName(cut)
     links = united.groupBy("hi", "lo").agg(F.sum("links").alias("links"))
     named = classes.join(roots, ["hi", "lo"], "left").join(links, ["hi", "lo"], "left")
-    named = named.select(
+    return named.select(
         "hi", "lo", "rep", F.coalesce("root_hi", "hi").alias("root_hi"), F.coalesce("root_lo", "lo").alias("root_lo"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
-    least = named.groupBy("root_hi", "root_lo").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, ["root_hi", "root_lo"]).select("hi", "lo", "component_id", "n_links")
-    out = mine.join(named, ["hi", "lo"], "left")
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-    )
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id; columns unchanged."""
+    """Exactly one row of each class; columns unchanged.
+
+    The row with the smallest doc_id stays, null last; among rows of that doc_id (repeated ids) the
+    one with the smallest hash of all its columns, and of rows equal in all columns any one.  Rows
+    count one by one, whatever ids they share: a row goes only if another row of its own class stays.
+    Null and empty texts have no shingles, are in no class and all stay.
+    """
     cols = docs.columns
-    classes = jaccard_classes(docs, percent).where("doc_id is not null and doc_id <> component_id")
-    gone = classes.select(F.col("doc_id").alias("gone_id")).distinct()
-    rows = docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
-    return rows.select(*[rows[f"`{c}`"] for c in cols])
+    # rows get a key that holds once it is written
+    keyed = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("doc"), F.monotonically_increasing_id().alias("key")), "keyed")
+    plain = keyed.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
+    # `_scan` passes its first column on, so it serves the keys here
+    sets = _scan(keyed.select(F.col("key").alias("doc_id"), F.col("doc.text").alias("text"))).withColumnRenamed("doc_id", "key")
+    order = keyed.select("key", F.col("doc.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.to_json("doc")).alias("digest"))
+    mine = materialize(sets.join(order, "key"), "scan")
+    named = _set_classes(plain, mine, percent).select("hi", "lo", "root_hi", "root_lo")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "key")).alias("first")
+    best = mine.where("n > 0").groupBy("hi", "lo").agg(first).select("hi", "lo", "first.*")
+    best = best.join(named, ["hi", "lo"]).groupBy("root_hi", "root_lo").agg(first).select("first.key")
+    stay = materialize(best.unionByName(mine.where("n = 0").select("key")), "stay")
+    rows = keyed.join(stay, "key", "left_semi")
+    return rows.select(*[F.col("doc").getField(c).alias(c) for c in cols])

@@ -209,6 +209,26 @@ def test_jaccard_links(spark, docs):
     assert max(n for _, n in links(rows)) > 20
 
 
+def test_keep_one(spark):
+    """One row of each class stays where ids are repeated, null or shared by different texts."""
+    own, far = words(21, 80), words(22, 80)
+    rows = [
+        (1, BASE, "a"), (1, BASE, "b"), (1, BASE, "b"), (2, BASE + " tail", "a"), (2, own, "a"), (5, BASE, None),
+        (None, BASE + " end", "a"), (None, far, "a"), (None, far, "a"), (None, far + " x", None), (None, None, "a"), (7, "", "a"), (7, "", "a"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    # classes by brute force over rows, which have ids of their own there
+    classes = brute.components([(k, t) for k, (_, t, _) in enumerate(rows)])
+    groups = {}
+    for k, (i, _, _) in enumerate(rows):
+        groups.setdefault(classes[k][1], []).append((i is None, i or 0))
+    want = sorted(str(None if last else i) for last, i in map(min, groups.values()))
+    got = [jaccard.keep_one(d).collect() for d in (df.repartition(3), df.coalesce(1))]
+    assert sorted(str(r["doc_id"]) for r in got[0]) == want
+    assert {r["text"] for r in got[0]} >= {own, BASE, None, ""} and set(got[0]) <= {tuple(r) for r in rows}
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1]))
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
