@@ -256,7 +256,7 @@ def s3_stream_batch_metrics(spark, sf_dir):
 @query()
 def s4_flag_rate_monitor(spark, sf_dir):
     stream = normalize.normalize_requests(event_stream(spark, sf_dir))
-    return written(streams.flag_rate_monitor(stream), spark, "s4").groupBy("window_start", "family").agg(F.sum("n_flags").alias("n_flags"))
+    return streams.run_complete(streams.flag_rate_monitor(stream), folder(spark, "s4"))
 
 
 # ---- R -----------------------------------------------------------------------------------

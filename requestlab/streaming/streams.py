@@ -37,7 +37,11 @@ def stream_batch_metrics(stream: DataFrame, sink: Callable[[DataFrame, int], Non
 
 
 def flag_rate_monitor(normalized: DataFrame, window: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
-    """Flags per family and tumbling window of ``ts``; rows later than the watermark are dropped."""
+    """Flags per family and tumbling window of ``ts``.
+
+    In append and update mode rows later than the watermark are dropped, and append gives no window
+    before the watermark has passed it; complete mode (`run_complete`) counts every row that has a ``ts``.
+    """
     timed = normalized.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     flags = normalize.extract_flags(timed, keys=("request_id", "ts"))
     family = normalize.family_of(F.col("flag")).alias("family")
@@ -46,6 +50,22 @@ def flag_rate_monitor(normalized: DataFrame, window: str = "10 minutes", late: s
     )
 
 
+def run_complete(stream: DataFrame, path: str) -> DataFrame:
+    """Run an aggregated stream over what is there now in complete mode and return its last state, open windows included.
+
+    Every batch replaces its own folder below ``path``, so a repeated batch is written once.
+    """
+    spark, last = stream.sparkSession, []
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{batch_id}")
+        last[:] = [batch_id]
+
+    writer = stream.writeStream.foreachBatch(each).outputMode("complete").option("checkpointLocation", f"{path}-state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/{last[0]}") if last else spark.createDataFrame([], stream.schema)
+
+
 def run_available(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over what is there now and return what it wrote (memory table ``name``)."""
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)

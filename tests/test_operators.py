@@ -3,9 +3,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from requestlab.operators import detectors as D
-from requestlab.operators import features, joins, metrics, sampling
+from requestlab.operators import features, joins, metrics, normalize, sampling
+from requestlab.plans import q_models, tables
 from requestlab.plans.registry import Registry
 from requestlab.sources import requests as R
+from requestlab.streaming import streams
 
 
 def judged(spark, pairs):
@@ -137,3 +139,21 @@ def test_registry():
         r.register("a", list)
     with pytest.raises(KeyError):
         r.get("b")
+
+
+def test_flag_rate_monitor_covers_the_table(spark):
+    """The streamed windows, the last ones too, are those of a batch over all events."""
+    sf = "/root/testdata/sf0.001"
+    batch = streams.flag_rate_monitor(normalize.normalize_requests(tables.requests(spark, sf))).collect()
+    got = q_models.s4_flag_rate_monitor(spark, sf).collect()
+    assert got and sorted(map(tuple, got)) == sorted(map(tuple, batch))
+
+
+def test_run_complete_late_rows(spark, tmp_path):
+    """Rows behind the watermark of an earlier batch count as well."""
+    for k, ts in enumerate(["2024-01-01 12:00:00", "2024-01-01 00:00:00", "2024-01-01 12:01:00"]):
+        spark.createDataFrame([(ts,)], "ts string").selectExpr("cast(ts as timestamp) ts").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    counts = stream.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "10 minutes").alias("w")).agg(F.count("*").alias("n"))
+    got = streams.run_complete(counts.select("w.start", "n"), f"{tmp_path}/out").collect()
+    assert sorted((r["start"].hour, r["n"]) for r in got) == [(0, 1), (12, 2)]
