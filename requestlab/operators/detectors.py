@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from requestlab.sources import store
+
 from . import features, joins, metrics
 
 
@@ -59,22 +61,33 @@ class Detector:
         return metrics.predict(self.score(df), self.default_threshold() if cut is None else cut)
 
     # Models as one-row Parquet tables
-    def save(self, spark: SparkSession, path: str) -> None:
+    def body(self, path: str) -> dict:
+        """What is saved, as plain values; larger parts are written below ``path``."""
         if self.params is None:
             raise NotFitted(f"{self.name}: nothing to save")
         plain = {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in self.params.items()}
-        body = json.dumps({"params": plain, "options": self.options, "threshold": self.threshold})
-        spark.createDataFrame([(self.name, body)], "name string, body string").coalesce(1).write.mode("overwrite").parquet(path)
+        return {"params": plain, "options": self.options, "threshold": self.threshold}
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        row = [(self.name, json.dumps(self.body(path)))]
+        spark.createDataFrame(row, "name string, body string").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def _restored(cls, spark: SparkSession, body: dict) -> Detector:
+        out = cls(**body["options"])
+        out.params = {k: np.array(v) if isinstance(v, list) and k != "trees" else v for k, v in body["params"].items()}
+        out.threshold = body["threshold"]
+        return out
 
 
 def load(spark: SparkSession, path: str) -> Detector:
     """A saved detector with the scores it had."""
     row = spark.read.parquet(path).first()
-    body = json.loads(row["body"])
-    out = DETECTORS[row["name"]](**body["options"])
-    out.params = {k: np.array(v) if isinstance(v, list) and k != "trees" else v for k, v in body["params"].items()}
-    out.threshold = body["threshold"]
-    return out
+    return restore(spark, row["name"], json.loads(row["body"]))
+
+
+def restore(spark: SparkSession, name: str, body: dict) -> Detector:
+    return DETECTORS[name]._restored(spark, body)
 
 
 class Mahalanobis(Detector):
@@ -116,8 +129,7 @@ class Hypersphere(Detector):
     def fit(self, normal: DataFrame) -> Hypersphere:
         n, s, _ = features._moments(normal)
         self.params = {"center": s / n}
-        cut = self.score(normal).agg(F.percentile("score", F.lit(1 - self.options.get("nu", 0.05)))).first()[0]
-        self.params["radius"] = cut
+        self.params["radius"] = metrics.percentile(self.score(normal), "score", 1 - self.options.get("nu", 0.05))
         return self
 
     def default_threshold(self) -> float:
@@ -145,8 +157,8 @@ def _logsumexp(a: np.ndarray) -> np.ndarray:
 class GaussianMixture(Detector):
     """EM with full, tied, diag or spherical covariances, best of ``n_init`` starts; score = -log density.
 
-    One iteration is one pass: tasks send responsibilities' sums, means and Gram matrices, added
-    per component by Spark.  Starts are rows drawn by a hash of the vector.
+    One iteration is one pass: tasks send responsibilities' sums, means and Gram matrices, which are added
+    as they stream (``features.task_sums``).  Starts are rows drawn by a hash of the vector.
     """
 
     name = "gmm"
@@ -157,7 +169,7 @@ class GaussianMixture(Detector):
         n, mean, cov = features.mean_and_covariance(normal, ddof=0)
         reg = o.get("reg", 1e-6) * np.eye(len(mean))
         for start in range(o.get("n_init", 5)):
-            seed = F.xxhash64(F.col("embedding").cast("string"), F.lit(o.get("seed", 42) + start))
+            seed = F.xxhash64("embedding", F.lit(o.get("seed", 42) + start))
             rows = normal.where("embedding IS NOT NULL").orderBy(seed).select("embedding").limit(k).collect()
             means = np.array([r[0] for r in rows], float)
             weights, covs = np.full(len(means), 1 / len(means)), np.stack([cov + reg] * len(means))
@@ -197,8 +209,9 @@ class GaussianMixture(Detector):
     def _pass(df: DataFrame, weights, means, covs):
         chols = np.linalg.cholesky(covs)
 
-        def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            k, d = means.shape
+        k, d = means.shape
+
+        def fold(frames: Iterator[pd.DataFrame]) -> np.ndarray:
             nk, s, g, ll = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d)), 0.0
             for pdf in frames:
                 if len(pdf):
@@ -208,16 +221,11 @@ class GaussianMixture(Detector):
                     r = np.exp(logp - norm[:, None])
                     ll += norm.sum()
                     nk, s, g = nk + r.sum(0), s + r.T @ x, g + np.einsum("nk,ni,nj->kij", r, x, x, optimize=True)
-            yield pd.DataFrame({"c": np.arange(k, dtype=np.int32), "v": [np.concatenate([[ll, nk[i]], s[i], g[i].ravel()]) for i in range(k)]})
+            return np.concatenate([[ll], nk, s.ravel(), g.ravel()])
 
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"c": pdf["c"].iloc[:1], "v": [np.sum(np.stack(pdf["v"]), axis=0)]})
-
-        parts = df.where("embedding IS NOT NULL").select("embedding").mapInPandas(part, "c int, v array<double>")
-        rows = sorted(parts.groupBy("c").applyInPandas(add, "c int, v array<double>").collect(), key=lambda r: r["c"])
-        v = np.array([r["v"] for r in rows])
-        d = means.shape[1]
-        return v[:, 1], v[:, 2 : 2 + d], v[:, 2 + d :].reshape(-1, d, d), v[0, 0]
+        v = features.task_sums(df.where("embedding IS NOT NULL").select("embedding"), fold)
+        at = np.cumsum([1, k, k * d])
+        return v[at[0] : at[1]], v[at[1] : at[2]].reshape(k, d), v[at[2] :].reshape(k, d, d), v[0]
 
     def _scorer(self):
         w, m, chols = self.params["weights"], self.params["means"], np.linalg.cholesky(self.params["covs"])
@@ -242,10 +250,13 @@ class IsolationForest(Detector):
         if n == 0:
             raise ValueError("no vectors to fit on")
         size, seed = min(o.get("max_samples", 256), n), o.get("seed", 42)
-        # every tree draws each row with the same chance; a tree then keeps its first ``size`` by hash
-        u = F.transform(
-            F.sequence(F.lit(0), F.lit(trees - 1)),
-            lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col("embedding").cast("string"), F.lit(seed), t).alias("h")),
+        # every tree draws each row with the same chance; a tree then keeps its first ``size`` by hash.
+        # The vector is hashed once a row (bound to ``x``), a tree's hash follows from that number.
+        u = F.flatten(
+            F.transform(
+                F.array(F.xxhash64("embedding", F.lit(seed))),
+                lambda x: F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(x, t).alias("h"))),
+            )
         )
         share = min(1.0, (1.5 * size + 20) / n)  # more than enough rows for ``size``
         picked = F.filter(u, lambda x: F.abs(F.shiftright(x["h"], 1)) <= F.lit(int(share * 2**62)))
@@ -278,7 +289,7 @@ class IsolationForest(Detector):
         self.params = {"trees": [r["nodes"] for r in sorted(got, key=lambda r: r["tree"])], "size": size}
         c = o.get("contamination")
         if c:
-            self.params["offset"] = self.score(normal).agg(F.percentile("score", F.lit(1 - c))).first()[0]
+            self.params["offset"] = metrics.percentile(self.score(normal), "score", 1 - c)
         return self
 
     def default_threshold(self) -> float:
@@ -304,27 +315,47 @@ class IsolationForest(Detector):
 
         return run
 
-    def save(self, spark, path):
-        self.params["trees"] = [list(map(float, t)) for t in self.params["trees"]]
-        super().save(spark, path)
+    def body(self, path):
+        out = super().body(path)
+        out["params"]["trees"] = [list(map(float, t)) for t in out["params"]["trees"]]
+        return out
 
 
-class LocalOutlierFactor:
-    """novelty LOF by two exact neighbour joins; the model is a table (id, vector, k-distance, lrd)."""
+class LocalOutlierFactor(Detector):
+    """novelty LOF by two exact neighbour joins; the model is a written table (id, vector, k-distance, lrd)."""
 
     name = "lof"
 
     def __init__(self, k: int = 100, offset: float = 1.5):
-        self.k, self.offset, self.model, self.threshold = k, offset, None, None
-
-    def fit(self, normal: DataFrame, id_col: str = "vec_id") -> LocalOutlierFactor:
-        rows = normal.select(F.col(id_col).alias("vec_id"), "embedding")
-        near = joins.nearest_neighbors(rows, rows, self.k, skip_self=True)
+        super().__init__(k=k, offset=offset)
+        self.k, self.offset, self.model = k, offset, None
+
+    def fit(self, normal: DataFrame, id_col: str = "vec_id", near: DataFrame | None = None) -> LocalOutlierFactor:
+        """``near``: neighbours of the rows among themselves, if they are known already (k of them or more)."""
+        rows = normal.select(F.col(id_col).alias("vec_id"), "embedding").where("embedding IS NOT NULL")
+        near = joins.nearest_neighbors(rows, rows, self.k, skip_self=True) if near is None else near.where(F.col("rank") <= self.k)
+        near = store.materialize(near, "neighbors")
         kdist = near.groupBy("id").agg(F.max("distance").alias("k_distance"))
-        self.model = rows.join(kdist, rows["vec_id"] == kdist["id"]).join(self._density(near, kdist).select(F.col("id").alias("d_id"), "lrd"), F.col("vec_id") == F.col("d_id"))
-        self.model = self.model.select("vec_id", "embedding", "k_distance", "lrd")
+        lrd = self._density(near, kdist).select(F.col("id").alias("d_id"), "lrd")
+        model = rows.join(kdist, rows["vec_id"] == kdist["id"]).join(lrd, F.col("vec_id") == F.col("d_id"))
+        self.model = store.materialize(model.select("vec_id", "embedding", "k_distance", "lrd"), "lof")
+        self.params = {}
         return self
 
+    def body(self, path: str) -> dict:
+        if self.model is not None:
+            self.model.write.mode("overwrite").parquet(f"{path}-table")
+        return super().body(path) | {"table": f"{path}-table"}
+
+    @classmethod
+    def _restored(cls, spark: SparkSession, body: dict) -> LocalOutlierFactor:
+        out = super()._restored(spark, body)
+        out.model = spark.read.parquet(body["table"])
+        return out
+
+    def default_threshold(self) -> float:
+        return 0.0
+
     @staticmethod
     def _density(near: DataFrame, kdist: DataFrame) -> DataFrame:
         """Local reachability density of each id from its neighbours' k-distances."""
@@ -344,15 +375,6 @@ class LocalOutlierFactor:
         got = got.select(F.col("id").alias(id_col), (F.col("lrd_n") / F.col("lrd") - self.offset).alias("score"))
         return df.join(got, id_col)
 
-    def set_threshold(self, normal: DataFrame, max_fpr: float = 0.05) -> tuple[float, float]:
-        row = metrics.threshold_at_fpr(self.score(normal.withColumn("label", F.lit(metrics.VALID))), max_fpr).first()
-        self.threshold = row["threshold"]
-        return row["threshold"], row["actual_fpr"]
-
-    def predict(self, df: DataFrame, threshold: float | None = None) -> DataFrame:
-        cut = threshold if threshold is not None else self.threshold
-        return metrics.predict(self.score(df), 0.0 if cut is None else cut)
-
 
 class OneClassSVM(Detector):
     """RBF one-class SVM on random Fourier features, full subgradient steps; score = -(w z - rho).
@@ -382,7 +404,7 @@ class OneClassSVM(Detector):
             w = w - rate * (w - grad / (nu * n))
             rho = rho + rate * (1 - inside / (nu * n)) * float(np.linalg.norm(w))
         self.params |= {"w": w, "rho": rho}
-        cut = self.score(normal).agg(F.percentile("score", F.lit(1 - nu))).first()[0]
+        cut = metrics.percentile(self.score(normal), "score", 1 - nu)
         self.params["rho"] = float(rho - cut)  # nu of the fitted rows lie outside
         return self
 
@@ -403,18 +425,16 @@ class OneClassSVM(Detector):
     def _subgradient(self, df: DataFrame, w: np.ndarray, rho: float) -> tuple[float, np.ndarray]:
         proj, phase = self.params["proj"], self.params["phase"]
 
-        def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def fold(frames: Iterator[pd.DataFrame]) -> np.ndarray:
             n, g = 0, np.zeros(len(w))
             for pdf in frames:
                 if len(pdf):
                     z = math.sqrt(2 / len(phase)) * np.cos(np.stack(pdf["embedding"]).astype(float) @ proj + phase)
                     out = z @ w < rho
                     n, g = n + int(out.sum()), g + z[out].sum(axis=0)
-            yield pd.DataFrame({"i": np.arange(len(w) + 1, dtype=np.int32), "v": np.concatenate([[n], g])})
+            return np.concatenate([[n], g])
 
-        parts = df.where("embedding IS NOT NULL").select("embedding").mapInPandas(part, "i int, v double")
-        rows = parts.groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # one row a feature
-        v = np.array([r["v"] for r in rows])
+        v = features.task_sums(df.where("embedding IS NOT NULL").select("embedding"), fold)
         return v[0], v[1:]
 
     def default_threshold(self) -> float:
@@ -450,9 +470,24 @@ class PcaDetector(Detector):
             raise NotFitted("pca: fit first")
         return self.inner.score(self.pca.transform(df))
 
+    def default_threshold(self) -> float:
+        return self.inner.default_threshold()
+
+    def body(self, path: str) -> dict:
+        if self.pca is None:
+            raise NotFitted("pca: nothing to save")
+        inner = {"name": self.inner.name, "body": self.inner.body(f"{path}-inner")}
+        return {"pca": self.pca.params(), "inner": inner, "k": self.k, "threshold": self.threshold}
+
+    @classmethod
+    def _restored(cls, spark: SparkSession, body: dict) -> PcaDetector:
+        out = cls(restore(spark, body["inner"]["name"], body["inner"]["body"]), body["k"])
+        out.pca, out.params, out.threshold = features.PCA(**body["pca"]), out.inner.params, body["threshold"]
+        return out
+
 
 DETECTORS: dict[str, type] = {
-    c.name: c for c in (Mahalanobis, RidgeMahalanobis, Hypersphere, GaussianMixture, IsolationForest, LocalOutlierFactor, OneClassSVM)
+    c.name: c for c in (Mahalanobis, RidgeMahalanobis, Hypersphere, GaussianMixture, IsolationForest, LocalOutlierFactor, OneClassSVM, PcaDetector)
 }
 
 

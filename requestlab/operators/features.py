@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import metrics
+
 
 def tokenize(text: Column, pattern: str = "word", n: int = 1) -> Column:
     """Terms of a text. ``word``: lower-cased words of two or more letters; ``space``: non-blank runs, case kept.
@@ -101,75 +104,102 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - inv * (1 / 12 - inv * (1 / 120 - inv / 252))
 
 
-def mi_continuous(vectors: DataFrame, k: int = 3, bins: int | None = None) -> DataFrame:
-    """Mutual information of each dimension with the class: ``dim, mi``.
+def mi_continuous(vectors: DataFrame, k: int = 3, bins: int | None = 16) -> DataFrame:
+    """Mutual information (nats) of each dimension with the class: ``dim, mi``.
 
-    ``bins`` = None: the nearest-neighbour estimator of Ross (2014); each dimension is one group,
-    so it is for samples.  With ``bins``: dimensions cut at approximate quantiles, all native,
-    for tables of any size.
+    With ``bins``: dimensions are cut at their exact quantiles, all native, for tables of any size.
+    ``bins`` = None: the nearest-neighbour estimator of Ross (2014), which needs each dimension as one
+    group and so is for samples.
     """
     long = vectors.select("label", F.posexplode("embedding").alias("dim", "x"))
     if bins:
-        cuts = long.groupBy("dim").agg(F.percentile_approx("x", [i / bins for i in range(1, bins)], 1000).alias("cuts"))
-        cells = long.join(F.broadcast(cuts), "dim")  # a row a dimension
+        shares = [i / bins for i in range(1, bins)]
+        cuts = metrics.percentiles(long, "x", shares, ["dim"])
+        cuts = cuts.select(F.col("dim").alias("_dim"), F.array(*[f"p{i}" for i in range(len(shares))]).alias("cuts"))
+        cells = long.join(F.broadcast(cuts), F.col("dim") == F.col("_dim"))  # a row a dimension
         cells = cells.select("dim", "label", F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("b")).groupBy("dim", "b", "label").agg(F.count("*").alias("c"))
         n, nb, nl = (F.sum("c").over(W.partitionBy("dim", *by)) for by in ([], ["b"], ["label"]))
         part = (F.col("c") / n) * F.log(F.col("c") * n / (nb * nl))
         return cells.withColumn("part", part).groupBy("dim").agg(F.greatest(F.sum("part"), F.lit(0.0)).alias("mi"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].to_numpy(float), pdf["label"].to_numpy()
-        radius, used, own, near = np.zeros(len(x)), np.zeros(len(x), bool), np.zeros(len(x)), np.zeros(len(x))
-        for c in np.unique(y):
-            at = np.flatnonzero(y == c)
-            if len(at) < 2:
-                continue
-            kk = min(k, len(at) - 1)
-            order = at[np.argsort(x[at], kind="stable")]
-            v = x[order]
-            pad = np.concatenate([np.full(kk, -np.inf), v, np.full(kk, np.inf)])
-            gaps = np.stack([np.abs(pad[kk + s : kk + s + len(v)] - v) for s in range(-kk, kk + 1) if s], axis=1)
-            radius[order] = np.nextafter(np.sort(gaps, axis=1)[:, kk - 1], 0)
-            used[at], own[at], near[at] = True, len(at), kk
-        s = np.sort(x)
-        m = np.searchsorted(s, x + radius, side="right") - np.searchsorted(s, x - radius, side="left")
-        u = used
-        if not u.any():
-            return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "mi": [0.0]})
-        mi = digamma(np.array([u.sum()]))[0] + digamma(near[u]).mean() - digamma(own[u]).mean() - digamma(np.maximum(m[u], 1)).mean()
-        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "mi": [max(0.0, mi)]})
+        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "mi": [nearest_mi(pdf["x"].to_numpy(float), pdf["label"].to_numpy(), k)]})
 
     return long.groupBy("dim").applyInPandas(one, "dim int, mi double")
 
 
+def nearest_mi(x: np.ndarray, y: np.ndarray, k: int) -> float:
+    """Mutual information of a number and a class by the k nearest of the same class."""
+    radius, used, own, near = np.zeros(len(x)), np.zeros(len(x), bool), np.zeros(len(x)), np.zeros(len(x))
+    for c in np.unique(y):
+        at = np.flatnonzero(y == c)
+        if len(at) < 2:
+            continue
+        kk = min(k, len(at) - 1)
+        order = at[np.argsort(x[at], kind="stable")]
+        v = x[order]
+        pad = np.concatenate([np.full(kk, -np.inf), v, np.full(kk, np.inf)])
+        gaps = np.stack([np.abs(pad[kk + s : kk + s + len(v)] - v) for s in range(-kk, kk + 1) if s], axis=1)
+        radius[order] = np.nextafter(np.sort(gaps, axis=1)[:, kk - 1], 0)
+        used[at], own[at], near[at] = True, len(at), kk
+    s = np.sort(x)
+    m = np.searchsorted(s, x + radius, side="right") - np.searchsorted(s, x - radius, side="left")
+    u = used
+    if not u.any():
+        return 0.0
+    mi = digamma(np.array([u.sum()]))[0] + digamma(near[u]).mean() - digamma(own[u]).mean() - digamma(np.maximum(m[u], 1)).mean()
+    return max(0.0, mi)
+
+
 def select_dims(vectors: DataFrame, dims: list[int], column: str = "embedding") -> DataFrame:
     """Vectors cut to the given dimensions, in their order."""
     return vectors.withColumn(column, F.transform(F.lit(dims), lambda i: F.get(F.col(column), i)))
 
 
+def task_sums(df: DataFrame, fold: Callable[[Iterator[pd.DataFrame]], np.ndarray | None]) -> np.ndarray:
+    """Sum over all tasks of the array that ``fold`` makes of a task's rows.
+
+    Tasks' arrays are added while they stream through at most 64 second tasks, chosen by the number of
+    the first one, so that no task and not the driver holds more than a few arrays at once.
+    """
+
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = fold(frames)
+        if total is not None:
+            yield pd.DataFrame({"slot": [TaskContext.get().partitionId() % 64], "v": [total]})
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in frames:
+            for v in pdf["v"]:
+                total = np.array(v) if total is None else total + v
+        if total is not None:
+            yield pd.DataFrame({"v": [total]})
+
+    parts = df.mapInPandas(first, "slot int, v array<double>").repartition("slot").select("v")
+    rows = parts.mapInPandas(add, "v array<double>").toLocalIterator()  # at most 64 rows
+    total = None
+    for r in rows:
+        total = np.array(r["v"]) if total is None else total + np.array(r["v"])
+    if total is None:
+        raise ValueError("no vectors to fit on")
+    return total
+
+
 def _moments(vectors: DataFrame, column: str = "embedding") -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, sum and Gram matrix; every task adds up first, partial sums are added in 32 groups."""
+    """Rows, sum and Gram matrix of the vectors that are not null."""
 
-    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(frames: Iterator[pd.DataFrame]) -> np.ndarray | None:
         n, s, g = 0, 0.0, 0.0
         for pdf in frames:
             if len(pdf):
                 x = np.stack(pdf["x"]).astype(float)
                 n, s, g = n + len(x), s + x.sum(0), g + x.T @ x
-        if n:
-            yield pd.DataFrame({"slot": [int(n % 32)], "n": [n], "s": [s], "g": [g.ravel()]})
+        return np.concatenate([[n], s, g.ravel()]) if n else None
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slot": pdf["slot"].iloc[:1], "n": [pdf["n"].sum()], "s": [np.sum(np.stack(pdf["s"]), axis=0)], "g": [np.sum(np.stack(pdf["g"]), axis=0)]})
-
-    schema = "slot int, n long, s array<double>, g array<double>"
-    got = vectors.where(f"{column} IS NOT NULL").select(F.col(column).alias("x")).mapInPandas(part, schema)
-    rows = got.groupBy("slot").applyInPandas(add, schema).collect()  # at most 32 rows
-    if not rows:
-        raise ValueError("no vectors to fit on")
-    s = np.sum([r["s"] for r in rows], axis=0)
-    g = np.sum([r["g"] for r in rows], axis=0)
-    return sum(r["n"] for r in rows), s, g.reshape(len(s), len(s))
+    v = task_sums(vectors.where(f"{column} IS NOT NULL").select(F.col(column).alias("x")), fold)
+    d = math.isqrt(len(v))  # 1 + d + d^2 numbers
+    return int(v[0]), v[1 : d + 1], v[d + 1 :].reshape(d, d)
 
 
 def mean_and_covariance(vectors: DataFrame, ddof: int = 1) -> tuple[int, np.ndarray, np.ndarray]:
@@ -182,7 +212,7 @@ class PCA:
     """Principal components; coordinates are centred; the sign makes the largest loading positive."""
 
     def __init__(self, mean: np.ndarray, components: np.ndarray, explained: np.ndarray):
-        self.mean, self.components, self.explained = mean, components, explained
+        self.mean, self.components, self.explained = np.array(mean, float), np.array(components, float), np.array(explained, float)
 
     @classmethod
     def fit(cls, vectors: DataFrame, k: int) -> PCA:
@@ -193,6 +223,10 @@ class PCA:
         comp *= np.sign(comp[np.arange(len(comp)), np.abs(comp).argmax(axis=1)])[:, None]
         return cls(mean, comp, values[order] / values.sum())
 
+    def params(self) -> dict:
+        """Plain numbers, from which ``PCA(**params)`` is the same again."""
+        return {"mean": self.mean.tolist(), "components": self.components.tolist(), "explained": self.explained.tolist()}
+
     def head(self, k: int) -> PCA:
         """The first k components; a sweep over k fits once."""
         return PCA(self.mean, self.components[:k], self.explained[:k])
@@ -218,46 +252,127 @@ def pca_2d(vectors: DataFrame, share: float = 1.0, key: str = "vec_id") -> DataF
     return got.withColumns({"x": F.col("embedding")[0], "y": F.col("embedding")[1]})
 
 
-def pool_tokens(tokens: DataFrame, key: str = "request_id", normalize: bool = False) -> DataFrame:
-    """Mean then max of token vectors, special tokens left out; optionally L2-normalised."""
-    rows = tokens.where(~F.coalesce(F.col("is_special"), F.lit(False))).select(key, F.posexplode("vec").alias("d", "x"))
-    dims = rows.groupBy(key, "d").agg(F.avg("x").alias("m"), F.max("x").alias("x"))
-    cells = dims.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("d", "m", "x"))).alias("c"))  # a row a dimension
-    out = cells.select(key, F.concat(F.transform("c", lambda c: c["m"].cast("double")), F.transform("c", lambda c: c["x"].cast("double"))).alias("embedding"))
+def _sums_by_key(rows: DataFrame, key: str, schema: str, fold: Callable[[pd.DataFrame], pd.DataFrame], merge: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """Rows folded to one a key: ``fold`` makes one row a key of a batch, ``merge`` joins the rows of one key.
+
+    Batches are folded before the shuffle and again behind it, where rows come sorted by key, so a key
+    of any size takes the room of one row.
+    """
+
+    def before(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                yield fold(pdf)
+
+    def behind(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            start = np.flatnonzero(np.append(True, pdf[key].to_numpy()[1:] != pdf[key].to_numpy()[:-1]))
+            for a, b in zip(start, np.append(start[1:], len(pdf)), strict=True):
+                some = pdf.iloc[a:b]
+                if held is not None and held[key].iloc[0] == some[key].iloc[0]:
+                    held = merge(held, some)
+                else:
+                    if held is not None:
+                        yield held
+                    held = merge(some.iloc[:1], some.iloc[1:])
+        if held is not None:
+            yield held
+
+    return rows.mapInPandas(before, schema).repartition(key).sortWithinPartitions(key).mapInPandas(behind, schema)
+
+
+def mean_layers(first: Column, last: Column) -> Column:
+    """The average of a token's vectors in two layers."""
+    return F.zip_with(first, last, lambda a, b: (a.cast("double") + b.cast("double")) / 2)
+
+
+def pool_tokens(tokens: DataFrame, key: str = "request_id", normalize: bool = False, layers: tuple[str, str] | None = None) -> DataFrame:
+    """Mean then max of token vectors, special tokens left out; optionally L2-normalised.
+
+    With ``layers`` a token's vector is the average of two columns, else the column ``vec``.
+    """
+    vec = mean_layers(*map(F.col, layers)) if layers else F.col("vec").cast("array<double>")
+    rows = tokens.where(~F.coalesce(F.col("is_special"), F.lit(False)) & vec.isNotNull()).select(key, F.lit(1).alias("n"), vec.alias("total"), vec.alias("top"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(pdf[key].to_numpy(), kind="stable")
+        ids = pdf[key].to_numpy()[order]
+        at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        total, top = (np.stack(pdf[c])[order] for c in ("total", "top"))
+        n = np.add.reduceat(pdf["n"].to_numpy()[order], at)
+        return pd.DataFrame({key: ids[at], "n": n, "total": list(np.add.reduceat(total, at)), "top": list(np.maximum.reduceat(top, at))})
+
+    def merge(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return fold(pd.concat([a, b]))
+
+    kind = tokens.select(key).dtypes[0][1]
+    out = _sums_by_key(rows, key, f"{key} {kind}, n long, total array<double>, top array<double>", fold, merge)
+    out = out.select(key, F.concat(F.transform("total", lambda x: x / F.col("n")), "top").alias("embedding"))
     if normalize:
         norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
         out = out.withColumn("embedding", F.when(norm > 0, F.transform("embedding", lambda x: x / norm)).otherwise(F.col("embedding")))
     return out
 
 
+def fde_projections(width: int, reps: int, k_sim: int, dim: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The hyperplanes and the +-1 projection of every repetition."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    return [(rng.standard_normal((width, k_sim)), rng.choice([-1.0, 1.0], (width, dim)) / math.sqrt(dim)) for _ in range(reps)]
+
+
 def multi_vector_fde(tokens: DataFrame, key: str = "request_id", reps: int = 20, k_sim: int = 5, dim: int = 16, seed: int = 42) -> DataFrame:
     """One fixed vector from token vectors: per repetition, tokens fall into 2^k_sim sign buckets of random
-    hyperplanes; a bucket holds the mean of its tokens under a random +-1 projection to ``dim``."""
+    hyperplanes; a bucket holds the mean of its tokens under a random +-1 projection to ``dim``.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Tasks add the projections of a request's tokens by bucket; what travels is one row a request and task with the
+    buckets it has.
+    """
+    slots = reps << k_sim
+
+    def rows_of(key_values: np.ndarray, owner: np.ndarray, slot: np.ndarray, n: np.ndarray, p: np.ndarray) -> pd.DataFrame:
+        """Sums by (request, slot) as one row a request."""
+        code = owner * slots + slot
+        order = np.argsort(code, kind="stable")
+        at = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
+        code, n, p = code[order][at], np.add.reduceat(n[order], at), np.add.reduceat(p[order], at)
+        first = np.flatnonzero(np.append(True, code[1:] // slots != code[:-1] // slots))
+        cut = lambda x: np.split(x, first[1:])
+        return pd.DataFrame({key: key_values[code[first] // slots], "slot": cut(code % slots), "n": cut(n), "p": [x.ravel() for x in cut(p)]})
+
+    def start(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes = None
         for pdf in frames:
-            pdf = pdf[~pdf["is_special"].fillna(False).astype(bool)]
             if not len(pdf):
                 continue
             x = np.stack(pdf["vec"]).astype(float)
-            rng = np.random.Generator(np.random.PCG64(seed))
-            for r in range(reps):
-                planes = rng.standard_normal((x.shape[1], k_sim))
-                proj = rng.choice([-1.0, 1.0], (x.shape[1], dim)) / math.sqrt(dim)
-                bucket = ((x @ planes) > 0) @ (1 << np.arange(k_sim))
-                yield pd.DataFrame({key: pdf[key].to_numpy(), "slot": (r << k_sim) + bucket, "p": list(x @ proj)})
-
-    schema = f"{key} long, slot long, p array<double>"
-    cells = tokens.select(key, "vec", "is_special").mapInPandas(run, schema)
-    cells = cells.select(key, "slot", F.posexplode("p").alias("d", "x")).groupBy(key, (F.col("slot") * dim + F.col("d")).alias("i")).agg(F.avg("x").alias("x"))
-    size = reps * (1 << k_sim) * dim
-
-    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:  # at most ``size`` cells a request
-        out = np.zeros(size)
-        out[pdf["i"].to_numpy()] = pdf["x"].to_numpy()
-        return pd.DataFrame({key: pdf[key].iloc[:1], "embedding": [out]})
-
-    return cells.groupBy(key).applyInPandas(assemble, f"{key} long, embedding array<double>")
+            planes = planes or fde_projections(x.shape[1], reps, k_sim, dim, seed)
+            ids, owner = np.unique(pdf[key].to_numpy(), return_inverse=True)
+            slot = np.concatenate([(r << k_sim) + ((x @ a) > 0) @ (1 << np.arange(k_sim)) for r, (a, _) in enumerate(planes)])
+            p = np.concatenate([x @ b for _, b in planes])
+            yield rows_of(ids, np.tile(owner, reps), slot, np.ones(len(slot), np.int64), p)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, owner = np.unique(pdf[key].to_numpy(), return_inverse=True)
+        size = [len(s) for s in pdf["slot"]]
+        slot, n, p = (np.concatenate(list(pdf[c])) for c in ("slot", "n", "p"))
+        return rows_of(ids, np.repeat(owner, size), slot, n, p.reshape(-1, dim))
+
+    kind = tokens.select(key).dtypes[0][1]
+    schema = f"{key} {kind}, slot array<long>, n array<long>, p array<double>"
+    rows = tokens.where(~F.coalesce(F.col("is_special"), F.lit(False)) & F.col("vec").isNotNull()).select(key, "vec").mapInPandas(start, schema)
+    sums = _sums_by_key(rows, key, schema, fold, lambda a, b: fold(pd.concat([a, b])))
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            full = np.zeros((len(pdf), slots, dim))
+            for i, (slot, n, p) in enumerate(zip(pdf["slot"], pdf["n"], pdf["p"], strict=True)):
+                full[i, slot] = np.reshape(p, (-1, dim)) / np.asarray(n)[:, None]
+            yield pd.DataFrame({key: pdf[key], "embedding": list(full.reshape(len(pdf), -1))})
+
+    return sums.mapInPandas(spread, f"{key} {kind}, embedding array<double>")
 
 
 def flag_features(flags: DataFrame, names: list[str], key: str = "request_id") -> DataFrame:

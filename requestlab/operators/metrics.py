@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from requestlab.functions import text as T
+from requestlab.sources import store
 
 ATTACK, VALID = "attack", "valid"
 
@@ -52,10 +53,69 @@ def classification_metrics(conf: DataFrame) -> DataFrame:
     )
 
 
+#: Rank error of the brackets of :func:`percentiles` is 1 / BRACKET of the rows.
+BRACKET = 10_000
+
+
+def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """Exact linear percentiles ``p0, p1, ...`` of a column, one row a group; nulls do not count.
+
+    Two passes and no buffer of a group's values.  The first finds, by quantile sketches, a bracket
+    of values around each wanted rank; the second counts the rows below it and, by distinct
+    value, those inside (about 6 / BRACKET of a large group), and the rank is read off those.
+    """
+    by = list(by or [])
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col(value).cast("double").alias("_x"))
+    keys = [f"_g{i}" for i in range(len(by))]
+    near = [(s - 3 / BRACKET, s + 3 / BRACKET) for s in shares]
+    sketch = F.percentile_approx("_x", [min(1.0, max(0.0, x)) for pair in near for x in pair], BRACKET)
+    head = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), sketch.alias("_q"))
+    small = F.col("_n") <= BRACKET
+    ends = [
+        F.struct(
+            F.when(small | F.lit(low <= 0), F.col("_lo")).otherwise(F.col("_q")[2 * i]).alias("lo"),
+            F.when(small | F.lit(high >= 1), F.col("_hi")).otherwise(F.col("_q")[2 * i + 1]).alias("hi"),
+        )
+        for i, (low, high) in enumerate(near)
+    ]
+    head = head.select(*keys, "_n", F.array(*ends).alias("_ends"))
+
+    def beside(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Rows of ``a`` with the one row of ``b`` that has their group."""
+        if not keys:
+            return a.crossJoin(F.broadcast(b))  # one row
+        named = b.select(*[F.col(k).alias(f"{k}_") for k in keys], *[c for c in b.columns if c not in keys])
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+        return a.join(named, same).drop(*[f"{k}_" for k in keys])
+
+    both = beside(rows, head.select(*keys, "_ends"))
+    less = [F.count_if(F.col("_x") < F.col("_ends")[i]["lo"]) for i in range(len(shares))]
+    less = both.groupBy(*keys).agg(F.array(*less).alias("_less"))
+    inside = F.array(*[F.when(F.col("_x").between(F.col("_ends")[i]["lo"], F.col("_ends")[i]["hi"]), F.lit(i)) for i in range(len(shares))])
+    held = both.select(*keys, "_x", F.explode(F.array_compact(inside)).alias("_i")).groupBy(*keys, "_i", "_x").agg(F.count("*").alias("_c"))
+    held = beside(beside(held, head.select(*keys, "_n")), less)
+    upto = F.sum("_c").over(W.partitionBy(*keys, "_i").orderBy("_x").rowsBetween(W.unboundedPreceding, 0))
+    held = held.withColumn("_upto", upto + F.get("_less", F.col("_i"))).withColumn("_at", F.get(F.lit(list(shares)), F.col("_i")) * (F.col("_n") - 1))
+    low, high = F.floor("_at"), F.ceil("_at")
+    got = held.groupBy(*keys, "_i").agg(
+        F.min(F.when(F.col("_upto") > low, F.col("_x"))).alias("_a"), F.min(F.when(F.col("_upto") > high, F.col("_x"))).alias("_b"), F.first("_at").alias("_at")
+    )
+    exact = F.when(low == high, F.col("_a")).otherwise((high - F.col("_at")) * F.col("_a") + (F.col("_at") - low) * F.col("_b"))
+    out = got.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, exact)).alias(f"p{i}") for i in range(len(shares))])
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], *[f"p{i}" for i in range(len(shares))])
+
+
+def percentile(df: DataFrame, value: str, share: float) -> float | None:
+    """One exact percentile of all rows."""
+    return percentiles(df, value, [share]).first()[0]
+
+
 def threshold_at_fpr(scores: DataFrame, max_fpr: float = 0.05, by: list[str] | None = None) -> DataFrame:
     """Linear percentile 1 - max_fpr of the valid rows' scores, and the rate it really gives."""
     valid = scores.where(F.col("label") == VALID)
-    cut = valid.groupBy(*(by or [])).agg(F.percentile("score", F.lit(1 - max_fpr)).alias("threshold"))
+    cut = percentiles(valid, "score", [1 - max_fpr], by).withColumnRenamed("p0", "threshold")
     joined = valid.join(cut, by) if by else valid.crossJoin(F.broadcast(cut))  # one row
     rate = joined.groupBy(*(by or []), "threshold").agg(F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("actual_fpr"))
     return rate
@@ -136,9 +196,16 @@ def score_stats(df: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.stddev_pop("score").alias("std"),
         F.min("score").alias("min"),
         F.max("score").alias("max"),
-        F.percentile("score", F.array(*[F.lit(p / 100) for p in pct])).alias("_p"),
     )
-    out = out.select("*", *[F.col("_p")[i].alias(f"p{p}") for i, p in enumerate(pct)]).drop("_p")
+    cuts = percentiles(df, "score", [p / 100 for p in pct], by).withColumnsRenamed({f"p{i}": f"_{p}" for i, p in enumerate(pct)})
+    if by:
+        same = F.lit(True)
+        for c in by:
+            same = same & out[c].eqNullSafe(cuts[c])
+        out = out.join(cuts, same, "left").select(*[out[c] for c in out.columns], *[f"_{p}" for p in pct])
+    else:
+        out = out.crossJoin(F.broadcast(cuts))  # one row each
+    out = out.withColumnsRenamed({f"_{p}": f"p{p}" for p in pct})
     spread = F.col("std") * F.col("std")
     return out.withColumn("variance_verdict", F.when(spread < 0.001, "very low").when(spread < 0.01, "low").otherwise("ok"))
 
@@ -163,8 +230,8 @@ def score_histogram(df: DataFrame, bins: int = 50) -> DataFrame:
 
 def contamination_thresholds(df: DataFrame, levels: tuple[float, ...]) -> DataFrame:
     """Score percentile for each contamination."""
-    got = df.agg(F.percentile("score", F.array(*[F.lit(1 - x) for x in levels])).alias("p"))
-    pairs = F.arrays_zip(F.array(*[F.lit(x) for x in levels]).alias("contamination"), F.col("p").alias("threshold"))
+    got = percentiles(df, "score", [1 - x for x in levels])
+    pairs = F.array(*[F.struct(F.lit(x).alias("contamination"), F.col(f"p{i}").alias("threshold")) for i, x in enumerate(levels)])
     return got.select(F.explode(pairs).alias("x")).select("x.contamination", "x.threshold")
 
 
@@ -207,23 +274,56 @@ def agreement_matrix(joined: DataFrame, models: list[str]) -> DataFrame:
     return got.select(F.explode(cells).alias("x")).select("x.*")
 
 
-def batch_metrics(df: DataFrame, size: int, order: str = "request_id") -> DataFrame:
-    """Per batch of ``size`` ids: rows, request length mean and population std, embedding norm mean and std."""
+def batch_metrics(df: DataFrame, size: int, order: str = "request_id", start: str | None = None, end: str | None = None) -> DataFrame:
+    """Per batch of ``size`` rows in the order of the id: rows, request length mean and population std, embedding
+    norm mean and std, and with ``start`` and ``end`` (timestamps) the batch's latency in milliseconds from its first
+    start to its last end; ``seen`` counts the rows up to and with the batch."""
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    return df.groupBy(F.floor(F.col(order) / size).alias("batch")).agg(
+    aggs = [
         F.count("*").alias("n"),
         F.avg(F.length("request")).alias("len_mean"),
         F.stddev_pop(F.length("request")).alias("len_std"),
         F.avg(norm).alias("norm_mean"),
         F.stddev_pop(norm).alias("norm_std"),
-    )
+    ]
+    if start and end:
+        aggs.append((F.unix_micros(F.max(end).cast("timestamp")) - F.unix_micros(F.min(start).cast("timestamp"))).alias("_micros"))
+    out = numbered(df, order, "_row").groupBy(F.floor((F.col("_row") - 1) / size).alias("batch")).agg(*aggs)
+    out = out.withColumn("seen", F.sum("n").over(W.orderBy("batch")))  # a row a batch
+    return out.withColumn("latency_ms", F.col("_micros") / 1000).drop("_micros") if start and end else out
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Rows numbered from 1 in the order of ``order``: ranges are sorted apart and shifted by the rows of the ranges before."""
+    part = df.repartitionByRange(F.col(order).asc_nulls_first()).withColumn("_part", F.spark_partition_id())
+    part = store.materialize(part, "numbered")
+    sizes = part.groupBy("_part").agg(F.count("*").alias("_c"))
+    before = sizes.select(F.col("_part").alias("_p"), (F.sum("_c").over(W.orderBy("_part")) - F.col("_c")).alias("_before"))  # a row a range
+    row = F.row_number().over(W.partitionBy("_part").orderBy(F.col(order).asc_nulls_first()))
+    return part.withColumn(name, row).join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_p", "_before")
+
+
+def running_windows(df: DataFrame, key: str, order: str, size: int) -> DataFrame:
+    """H4: ``seen`` (rows of the key up to this one), ``repeats`` (rows of the key) and ``batch_index`` (batches of ``size`` rows)."""
+    w = W.partitionBy(key)
+    out = numbered(df, order, "_row").withColumn("batch_index", F.floor((F.col("_row") - 1) / size))
+    out = out.withColumn("seen", F.count("*").over(w.orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    return out.withColumn("repeats", F.count("*").over(w)).drop("_row")
+
+
+def run_totals(batches: DataFrame) -> DataFrame:
+    """The run as a whole from its batches: batches, rows, mean length and, where measured, latency mean and maximum."""
+    aggs = [F.count("*").alias("batches"), F.sum("n").alias("rows"), (F.sum(F.col("n") * F.col("len_mean")) / F.sum("n")).alias("len_mean")]
+    if "latency_ms" in batches.columns:
+        aggs += [F.avg("latency_ms").alias("latency_mean_ms"), F.max("latency_ms").alias("latency_max_ms")]
+    return batches.agg(*aggs)
 
 
 def distance_summary(df: DataFrame, value: str = "distance") -> DataFrame:
     """Distances by label and the ratio of the attack mean to the valid mean."""
-    got = df.groupBy("label").agg(
-        F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")
-    )
+    got = df.groupBy("label").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    middle = percentiles(df, value, [0.5], ["label"]).select(F.col("label").alias("_label"), F.col("p0").alias("median"))
+    got = got.join(middle, F.col("label").eqNullSafe(F.col("_label")), "left").drop("_label")
     all_ = W.partitionBy()
     ratio = F.max(F.when(F.col("label") == ATTACK, F.col("mean"))).over(all_) / F.max(F.when(F.col("label") == VALID, F.col("mean"))).over(all_)
     return got.withColumn("attack_ratio", ratio)

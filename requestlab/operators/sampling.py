@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import metrics
+
 
 def hash_order(key: str, seed: int = 42) -> Column:
     """A fixed shuffle of ids: md5 of id and seed (the same on any engine)."""
@@ -19,28 +21,41 @@ def split_one_class(df: DataFrame, train_size: int, seed: int = 42, key: str = "
     return df.join(picked, key, "left_semi"), df.join(picked, key, "left_anti")
 
 
+def _first_by_hash(df: DataFrame, group: str, need: Column, seed: int, key: str) -> DataFrame:
+    """Of every group the first rows in hash order, ``need`` many (an expression over the group's size ``population``).
+
+    Rows are counted by 65,536 ranges of their hash; whole ranges are taken, and only the rows of the
+    one range that is taken in part are ranked.  Adds ``population``.
+    """
+    h = hash_order(key, seed)
+    rows = df.withColumn("_b", F.conv(F.substring(h, 1, 4), 16, 10).cast("int"))
+    w = W.partitionBy(group)
+    hist = rows.groupBy(group, "_b").agg(F.count("*").alias("_c")).withColumn("population", F.sum("_c").over(w))
+    hist = hist.withColumn("_before", F.sum("_c").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")).withColumn("_need", need)
+    cut = hist.where("_before < _need").groupBy(F.col(group).alias("_group"), "population", "_need").agg(F.max(F.struct("_b", "_before")).alias("_cut"))
+    both = rows.join(cut, F.col(group).eqNullSafe(F.col("_group")))
+    whole = both.where("_b < _cut._b")
+    edge = both.where("_b = _cut._b").withColumn("_r", F.row_number().over(w.orderBy(h, key)))
+    edge = edge.where("_r <= _need - _cut._before").drop("_r")
+    return whole.unionByName(edge).select(*df.columns, "population")
+
+
 def sample_per_label(df: DataFrame, n: int, seed: int = 42, key: str = "request_id") -> DataFrame:
     """N rows of every label and the label's size as ``population``."""
-    w = W.partitionBy("label")
-    out = df.withColumn("_r", F.row_number().over(w.orderBy(hash_order(key, seed), key))).withColumn("population", F.count("*").over(w))
-    return out.where(F.col("_r") <= n).drop("_r")
+    return _first_by_hash(df, "label", F.lit(n), seed, key)
 
 
 def sample_per_category(df: DataFrame, categories: list[str], share: float = 0.15, seed: int = 42, key: str = "request_id") -> DataFrame:
     """Of every 0/1 category max(1, floor(share * n)) rows; a row drawn twice stays once."""
     long = df.select(key, F.explode(F.array_compact(F.array(*[F.when(F.col(f"`{c}`") == 1, F.lit(c)) for c in categories]))).alias("category"))
-    w = W.partitionBy("category")
-    long = long.withColumn("_r", F.row_number().over(w.orderBy(hash_order(key, seed), key))).withColumn("_n", F.count("*").over(w))
-    picked = long.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).select(key).distinct()
+    picked = _first_by_hash(long, "category", F.greatest(F.lit(1), F.floor(F.col("population") * share)), seed, key).select(key).distinct()
     return df.join(picked, key, "left_semi")
 
 
 def balanced_sample(df: DataFrame, n: int, seed: int = 42, key: str = "request_id") -> DataFrame:
     """n/2 rows of each label, bounded by the smaller one."""
-    w = W.partitionBy("label")
-    sizes = df.groupBy("label").agg(F.count("*").alias("c")).agg(F.min("c").alias("_m"))
-    out = df.withColumn("_r", F.row_number().over(w.orderBy(hash_order(key, seed), key))).crossJoin(F.broadcast(sizes))  # one row
-    return out.where(F.col("_r") <= F.least(F.lit(n // 2), F.col("_m"))).drop("_r", "_m")
+    least = df.groupBy("label").agg(F.count("*").alias("c")).agg(F.min("c")).first()[0] or 0
+    return _first_by_hash(df, "label", F.lit(min(n // 2, least)), seed, key).drop("population")
 
 
 def hash_split(df: DataFrame, share: float = 0.9, seed: int = 42, key: str = "request_id") -> DataFrame:
@@ -50,8 +65,8 @@ def hash_split(df: DataFrame, share: float = 0.9, seed: int = 42, key: str = "re
 
 
 def every_nth(df: DataFrame, n: int, key: str = "request_id") -> DataFrame:
-    """Every n-th row in the order of the id, for observation."""
-    return df.where(F.col(key) % n == 0)
+    """Every n-th row in the order of the id (the n-th, the 2n-th, ...), for observation; ids may have gaps or be text."""
+    return metrics.numbered(df, key, "_row").where(F.col("_row") % n == 0).drop("_row")
 
 
 def head_n(df: DataFrame, n: int, key: str = "request_id") -> DataFrame:

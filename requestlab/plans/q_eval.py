@@ -215,12 +215,27 @@ def d12_error_venn(spark, sf_dir):
     return metrics.error_venn(three_models(spark, sf_dir), MODELS)
 
 
-@query(f"""WITH req AS ({REQUESTS_SQL}) SELECT CAST(floor(vec_id / 64) AS BIGINT) AS batch, count(*) AS n, round(avg(length(request)), 6) AS len_mean, round(stddev_pop(length(request)), 6) AS len_std,
-  round(avg(nrm), 4) AS norm_mean, round(stddev_pop(nrm), 4) AS norm_std FROM (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS nrm FROM embeddings) e JOIN req r ON r.request_id = e.vec_id GROUP BY 1""")
-def d13_batch_metrics(spark, sf_dir):
+BATCHES = f"""req AS ({REQUESTS_SQL}), b AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1) // 64 AS batch, length(request) AS len, nrm, ts FROM
+  (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS nrm FROM embeddings) e JOIN req r ON r.request_id = e.vec_id)"""
+
+
+def batches(spark, sf_dir):
+    """Vectors beside their requests, with an event's time for the start and the end."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("request_id"), "embedding")
-    got = metrics.batch_metrics(joins.attach_metadata(v, requests(spark, sf_dir)), 64)
-    return rounded(got).withColumns({c: F.round(c, 4) for c in ("norm_mean", "norm_std")})
+    return metrics.batch_metrics(joins.attach_metadata(v, requests(spark, sf_dir)), 64, start="ts", end="ts")
+
+
+@query(f"""WITH {BATCHES}, g AS (SELECT batch, count(*) AS n, round(avg(len), 6) AS len_mean, round(stddev_pop(len), 6) AS len_std, round(avg(nrm), 4) AS norm_mean, round(stddev_pop(nrm), 4) AS norm_std,
+  round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000, 3) AS latency_ms FROM b GROUP BY 1) SELECT *, CAST(sum(n) OVER (ORDER BY batch) AS BIGINT) AS seen FROM g""")
+def d13_batch_metrics(spark, sf_dir):
+    return rounded(batches(spark, sf_dir)).withColumns({"norm_mean": F.round("norm_mean", 4), "norm_std": F.round("norm_std", 4), "latency_ms": F.round("latency_ms", 3)})
+
+
+@query(f"""WITH {BATCHES}, g AS (SELECT batch, count(*) AS n, sum(len) AS len, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000 AS ms FROM b GROUP BY 1)
+SELECT count(*) AS batches, CAST(sum(n) AS BIGINT) AS rows, round(sum(len) / sum(n), 6) AS len_mean, round(avg(ms), 3) AS latency_mean_ms, round(max(ms), 3) AS latency_max_ms FROM g""")
+def d13_run_totals(spark, sf_dir):
+    got = rounded(metrics.run_totals(batches(spark, sf_dir)))
+    return got.withColumns({c: F.round(c, 3) for c in ("latency_mean_ms", "latency_max_ms")})
 
 
 @query(f"""WITH {VEC}, m AS (SELECT label, round(avg(score * score), 6) AS mean, round(median(score * score), 6) AS median, round(stddev_pop(score * score), 6) AS std, round(min(score * score), 6) AS min, round(max(score * score), 6) AS max, avg(score * score) AS raw FROM vec GROUP BY label)
@@ -339,7 +354,7 @@ def g5_random_split(spark, sf_dir):
     return sampling.hash_split(labelled(spark, sf_dir)).select("request_id", "part")
 
 
-@query(f"SELECT request_id, request, label FROM ({REQUESTS_SQL}) WHERE request_id % 100 = 0")
+@query(f"SELECT request_id, request, label FROM (SELECT *, row_number() OVER (ORDER BY request_id) AS r FROM ({REQUESTS_SQL})) WHERE r % 100 = 0")
 def g6_every_nth(spark, sf_dir):
     return sampling.every_nth(requests(spark, sf_dir), 100).select("request_id", "request", "label")
 
@@ -367,17 +382,11 @@ def h3_best_run(spark, sf_dir):
     return sampling.best_run(runs(spark, sf_dir), 0.05).select("run_id", "recall", "fpr")
 
 
-@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS seen, count(*) OVER (PARTITION BY user_id) AS repeats, CAST(floor(event_id / 512) AS BIGINT) AS batch_index FROM events")
+@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS seen, count(*) OVER (PARTITION BY user_id) AS repeats,
+(row_number() OVER (ORDER BY event_id) - 1) // 512 AS batch_index FROM events""")
 def h4_running_windows(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("user_id")
-    return table(spark, sf_dir, "events").select(
-        "event_id",
-        F.count("*").over(w.orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)).alias("seen"),
-        F.count("*").over(w).alias("repeats"),
-        F.floor(F.col("event_id") / 512).alias("batch_index"),
-    )
+    got = metrics.running_windows(table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", "event_id", 512)
+    return got.select("event_id", "seen", "repeats", "batch_index")
 
 
 @query(f"SELECT CAST(label = 'attack' AS INT) AS target, count(*) AS n FROM ({REQUESTS_SQL}) GROUP BY 1")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from requestlab.operators import detectors as D
-from requestlab.operators import features, metrics, normalize, sampling
+from requestlab.operators import encoders, features, sampling
+from requestlab.sources import requests as R
 from requestlab.streaming import streams
 
 from . import registry, runs
-from .q_eval import TERMS, VEC, plain, rounded, terms, three_models
-from .q_requests import FLAGS, folder, long_flags
-from .tables import REQUESTS_SQL, table, vectors
+from .q_eval import METRIC_SQL, TERMS, VEC, plain, rounded, terms
+from .q_requests import _FAMILY, FLAGS, folder, long_flags, normalized
+from .tables import REQUESTS_SQL, requests, table, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -92,7 +93,15 @@ def e6_mi_discrete(spark, sf_dir):
     return features.mi_discrete(counts, lab, "tf").select("term", F.round("mi", 5).alias("mi"))
 
 
-@query()
+def mi_sql(rows: str, bins: int = 16) -> str:
+    """Mutual information of quantile bins with the class: dim (from 0), mi."""
+    cuts = ", ".join(f"{i / bins}" for i in range(1, bins))
+    return f"""SELECT CAST(d - 1 AS INT) AS dim, greatest(sum(c / n * ln(c * n / (nb * nl))), 0) AS mi FROM (SELECT *, sum(c) OVER (PARTITION BY d) AS n, sum(c) OVER (PARTITION BY d, b) AS nb, sum(c) OVER (PARTITION BY d, label) AS nl FROM
+  (SELECT d, label, len(list_filter(cuts, lambda q: q < x)) AS b, count(*) AS c FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS d FROM ({rows}))
+   JOIN (SELECT d, quantile_cont(CAST(x AS DOUBLE), [{cuts}]) AS cuts FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM ({rows})) GROUP BY d) USING (d) GROUP BY ALL)) GROUP BY d"""
+
+
+@query(f"WITH {VEC} SELECT dim, round(mi, 6) AS mi FROM ({mi_sql('FROM vec')})")
 def e7_mi_continuous(spark, sf_dir):
     return features.mi_continuous(vectors(spark, sf_dir)).select("dim", F.round("mi", 6).alias("mi"))
 
@@ -138,6 +147,44 @@ def e13_flag_features(spark, sf_dir):
     return features.flag_features(long_flags(spark, sf_dir), ["ANGLE", "WSPAD", "QBARE"])
 
 
+def gauss(name: str, rows: str, ddof: int = 0, ridge: float = 0.0, column: str = "embedding") -> str:
+    """CTEs of a Gaussian fit over the vectors of ``rows`` (one row ``<name>_fit``: mean ``m``, precision ``p``).
+
+    The covariance is inverted by Gauss-Jordan steps, one a recursion.
+    """
+    return f"""{name}_v AS ({rows}), {name}_l AS (SELECT rid, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM (SELECT row_number() OVER () AS rid, {column} AS v FROM {name}_v)),
+{name}_m AS (SELECT d, avg(CAST(x AS DOUBLE)) AS m, count(*) AS n FROM {name}_l GROUP BY d), {name}_c AS (SELECT rid, d, x - m AS x FROM {name}_l JOIN {name}_m USING (d)),
+{name}_cov AS (SELECT a.d AS i, b.d AS j, sum(a.x * b.x) / ((SELECT max(n) FROM {name}_m) - {ddof}) + CASE WHEN a.d = b.d THEN {ridge} ELSE 0 END AS c FROM {name}_c a JOIN {name}_c b USING (rid) GROUP BY a.d, b.d),
+{name}_a AS (SELECT list(r ORDER BY i) AS a FROM (SELECT i, list_concat(list(c ORDER BY j), list(CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0 END ORDER BY j)) AS r FROM {name}_cov GROUP BY i)),
+{name}_g AS (SELECT 1 AS k, a FROM {name}_a UNION ALL SELECT k + 1, list_transform(a, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / a[k][k])
+  ELSE list_transform(list_zip(r, a[k]), lambda z: z[1] - r[k] * z[2] / a[k][k]) END) FROM {name}_g WHERE k <= len(a)),
+{name}_fit AS (SELECT (SELECT list(m ORDER BY d) FROM {name}_m) AS m, list_transform(a, lambda r: r[len(a) + 1:]) AS p FROM {name}_g WHERE k = len(a) + 1)"""
+
+
+def squared(name: str, rows: str, column: str = "embedding") -> str:
+    """Squared Mahalanobis distances of ``rows`` under a fit, as column ``d2``."""
+    diff = f"list_transform(list_zip({column}, m), lambda z: CAST(z[1] AS DOUBLE) - z[2])"
+    return f"SELECT * EXCLUDE (_d, p), list_sum(list_transform(p, lambda r, i: _d[i] * list_dot_product(r, _d))) AS d2 FROM (SELECT t.*, p, {diff} AS _d FROM ({rows}) t, {name}_fit)"
+
+
+def at_fpr(scored: str, extra: str = "") -> str:
+    """One row of metrics at the threshold that keeps 5 % of the valid rows; ``scored`` has label and score."""
+    return f"""SELECT tp, fp, tn, fn, {METRIC_SQL}, round(threshold, 6) AS threshold{extra} FROM (SELECT threshold, count(*) FILTER (score > threshold AND label = 'attack') AS tp, count(*) FILTER (score > threshold AND label = 'valid') AS fp,
+  count(*) FILTER (score <= threshold AND label = 'valid') AS tn, count(*) FILTER (score <= threshold AND label = 'attack') AS fn FROM ({scored}), (SELECT quantile_cont(score, 0.95) AS threshold FROM ({scored}) WHERE label = 'valid') GROUP BY threshold)"""
+
+
+NEAREST = f"""{VEC}, nn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbor) AS r FROM (SELECT t.vec_id AS id, t.label, n.vec_id AS neighbor,
+  sqrt(list_sum(list_transform(list_zip(t.embedding, n.embedding), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2])))) AS distance FROM vec t JOIN vec n ON n.label = 'valid')),
+nx AS (SELECT id, label, neighbor, distance, row_number() OVER (PARTITION BY id ORDER BY distance, neighbor) AS r FROM nn WHERE id <> neighbor)"""
+
+
+def lof(k: int, near: str) -> str:
+    """LOF scores of all vectors against the valid ones: vec_id, label, score; ``near``: nn keeps a row itself, nx leaves it out."""
+    return f"""SELECT id AS vec_id, label, avg(l.lrd) / (1 / (avg(greatest(distance, kd)) + 1e-10)) - 1.5 AS score FROM {near} JOIN (SELECT id AS kid, max(distance) AS kd FROM nx WHERE label = 'valid' AND r <= {k} GROUP BY 1) ON kid = neighbor
+  JOIN (SELECT id AS lid, 1 / (avg(greatest(distance, kd)) + 1e-10) AS lrd FROM nx JOIN (SELECT id AS kid, max(distance) AS kd FROM nx WHERE label = 'valid' AND r <= {k} GROUP BY 1) ON kid = neighbor WHERE label = 'valid' AND r <= {k} GROUP BY 1) l ON lid = neighbor
+  WHERE r <= {k} GROUP BY id, label"""
+
+
 # ---- F -----------------------------------------------------------------------------------
 
 
@@ -146,12 +193,15 @@ def fitted(spark, sf_dir, model, digits=4):
     return model.fit(runs.normal(v)).score(v).select("vec_id", F.round("score", digits).alias("score"))
 
 
-@query()
+NORMAL = "SELECT embedding FROM vec WHERE label = 'valid'"
+
+
+@query(f"WITH RECURSIVE {VEC}, {gauss('f', NORMAL)} SELECT vec_id, round(d2, 4) AS score FROM ({squared('f', 'FROM vec')})")
 def f1_mahalanobis(spark, sf_dir):
     return fitted(spark, sf_dir, D.Mahalanobis())
 
 
-@query()
+@query(f"WITH RECURSIVE {VEC}, {gauss('f', NORMAL, 1, 1e-6)} SELECT vec_id, round(sqrt(d2), 4) AS score FROM ({squared('f', 'FROM vec')})")
 def f2_mahalanobis_ridge(spark, sf_dir):
     return fitted(spark, sf_dir, D.RidgeMahalanobis())
 
@@ -166,7 +216,7 @@ def f4_isolation_forest(spark, sf_dir):
     return fitted(spark, sf_dir, D.IsolationForest(n_estimators=100, contamination=0.05))
 
 
-@query()
+@query(f"WITH {NEAREST} SELECT vec_id, round(score, 4) AS score FROM ({lof(20, 'nn')})")
 def f5_local_outlier_factor(spark, sf_dir):
     return fitted(spark, sf_dir, D.LocalOutlierFactor(20))
 
@@ -197,12 +247,58 @@ def a7_model_roundtrip(spark, sf_dir):
     return D.load(spark, path).score(v).agg(F.count("*").alias("rows"), F.round(F.avg("score"), 4).alias("mean"))
 
 
-@query("SELECT unnest(['csv', 'embeddings', 'jsonl']) AS name, 'reader' AS kind, (SELECT count(*) FROM embeddings) AS rows UNION ALL SELECT unnest(['gmm', 'hypersphere', 'isolation_forest', 'lof', 'mahalanobis', 'mahalanobis_ridge', 'ocsvm']), 'detector', (SELECT count(*) FROM embeddings)")
+ROUND_TRIP = {
+    "gmm": lambda: D.GaussianMixture(k=2, covariance="diag", n_init=1, max_iter=3),
+    "isolation_forest": lambda: D.IsolationForest(n_estimators=10, contamination=0.05),
+    "lof": lambda: D.LocalOutlierFactor(10),
+    "ocsvm": lambda: D.OneClassSVM(n_features=32, max_iter=2),
+    "pca": lambda: D.PcaDetector(D.Mahalanobis(), 8),
+}
+
+
+@query(f"WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT unnest({sorted(ROUND_TRIP)}) AS name, n AS rows, n AS same FROM n")
+def a7_models_roundtrip(spark, sf_dir):
+    """Every kind of model gives the scores it had after it was written and read."""
+    v, out = vectors(spark, sf_dir), []
+    for name, make in ROUND_TRIP.items():
+        path, model = folder(spark, f"a7-{name}"), make().fit(runs.normal(v))
+        model.save(spark, path)
+        before = model.score(v).select("vec_id", F.col("score").alias("a"))
+        after = D.load(spark, path).score(v).select("vec_id", F.col("score").alias("b"))
+        both = before.join(after, "vec_id").agg(F.count("*").alias("rows"), F.count_if(F.abs(F.col("a") - F.col("b")) <= 1e-9).alias("same"))
+        out.append(both.select(F.lit(name).alias("name"), "rows", "same"))
+    return runs._stack(out)
+
+
+@query(f"""WITH {TERMS}, e AS (SELECT doc_id FROM documents WHERE lang = 'en'), v AS (SELECT term, count(*) AS df FROM terms SEMI JOIN e USING (doc_id) GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 150),
+w AS (SELECT doc_id, tf * (ln((1 + (SELECT count(*) FROM e)) / (1 + df)) + 1) AS w FROM terms JOIN v USING (term)), n AS (SELECT doc_id, count(*) AS c, max(w) / sqrt(sum(w * w)) AS top FROM w GROUP BY 1)
+SELECT doc_id, 150 AS dims, coalesce(c, 0) AS nonzero, round(coalesce(top, 0), 5) AS top FROM documents LEFT JOIN n USING (doc_id)""")
+def k3_tfidf_encoder(spark, sf_dir):
+    """The registered encoder, fitted on English texts, saved, loaded and applied to all."""
+    docs = plain(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang")
+    path = folder(spark, "k3")
+    registry.ENCODERS.get("TFIDF")(max_features=150).fit(docs.where("lang = 'en'")).save(spark, path)
+    got = encoders.load(spark, path).encode(docs)
+    return got.select(
+        "doc_id", F.size("embedding").alias("dims"), F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("nonzero"), F.round(F.array_max("embedding"), 5).alias("top")
+    )
+
+
+@query(f"{FLAGS} SELECT g.request_id, count(*) FILTER (flag = 'ANGLE') AS angle, count(*) FILTER (flag = 'WSPAD') AS wspad FROM good g LEFT JOIN flg f USING (request_id) GROUP BY 1")
+def k3_flag_encoder(spark, sf_dir):
+    got = registry.ENCODERS.get("flags")(["ANGLE", "WSPAD"]).encode(normalized(spark, sf_dir).select("request_id", "all_flags"))
+    e = F.col("embedding")
+    return got.select("request_id", e[0].cast("long").alias("angle"), e[1].cast("long").alias("wspad"))
+
+
+@query(f"{CENTER}, s AS (SELECT vec_id, sum((x - m) * (x - m)) AS score FROM dims JOIN c USING (d) GROUP BY vec_id) SELECT 'hypersphere' AS detector, vec_id, round(score, 4) AS score FROM s")
 def k_registries(spark, sf_dir):
-    names = [(n, k) for k, r in (("reader", registry.READERS), ("detector", registry.MODELS)) for n in r.names()]
-    one = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("rows"))
-    cell = F.lit([n for n, _ in names]), F.lit([k for _, k in names])
-    return one.select("rows", F.explode(F.arrays_zip(cell[0].alias("name"), cell[1].alias("kind"))).alias("x")).select("x.name", "x.kind", "rows")
+    """A reader and a detector by name: embeddings are written, read, fitted and scored."""
+    path = folder(spark, "k2")
+    R.write_embeddings(vectors(spark, sf_dir), path, "none", "table")
+    read, _ = registry.READERS.get("Embeddings")(spark, path)
+    model = registry.MODELS.get("HyperSphere")().fit(runs.normal(read))
+    return model.score(read).select(F.lit(model.name).alias("detector"), "vec_id", F.round("score", 4).alias("score"))
 
 
 # ---- S -----------------------------------------------------------------------------------
@@ -232,6 +328,17 @@ def s1_stream_normalize(spark, sf_dir):
     return written(out, spark, "s1").where("error IS NULL").groupBy("label").agg(F.count("*").alias("n"), F.sum("n").alias("n_flags"))
 
 
+@query("""SELECT coalesce(label, 'rejected') AS kind, count(*) AS n FROM (SELECT CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_type = 'error' THEN 'attack' ELSE 'valid' END AS label FROM events) GROUP BY 1""")
+def s1_stream_requests(spark, sf_dir):
+    """JSON lines as a stream, good rows and rejected lines apart; every 50th line is cut short."""
+    path = folder(spark, "s1-lines")
+    line = F.when(F.col("request_id") % 50 == 0, F.expr("substring(line, 1, length(line) - 3)")).otherwise(F.col("line"))
+    requests(spark, sf_dir).withColumn("line", F.to_json(F.struct(F.col("request_id").cast("string").alias("id"), "request", "label"))).select(line.alias("value")).write.text(path)
+    good, bad = streams.stream_requests(spark, path)
+    kinds = written(good.select(F.col("label").alias("kind")), spark, "s1-good").unionByName(written(bad.select(F.lit("rejected").alias("kind")), spark, "s1-bad"))
+    return kinds.groupBy("kind").agg(F.count("*").alias("n"))
+
+
 @query(f"{CENTER}, s AS (SELECT vec_id, sum((x - m) * (x - m)) AS score FROM dims JOIN c USING (d) GROUP BY vec_id) SELECT score > 1.0 AS prediction, count(*) AS n FROM s GROUP BY 1")
 def s2_stream_score(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
@@ -253,9 +360,9 @@ def s3_stream_batch_metrics(spark, sf_dir):
     return got.agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("len_mean")) / F.sum("n"), 6).alias("len_mean"))
 
 
-@query()
+@query(f"{FLAGS} SELECT time_bucket(INTERVAL 10 MINUTES, CAST(ts AS TIMESTAMP)) AS window_start, {_FAMILY} AS family, count(*) AS n_flags FROM flg JOIN good USING (request_id) GROUP BY ALL")
 def s4_flag_rate_monitor(spark, sf_dir):
-    stream = normalize.normalize_requests(event_stream(spark, sf_dir))
+    stream = streams.stream_normalize(event_stream(spark, sf_dir)).where("error IS NULL")
     return streams.run_complete(streams.flag_rate_monitor(stream), folder(spark, "s4"))
 
 
@@ -265,7 +372,12 @@ def s4_flag_rate_monitor(spark, sf_dir):
 @query()
 def r1_tfidf_pca_detector_run(spark, sf_dir):
     d = plain(table(spark, sf_dir, "documents")).select("doc_id", "text", F.when(F.col("lang") == "en", "valid").otherwise("attack").alias("label"))
-    return rounded(runs.pca_detector_run(runs.text_vectors(d, 150).cache(), 20))
+    return rounded(runs.pca_detector_run(runs.text_vectors(d, 150), 20))
+
+
+@query()
+def r1_normalization_effect(spark, sf_dir):
+    return rounded(runs.normalization_effect(streams.stream_normalize(requests(spark, sf_dir)), 60, 10))
 
 
 @query()
@@ -273,17 +385,39 @@ def r2_pca_sweep(spark, sf_dir):
     return rounded(runs.pca_sweep(vectors(spark, sf_dir), [4, 16, 32]))
 
 
+@query()
+def r2_pca_lof_sweep(spark, sf_dir):
+    return rounded(runs.pca_sweep(vectors(spark, sf_dir), [4, 16], lambda: D.LocalOutlierFactor(20)))
+
+
 @query()
 def r3_iforest_grid(spark, sf_dir):
     return rounded(runs.grid_run(vectors(spark, sf_dir), D.IsolationForest, {"n_estimators": [20, 50], "max_samples": [64, 128]}))
 
 
+def tuned(spark, sf_dir, cls, grid, **fixed):
+    """Size of the frontier, and the best configuration with the metrics of its new fit."""
+    got = runs.tuned_run(vectors(spark, sf_dir), cls, grid, **fixed)
+    n = got["frontier"].agg(F.count("*").alias("frontier"))
+    return rounded(got["refit"].crossJoin(F.broadcast(n)))  # one row each
+
+
+@query()
+def r3_iforest_tuned(spark, sf_dir):
+    return tuned(spark, sf_dir, D.IsolationForest, {"n_estimators": [20, 50], "max_samples": [64, 128]})
+
+
 @query()
 def r4_ocsvm_grid(spark, sf_dir):
-    return rounded(runs.grid_run(vectors(spark, sf_dir), D.OneClassSVM, {"nu": [0.05, 0.2]}, n_features=64, max_iter=5))
+    return rounded(runs.grid_run(vectors(spark, sf_dir), D.OneClassSVM, {"nu": [0.05, 0.2], "gamma": [0.5, 2.0]}, n_features=64, max_iter=5))
 
 
 @query()
+def r4_ocsvm_tuned(spark, sf_dir):
+    return tuned(spark, sf_dir, D.OneClassSVM, {"nu": [0.05], "gamma": [0.5, 2.0]}, n_features=64, max_iter=5)
+
+
+@query(f"WITH {NEAREST} " + " UNION ALL ".join(at_fpr(lof(k, "nx"), f", {k} AS k") for k in (5, 10, 20)))
 def r5_lof_sweep(spark, sf_dir):
     return rounded(runs.lof_sweep(vectors(spark, sf_dir), [5, 10, 20]))
 
@@ -293,23 +427,61 @@ def r6_gmm_sweep(spark, sf_dir):
     return rounded(runs.grid_run(vectors(spark, sf_dir), D.GaussianMixture, {"k": [1, 2, 3]}, covariance="diag", n_init=1, max_iter=10))
 
 
-@query()
+def mi_sweep_sql(ks: tuple[int, ...]) -> str:
+    parts, out = [], []
+    for k in ks:
+        dims = f"list_transform((SELECT list(dim ORDER BY mi DESC, dim)[:{k}] FROM mi), lambda i: embedding[i + 1])"
+        parts += [f"k{k}_h AS (SELECT * REPLACE ({dims} AS embedding) FROM vec)", gauss(f"k{k}", f"SELECT embedding FROM k{k}_h WHERE label = 'valid'")]
+        parts.append(f"k{k}_s AS (SELECT * EXCLUDE (score), d2 AS score FROM ({squared(f'k{k}', f'FROM k{k}_h')}))")
+        out.append(at_fpr(f"FROM k{k}_s", f", {k} AS k"))
+    return f"WITH RECURSIVE {VEC}, mi AS ({mi_sql('FROM vec')}), {', '.join(parts)} {' UNION ALL '.join(out)}"
+
+
+@query(mi_sweep_sql((8, 32)))
 def r7_mi_k_sweep(spark, sf_dir):
     return rounded(runs.mi_sweep(vectors(spark, sf_dir), [8, 32]))
 
 
 @query()
+def r7_token_mi_sweep(spark, sf_dir):
+    d = plain(table(spark, sf_dir, "documents")).select("doc_id", "text", F.when(F.col("lang") == "en", "valid").otherwise("attack").alias("label"))
+    return rounded(runs.token_mi_sweep(d, [8, 24], lambda: D.OneClassSVM(n_features=64, max_iter=5)))
+
+
+def cross_sql(dims: str | None = None) -> str:
+    """Fits on the valid rows of one half of the ids, metrics on the other, both ways; ``dims`` picks columns by the fitted half."""
+    parts, out = [], []
+    for name, fit, test in (("a_to_b", 0, 1), ("b_to_a", 1, 0)):
+        half = f"SELECT * REPLACE ({dims.format(half=fit) if dims else 'embedding'} AS embedding) FROM vec"
+        parts += [f"{name}_h AS ({half})", gauss(name, f"SELECT embedding FROM {name}_h WHERE label = 'valid' AND vec_id % 2 = {fit}")]
+        parts.append(f"{name}_s AS (SELECT * EXCLUDE (score), d2 AS score FROM ({squared(name, f'SELECT * FROM {name}_h WHERE vec_id % 2 = {test}')}))")
+        out.append(at_fpr(f"FROM {name}_s", f", '{name}' AS direction"))
+    return f"WITH RECURSIVE {VEC}, {', '.join(parts)} {' UNION ALL '.join(out)}"
+
+
+@query(cross_sql())
 def r8_cross_dataset_run(spark, sf_dir):
     v = vectors(spark, sf_dir)
     return rounded(runs.cross_dataset_run(v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1"), D.Mahalanobis))
 
 
+BEST = "list_transform((SELECT list(dim ORDER BY mi DESC, dim)[:12] FROM (" + mi_sql("FROM vec WHERE vec_id % 2 = {half}") + ")), lambda i: embedding[i + 1])"
+
+
+@query(cross_sql(BEST))
+def r8_cross_dataset_selected(spark, sf_dir):
+    """The best dimensions of one half carried to the other."""
+    v = vectors(spark, sf_dir)
+    return rounded(runs.cross_dataset_run(v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1"), D.Mahalanobis, k=12))
+
+
 @query(f"""WITH {VEC}, j AS (SELECT label, embedding[1] > 0 AS m0, embedding[2] > 0 AS m1, embedding[3] > 0 AS m2 FROM vec)
 SELECT round(100 * avg(CAST(m0 = m1 AS INT)), 4) AS agree01, count(*) FILTER (label = 'attack' AND m0 AND m1 AND m2) AS caught_by_all, count(*) FILTER (label = 'attack' AND NOT m0 AND NOT m1 AND NOT m2) AS missed_by_all FROM j""")
 def r9_compare_models(spark, sf_dir):
-    joined = three_models(spark, sf_dir)
-    a = metrics.agreement_matrix(joined, ["m0", "m1", "m2"]).where("model_a = 'm0' AND model_b = 'm1'").select(F.round("agreement", 4).alias("agree01"))
-    o = metrics.error_overlap(joined, ["m0", "m1", "m2"])
+    v = vectors(spark, sf_dir).withColumnRenamed("vec_id", "request_id")
+    got = runs.compare_models({f"m{i}": v.select("request_id", "label", (F.col("embedding")[i] > 0).alias("prediction")) for i in range(3)})
+    a = got["agreement"].where("model_a = 'm0' AND model_b = 'm1'").select(F.round("agreement", 4).alias("agree01"))
+    o = got["overlap"]
     n = o.agg(
         F.coalesce(F.sum(F.when((F.col("kind") == "tp") & (F.col("n_models") == 3), F.col("n"))), F.lit(0)).alias("caught_by_all"),
         F.coalesce(F.sum(F.when((F.col("kind") == "fn") & (F.col("n_models") == 3), F.col("n"))), F.lit(0)).alias("missed_by_all"),
@@ -317,7 +489,10 @@ def r9_compare_models(spark, sf_dir):
     return a.crossJoin(F.broadcast(n))  # one row each
 
 
-@query()
+@query(f"""WITH RECURSIVE {VEC}, tr AS (SELECT vec_id, embedding FROM vec WHERE label = 'valid' ORDER BY md5(concat(vec_id, ':42')), vec_id LIMIT 300), {gauss("f", "FROM tr", 0, 0.0)},
+s AS (SELECT * EXCLUDE (score), d2 AS score, vec_id IN (SELECT vec_id FROM tr) AS fitted FROM ({squared("f", "FROM vec")})), t AS (SELECT quantile_cont(score, 0.95) AS threshold FROM s WHERE fitted)
+SELECT tp, fp, tn, fn, {METRIC_SQL}, round(threshold, 6) AS threshold FROM (SELECT threshold, count(*) FILTER (score > threshold AND label = 'attack') AS tp, count(*) FILTER (score > threshold AND label = 'valid') AS fp,
+  count(*) FILTER (score <= threshold AND label = 'valid') AS tn, count(*) FILTER (score <= threshold AND label = 'attack') AS fn FROM s, t WHERE NOT fitted GROUP BY threshold)""")
 def r10_train_test_report(spark, sf_dir):
     return rounded(runs.train_test_report(vectors(spark, sf_dir), D.Mahalanobis(), 300)["metrics"])
 

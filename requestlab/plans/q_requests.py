@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from requestlab.functions import text as T
 from requestlab.operators import metrics, normalize, query_v2
 from requestlab.sources import requests as R
+from requestlab.sources import store
 
 from .tables import REQUESTS_SQL, requests, table
 
@@ -62,9 +60,8 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a sink: in the cluster's shared folder, or a temporary one where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="requestlab-")
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder for a sink in the cluster's shared folder."""
+    return store.fresh(spark, name)
 
 
 def joined(c):

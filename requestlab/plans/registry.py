@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from requestlab.operators.detectors import DETECTORS
+from requestlab.operators.encoders import ENCODERS as _ENCODERS
 from requestlab.sources import requests
 
 
@@ -37,3 +38,5 @@ READERS.register("csv", requests.read_request_log)
 READERS.register("embeddings", requests.read_embeddings)
 for _name, _cls in DETECTORS.items():
     MODELS.register(_name, _cls)
+for _name, _cls in _ENCODERS.items():
+    ENCODERS.register(_name, _cls)

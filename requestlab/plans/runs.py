@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from requestlab.operators import detectors, features, joins, metrics, sampling
+from requestlab.operators import detectors, encoders, features, joins, metrics, sampling
+from requestlab.sources import store
 
 METRICS = ("precision", "recall", "f1", "accuracy", "fpr", "specificity")
 
@@ -28,17 +29,8 @@ def normal(df: DataFrame) -> DataFrame:
 
 def text_vectors(docs: DataFrame, max_features: int, key: str = "doc_id", pattern: str = "word", n: int = 1) -> DataFrame:
     """Dense TF-IDF vectors ``key, label, embedding`` on the most frequent terms (fitted on valid rows)."""
-    counts = features.term_counts(docs, key, features.tokenize(F.col("text"), pattern, n))
-    train = counts.join(docs.where("label = 'valid'").select(key), key, "left_semi")
-    n_docs = docs.where("label = 'valid'").count()
-    vocab = features.build_vocabulary(train, n_docs, max_features=max_features, key=key).cache()
-    size = vocab.count()
-    w = features.tfidf(counts, vocab, n_docs, key)
-    filled = w.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("m"))  # at most ``size`` cells
-    dense = F.transform(F.sequence(F.lit(0), F.lit(max(size - 1, 0))), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    out = docs.select(key, "label").join(filled, key, "left")
-    zero = F.array_repeat(F.lit(0.0), size)
-    return out.select(key, "label", F.coalesce(dense, zero).alias("embedding"))
+    model = encoders.TfidfEncoder(key, max_features, pattern, n).fit(normal(docs))
+    return model.encode(docs).select(key, "label", "embedding")
 
 
 def pca_detector_run(vectors: DataFrame, k: int, detector=None, **columns) -> DataFrame:
@@ -47,20 +39,32 @@ def pca_detector_run(vectors: DataFrame, k: int, detector=None, **columns) -> Da
     return evaluate(model.score(vectors), k=k, **columns)
 
 
+def normalization_effect(normalized: DataFrame, max_features: int, k: int, key: str = "request_id") -> DataFrame:
+    """R1 twice: on the raw text and on the canonical one of the same requests (raw where normalisation failed)."""
+    rows = store.materialize(normalized.select(key, "label", "request", F.coalesce("canonical", "request").alias("canonical")), "texts")
+    out = []
+    for name in ("request", "canonical"):
+        docs = rows.select(key, "label", F.col(name).alias("text"))
+        vectors = store.materialize(text_vectors(docs, max_features, key, "space"), "vectors")
+        out.append(pca_detector_run(vectors, k, input="raw" if name == "request" else "canonical"))
+    return _stack(out)
+
+
 def pca_sweep(vectors: DataFrame, dims: list[int], detector=detectors.Mahalanobis) -> DataFrame:
     """R2: one PCA fit at the largest dimension, its head for every other."""
     pca = features.PCA.fit(normal(vectors), max(dims))
     rows = []
     for k in dims:
         coords = pca.head(k).transform(vectors)
-        rows.append(evaluate(detector().fit(normal(coords)).score(coords), k=k, explained=float(pca.explained[:k].sum())))
+        model = detector()
+        rows.append(evaluate(model.fit(normal(coords)).score(coords), k=k, detector=model.name, explained=float(pca.explained[:k].sum())))
     return _stack(rows)
 
 
 def grid_run(vectors: DataFrame, cls, grid: dict[str, list], **fixed) -> DataFrame:
     """One row a combination of options; feed to ``pareto_frontier`` and ``best_run``."""
     spark = vectors.sparkSession
-    vectors = vectors.cache()
+    vectors = store.materialize(vectors, "vectors")
     rows = []
     for i, options in enumerate(r.asDict() for r in joins.param_grid(spark, **grid).collect()):
         model = cls(**options, **fixed).fit(normal(vectors))
@@ -69,39 +73,68 @@ def grid_run(vectors: DataFrame, cls, grid: dict[str, list], **fixed) -> DataFra
     return _stack(rows)
 
 
+def tuned_run(vectors: DataFrame, cls, grid: dict[str, list], max_fpr: float = 0.05, **fixed) -> dict[str, DataFrame]:
+    """R3/R4 to the end: the grid, its Pareto frontier, the best run, and that configuration fitted anew and evaluated."""
+    rows = store.materialize(grid_run(vectors, cls, grid, **fixed), "grid")
+    best = sampling.best_run(rows, max_fpr)
+    options = {k: best.first()[k] for k in grid}
+    model = cls(**options, **fixed).fit(normal(vectors))
+    again = evaluate(model.score(vectors), max_fpr, **options)
+    return {"grid": rows, "frontier": joins.pareto_frontier(rows, max_fpr), "best": best, "refit": again}
+
+
 def lof_sweep(vectors: DataFrame, ks: list[int], key: str = "vec_id") -> DataFrame:
     """Neighbours are joined once at the largest k; smaller k use prefixes of the lists."""
     from requestlab.operators.detectors import LocalOutlierFactor as Lof
 
     train = normal(vectors).select(F.col(key).alias("vec_id"), "embedding")
-    inner = joins.nearest_neighbors(train, train, max(ks), skip_self=True).cache()
-    outer = joins.nearest_neighbors(vectors.select(F.col(key).alias("vec_id"), "embedding"), train, max(ks), skip_self=True).cache()
+    inner = store.materialize(joins.nearest_neighbors(train, train, max(ks), skip_self=True), "inner")
+    outer = joins.nearest_neighbors(vectors.select(F.col(key).alias("vec_id"), "embedding"), train, max(ks), skip_self=True)
+    outer = store.materialize(outer, "outer")
     rows = []
     for k in ks:
-        model = Lof(k)
-        near = inner.where(F.col("rank") <= k)
-        kdist = near.groupBy("id").agg(F.max("distance").alias("k_distance"))
-        lrd = Lof._density(near, kdist).select(F.col("id").alias("d_id"), "lrd")
-        both = train.join(kdist, train["vec_id"] == kdist["id"]).join(lrd, F.col("vec_id") == F.col("d_id"))
-        model.model = both.select("vec_id", "embedding", "k_distance", "lrd")
+        model = Lof(k).fit(train, near=inner)
         rows.append(evaluate(model.score(vectors, key, max_k=outer), k=k))
     return _stack(rows)
 
 
 def mi_sweep(vectors: DataFrame, ks: list[int], bins: int | None = 16) -> DataFrame:
     """Dimensions ranked by mutual information once, a detector on the best k."""
-    ranked = features.mi_continuous(vectors, bins=bins).orderBy(F.desc("mi"), "dim").limit(max(ks)).collect()  # a row a dimension
+    ranked = best_dims(vectors, max(ks), bins)
     rows = []
     for k in ks:
-        cut = features.select_dims(vectors, [r["dim"] for r in ranked[:k]])
+        cut = features.select_dims(vectors, ranked[:k])
         rows.append(evaluate(detectors.Mahalanobis().fit(normal(cut)).score(cut), k=k))
     return _stack(rows)
 
 
-def cross_dataset_run(a: DataFrame, b: DataFrame, make) -> DataFrame:
-    """Fitted on one set, threshold and metrics on the other, both directions."""
+def token_mi_sweep(docs: DataFrame, ks: list[int], make, key: str = "doc_id") -> DataFrame:
+    """R7, tokens: terms ranked by mutual information with the class, a detector on the counts of the best k."""
+    counts = store.materialize(features.term_counts(docs, key, features.tokenize(F.col("text"))), "terms")
+    ranked = sampling.top_k(features.mi_discrete(counts, docs.select(key, "label"), "tf", key), "mi", max(ks), "term").collect()  # at most max(ks) rows
+    rows = []
+    for k in ks:
+        terms = [r["term"] for r in ranked[:k]]
+        own = counts.where(F.col("term").isin(terms)).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("m"))  # at most k cells
+        dense = F.array(*[F.coalesce(F.try_element_at("m", F.lit(t)), F.lit(0)).cast("double") for t in terms])
+        vectors = store.materialize(docs.select(key, "label").join(own, key, "left").select(key, "label", dense.alias("embedding")), "vectors")
+        rows.append(evaluate(make().fit(normal(vectors)).score(vectors), k=k))
+    return _stack(rows)
+
+
+def best_dims(vectors: DataFrame, k: int, bins: int | None = 16) -> list[int]:
+    """The k dimensions with the most information on the class."""
+    return [r["dim"] for r in features.mi_continuous(vectors, bins=bins).orderBy(F.desc("mi"), "dim").limit(k).collect()]  # a row a dimension
+
+
+def cross_dataset_run(a: DataFrame, b: DataFrame, make, k: int | None = None) -> DataFrame:
+    """Fitted on one set, threshold and metrics on the other, both directions; with ``k`` on the best
+    dimensions of the fitted set, which the other one takes over."""
     rows = []
     for name, train, test in (("a_to_b", a, b), ("b_to_a", b, a)):
+        if k:
+            dims = best_dims(train, k)
+            train, test = features.select_dims(train, dims), features.select_dims(test, dims)
         rows.append(evaluate(make().fit(normal(train)).score(test), direction=name))
     return _stack(rows)
 
@@ -109,7 +142,7 @@ def cross_dataset_run(a: DataFrame, b: DataFrame, make) -> DataFrame:
 def compare_models(models: dict[str, DataFrame], key: str = "request_id") -> dict[str, DataFrame]:
     """Agreement, error overlap and regions of several models' predictions."""
     names = list(models)
-    joined = joins.join_predictions(models, key).cache()
+    joined = store.materialize(joins.join_predictions(models, key), "predictions")
     return {
         "agreement": metrics.agreement_matrix(joined, names),
         "overlap": metrics.error_overlap(joined, names),

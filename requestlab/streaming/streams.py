@@ -27,11 +27,19 @@ def stream_score(vectors: DataFrame, detector, threshold: float | None = None) -
 
 
 def stream_batch_metrics(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """S3: D13 for each micro-batch, handed to ``sink(metrics, batch_id)``; the counts also as observed metrics."""
+    """S3: D13 for each micro-batch, handed to ``sink(metrics, batch_id)``; the counts also as observed metrics.
+
+    Embedding norms are summed up where the stream has ``embedding``; totals of the run come from
+    ``metrics.run_totals`` over what the sink kept.
+    """
     watched = stream.observe("batch", F.count("*").alias("rows"))
+    aggs = [F.count("*").alias("n"), F.avg(F.length("request")).alias("len_mean"), F.stddev_pop(F.length("request")).alias("len_std")]
+    if "embedding" in stream.columns:
+        norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+        aggs += [F.avg(norm).alias("norm_mean"), F.stddev_pop(norm).alias("norm_std")]
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        sink(batch.agg(F.count("*").alias("n"), F.avg(F.length("request")).alias("len_mean"), F.stddev_pop(F.length("request")).alias("len_std")), batch_id)
+        sink(batch.agg(*aggs), batch_id)
 
     return watched.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
