@@ -41,6 +41,12 @@ def fmix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of every run, one run after the other."""
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+
+
 def word_hashes(data: np.ndarray) -> np.ndarray:
     """Hashes of the words of one text given as UTF-8 bytes, in order."""
     if not len(data):

@@ -17,6 +17,8 @@ from .tokens import encoder, prove_whole_tokens
 #: Bits between two entries of the rank directory.
 BLOCK = 512
 MAGIC = b"RLWM0001"
+#: Ids in a shard: little enough for a level to stay in the processor's cache.
+SHARD = 1 << 20
 
 
 class WaveletMatrix:
@@ -35,15 +37,15 @@ class WaveletMatrix:
         cur, zeros, planes, ranks = values.astype(np.uint16, copy=False), [], [], []
         for level in range(levels):
             bits = (cur & np.uint16(1 << (levels - 1 - level))) != 0
+            low, high = np.compress(~bits, cur), np.compress(bits, cur)
             plane = np.packbits(bits, bitorder="little")
             padded = np.zeros(-(-len(bits) // BLOCK) * BLOCK // 8, np.uint8)
             padded[: len(plane)] = plane
             ones = np.bitwise_count(padded.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
             ranks.append(np.concatenate([np.zeros(1, np.uint32), np.cumsum(ones, dtype=np.uint32)]))
             planes.append(padded)
-            low = cur[~bits]
             zeros.append(len(low))
-            cur = np.concatenate([low, cur[bits]])
+            cur = np.concatenate([low, high])
         return cls(len(values), zeros, planes, ranks)
 
     def to_bytes(self) -> bytes:
@@ -135,7 +137,7 @@ class WaveletMatrix:
         return cur
 
 
-def write_shards(docs: DataFrame, path: str, end_id: int = 1, shard_ids: int = 4_000_000) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, end_id: int = 1, shard_ids: int = SHARD) -> DataFrame:
     """Encode texts, in ascending doc_id order, into wavelet-matrix files; returns the table of files.
 
     Texts are range-partitioned and sorted by doc_id (nulls first, ties by text); a partition is
@@ -149,22 +151,21 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, shard_ids: int = 4
         from pyspark import TaskContext
 
         enc = encoder(path, proven.value, False)
-        end = np.array([end_id], "<u2").tobytes()
         at, seq = TaskContext.get().partitionId(), 0
-        ids: list[int | None] = []
+        keys: list[int | None] = []
         lengths: list[int] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         held = inside = 0
 
         def shard() -> pa.RecordBatch:
-            values = np.frombuffer(b"".join(parts), "<u2")
+            values = np.concatenate(parts)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([at], pa.int32()),
                     pa.array([seq], pa.int32()),
                     pa.array([inside], pa.int64()),
                     pa.array([len(values)], pa.int64()),
-                    pa.array([ids], pa.list_(pa.int64())),
+                    pa.array([keys], pa.list_(pa.int64())),
                     pa.array([lengths], pa.list_(pa.int64())),
                     pa.array([WaveletMatrix.build(values).to_bytes()], pa.binary()),
                 ],
@@ -172,18 +173,22 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, shard_ids: int = 4
             )
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i, key in enumerate(keys):
-                got = enc.encode(texts[i].as_py() or "") + end
-                ids.append(key)
-                lengths.append(len(got) // 2)
-                parts.append(got)
-                held += len(got) // 2
-                if held >= shard_ids:
-                    yield shard()
-                    seq, inside, held = seq + 1, inside + held, 0
-                    ids, lengths, parts = [], [], []
-        if ids:
+            names, done = batch.column(0).to_pylist(), True
+            for ids, rows, counts, closed in enc.encode(batch.column(1), end_id):
+                used = upto = 0
+                for row, count, last in zip(rows.tolist(), counts.tolist(), closed.tolist(), strict=True):
+                    if done:
+                        keys.append(names[row])
+                        lengths.append(0)
+                    lengths[-1] += count
+                    upto, held, done = upto + count, held + count, last
+                    if held >= shard_ids and done:
+                        parts.append(ids[used:upto])
+                        yield shard()
+                        seq, inside, held, used = seq + 1, inside + held, 0, upto
+                        keys, lengths, parts = [], [], []
+                parts.append(ids[used:])
+        if keys:
             yield shard()
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
