@@ -90,8 +90,26 @@ def _shingles(table_name: str, key: str) -> str:
       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM (SELECT {key}, {_WORDS} AS w FROM {table_name} WHERE text IS NOT NULL))"""
 
 
+def _spans_sql() -> str:
+    """Spans by cumulative lengths of the gaps between matches and of the matches."""
+
+    def one(i: int, r: secrets.Rule) -> str:
+        p = r.pattern.replace("'", "''")
+        value = f"regexp_extract(hit, '{p}', {r.group})" if r.group else "hit"
+        return f"""SELECT doc_id, {i} AS ord, '{r.kind}' AS kind, at - length(hit) AS a, at AS b FROM (SELECT doc_id, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY k) AS at
+  FROM (SELECT doc_id, unnest(hits) AS hit, unnest(gaps[:len(hits)]) AS gap, generate_subscripts(hits, 1) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS gaps FROM documents WHERE text IS NOT NULL))) WHERE length({value}) >= {r.min_length}"""
+
+    every = " UNION ALL ".join(one(i, r) for i, r in enumerate(secrets.RULES))
+    joined = "coalesce(string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, ord){}, '')"
+    base = f"FILTER (WHERE ord < {len(secrets.BASE)})"
+    counts = ", ".join(f"count(*) FILTER (WHERE ord = {i}) AS n_{r.kind}" for i, r in enumerate(secrets.BASE))
+    return f"""WITH s AS ({every}) SELECT d.doc_id, {counts}, sha256({joined.format(" " + base)}) AS base_sha256, {joined.format("")} AS spans, count(*) FILTER (WHERE ord >= {len(secrets.BASE)}) AS n_more
+FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
 #: SQL twins; the others (learned, hashed or library-bound) are tested against brute force.
 ORACLES: dict[str, str] = {
+    "op4_secret_scan": _spans_sql(),
     "op3_exact_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) WHERE rank <= 5""",

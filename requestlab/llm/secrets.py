@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
+from re import _constants as sre
+from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,89 +17,261 @@ from .tables import materialize
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` is matched leftmost and non-overlapping; a match stays if ``keep`` allows it.
+    """``pattern`` is matched leftmost and non-overlapping; a match stays if its ``group`` has ``min_length`` characters.
 
-    ``factors`` is an AND of ORs of literal strings: every match contains, for each entry,
-    at least one of its strings (compared in lower case when ``fold``).  Strings are what the
-    pattern requires; the trigram query is derived from them.  Without factors of three or
-    more letters a rule has no trigram query and scans every text.
+    The pattern is the same to Java and to Python.  Its trigram query is derived from it by
+    :func:`trigram_query`.
     """
 
     kind: str
     pattern: str
-    group: int
-    min_length: int
-    factors: tuple[tuple[str, ...], ...] = ()
-    fold: bool = False
+    group: int = 0
+    min_length: int = 0
 
 
-# The three rules of the scan.
-RULES = (
-    Rule(
-        "assign",
-        r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        2,
-        8,
-        (("password", "passwd", "secret", "token", "api_key", "apikey"),),
-        True,
-    ),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 16, (("AKIA",),)),
+# The three base rules of the scan, then published formats of credentials.
+BASE = (
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     # runs of 32 or more are the long ones among all maximal runs, so asking for them directly drops the same matches
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
 )
+RULES = (
+    *BASE,
+    Rule("github", r"gh[oprsu]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+)
 
+# ---- trigram queries from patterns ---------------------------------------------------------
 
-def trigrams(word: str) -> tuple[str, ...]:
-    return tuple(dict.fromkeys(word[i : i + 3] for i in range(len(word) - 2)))
+#: A query is an AND of factors; a factor is an OR of sets of trigrams, each set an AND.  No factor: always true.
+Factor = frozenset[frozenset[str]]
+Query = tuple[Factor, ...]
+#: Strings that a part of a pattern is followed through; more are cut back, which weakens the query and keeps it true.
+MOST = 32
 
 
-def trigram_query(rule: Rule) -> tuple[tuple[tuple[str, ...], ...], ...]:
-    """Boolean query of a rule: AND over factors of OR over strings of AND over trigrams.
+@dataclass(frozen=True)
+class Part:
+    """What is known of the strings that a part of a pattern matches.
 
-    A factor with a string shorter than three letters proves nothing and is left out.
+    All of them if ``exact``; else some string of ``prefix`` begins and one of ``suffix`` ends each
+    of them, and ``query`` holds for each.
     """
-    return tuple(
-        tuple(trigrams(s) for s in factor) for factor in rule.factors if all(len(s) >= 3 for s in factor)
-    )
 
+    exact: frozenset[str] | None
+    prefix: frozenset[str] = frozenset([""])
+    suffix: frozenset[str] = frozenset([""])
+    query: Query = ()
+
+
+EMPTY, ANY = Part(frozenset([""])), Part(None)
+
+
+def trigrams(word: str) -> frozenset[str]:
+    return frozenset(word[i : i + 3] for i in range(len(word) - 2))
+
+
+def _least(sets: Iterable[frozenset[str]]) -> Factor:
+    """An OR without alternatives that another one follows from."""
+    kept: list[frozenset[str]] = []
+    for s in sorted(set(sets), key=len):
+        if not any(k <= s for k in kept):
+            kept.append(s)
+    return frozenset(kept)
+
+
+def _of_strings(strings: Iterable[str]) -> Query:
+    """True of every text that holds one of the strings."""
+    factor = _least(map(trigrams, strings))
+    return () if frozenset() in factor else (factor,)
+
+
+def _either(a: Query, b: Query) -> Query:
+    out = dict.fromkeys(_least(x | y) for x in a for y in b)
+    return tuple(f for f in out if len(f) <= MOST)
+
+
+def _both(*queries: Query) -> Query:
+    return tuple(dict.fromkeys(f for q in queries for f in q))
+
+
+def _cut(strings: Iterable[str], ends: bool) -> frozenset[str]:
+    """At most MOST beginnings (or ends) of the strings."""
+    got = frozenset(strings)
+    size = max(map(len, got), default=0)
+    while len(got) > MOST:
+        size -= 1
+        got = frozenset(s[len(s) - size if len(s) > size else 0 :] if ends else s[:size] for s in got)
+    return got
+
+
+def _open(p: Part) -> Part:
+    """The same without ``exact``."""
+    return p if p.exact is None else Part(None, _cut(p.exact, False), _cut(p.exact, True), _of_strings(p.exact))
+
+
+def _then(a: Part, b: Part) -> Part:
+    """``a`` followed by ``b``."""
+    if a.exact is not None and b.exact is not None and len(a.exact) * len(b.exact) <= MOST:
+        return Part(frozenset(x + y for x in a.exact for y in b.exact))
+    x, y = _open(a), _open(b)
+    prefix = _cut((e + p for e in a.exact for p in y.prefix), False) if a.exact is not None else x.prefix
+    suffix = _cut((s + e for s in x.suffix for e in b.exact), True) if b.exact is not None else y.suffix
+    across = _of_strings(s + p for s in x.suffix for p in y.prefix)
+    return Part(None, prefix, suffix, _both(x.query, y.query, across))
+
+
+def _or(a: Part, b: Part) -> Part:
+    if a.exact is not None and b.exact is not None and len(a.exact | b.exact) <= MOST:
+        return Part(a.exact | b.exact)
+    x, y = _open(a), _open(b)
+    return Part(None, _cut(x.prefix | y.prefix, False), _cut(x.suffix | y.suffix, True), _either(x.query, y.query))
+
+
+def _class(items: list, fold: bool) -> Part:
+    """A character class: its characters if they are few."""
+    chars: set[str] = set()
+    for op, arg in items:
+        if op is sre.LITERAL:
+            chars.add(chr(arg))
+        elif op is sre.RANGE and arg[1] - arg[0] < MOST:
+            chars.update(map(chr, range(arg[0], arg[1] + 1)))
+        else:  # negated, a category or a long range
+            return ANY
+    chars = {c.lower() for c in chars} if fold else chars
+    return Part(frozenset(chars)) if len(chars) <= MOST // 2 else ANY
+
+
+def _describe(tree, fold: bool) -> Part:
+    out = EMPTY
+    for op, arg in tree:
+        if op is sre.LITERAL:
+            part = Part(frozenset([chr(arg).lower() if fold else chr(arg)]))
+        elif op is sre.IN:
+            part = _class(arg, fold)
+        elif op is sre.BRANCH:
+            part = reduce(_or, [_describe(t, fold) for t in arg[1]])
+        elif op is sre.SUBPATTERN:
+            part = _describe(arg[3], fold)
+        elif op is sre.ATOMIC_GROUP:
+            part = _describe(arg, fold)
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
+            least, most, inner = arg
+            one = _describe(inner, fold)
+            part = reduce(_then, [one] * min(least, 4), EMPTY)
+            if most > min(least, 4):
+                part = _or(one, EMPTY) if (least, most) == (0, 1) else _then(part, ANY)
+        elif op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+            part = EMPTY  # takes no characters
+        else:  # any character, a back reference, ...
+            part = ANY
+        out = _then(out, part)
+    return out
+
+
+def _ignores_case(tree) -> bool:
+    found = bool(getattr(tree, "state", None) and tree.state.flags & re.IGNORECASE)
+    for op, arg in tree:
+        if op is sre.SUBPATTERN:
+            found |= bool(arg[1] & re.IGNORECASE) or _ignores_case(arg[3])
+        elif op is sre.BRANCH:
+            found |= any(map(_ignores_case, arg[1]))
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
+            found |= _ignores_case(arg[2])
+        elif op is sre.ATOMIC_GROUP:
+            found |= _ignores_case(arg)
+        elif op in (sre.ASSERT, sre.ASSERT_NOT):
+            found |= _ignores_case(arg[1])
+    return found
+
+
+@cache
+def trigram_query(pattern: str) -> tuple[bool, Query]:
+    """(whether it is asked of the lower-cased text, query): true of every text that the pattern matches.
+
+    The parse tree is read from the leaves up: literals and small classes are sets of strings,
+    concatenation multiplies them, alternation unites them, and what grows too large is cut
+    to its ends after its trigrams were noted.  A pattern without mandatory trigrams gets the
+    empty query and scans fully.
+    """
+    tree = _parser.parse(pattern)
+    fold = _ignores_case(tree)
+    return fold, _open(_describe(tree, fold)).query
 
-def postings(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Inverted index ``(term, doc_id)`` over the trigrams that the rules' queries name.
 
-    A term is the trigram with its case mode, "i:pas" or "s:AKI".
-    """
-    asked = {("i:" if r.fold else "s:") + t for r in rules for f in trigram_query(r) for s in f for t in s}
+# ---- index, candidates, verification -------------------------------------------------------
+
+
+def terms_of(rules: tuple[Rule, ...]) -> list[str]:
+    """The trigrams that the rules' queries name, with their case mode: "i:pas" or "s:AKI"."""
+    asked = set()
+    for r in rules:
+        fold, query = trigram_query(r.pattern)
+        asked |= {("i:" if fold else "s:") + t for f in query for s in f for t in s}
+    return sorted(asked)
+
+
+def postings(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Inverted index ``(term, doc_id)`` over the trigrams that the rules' queries name."""
     folded, exact = F.col("lowered"), F.col("text")
-    found = [
-        F.when((folded if t[0] == "i" else exact).contains(t[2:]), F.lit(t)) for t in sorted(asked)
-    ]
+    found = [F.when((folded if t[0] == "i" else exact).contains(t[2:]), F.lit(t)) for t in terms_of(rules)]
     rows = docs.where("text is not null").select("doc_id", "text", F.lower("text").alias("lowered"))
     return rows.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("term"))
 
 
+#: Bits of one word of a document's set of terms.
+WORD = 60
+
+
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Documents that satisfy a rule's trigram query: ``doc_id, rule_bits``.
 
     Posting lists are intersected and united as bit sets: one aggregation with map-side
     combine turns the lists into the set of terms of each document.
     """
-    terms = sorted({("i:" if r.fold else "s:") + t for r in rules for f in trigram_query(r) for s in f for t in s})
-    bit = {t: 1 << i for i, t in enumerate(terms)}
-    if len(terms) > 62:
-        raise ValueError("more trigrams than bits; split the rules over several scans")
-    code = reduce(lambda c, t: c.when(F.col("term") == t, F.lit(bit[t]).cast("long")), terms, F)
-    have = index.groupBy("doc_id").agg(F.bit_or(code).alias("have"))
+    place = {t: divmod(i, WORD) for i, t in enumerate(terms_of(rules))}
+    words = range(-(-len(place) // WORD))
+
+    def have(w: int) -> Column:
+        code = F.lit(0).cast("long")
+        for t, (at, bit) in place.items():
+            if at == w:
+                code = F.when(F.col("term") == t, F.lit(1 << bit).cast("long")).otherwise(code)
+        return F.bit_or(code).alias(f"have{w}")
+
+    got = index.groupBy("doc_id").agg(*map(have, words))
+
+    def holds(terms: list[str]) -> Column:
+        ok = F.lit(True)
+        for w in words:
+            mask = sum(1 << bit for at, bit in (place[t] for t in terms) if at == w)
+            if mask:
+                ok = ok & (F.col(f"have{w}").bitwiseAND(F.lit(mask).cast("long")) == mask)
+        return ok
+
     bits = F.lit(0).cast("long")
     for i, r in enumerate(rules):
-        query = trigram_query(r)
-        if not query:
-            continue
-        ok = F.lit(True)
-        for factor in query:
-            masks = [sum(bit[("i:" if r.fold else "s:") + t] for t in s) for s in factor]
-            ok = ok & reduce(lambda a, b: a | b, [F.col("have").bitwiseAND(F.lit(m).cast("long")) == m for m in masks])
-        bits = bits + F.when(ok, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-    return have.select("doc_id", bits.alias("rule_bits")).where("rule_bits > 0")
+        fold, query = trigram_query(r.pattern)
+        if query:
+            mode = "i:" if fold else "s:"
+            factors = [reduce(Column.__or__, [holds([mode + t for t in sorted(s)]) for s in sorted(f, key=sorted)]) for f in query]
+            bits = bits + F.when(reduce(Column.__and__, factors), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+    return got.select("doc_id", bits.alias("rule_bits")).where("rule_bits > 0")
+
+
+SPAN = "array<struct<start:int,ord:int,end:int>>"
+#: Matches put into one array at a time; arrays of arrays are put together in turn, so that many matches cost no square.
+CHUNK = 512
+
+
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def spans(text: Column, rule: Rule, order: int) -> Column:
@@ -106,20 +282,30 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
     """
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     gaps = F.split(text, rule.pattern, -1)
-    pieces = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
-    empty = F.array().cast("array<struct<start:int,ord:int,end:int>>")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+
+    def size(gap: Column, hit: Column) -> Column:
+        value = F.regexp_extract(hit, rule.pattern, rule.group) if rule.group else hit
+        return F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit"), (F.length(value) >= rule.min_length).alias("keep"))
+
+    none = F.array().cast(SPAN)
 
     def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        value = F.regexp_extract(x["hit"], rule.pattern, rule.group) if rule.group else x["hit"]
-        keep = x["hit"].isNotNull() & (F.length(value) >= rule.min_length)
+        start = acc["at"] + x["gap"]
+        end = start + F.coalesce(x["hit"], F.lit(0))
         one = F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(F.coalesce(x["keep"], F.lit(False)), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    def chunk(acc: Column, some: Column) -> Column:
+        got = F.aggregate(some, F.struct(acc["at"].alias("at"), none.alias("out")), add)
+        return _bind(got, lambda g: F.struct(g["at"].alias("at"), F.concat(acc["out"], F.array(g["out"])).alias("out")))
 
-    found = F.aggregate(pieces, zero, add, lambda acc: acc["out"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(empty)
+    def whole(sizes: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / CHUNK).cast("int"))
+        parts = F.transform(cuts, lambda i: F.slice(sizes, i * CHUNK + 1, F.lit(CHUNK)))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.flatten(F.aggregate(parts, zero, chunk, lambda acc: acc["out"]))
+
+    return F.when(text.rlike(rule.pattern), _bind(F.zip_with(gaps, hits, size), whole)).otherwise(none)
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -127,36 +313,38 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Only texts that pass a rule's trigram query are matched against it; rules without a query
     match all.  Null and empty texts have no spans.  doc_id may be null or repeated (the index
-    then names a superset of the rows, which verification settles); further columns are ignored.
+    then names a superset of the rows, which verification settles); further columns are
+    ignored; an empty table gives no rows.  The work on a text grows with its length, however
+    many matches it holds.
     """
     index = materialize(postings(docs, rules), "postings")
     cand = candidates(index, rules).withColumnRenamed("doc_id", "cand_id")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # both sides grow with the input: a sort-merge join at every size, never a broadcast
     rows = rows.join(cand.hint("merge"), F.col("doc_id").eqNullSafe(F.col("cand_id")), "left")
-    empty = F.array().cast("array<struct<start:int,ord:int,end:int>>")
     parts = []
     for i, r in enumerate(rules):
         found = spans(F.col("text"), r, i)
-        if trigram_query(r):
+        if trigram_query(r.pattern)[1]:
             asked = F.coalesce(F.col("rule_bits"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0
-            found = F.when(asked, found).otherwise(empty)
+            found = F.when(asked, found).otherwise(F.array().cast(SPAN))
         parts.append(found)
     return rows.select("doc_id", F.array_sort(F.concat(*parts)).alias("spans"))
 
 
-def describe(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Counts, digest and text form of the spans."""
+def describe(found: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BASE)) -> DataFrame:
+    """Counts of the first ``base`` kinds, digest of their spans, all spans as text, and the number of others."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])
-    text = F.array_join(
-        F.transform(
-            "spans", lambda s: F.concat_ws(":", F.get(kinds, s["ord"]), s["start"].cast("string"), s["end"].cast("string"))
-        ),
-        ",",
-    )
 
-    def count(order: int, kind: str) -> Column:
-        return F.size(F.filter("spans", lambda s: s["ord"] == order)).cast("long").alias(f"n_{kind}")
+    def text(which: Column) -> Column:
+        one = lambda s: F.concat_ws(":", F.get(kinds, s["ord"]), s["start"].cast("string"), s["end"].cast("string"))
+        return F.array_join(F.transform(which, one), ",")
 
-    counts = [count(i, r.kind) for i, r in enumerate(rules)]
-    return found.select("doc_id", *counts, F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
+    def count(low: int, high: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["ord"].between(low, high))).cast("long")
+
+    counts = [count(i, i).alias(f"n_{r.kind}") for i, r in enumerate(rules[:base])]
+    first = text(F.filter("spans", lambda s: s["ord"] < base))
+    return found.select(
+        "doc_id", *counts, F.sha2(first, 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), count(base, len(rules)).alias("n_more")
+    )
