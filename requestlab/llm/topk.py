@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .shingles import spread
+from .tables import materialize
+
 BLOCK_ROWS = 4096
-BLOCK_QUERIES = 64
-#: Portions in which lists are read; bounds are compared after each.
-STEPS = 4
+BLOCK_QUERIES = 8192
+#: Entries of one list that are read at once, as a share of the list.
+PORTION = 1 / 64
+#: Shares of all entries after which the bounds are looked at.
+LOOKS = (0.25, 0.375, *(x / 32 for x in range(15, 32)))
 LOWEST = -(1 << 62)
 
 
@@ -24,68 +29,75 @@ class SortedLists:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
         places = np.argsort(self.vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.vectors, places, axis=0)
-        self.rank = np.empty_like(places)  # of a row in each list
-        np.put_along_axis(self.rank, places, np.arange(len(ids))[:, None], axis=0)
-        self._read: dict[tuple[int, type], tuple] = {}
-
-    def _portion(self, depth: int, kind: type) -> tuple:
-        """What the first ``depth`` entries hold, from the high end and from the low end of every list."""
-        if (depth, kind) not in self._read:
-            high, low = self.rank >= len(self.ids) - depth, self.rank < depth
-            v = self.vectors.astype(kind)
-            self._read[depth, kind] = (high.astype(kind), low.astype(kind), v * high, v * low)
-        return self._read[depth, kind]
-
-    def top(self, queries: np.ndarray, k: int, own: np.ndarray, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Each query's k best of the block: (positions, scores), ties to the smaller id.
-
-        All lists are read from their good end (high values for a positive weight, low ones for
-        a negative) in portions, for a block of queries at once.  A candidate's score lies
-        between what was read of it plus the worst, or the best, that each unread list still
-        holds.  A query stops when every candidate outside a small rest cannot reach its k-th
-        lower bound, or ``floors``, a score that k candidates elsewhere already reach; the rest
-        is settled to final scores.  Ties with the bound stay in.  ``own`` is the query's own
-        row, or -1.
+        self.places = np.ascontiguousarray(places.T)
+        self.values = np.ascontiguousarray(np.take_along_axis(self.vectors, places, axis=0).T)
+        n = len(ids)
+        self.cuts = np.unique(np.append(np.arange(0, n, max(1, int(n * PORTION))), n))
+        # what an unread entry can be at most when a portion was read, from the high and from the low end
+        self.high = np.concatenate([self.values[:, n - 1 - self.cuts[1:-1]], self.values[:, :1]], axis=1)
+        self.low = np.concatenate([self.values[:, self.cuts[1:-1]], self.values[:, -1:]], axis=1)
+
+    def _order(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Portions in reading order, (list, portion): those first by which the best unread score falls fastest.
+
+        A list is read in sequence, so a portion is no more urgent than the ones before it.
+        """
+        up = query[:, None] > 0
+        top = np.concatenate([np.where(up, self.values[:, -1:], self.values[:, :1]), np.where(up, self.high, self.low)], axis=1) * query[:, None]
+        gain = (top[:, :-1] - top[:, 1:]) / np.diff(self.cuts)
+        urgent = np.minimum.accumulate(gain, axis=1)
+        parts = urgent.shape[1]
+        at = np.argsort(-urgent.ravel(), kind="stable")
+        return at // parts, at % parts
+
+    def top(self, query: np.ndarray, k: int, own: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """A query's k best of the block: (positions, scores, entries read), ties to the smaller id.
+
+        Lists are read sequentially from their good end (high values for a positive weight, low
+        ones for a negative), the steepest first.  A candidate's score is at least what was read
+        of it with the worst entry of each list where it was not seen, and at most that with the
+        entry the list stands at.  Reading stops when few candidates are left that can reach the
+        k-th lower bound, or ``floor``, which k candidates elsewhere reach; what is left is
+        resolved to final scores.  Ties with the bound stay in.  ``own`` are rows that take no part.
         """
-        n, m = len(self.ids), len(queries)
-        exact = float(np.abs(self.vectors).max(initial=0)) * float(np.abs(queries).sum(axis=1).max(initial=0)) < 2**52
+        n, d = len(self.ids), len(query)
+        exact = float(np.abs(self.vectors).max(initial=0)) * float(np.abs(query).sum()) < 2**50
         kind = np.float64 if exact else np.int64  # doubles are exact while every sum stays below 2^53
-        plus, minus = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
-        bottom, top = self.sorted[0].astype(kind), self.sorted[-1].astype(kind)
-        out: list = [None] * m
-        open_ = np.arange(m)
-        for part in range(1, STEPS):
-            depth = n * part // STEPS
-            if depth == 0 or not len(open_) or n <= k + 1:
-                continue
-            high, low, v_high, v_low = self._portion(depth, kind)
-            p, q = plus[open_].T, minus[open_].T
-            read = v_high @ p + v_low @ q
-            worst_p, worst_q = p * bottom[:, None], q * top[:, None]
-            best_p, best_q = p * self.sorted[n - depth - 1][:, None], q * self.sorted[depth][:, None]
-            lower = read + (worst_p + worst_q).sum(axis=0) - high @ worst_p - low @ worst_q
-            upper = read + (best_p + best_q).sum(axis=0) - high @ best_p - low @ best_q
-            mine = np.flatnonzero(own[open_] >= 0)
-            lower[own[open_][mine], mine] = lower.min() - 1  # a query's own row does not hold up its bar
-            bar = np.maximum(np.partition(lower, n - k, axis=0)[n - k], floors[open_])
-            alive = upper >= bar
-            done = alive.sum(axis=0) <= max(4 * k, n // 64)
-            for j in np.flatnonzero(done):
-                rest = np.flatnonzero(alive[:, j])
-                out[open_[j]] = (rest, self.vectors[rest] @ queries[open_[j]])
-            open_ = open_[~done]
-        if len(open_):  # read to the end
-            scores = self.vectors.astype(kind) @ queries[open_].T.astype(kind)
-            for j, at in enumerate(open_):
-                out[at] = (np.arange(n), scores[:, j])
-        best = []
-        for j, (rest, score) in enumerate(out):
-            keep = rest != own[j]
-            rest, score = rest[keep], np.asarray(score[keep]).astype(np.int64)
-            first = np.lexsort((self.ids[rest], -score))[:k]
-            best.append((rest[first], score[first]))
-        return best
+        high, weight = query > 0, query.astype(kind)
+        worst = np.where(high, self.values[:, 0], self.values[:, -1]) * weight
+        lower = np.full(n, worst.sum())
+        seen = np.zeros((n, d), kind)
+        alive = np.ones(n, bool)
+        alive[own] = False
+        left = np.flatnonzero(alive)
+        read, few = 0, max(4 * k, n // 64)
+        lists, parts = self._order(query) if len(left) > few else (np.empty(0, int), np.empty(0, int))
+        done = np.zeros(d, np.int64)  # portions read of each list
+        for share in LOOKS if len(lists) else ():
+            upto = np.bincount(lists[: int(len(lists) * share)], minlength=d)
+            begin, end = self.cuts[done], self.cuts[upto]
+            at = spread(np.where(high, n - end, begin), end - begin)  # places in the lists
+            j = np.repeat(np.arange(d), end - begin)
+            rows, values = self.places[j, at], self.values[j, at]
+            add = values * weight[j] - worst[j]
+            lower += np.bincount(rows, add, minlength=n) if exact else 0
+            if not exact:
+                np.add.at(lower, rows, add)
+            seen[rows, j] = 1
+            read, done = read + len(rows), upto
+            # the best entry that a list still holds
+            slack = np.where(high, self.high[np.arange(d), upto - 1], self.low[np.arange(d), upto - 1]) * weight
+            slack = np.where(upto == 0, np.where(high, self.values[:, -1], self.values[:, 0]) * weight, slack) - worst
+            bar = floor
+            if len(left) >= k:
+                some = lower[left]
+                bar = max(bar, int(np.partition(some, len(some) - k)[len(some) - k]))
+            left = left[lower[left] + slack.sum() - seen[left] @ slack >= bar]
+            if len(left) <= few:
+                break
+        score = self.vectors[left] @ query
+        first = np.lexsort((self.ids[left], -score))[:k]
+        return left[first], score[first], read
 
 
 def _quantise(cell: str) -> tuple:
@@ -94,7 +106,7 @@ def _quantise(cell: str) -> tuple:
     return good, F.transform(v, lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("long"))
 
 
-def top_k(
+def search(
     vectors: DataFrame,
     is_query,
     id_col: str = "vec_id",
@@ -103,86 +115,103 @@ def top_k(
     block_rows: int = BLOCK_ROWS,
     block_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
-    """Each query's k highest integer inner products over all other rows.
-
-    Components become floor(256 x).  Rows whose vector is null, empty or holds null or
-    non-finite components take no part.  Shorter vectors count as padded with zeros.  Queries
-    are the rows for which ``is_query`` holds; repeated ids are rows of their own, except that a
-    query never meets rows of its own id.  Blocks of queries meet blocks of candidates by an
-    equi-join on the block of queries, each candidate block visiting every query block; a task
-    keeps, per query, only k rows of each block, and a window merges them.  Scores must fit 64
-    bits.  Returns ``query_id, rank, vec_id, score``.
+    """The k best of each query in each group of blocks: ``query_id, query, vec_id, score, read, entries``.
+
+    ``read`` of ``entries`` list entries were read.  See :func:`top_k`.
     """
     good, ints = _quantise(vec_col)
     rows = vectors.where(F.col(id_col).isNotNull() & good).select(
         F.col(id_col).cast("long").alias("id"), ints.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
     )
-    n, nq = rows.agg(F.count("*"), F.count_if("q")).first()
-    cb, qb = max(1, -(-n // block_rows)), max(1, -(-nq // block_queries))
-    queries = (
-        rows.where("q")
-        .groupBy(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(qb)).cast("int").alias("qb"))
-        .agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    )
-    # a block is bounded: ids are dealt by hash, and repeated ids by their row within the partition too
-    block = F.pmod(F.xxhash64("id", "v"), F.lit(cb)).cast("int")
-    blocks = rows.groupBy(block.alias("cb")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    meet = blocks.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))).join(queries, "qb")
+    # of a row that occurs more than k times no more than k can be among the k best
+    rows = rows.groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).alias("c"), F.max("q").alias("q"))
+    rows = materialize(rows, "vectors")
+    n, nq = rows.agg(F.sum("c"), F.count_if("q")).first()
+    spark = vectors.sparkSession
+    cb, tiles = max(1, -(-(n or 0) // block_rows)), max(1, -(-(nq or 0) // block_queries))
+    # as many groups of blocks as give every task of a shuffle something to do
+    groups = min(cb, max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // tiles)))
+    cell = F.collect_list(F.struct("id", "v", "c")).alias("rows")
+    tile = F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(tiles)).cast("int").alias("tile")
+    queries = rows.where("q").groupBy(tile).agg(cell).select("tile", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(-1).alias("cb"), "rows")
+    blocks = rows.groupBy(F.pmod(F.xxhash64("id", "v"), F.lit(cb)).cast("int").alias("cb")).agg(cell)
+    blocks = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), (F.col("cb") % groups).alias("grp"), "cb", "rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists: tuple[int, SortedLists] | None = None
-        now, reached = None, []  # of the block of queries at hand: each query's k best scores so far
+        now, queries = None, None  # the tile of queries at hand, with the k best ids and scores of each so far
+
+        def out() -> pa.RecordBatch:
+            qid, _, ids, scores, read, entries = queries
+            size = [len(x) for x in ids]
+            cols = [np.repeat(qid, size), np.repeat(np.arange(len(qid)) + (now[0] << 32), size), *(np.concatenate([np.empty(0, np.int64), *c]) for c in (ids, scores))]
+            cols += [np.repeat(c, size) for c in (read, entries)]
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["query_id", "query", "vec_id", "score", "read", "entries"])
+
         for batch in batches:
             for i in range(batch.num_rows):
-                at, qb_ = batch.column("cb")[i].as_py(), batch.column("qb")[i].as_py()
-                ids, mat = unpack(batch.column("rows"), i)
-                qids, qmat = unpack(batch.column("queries"), i)
-                width = max(mat.shape[1], qmat.shape[1])
-                mat, qmat = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (mat, qmat))
-                if lists is None or lists[0] != at or lists[1].vectors.shape[1] != width:
-                    lists = (at, SortedLists(ids, mat))
-                if qb_ != now:
-                    now, reached = qb_, [np.empty(0, np.int64) for _ in qids]
-                floors = np.array([r[-1] if len(r) == k else LOWEST for r in reached])
-                found = np.searchsorted(lists[1].ids, qids)
-                found[found == len(lists[1].ids)] = 0
-                own = np.where(lists[1].ids[found] == qids, found, -1)
-                twice = (np.searchsorted(lists[1].ids, qids, side="right") - np.searchsorted(lists[1].ids, qids)) > 1
-                best = lists[1].top(qmat, k, own, floors)
-                out = []
-                for j, qid in enumerate(qids):
-                    if twice[j]:  # several rows of the query's own id: leave all of them out
-                        others = lists[1].ids != qid
-                        rest = SortedLists(lists[1].ids[others], lists[1].vectors[others])
-                        pos, s = rest.top(qmat[j : j + 1], k, np.array([-1]), floors[j : j + 1])[0] if len(rest.ids) else (found[:0], found[:0])
-                        got = rest.ids[pos]
-                    else:
-                        pos, s = best[j]
-                        got = lists[1].ids[pos]
-                    reached[j] = np.sort(np.concatenate([reached[j], s]))[::-1][:k]
-                    out.append((np.full(len(got), qid), got, s))
-                cols = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
-
-    # a task takes a block of queries through all candidate blocks, so later blocks stop at what earlier ones reached
-    meet = meet.select("qb", "cb", "rows", "queries").sortWithinPartitions("qb", "cb")
-    found = meet.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                key = batch.column("tile")[i].as_py(), batch.column("grp")[i].as_py()
+                ids, mat, copies = unpack(batch.column("rows"), i)
+                if batch.column("cb")[i].as_py() < 0:
+                    if queries is not None:
+                        yield out()
+                    order = np.lexsort((*mat.T[::-1], ids))  # the same numbers in every group
+                    none = [np.empty(0, np.int64)] * len(ids)
+                    now, queries = key, (ids[order], mat[order], list(none), list(none), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64))
+                elif key == now:
+                    qid, qmat, found, scores, read, entries = queries
+                    width = max(mat.shape[1], qmat.shape[1])
+                    mat, qs = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (mat, qmat))
+                    lists = SortedLists(np.repeat(ids, copies), np.repeat(mat, copies, axis=0))
+                    lo, hi = np.searchsorted(lists.ids, qid), np.searchsorted(lists.ids, qid, side="right")
+                    for q in range(len(qid)):
+                        floor = int(scores[q][-1]) if len(scores[q]) == k else LOWEST
+                        pos, s, r = lists.top(qs[q], k, np.arange(lo[q], hi[q]), floor)
+                        both, every = np.concatenate([found[q], lists.ids[pos]]), np.concatenate([scores[q], s])
+                        first = np.lexsort((both, -every))[:k]
+                        found[q], scores[q] = both[first], every[first]
+                        read[q] += r
+                        entries[q] += lists.values.size
+        if queries is not None:
+            yield out()
+
+    # a task takes a tile of queries through the blocks of a group, so later blocks stop at what earlier ones reached
+    meet = queries.unionByName(blocks).repartition("tile", "grp").sortWithinPartitions("tile", "grp", "cb")
+    return meet.mapInArrow(run, "query_id long, query long, vec_id long, score long, read long, entries long")
+
+
+def top_k(
+    vectors: DataFrame,
+    is_query,
+    id_col: str = "vec_id",
+    vec_col: str = "embedding",
+    k: int = 5,
+    block_rows: int = BLOCK_ROWS,
+    block_queries: int = BLOCK_QUERIES,
+) -> DataFrame:
+    """Each query's k highest integer inner products over all other rows: ``query_id, rank, vec_id, score``.
+
+    Components become floor(256 x).  Rows whose id or vector is null, or whose vector is empty or
+    holds null or non-finite components, take no part.  Shorter vectors count as padded with
+    zeros.  Queries are the rows for which ``is_query`` holds; rows equal in id and vector are one
+    query and as many candidates as there are (more than k of them cannot rank); different
+    vectors of one id are queries of their own; a query never meets rows of its own id.  Blocks of
+    candidates go to every tile of queries, a tile to every group of blocks; a task keeps k rows a
+    query, and a window merges the groups.  Scores must fit 64 bits.
+    """
+    found = search(vectors, is_query, id_col, vec_col, k, block_rows, block_queries)
+    rank = F.row_number().over(W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def unpack(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and (zero-padded) integer vectors of one block."""
+def unpack(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, (zero-padded) integer vectors and copies of one block."""
     cell = column[i].values
-    ids = cell.field("id").to_numpy(zero_copy_only=False)
+    ids, copies = (cell.field(c).to_numpy(zero_copy_only=False) for c in ("id", "c"))
     lists = cell.field("v")
     lengths = np.diff(lists.offsets.to_numpy())
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     if len(lengths) and (lengths == lengths[0]).all():
-        return ids, flat.reshape(len(lengths), -1)
+        return ids, flat.reshape(len(lengths), -1), copies
     out = np.zeros((len(lengths), int(lengths.max(initial=0))), np.int64)
-    at = 0
-    for r, m in enumerate(lengths):
-        out[r, :m] = flat[at : at + m]
-        at += m
-    return ids, out
+    out[np.arange(out.shape[1]) < lengths[:, None]] = flat
+    return ids, out, copies
