@@ -114,24 +114,35 @@ class Codebook:
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """``lang, gram, c`` over whole texts; every task adds up before the shuffle."""
+    """``half, lang, gram, c`` over whole texts; every task adds up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[tuple[int, str], np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total = held.setdefault(lang, np.zeros(BUCKETS, np.int64))
+            for half, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total = held.setdefault((half, lang), np.zeros(BUCKETS, np.int64))
                 for part in pieces(text or ""):
                     total += np.bincount(text_grams(part), minlength=BUCKETS)
-        for lang, total in held.items():
+        for (half, lang), total in held.items():
             seen = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(seen)), pa.array(seen.astype(np.int32)), pa.array(total[seen])],
-                names=["lang", "gram", "c"],
+                [pa.array([half] * len(seen), pa.int32()), pa.array([lang] * len(seen)), pa.array(seen.astype(np.int32)), pa.array(total[seen])],
+                names=["half", "lang", "gram", "c"],
             )
 
-    counted = rows.select("lang", "text").mapInArrow(run, "lang string, gram int, c long")
-    return counted.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    counted = rows.select("half", "lang", "text").mapInArrow(run, "half int, lang string, gram int, c long")
+    return counted.groupBy("half", "lang", "gram").agg(F.sum("c").alias("c"))
+
+
+def _book(langs: list[str], code: np.ndarray, table: np.ndarray) -> Codebook:
+    """Classifiers of all bits from counts ``table[lang, gram]``; languages of a bit's side count alike."""
+    share = (table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
+    weights = np.zeros((BUCKETS, code.shape[1] if langs else 0), np.float32)
+    for b in range(weights.shape[1]):
+        yes, no = code[:, b] > 0, code[:, b] < 0
+        if yes.any() and no.any():
+            weights[:, b] = np.log(share[yes].mean(axis=0)) - np.log(share[no].mean(axis=0))
+    return Codebook(langs, code, weights, np.ones(weights.shape[1]), np.ones(weights.shape[1]))
 
 
 def train(labelled: DataFrame, max_rows: int = TRAIN_ROWS) -> Codebook:
@@ -139,8 +150,9 @@ def train(labelled: DataFrame, max_rows: int = TRAIN_ROWS) -> Codebook:
 
     Texts without a letter teach nothing and are left out.  Of more than ``max_rows`` rows, a
     sample is taken by a hash of doc_id, without a shuffle.  What comes to the driver is the
-    model: BUCKETS counts a language.  Weights of the bits come from a second pass that asks
-    how well each bit does on the sample.
+    model: BUCKETS counts a language and half.  The sample falls into two halves by another
+    hash: a second pass asks how well each bit, fitted on one half, does on the other, and
+    weighs the bits by that; the final classifiers use both halves.  This is so at every size.
     """
     spark = labelled.sparkSession
     rows = labelled.where("lang is not null and text is not null")
@@ -148,46 +160,41 @@ def train(labelled: DataFrame, max_rows: int = TRAIN_ROWS) -> Codebook:
     if n > max_rows:
         share = int(max_rows / n * (1 << 30))
         rows = rows.where((F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)).bitwiseAND(F.lit((1 << 30) - 1))) < share)
+    rows = rows.withColumn("half", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(4)), F.lit(2)).cast("int"))
     got = _counts(rows).toArrow()
     langs = sorted(set(got["lang"].to_pylist()))
-    table = np.zeros((len(langs), BUCKETS))
-    index = {x: i for i, x in enumerate(langs)}
-    if len(langs):
+    halves = np.zeros((2, len(langs), BUCKETS))
+    if langs:
+        index = {x: i for i, x in enumerate(langs)}
         at = np.fromiter((index[x] for x in got["lang"].to_pylist()), int, got.num_rows)
-        table[at, got["gram"].to_numpy()] = got["c"].to_numpy()
+        halves[got["half"].to_numpy(), at, got["gram"].to_numpy()] = got["c"].to_numpy()
     code = codewords(len(langs))
-    share = (table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)  # each language counts alike
-    weights = np.zeros((BUCKETS, code.shape[1] if len(langs) else 0), np.float32)
-    for b in range(weights.shape[1]):
-        yes, no = code[:, b] > 0, code[:, b] < 0
-        if yes.any() and no.any():
-            weights[:, b] = np.log(share[yes].mean(axis=0)) - np.log(share[no].mean(axis=0))
-    book = Codebook(langs, code, weights, np.ones(weights.shape[1]), np.ones(weights.shape[1]))
+    book = _book(langs, code, halves.sum(axis=0))
     if len(langs) < 2:
         return book
-    shared = spark.sparkContext.broadcast(book)
+    shared = spark.sparkContext.broadcast([_book(langs, code, halves[1]), _book(langs, code, halves[0])])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = shared.value.code.shape[1]
+        k = code.shape[1]
         good, size, seen = np.zeros(k), np.zeros(k), 0
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if has_letter(text) and lang in shared.value.langs:
-                    m = shared.value.margins(text) * shared.value.code[shared.value.langs.index(lang)]
+            for half, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if has_letter(text) and lang in shared.value[half].langs:
+                    m = shared.value[half].margins(text) * code[langs.index(lang)]
                     good, size, seen = good + (m > 0), size + np.abs(m), seen + 1
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(k, dtype=np.int32)), pa.array(good), pa.array(size), pa.array([seen] * k, pa.int64())],
             names=["bit", "good", "size", "seen"],
         )
 
-    sample = rows.where(F.xxhash64(F.col("doc_id").cast("string"), F.lit(4)) % 4 == 0) if n > 4000 else rows
-    found = sample.select("lang", "text").mapInArrow(judge, "bit int, good double, size double, seen long")
+    found = rows.select("half", "lang", "text").mapInArrow(judge, "bit int, good double, size double, seen long")
     for r in found.groupBy("bit").agg(F.sum("good").alias("g"), F.sum("size").alias("s"), F.sum("seen").alias("n")).collect():
         if r["n"]:
             right = (r["g"] + 1) / (r["n"] + 2)
             book.bit_weight[r["bit"]] = max(0.05, float(np.log(right / (1 - right)))) if right > 0.5 else 0.05
             book.slope[r["bit"]] = 4.0 / max(r["s"] / r["n"], 1e-9)
     book.bit_weight /= book.bit_weight.mean()
+    shared.unpersist()
     return book
 
 
