@@ -228,13 +228,38 @@ def merge_runs(runs: list[Run]) -> Iterator[tuple[int, bytes, int, int]]:
 # ---- windows ----------------------------------------------------------------------------
 
 
+def _equal_bytes(data: np.ndarray, at: np.ndarray, leads: np.ndarray, member: np.ndarray, late: np.ndarray) -> bool:
+    """Whether windows ``late`` hold the bytes of their leads, whose hashes are equal.
+
+    A window one byte after another that was compared, with leads one byte apart, needs its last byte only.
+    """
+    a, b = at[late], at[leads[late]]
+    on = np.zeros(len(late), bool)
+    on[1:] = (a[1:] == a[:-1] + 1) & (b[1:] == b[:-1] + 1) & (member[late[1:]] == member[late[:-1]])
+    if (data[a[on] + LENGTH - 1] != data[b[on] + LENGTH - 1]).any():
+        return False
+    a, b, reach = a[~on], b[~on], np.arange(LENGTH)
+    step = 20_000
+    return all((data[a[i : i + step, None] + reach] == data[b[i : i + step, None] + reach]).all() for i in range(0, len(a), step))
+
+
+def _late_by_bytes(data: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The windows that also start earlier, by their bytes: for the case that different windows share a hash."""
+    first: dict[bytes, int] = {}
+    keys = [data[x : x + LENGTH].tobytes() for x in at.tolist()]
+    for key, p in zip(keys, place.tolist(), strict=True):
+        first[key] = min(p, first.get(key, p))
+    return np.array([p > first[key] for key, p in zip(keys, place.tolist(), strict=True)], bool)
+
+
 def later_windows(suffixes, lefts, right, lo, rep) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows that also start earlier, as (member, from, to) byte ranges.
 
     Members are suffixes in sorted order; ``right`` is the longest prefix a member shares with a
     neighbour.  A window that starts w bytes into a member's context takes 100 - (len(left) - w)
     bytes of its suffix, so it can only repeat while that many are shared; those windows are
-    compared as wholes, and all but the first by (rep, start) are reported.
+    grouped by hash, compared byte by byte with the first of their group, and all but the first by
+    (rep, start) are reported.
     """
     nleft = np.fromiter(map(len, lefts), np.int64, len(lefts))
     nsuf = np.fromiter(map(len, suffixes), np.int64, len(suffixes))
@@ -257,9 +282,16 @@ def later_windows(suffixes, lefts, right, lo, rep) -> tuple[np.ndarray, np.ndarr
     order = np.argsort(h)
     hs, ps = h[order], place[order]
     new = np.concatenate([[True], hs[1:] != hs[:-1]])
+    group = np.cumsum(new) - 1
     first = np.minimum.reduceat(ps, np.flatnonzero(new))
+    lead = order[np.flatnonzero(ps == first[group])]  # a first window of each hash, perhaps more than one
+    lead = lead[np.concatenate([[True], h[lead[1:]] != h[lead[:-1]]])]
     late = np.zeros(len(h), bool)
-    late[order] = ps > first[np.cumsum(new) - 1]
+    late[order] = ps > first[group]
+    leads = np.empty(len(h), np.int64)
+    leads[order] = lead[group]
+    if not _equal_bytes(data, at, leads, member, np.flatnonzero(late)):
+        late = _late_by_bytes(data, at, place)
     f = np.flatnonzero(late)
     if not len(f):
         none = np.empty(0, np.int64)
