@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shingles import WORDS, gram_hashes, texts, word_hashes
+from .tables import discard, materialize
 
 #: Bytes of item shingles that one pass over the documents carries to every task.
 PASS_BYTES = 32_000_000
@@ -106,10 +107,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Da
 
     An item is contained if at least ``percent`` of its distinct five-word shingles (ASCII
     letters in either case, words between space and U+0009..U+000D) occur in the document; an
-    item of fewer words is one shingle, its whole sequence of words.  Items go to all tasks in
-    portions of bounded size, one pass over the documents each; documents are not shuffled.
-    Null and empty texts and items match nothing; ids may be null or repeated; an item text
-    under several ids is found under each; further columns are ignored; empty tables give no rows.
+    item of fewer words is one shingle, its whole sequence of words.  Shingles are compared as
+    64-bit hashes.  Items go to all tasks in portions of bounded size, one pass over the
+    documents each, whose result is written before the next portion is built; documents are not
+    shuffled.  Null and empty texts and items match nothing; ids may be null or repeated; an
+    item text under several ids is found under each; further columns are ignored; very long texts
+    are searched whole; empty tables give no rows.
     """
     spark = docs.sparkSession
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
@@ -134,7 +137,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Da
                     names=["doc_id", "item_id", "shared", "n_item", "containment"],
                 )
 
-        part = rows.mapInArrow(run, schema)
+        part = materialize(rows.mapInArrow(run, schema), "contained")
+        index.destroy()
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -142,9 +146,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Da
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
     """Documents without any contained item, columns unchanged.
 
-    The test runs beside each row, so rows need no key and nothing is joined back.
+    The test runs beside each row, so rows need no key and nothing is joined back.  Each portion
+    of items works on what the one before it left.
     """
-    spark = docs.sparkSession
+    spark, last = docs.sparkSession, None
     for portion in _passes(benchmark):
         index = spark.sparkContext.broadcast(ItemIndex(portion, percent))
 
@@ -153,7 +158,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80)
                 at = batch.schema.get_field_index("text")
                 yield batch.filter(pa.array([not index.value.search(data) for data in texts(batch.column(at))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = materialize(docs.mapInArrow(run, docs.schema), "clean")
+        index.destroy()
+        if last is not None:
+            discard(last)
+        last = docs
     return docs
-
-

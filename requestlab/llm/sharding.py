@@ -88,24 +88,30 @@ def row_at(shard: Column, slot: Column, n: int, shards: int, seed: int = 17) ->
     return unpermute(slot.cast("long") * F.lit(shards) + shard, n, seed)
 
 
-def number_rows(rows: DataFrame, keys: list[str], buckets: int) -> tuple[DataFrame, int]:
+#: Distinct rows that one window partition numbers, about.
+BUCKET = 500_000
+
+
+def number_rows(rows: DataFrame, keys: list[str], least: int = 256) -> tuple[DataFrame, int]:
     """Give every row a global number 0..n-1 that depends on the rows' contents alone.
 
     Rows are grouped by ``keys`` with a map-side combine, so a row repeated any number of
     times travels as one count.  Distinct rows are dealt to hash buckets, numbered inside a
-    bucket by a window, and shifted by the sum of earlier buckets (one row per bucket).
-    Equal rows are interchangeable: they get the consecutive numbers of their group.
+    bucket by a window, and shifted by the sum of earlier buckets (one row per bucket).  The
+    number of buckets, ``least`` or more, follows the number of distinct rows.  Equal rows are interchangeable: they get the consecutive numbers of their group.
     """
     counted = rows.groupBy(*keys).agg(F.count("*").alias("m"))
-    counted = materialize(counted.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "numbered")
+    counted = materialize(counted, "numbered")
+    buckets = max(least, -(-counted.count() // BUCKET))
+    counted = counted.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
     per = counted.groupBy("bucket").agg(F.sum("m").alias("rows"))
     offsets = per.select(
         "bucket", (F.sum("rows").over(W.orderBy("bucket")) - F.col("rows")).alias("before")
-    )  # at most ``buckets`` rows
+    )  # one row a bucket
     n = per.agg(F.sum("rows")).first()[0] or 0
     w = W.partitionBy("bucket").orderBy(*[F.col(k).asc_nulls_first() for k in keys])
     placed = counted.withColumn("start", F.sum("m").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("m"))
-    placed = placed.join(F.broadcast(offsets), "bucket").withColumn("start", F.col("start") + F.col("before"))
+    placed = placed.join(offsets, "bucket").withColumn("start", F.col("start") + F.col("before"))
     chunk = 4096
     placed = placed.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / chunk))))
     last = F.least(F.lit(chunk).cast("long"), F.col("m") - F.col("c") * chunk) - 1
@@ -113,7 +119,7 @@ def number_rows(rows: DataFrame, keys: list[str], buckets: int) -> tuple[DataFra
     return placed.select(*keys, (F.col("start") + F.col("c") * chunk + F.col("i")).alias("row")), n
 
 
-def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 17, buckets: int = 256) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 17) -> DataFrame:
     """Deal documents to ``shards`` by a Feistel permutation of their global row numbers.
 
     Law ``rows``: shard sizes differ by one at most; slots of a shard run from 0 without gaps.
@@ -126,7 +132,7 @@ def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 17, buckets: int =
         (F.octet_length(text).cast("long") + 8).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    numbered, n = number_rows(rows, ["doc_id", "size", "text_crc32"], buckets)
+    numbered, n = number_rows(rows, ["doc_id", "size", "text_crc32"])
     shard, slot = locate(F.col("row"), max(n, 1), shards, seed)
     return numbered.select(
         "doc_id",
