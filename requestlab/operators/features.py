@@ -143,7 +143,11 @@ def nearest_mi(x: np.ndarray, y: np.ndarray, k: int) -> float:
         radius[order] = np.nextafter(np.sort(gaps, axis=1)[:, kk - 1], 0)
         used[at], own[at], near[at] = True, len(at), kk
     s = np.sort(x)
-    m = np.searchsorted(s, x + radius, side="right") - np.searchsorted(s, x - radius, side="left")
+    low, high = np.searchsorted(s, x - radius, side="left"), np.searchsorted(s, x + radius, side="right")
+    inside = lambda i: (i >= 0) & (i < len(s)) & (np.abs(s[np.clip(i, 0, len(s) - 1)] - x) <= radius)
+    for _ in range(4):  # x + radius is rounded: the ends are settled by distances, as the radius was
+        high, low = high - ~inside(high - 1) + inside(high), low + ~inside(low) - inside(low - 1)
+    m = high - low
     u = used
     if not u.any():
         return 0.0
