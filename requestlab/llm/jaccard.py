@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import fingerprint, shingle_set, texts
-from .tables import connected_components, materialize
+from .tables import connected_components, discard, materialize
 
 #: Shingles whose order comes last in prefixes: a bounded list of the most frequent ones.  It
 #: steers the cost only; prefixes are complete under any common order.
@@ -183,7 +183,7 @@ def _width(sizes: list[int]) -> int:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """Per document: ``doc_id, n, hi, lo`` (set size and fingerprint)."""
+    """Per row ``key, text``: the key as it is, and ``n, hi, lo`` (set size and fingerprint)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,9 +195,9 @@ def _scan(docs: DataFrame) -> DataFrame:
                 his.append(hi)
                 los.append(lo)
             cols = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, his, los))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "n", "hi", "lo"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n long, hi long, lo long")
+    return docs.select("key", "text").mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, n long, hi long, lo long")
 
 
 def _often(docs: DataFrame, frequent: int) -> np.ndarray:
@@ -260,7 +260,7 @@ def _crowded(docs: DataFrame, sizes: DataFrame, share: float, percent: int) -> D
     keys = keys.groupBy("key").agg(F.min("node").alias("node"), F.max("node").alias("high"))
     own = keys.where("node = high").groupBy("node").agg(F.count("*").alias("own"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    return sizes.join(own, "node", "left").where(F.coalesce("own", F.lit(0)) < prefix).select("node", "n")
+    return sizes.join(own.hint("merge"), "node", "left").where(F.coalesce("own", F.lit(0)) < prefix).select("node", "n")
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
@@ -335,11 +335,11 @@ def _units(comp: DataFrame, unit: int) -> DataFrame:
     adjacent levels is a unit, with the first block on side 0 and the other on side 1.
     """
     total = comp.groupBy("component").agg(F.sum("n").alias("total"))
-    small = total.where(F.col("total") <= unit).select("component")
-    big = total.where(F.col("total") > unit).select("component")
-    one = comp.join(small, "component").select(
-        "node", F.concat_ws(":", F.col("component")).alias("unit"), F.lit(0).alias("side"), F.lit(False).alias("split")
-    )
+    whole = ["node", F.col("component").cast("string").alias("unit"), F.lit(0).alias("side"), F.lit(False).alias("split")]
+    big = materialize(total.where(F.col("total") > unit).select("component"), "big")
+    if big.isEmpty():
+        return comp.select(*whole)
+    one = comp.join(big, "component", "left_anti").select(*whole)
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9).cast("int")
     cut = comp.join(big, "component").withColumn("level", level)
     blocks = cut.groupBy("component", "level").agg(F.ceil(F.sum("n") * 2 / unit).cast("int").alias("r"))
@@ -435,11 +435,11 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, unit: int = UNIT, freque
     alone.  Further columns are ignored; an empty table gives no rows.  Shingles are 64-bit
     hashes, sets are named by 128 bits.
     """
-    mine = materialize(_scan(docs), "scan")
+    mine = materialize(_scan(docs.selectExpr("cast(doc_id as long) key", "text")).withColumnRenamed("key", "doc_id"), "scan")
     named = _set_classes(docs, mine, percent, unit, frequent)
     least = named.groupBy("root_hi", "root_lo").agg(F.min("rep").alias("component_id"))
     named = named.join(least, ["root_hi", "root_lo"]).select("hi", "lo", "component_id", "n_links")
-    out = mine.join(named, ["hi", "lo"], "left")
+    out = mine.join(named.hint("merge"), ["hi", "lo"], "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -454,20 +454,24 @@ def _set_classes(docs: DataFrame, mine: DataFrame, percent: int, unit: int = UNI
         mine.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")), "classes"
     )
     sizes = classes.groupBy(F.col("hi").alias("node")).agg(F.max("n").alias("n"))
-    first = _crowded(docs, sizes, REGIONS[0], percent)
-    held = materialize(_with_sets(docs).join(first, F.col("hi") == F.col("node")).drop("node", "n"), "crowded")
-    second = materialize(_crowded(held, held.join(sizes, F.col("hi") == F.col("node")).select("node", "n").distinct(), REGIONS[1], percent), "crowded")
-    held = held.join(second.select("node"), F.col("hi") == F.col("node")).drop("node")
+    # what grows with the input is joined by sort and merge at every size
+    first = _crowded(docs, sizes, REGIONS[0], percent).hint("merge")
+    wide = materialize(_with_sets(docs).join(first, F.col("hi") == F.col("node")).drop("node"), "crowded")
+    second = materialize(_crowded(wide, wide.select(F.col("hi").alias("node"), "n").distinct(), REGIONS[1], percent), "second")
+    held = materialize(wide.join(second.select("node").hint("merge"), F.col("hi") == F.col("node")).drop("node", "n"), "held")
+    discard(wide)
 
     entries = materialize(_prefixes(held, _often(held, frequent), percent), "prefix", "lz4")
     keys = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    stars = entries.join(keys, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    comp = connected_components(stars)
-    dealt = _units(materialize(comp.join(second, "node"), "comp"), unit)
-    dealt = dealt.join(classes.select("hi", "lo", "copies"), F.col("hi") == F.col("node")).drop("node")
-    work = held.join(dealt, ["hi", "lo"])
+    stars = entries.join(keys.hint("merge"), "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    comp = materialize(connected_components(stars).join(second.hint("merge"), "node"), "comp")
+    discard(entries, second)
+    dealt = _units(comp, unit)
+    dealt = dealt.join(classes.select("hi", "lo", "copies").hint("merge"), F.col("hi") == F.col("node")).drop("node")
+    work = held.join(dealt.hint("merge"), ["hi", "lo"])
     work = work.repartition("unit").sortWithinPartitions("unit", "side", "hi", "lo")
     united = materialize(_join_units(work, percent), "united")
+    discard(held, comp)
 
     if united.where("split").isEmpty():
         roots = united.select("hi", "lo", "root_hi", "root_lo").distinct()
@@ -497,14 +501,13 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     # rows get a key that holds once it is written
     keyed = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("doc"), F.monotonically_increasing_id().alias("key")), "keyed")
     plain = keyed.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
-    # `_scan` passes its first column on, so it serves the keys here
-    sets = _scan(keyed.select(F.col("key").alias("doc_id"), F.col("doc.text").alias("text"))).withColumnRenamed("doc_id", "key")
-    order = keyed.select("key", F.col("doc.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.to_json("doc")).alias("digest"))
-    mine = materialize(sets.join(order, "key"), "scan")
+    row = F.struct("key", F.col("doc.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.to_json("doc")).alias("digest"))
+    mine = _scan(keyed.select(row.alias("key"), F.col("doc.text").alias("text")))
+    mine = materialize(mine.select("key.*", "n", "hi", "lo"), "scan")
     named = _set_classes(plain, mine, percent).select("hi", "lo", "root_hi", "root_lo")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "key")).alias("first")
     best = mine.where("n > 0").groupBy("hi", "lo").agg(first).select("hi", "lo", "first.*")
     best = best.join(named, ["hi", "lo"]).groupBy("root_hi", "root_lo").agg(first).select("first.key")
     stay = materialize(best.unionByName(mine.where("n = 0").select("key")), "stay")
-    rows = keyed.join(stay, "key", "left_semi")
+    rows = keyed.join(stay.hint("merge"), "key", "left_semi")
     return rows.select(*[F.col("doc").getField(c).alias(c) for c in cols])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .tables import materialize
+from .tables import discard, materialize
 
 #: Maximal runs of anything but space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,8 +46,9 @@ def tilt(hist: DataFrame, src: DataFrame, cap: int = CAP, rounds: int = 60) -> D
 
     Rates minimise sum r ln r - r under sum size * r = target and r <= cap, so
     r = min(cap, exp(lam * size / scale)).  Each round is one aggregation of the size
-    histogram (a distributed sum of value and slope), then a Newton step kept inside a
-    shrinking bracket, so it cannot run away where the cap makes the slope small.
+    histogram (a distributed sum of value and slope), then a Newton step on the logarithm of
+    the sum, which is nearly straight, kept inside a shrinking bracket, so it cannot run away
+    where the cap makes the slope small.  It ends within a millionth of the target.
     """
     state = src.select(
         "idx",
@@ -60,7 +61,7 @@ def tilt(hist: DataFrame, src: DataFrame, cap: int = CAP, rounds: int = 60) -> D
         # nothing to solve for an empty source, or one that takes every document ``cap`` times
         ((F.col("source_size") > 0) & (F.col("target") < cap * F.col("source_size") * (1 - 1e-12))).alias("open"),
     )
-    state = materialize(state, "tilt")
+    state = materialize(state.coalesce(1), "tilt")  # a row a source
     x = F.col("size") / F.col("scale")
     rate = F.least(F.lit(float(cap)), F.exp(F.least(F.lit(50.0), F.col("lam") * x)))
     for _ in range(rounds):
@@ -78,13 +79,14 @@ def tilt(hist: DataFrame, src: DataFrame, cap: int = CAP, rounds: int = 60) -> D
         gap = F.col("got") - F.col("target")
         lo = F.when(gap < 0, F.col("lam")).otherwise(F.col("lo"))
         hi = F.when(gap > 0, F.col("lam")).otherwise(F.col("hi"))
-        newton = F.col("lam") - gap / F.col("slope")
+        newton = F.col("lam") - F.col("got") * F.log(F.col("got") / F.col("target")) / F.col("slope")
         inside = (F.col("slope") > 0) & (newton > lo) & (newton < hi)
         # bisect the bracket on a logarithmic grid while it is still wide
         mid = F.when((lo > -1e6) & (hi < 1e6), (lo + hi) / 2).when(hi >= 1e6, F.greatest(2 * F.col("lam"), F.lit(0.5))).otherwise(
             F.least(2 * F.col("lam"), F.lit(-0.5))
         )
-        done = F.abs(gap) <= 1e-9 * F.col("target") + 1e-3
+        done = F.abs(gap) <= 1e-6 * F.col("target") + 0.5
+        last = state
         state = materialize(
             j.select(
                 "idx", "target", "scale",
@@ -93,9 +95,10 @@ def tilt(hist: DataFrame, src: DataFrame, cap: int = CAP, rounds: int = 60) -> D
                 F.when(F.col("got").isNull(), F.col("hi")).otherwise(hi).alias("hi"),
                 F.coalesce(done, F.col("ok")).alias("ok"),
                 "open",
-            ),
+            ).coalesce(1),
             "tilt",
         )
+        discard(last)
         if state.where("open and not ok").isEmpty():
             break
     return state.select("idx", "lam", "scale", "open")
@@ -108,15 +111,28 @@ def mix(docs: DataFrame, cap: int = CAP, fixups: int = 6, bucket_rows: int = 200
     one source and size share a rate, so all solving happens on the histogram of (source,
     size); whole copies are dealt to cells of it by systematic rounding from long to short,
     and what is left is filled with single copies, largest that fits first.  Within a cell
-    documents are served in the order of a hash of doc_id.  Reruns agree; repeated rows count
+    documents are served in the order of a hash of doc_id and text.  Reruns agree; repeated rows count
     as rows of their own; null text has size 0 (taken 0); null source is a source; further
     columns are ignored; an empty table gives no rows.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
+    base = docs.select(F.lit(0).cast("long").alias("key"), *_base("doc_id", "source", "text"))
+    return _mix(base, cap, fixups, bucket_rows).drop("key")
+
+
+def _base(doc_id: str, source: str, text: str) -> list[Column]:
+    """What mixing needs of a document; ``h`` tells rows apart, so that rows without an id spread as well."""
+    return [
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
+        F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("h"),
+    ]
+
+
+def _mix(base: DataFrame, cap: int, fixups: int = 6, bucket_rows: int = 200_000) -> DataFrame:
+    """:func:`mix` over rows ``key, doc_id, source, size, h``, which keep their key."""
     base = materialize(base, "mix")
     n = base.count()
     parts = max(1, -(-n // bucket_rows))  # a cell of equal rows is served in this many parts
-    base = base.withColumn("b", F.pmod(F.xxhash64("doc_id", "size"), F.lit(parts)).cast("int"))
+    base = base.withColumn("b", F.pmod("h", F.lit(parts)).cast("int"))
     fine = materialize(base.groupBy("source", "size", "b").agg(F.count("*").alias("cb")), "mix")
     sizes = fine.groupBy("source").agg(F.sum(F.col("size") * F.col("cb")).alias("source_size"), F.sum("cb").alias("n"))
     src = source_targets(sizes.select("source", "source_size"), cap=cap)
@@ -165,38 +181,25 @@ def mix(docs: DataFrame, cap: int = CAP, fixups: int = 6, bucket_rows: int = 200
     part = part.select(
         F.col("source").alias("s"), F.col("size").alias("z"), F.col("b").alias("bb"), "cb", "kb", "source_size", "target", "rate"
     )
-    rank = F.row_number().over(W.partitionBy("source", "size", "b").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
+    rank = F.row_number().over(W.partitionBy("source", "size", "b").orderBy(F.xxhash64("h", F.lit(7)), "doc_id", "key"))
     ranked = base.withColumn("rank", rank)
     out = ranked.join(part, ranked["source"].eqNullSafe(part["s"]) & (ranked["size"] == part["z"]) & (ranked["b"] == part["bb"]))
     copies = (F.expr("kb div cb") + (F.col("rank") <= F.col("kb") % F.col("cb")).cast("long")).cast("long")
     out = out.withColumn("copies", F.when(F.col("size") == 0, F.lit(1).cast("long")).otherwise(copies))
     return out.select(
-        "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "key", "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
 def repeat_by_mix(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """Every document as many times as the mix takes it, columns unchanged.
 
-    Rows are matched to their copies by (doc_id, source, size) and their place among rows that
-    agree in these, so repeated rows stay rows of their own.
+    Rows are written with a key and matched to their copies by it, so repeated rows and rows
+    without an id are rows of their own.  Sizes, nulls and empty tables: see :func:`mix`.
     """
     cols = docs.columns
-    plan = mix(docs, cap).select("doc_id", "source", "size", "copies")
-    key = W.partitionBy("k_id", "k_source", "k_size")
-    plan = plan.select(
-        F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), F.col("copies").alias("k_copies")
-    ).withColumn("k_row", F.row_number().over(key.orderBy("k_copies")))
-    rows = docs.withColumns(
-        {"d_id": F.col("doc_id").cast("long"), "d_source": F.col("source"), "d_size": word_count(F.col("text"))}
-    )
-    rows = rows.withColumn("d_row", F.row_number().over(W.partitionBy("d_id", "d_source", "d_size").orderBy("text")))
-    both = rows.join(
-        plan,
-        rows["d_id"].eqNullSafe(plan["k_id"])
-        & rows["d_source"].eqNullSafe(plan["k_source"])
-        & (rows["d_size"] == plan["k_size"])
-        & (rows["d_row"] == plan["k_row"]),
-    )
-    both = both.where("k_copies > 0").withColumn("k_each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k_copies"))))
-    return both.select(*[F.col(f"`{c}`") for c in cols])
+    keyed = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("doc"), F.monotonically_increasing_id().alias("key")), "keyed")
+    plan = _mix(keyed.select("key", *_base("doc.doc_id", "doc.source", "doc.text")), cap).where("copies > 0").select("key", "copies")
+    rows = keyed.join(plan.hint("merge"), "key")
+    rows = rows.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.select(*[F.col("doc").getField(c).alias(c) for c in cols])
