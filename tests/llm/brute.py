@@ -59,26 +59,32 @@ def repeats(docs, length=100):
     return out
 
 
+WORDS = "(?i:password|passwd|secret|token|api_?key)"
 RULES = [
-    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8),
+    ("assign", re.compile("(" + WORDS + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
     ("hex", re.compile(r"[0-9a-f]+"), 0, 32),
+    ("github", re.compile(r"gh[pousr]_[A-Za-z0-9]+"), 0, 40),
+    ("slack", re.compile(r"xox[baprs]-[A-Za-z0-9-]{10,}"), 0, 0),
+    ("google", re.compile(r"AIza[0-9A-Za-z_-]{35}"), 0, 0),
+    ("stripe", re.compile(r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}"), 0, 0),
+    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"), 0, 0),
+    ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), 0, 0),
 ]
-ANY_CASE = re.compile(RULES[0][1].pattern.replace("(password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))"))
 
 
 def secrets(text):
+    """(n_assign, n_access, n_hex, base_sha256, spans, n_more)"""
     found = []
     for o, (kind, pattern, group, least) in enumerate(RULES):
-        if kind == "assign":
-            pattern = re.compile(ANY_CASE.pattern, re.ASCII)
         for m in pattern.finditer(text or ""):
             if len(m.group(group)) >= least:
                 found.append((m.start(), o, m.end(), kind))
     found.sort()
-    text = ",".join(f"{k}:{a}:{b}" for a, _, b, k in found)
-    counts = tuple(sum(f[3] == k for f in found) for k, *_ in RULES)
-    return (*counts, hashlib.sha256(text.encode()).hexdigest(), text)
+    digits = lambda f: ",".join(f"{k}:{a}:{b}" for a, _, b, k in f)
+    counts = tuple(sum(f[1] == o for f in found) for o in range(3))
+    base = digits([f for f in found if f[1] < 3])
+    return (*counts, hashlib.sha256(base.encode()).hexdigest(), digits(found), sum(f[1] >= 3 for f in found))
 
 
 def contained(docs, items, percent=80):

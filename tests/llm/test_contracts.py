@@ -59,7 +59,10 @@ def test_tokens(spark, docs):
 
     tok = Tokenizer.from_file(Q.vocabulary())
     ids = {i: tok.encode(t or "", add_special_tokens=False).ids for i, t, *_ in docs}
-    assert all(r["n_tokens"] == len(ids[r["doc_id"]]) for r in run(spark, "op9_token_counts"))
+    size = {i: len((t or "").encode()) for i, t, *_ in docs}
+    for r in run(spark, "op9_token_counts"):
+        n = len(ids[r["doc_id"]])
+        assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, size[r["doc_id"]], n > 2048)
     got, at = {r["doc_id"]: r for r in run(spark, "op6_token_ids")}, 0
     for i in sorted(ids):
         own = ids[i] + [1]
@@ -67,6 +70,11 @@ def test_tokens(spark, docs):
         at += len(own)
 
 
+def test_secrets(spark, docs):
+    got = {r["doc_id"]: tuple(r)[1:] for r in run(spark, "op4_secret_scan")}
+    assert got == {i: brute.secrets(t) for i, t, *_ in docs} and any(g[0] for g in got.values())
+
+
 def test_mixing(spark, docs):
     size = {i: len(brute.WORD.findall(t or "")) for i, t, *_ in docs}
     src, total = {i: s for i, _, _, s in docs}, collections.Counter()
