@@ -586,6 +586,21 @@ FAMILIES = {
 }
 
 
+def flags_from_canonical(df: DataFrame, text: str = "canonical", keys: tuple[str, ...] = ("request_id", "label")) -> DataFrame:
+    """The flags of canonical text, where the typed row is gone: keys and flag, as often as it stands there.
+
+    A line's flags are the known flag names at its end; the [QMETA] and [HAGG] lines sum up others and are left out.
+    """
+    known = "^(?:" + "|".join(n for names in FAMILIES.values() for n in names) + r")(?::\S*)?\z"
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\[(?:METHOD|URL|QUERY|HEADER|QSEP|FLAGS)\] "))
+
+    def last(line: Column) -> Column:
+        words = F.transform(F.array(F.reverse(F.split(line, " "))), lambda w: F.slice(w, 1, F.array_position(F.transform(w, lambda x: x.rlike(known)), False) - 1))
+        return words[0]  # the tag in front is no flag, so there always is a first word that is none
+
+    return T.unnest(df, F.flatten(F.transform(lines, last)), "flag", *keys).select(*keys, "flag")
+
+
 def family_of(flag: Column) -> Column:
     name = F.substring_index(flag, ":", 1)
     out = F.when(name.isNull(), F.lit(None).cast("string"))

@@ -95,16 +95,13 @@ def c5_pareto_frontier(spark, sf_dir):
     return joins.pareto_frontier(runs(spark, sf_dir), 0.05).select("run_id", "recall", "fpr")
 
 
-TERMS = """terms AS (SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS t FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', ' ', 'g') AS text FROM documents)) GROUP BY ALL)"""
-
-
-def plain(df):
-    """Documents with non-ASCII characters blanked, so that both engines see the same word letters."""
-    return df.withColumn("text", F.regexp_replace("text", "[^ -~]", " "))
+#: What (?U)\\w takes: letters, marks, digits, letter numbers and connectors.
+TERM = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}"
+TERMS = f"""terms AS (SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS t FROM documents) GROUP BY ALL)"""
 
 
 def terms(spark, sf_dir):
-    return features.term_counts(plain(table(spark, sf_dir, "documents")), "doc_id", features.tokenize(F.col("text")))
+    return features.term_counts(table(spark, sf_dir, "documents"), "doc_id", features.tokenize(F.col("text")))
 
 
 @query(f"""WITH {TERMS}, top AS (SELECT term FROM terms GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 50) SELECT term, count(*) AS docs, sum(tf) AS tf FROM terms WHERE term IN (FROM top) GROUP BY term""")

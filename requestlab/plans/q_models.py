@@ -10,7 +10,7 @@ from requestlab.sources import requests as R
 from requestlab.streaming import streams
 
 from . import registry, runs
-from .q_eval import METRIC_SQL, TERMS, VEC, plain, rounded, terms
+from .q_eval import METRIC_SQL, TERM, TERMS, VEC, rounded, terms
 from .q_requests import _FAMILY, FLAGS, folder, long_flags, normalized
 from .tables import REQUESTS_SQL, requests, table, vectors
 
@@ -40,13 +40,14 @@ def vocabulary(spark, sf_dir):
 # ---- E -----------------------------------------------------------------------------------
 
 
-@query(r"""SELECT doc_id, len(t) AS n_words, len(t) + greatest(len(t) - 1, 0) AS n_grams FROM (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[^ -~]', ' ', 'g')), '[a-z0-9_]{2,}') AS t FROM documents)""")
+@query(f"""SELECT doc_id, coalesce(len(t), 0) AS n_words, coalesce(len(t) + greatest(len(t) - 1, 0), 0) AS n_grams, md5(coalesce(array_to_string(t, ' '), '')) AS words FROM (SELECT doc_id, regexp_extract_all(lower(text), '{TERM}') AS t FROM documents)""")
 def e1_tokenize(spark, sf_dir):
-    d = plain(table(spark, sf_dir, "documents"))
-    return d.select(
+    words = features.tokenize(F.col("text"))
+    return table(spark, sf_dir, "documents").select(
         "doc_id",
-        F.size(features.tokenize(F.col("text"))).cast("long").alias("n_words"),
+        F.size(words).cast("long").alias("n_words"),
         F.size(features.tokenize(F.col("text"), n=2)).cast("long").alias("n_grams"),
+        F.md5(F.array_join(words, " ")).alias("words"),
     )
 
 
@@ -275,7 +276,7 @@ w AS (SELECT doc_id, tf * (ln((1 + (SELECT count(*) FROM e)) / (1 + df)) + 1) AS
 SELECT doc_id, 150 AS dims, coalesce(c, 0) AS nonzero, round(coalesce(top, 0), 5) AS top FROM documents LEFT JOIN n USING (doc_id)""")
 def k3_tfidf_encoder(spark, sf_dir):
     """The registered encoder, fitted on English texts, saved, loaded and applied to all."""
-    docs = plain(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     path = folder(spark, "k3")
     registry.ENCODERS.get("TFIDF")(max_features=150).fit(docs.where("lang = 'en'")).save(spark, path)
     got = encoders.load(spark, path).encode(docs)
@@ -371,7 +372,7 @@ def s4_flag_rate_monitor(spark, sf_dir):
 
 @query()
 def r1_tfidf_pca_detector_run(spark, sf_dir):
-    d = plain(table(spark, sf_dir, "documents")).select("doc_id", "text", F.when(F.col("lang") == "en", "valid").otherwise("attack").alias("label"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("lang") == "en", "valid").otherwise("attack").alias("label"))
     return rounded(runs.pca_detector_run(runs.text_vectors(d, 150), 20))
 
 
@@ -444,7 +445,7 @@ def r7_mi_k_sweep(spark, sf_dir):
 
 @query()
 def r7_token_mi_sweep(spark, sf_dir):
-    d = plain(table(spark, sf_dir, "documents")).select("doc_id", "text", F.when(F.col("lang") == "en", "valid").otherwise("attack").alias("label"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("lang") == "en", "valid").otherwise("attack").alias("label"))
     return rounded(runs.token_mi_sweep(d, [8, 24], lambda: D.OneClassSVM(n_features=64, max_iter=5)))
 
 

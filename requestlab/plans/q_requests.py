@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,11 +172,13 @@ def a8_write_predictions(spark, sf_dir):
     return spark.read.schema("request_id long, prediction boolean, label string, score double").json(path).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
-@query(f"{BASE} SELECT count(*) AS documents FROM req WHERE label = 'valid'")
+@query(f"""{BASE} SELECT first_line, count(*) AS n FROM (SELECT concat('[METHOD] ', method, CASE WHEN method = 'PROPFIND' THEN ' UNUSUAL_METHOD' ELSE '' END) AS first_line FROM good WHERE label = 'valid'
+UNION ALL SELECT split_part(request, chr(10), 1) FROM cut WHERE label = 'valid' AND len(parts) <> 3) GROUP BY 1""")
 def a9_corpus(spark, sf_dir):
+    """Documents of the corpus by their first line: canonical text, or the raw one of rejected requests."""
     path = folder(spark, "a9")
     R.write_corpus(R.build_corpus(normalize.normalize_requests(requests(spark, sf_dir))), path)
-    return R.read_corpus(spark, path).agg(F.count("*").alias("documents"))
+    return R.read_corpus(spark, path).groupBy(F.substring_index("text", "\n", 1).alias("first_line")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT CASE event_type WHEN 'error' THEN 'attack' ELSE 'valid' END AS label, count(*) AS n FROM events GROUP BY 1")
@@ -296,12 +300,25 @@ def b11_absolute_url(spark, sf_dir):
     return df.select("request_id", "url_abs", F.array_contains("flags", "BADHOST").alias("badhost"))
 
 
-_HOST = "CASE event_id % 8 WHEN 0 THEN 'a.b' WHEN 1 THEN '10.0.0.1' WHEN 2 THEN '10.0.0.256' WHEN 3 THEN '[::1]' WHEN 4 THEN '[1::2::3]' WHEN 5 THEN 'local' WHEN 6 THEN 'a..b' ELSE '-a.b' END"
+_HOSTS = """(SELECT page_id, h, unnest([h, replace(h, '.', '..'), concat('-', h), split_part(h, '.', 1), concat(split_part(h, '.', 2), '.', split_part(h, '.', 3)), concat(page_id % 300, '.', page_id % 256, '.7.', page_id % 270),
+  concat('[', format('{:x}', page_id), '::', format('{:x}', page_id * 31), ']'), concat('[', format('{:x}', page_id), '::1::2]')]) AS host FROM (SELECT page_id, split_part(url, '/', 3) AS h FROM pages))"""
 
 
-@query("SELECT event_id AS request_id, event_id % 8 IN (0, 1, 3) AS ok FROM events")
+@query(f"""SELECT page_id, host, CASE WHEN starts_with(host, '[') THEN NOT regexp_matches(host, '::.*::') WHEN length(host) - length(replace(host, '.', '')) = 3 THEN
+  regexp_matches(host, '^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+$') AND coalesce(list_max(list_transform(string_split(host, '.'), lambda x: TRY_CAST(x AS INT))), 999) <= 255
+  ELSE contains(host, '.') AND NOT contains(host, '..') AND regexp_matches(host, '^[A-Za-z0-9]') END AS ok FROM {_HOSTS}""")
 def b12_validate_host(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), normalize.host_is_valid(F.expr(_HOST)).alias("ok"))
+    """Hosts of the pages, with doubled dots, a hyphen in front, single and two labels, and addresses from their ids."""
+    h = F.split_part("url", F.lit("/"), F.lit(3))
+    part = lambda i: F.split_part("h", F.lit("."), F.lit(i))
+    n = F.col("page_id")
+    hexed = lambda c: F.lower(F.hex(c))
+    cell = F.array(
+        F.col("h"), F.replace("h", F.lit("."), F.lit("..")), F.concat(F.lit("-"), "h"), part(1), F.concat_ws(".", part(2), part(3)), F.concat_ws(".", n % 300, n % 256, F.lit("7"), n % 270),
+        F.concat(F.lit("["), hexed(n), F.lit("::"), hexed(n * 31), F.lit("]")), F.concat(F.lit("["), hexed(n), F.lit("::1::2]")),
+    )
+    pages = table(spark, sf_dir, "pages").select("page_id", h.alias("h"))
+    return pages.select("page_id", F.explode(cell).alias("host")).withColumn("ok", normalize.host_is_valid(F.col("host")))
 
 
 _UNI = "concat('/', CASE event_id % 6 WHEN 0 THEN chr(65313) WHEN 1 THEN chr(8203) WHEN 2 THEN chr(119808) WHEN 3 THEN chr(57344) WHEN 4 THEN '%00' ELSE 'x' END)"
@@ -330,10 +347,17 @@ def b15_percent_decode_once(spark, sf_dir):
     return df.withColumn("decoded", dec).select("request_id", "token", "decoded", joined(T.percent_flags(F.col("decoded"), "QUERY")).alias("flags"))
 
 
-@query("""SELECT event_id AS request_id, event_id % 6 IN (0, 1, 2, 3) AS entity FROM events""")
+_NAMED = sorted(html.entities.html5)
+_ENTITY = f"""(regexp_matches(x, '&(#[0-9]|#[xX][0-9a-fA-F]|{"|".join(n for n in _NAMED if not n.endswith(";"))})') OR list_has_any(regexp_extract_all(x, '&([A-Za-z0-9]{{1,32}};)', 1), string_split('{" ".join(n for n in _NAMED if n.endswith(";"))}', ' ')))"""
+
+
+@query(f"""SELECT page_id, part, {_ENTITY} AS entity FROM (SELECT page_id, 'html' AS part, html AS x FROM pages UNION ALL SELECT page_id, 'url', url FROM pages UNION ALL SELECT page_id, 'word', concat('&', regexp_extract(html, '<a href="/([^"]*)', 1), ';') FROM pages)""")
 def b16_html_entity_flag(spark, sf_dir):
-    c = F.expr("CASE event_id % 6 WHEN 0 THEN 'a&#60b' WHEN 1 THEN '&lt;' WHEN 2 THEN '&copyx' WHEN 3 THEN '&hearts;' WHEN 4 THEN '&nosuch;' ELSE 'a&b=c' END")
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), T.has_html_entity(c).alias("entity"))
+    """Pages, their addresses, and a word of theirs put as an entity."""
+    word = F.concat(F.lit("&"), F.regexp_extract("html", '<a href="/([^"]*)', 1), F.lit(";"))
+    parts = F.array(*[F.struct(F.lit(n).alias("part"), c.alias("x")) for n, c in (("html", F.col("html")), ("url", F.col("url")), ("word", word))])
+    pages = table(spark, sf_dir, "pages").select("page_id", F.explode(parts).alias("p"))
+    return pages.select("page_id", "p.part", T.has_html_entity(F.col("p.x")).alias("entity"))
 
 
 QUERY_STEPS = (normalize.split_query, *HEADER_STEPS, normalize.flag_dangerous, normalize.percent_decode, normalize.parse_params)
@@ -357,14 +381,23 @@ def b17_b18_query_params(spark, sf_dir):
     )
 
 
-_SHAPES = ["eyJ.ab-c.d_e", "550e8400-e29b-41d4-a716-446655440000", "10.1.2.3", "1:2:3:4:5:6:7:8", "abc_123", "ab+/cd==", "a@b.co", "https://x.y/z", "12.50", "with space"]
-_SHAPE_NAMES = ["jwt", "b64url", "ipv4", "ipv6", "b64url", "b64", "email", "uaxurl", "num", "mixed"]
+#: Values made of an event: its number, type, text, digests in several forms, an address, a mail address, a link.
+_VALUES = """(SELECT event_id AS request_id, unnest([CAST(value AS VARCHAR), event_type, props, md5(props), concat(left(md5(props), 8), '-', substr(md5(props), 9, 4), '-4', substr(md5(props), 14, 3), '-a', substr(md5(props), 18, 3), '-', right(md5(props), 12)),
+  concat(user_id % 256, '.', event_id % 256, '.0.1'), concat(event_type, user_id, '@example.com'), concat('https://example.com/', event_type), concat(md5(props), '=='), concat('eyJ', md5(props), '.', event_type, '.', md5(event_type))]) AS v FROM events)"""
 
 
-@query(f"""SELECT event_id AS request_id, CASE event_id % 10 {' '.join(f"WHEN {i} THEN '{n if n != 'b64url' or i != 1 else 'uuid'}'" for i, n in enumerate(_SHAPE_NAMES))} END AS shape FROM events""")
+@query(f"""SELECT request_id, v, CASE {" ".join(f"WHEN regexp_matches(v, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for n, p in T.SHAPES)} ELSE 'mixed' END AS shape FROM {_VALUES}""")
 def b19_value_shape(spark, sf_dir):
-    v = F.element_at(F.lit(_SHAPES), (F.col("event_id") % 10 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), T.value_shape(v).alias("shape"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props", F.md5("props").alias("m"))
+    m = F.col("m")
+    cut = lambda a, n: F.substring(m, a, n)
+    uuid_ = F.concat(cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-4"), cut(14, 3), F.lit("-a"), cut(18, 3), F.lit("-"), F.right(m, F.lit(12)))
+    cell = F.array(
+        F.col("value").cast("string"), "event_type", "props", m, uuid_, F.concat(F.col("user_id") % 256, F.lit("."), F.col("event_id") % 256, F.lit(".0.1")),
+        F.concat("event_type", "user_id", F.lit("@example.com")), F.concat(F.lit("https://example.com/"), "event_type"), F.concat(m, F.lit("==")),
+        F.concat(F.lit("eyJ"), m, F.lit("."), "event_type", F.lit("."), F.md5("event_type")),
+    )
+    return e.select(F.col("event_id").alias("request_id"), F.explode(cell).alias("v")).withColumn("shape", T.value_shape(F.col("v")))
 
 
 @query(f"""{PARAMS} SELECT request_id, n AS pos, CASE WHEN value IS NULL THEN key WHEN key = 'token' OR key = 'k' AND false THEN concat(key, '=<SECRET:b64url:', strlen(value), '>') ELSE concat(key, '=', value) END AS display FROM num""")
@@ -453,12 +486,18 @@ def b29_length_buckets(spark, sf_dir):
     return normalize.length_buckets(normalized(spark, sf_dir)).select("request_id", "plen", "hcnt", "hlen")
 
 
-_EOL = "CASE event_id % 4 WHEN 0 THEN concat('a', chr(10), 'b') WHEN 1 THEN concat('a', chr(13), chr(10), 'b', chr(13), chr(10)) WHEN 2 THEN concat('a', chr(13), 'b', chr(10)) ELSE 'a' END"
+_LF, _CR = "contains(replace(t, chr(13) || chr(10), ''), chr(10))", "contains(replace(t, chr(13) || chr(10), ''), chr(13))"
 
 
-@query("""SELECT event_id AS request_id, CASE event_id % 4 WHEN 0 THEN 'EOL_BARELF EOL_EOF_NOCRLF' WHEN 1 THEN '' WHEN 2 THEN 'EOL_BARECR EOL_BARELF EOL_EOF_NOCRLF EOLMIX' ELSE 'EOL_EOF_NOCRLF' END AS flags FROM events""")
+@query(f"""SELECT doc_id, k, concat_ws(' ', CASE WHEN {_CR} THEN 'EOL_BARECR' END, CASE WHEN {_LF} THEN 'EOL_BARELF' END, CASE WHEN NOT ends_with(t, chr(13) || chr(10)) THEN 'EOL_EOF_NOCRLF' END,
+  CASE WHEN CAST({_LF} AS INT) + CAST({_CR} AS INT) + CAST(contains(t, chr(13) || chr(10)) AS INT) >= 2 THEN 'EOLMIX' END) AS flags
+FROM (SELECT doc_id, unnest([1, 2, 3, 4]) AS k, unnest([text, replace(text, chr(10), chr(13) || chr(10)) || chr(13) || chr(10), replace(text, '. ', '.' || chr(13)), replace(text, ', ', chr(13) || chr(10))]) AS t FROM documents)""")
 def b30_eol_anomalies(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), joined(T.eol_anomalies(F.expr(_EOL))).alias("flags"))
+    """Texts with their own line ends, with CRLF, and with CR or CRLF in place of some blanks."""
+    t = F.col("text")
+    cell = F.array(t, F.concat(F.replace(t, F.lit("\n"), F.lit("\r\n")), F.lit("\r\n")), F.replace(t, F.lit(". "), F.lit(".\r")), F.replace(t, F.lit(", "), F.lit("\r\n")))
+    got = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(cell).alias("k", "t"))
+    return got.select("doc_id", (F.col("k") + 1).alias("k"), joined(T.eol_anomalies(F.col("t"))).alias("flags"))
 
 
 @query(f"{FLAGS} SELECT g.request_id, count(f.flag) AS n_flags, count(DISTINCT f.flag) AS n_unique FROM good g LEFT JOIN flg f USING (request_id) GROUP BY 1")
@@ -467,6 +506,13 @@ def b31_normalize_requests(spark, sf_dir):
     return df.select("request_id", F.size("all_flags").cast("long").alias("n_flags"), F.size(F.array_distinct("all_flags")).cast("long").alias("n_unique"))
 
 
+@query(f"{FLAGS} SELECT request_id, flag, count(*) AS n FROM flg GROUP BY ALL")
+def b28_flags_from_text(spark, sf_dir):
+    """Flags read back from the canonical text alone."""
+    got = normalize.flags_from_canonical(normalized(spark, sf_dir).select("request_id", "canonical"), keys=("request_id",))
+    return got.groupBy("request_id", "flag").agg(F.count("*").alias("n"))
+
+
 _FAMILY = "CASE " + " ".join(f"WHEN split_part(flag, ':', 1) IN ({', '.join(repr(n) for n in names)}) THEN '{fam}'" for fam, names in normalize.FAMILIES.items()) + " ELSE 'other' END"
 
 

@@ -123,8 +123,8 @@ def build_corpus(normalized: DataFrame) -> DataFrame:
 
 
 def write_corpus(corpus: DataFrame, path: str) -> None:
-    """Documents separated by a blank line."""
-    corpus.select(F.concat("text", F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
+    """Documents separated by a blank line; blank lines inside a document are left out, so that it stays one."""
+    corpus.select(F.concat(F.regexp_replace("text", r"\n[ \t\r]*(?=\n)|^\s*\n", ""), F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
