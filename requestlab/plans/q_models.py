@@ -363,6 +363,7 @@ def s3_stream_batch_metrics(spark, sf_dir):
 
 @query(f"{FLAGS} SELECT time_bucket(INTERVAL 10 MINUTES, CAST(ts AS TIMESTAMP)) AS window_start, {_FAMILY} AS family, count(*) AS n_flags FROM flg JOIN good USING (request_id) GROUP BY ALL")
 def s4_flag_rate_monitor(spark, sf_dir):
+    """Malformed requests are left out, as they are in the flag statistics."""
     stream = streams.stream_normalize(event_stream(spark, sf_dir)).where("error IS NULL")
     return streams.run_complete(streams.flag_rate_monitor(stream), folder(spark, "s4"))
 
