@@ -369,13 +369,28 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def _grams(docs: DataFrame) -> DataFrame:
-    """Anchor grams of distinct texts: ``gram, hi, twice`` (found more than once in the text)."""
+    """Anchor grams of distinct texts: ``part, gram, hi, twice, settled``.
+
+    ``twice``: known to repeat.  What a portion of texts knows to repeat (in two of its texts, or twice
+    in one) needs no further look: all its rows but one are ``settled`` and dealt by text, and one
+    goes on by gram to tell other portions.  So a gram of very many texts sends a few rows by gram.
+    """
+
+    def portion(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        gram, hi, twice = (np.concatenate(c) for c in zip(*held, strict=True))
+        _, first, place, count = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
+        often = np.bitwise_or.reduceat(twice[np.argsort(place, kind="stable")], np.cumsum(count) - count) | (count > 1)
+        known = often[place]
+        settled = known.copy()
+        settled[first] = False
+        cols = [pa.array(np.where(settled, hi, gram)), pa.array(gram), pa.array(hi), pa.array(known), pa.array(settled)]
+        return pa.RecordBatch.from_arrays(cols, names=["part", "gram", "hi", "twice", "settled"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
-            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            size = 0
             for data in texts(batch.column(0)):
                 if len(data) < LENGTH or (d := digest(data)) in seen:
                     continue
@@ -386,18 +401,19 @@ def _grams(docs: DataFrame) -> DataFrame:
                 held.append((gram.view(np.int64), np.full(len(gram), d[0], np.int64), n > 1))
                 size += len(gram)
                 if size > RUN:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["gram", "hi", "twice"])
+                    yield portion(held)
                     held, size = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["gram", "hi", "twice"])
+        if held:
+            yield portion(held)
 
-    return docs.select("text").mapInArrow(run, "gram long, hi long, twice boolean")
+    return docs.select("text").mapInArrow(run, "part long, gram long, hi long, twice boolean, settled boolean")
 
 
 def _repeated(grams: DataFrame) -> DataFrame:
     """``hi, gram`` of grams that occur in two texts or twice in one; the rest cannot repeat 100 bytes.
 
     Rows come sorted, so a stream with one row of memory decides; a frequent gram needs no buffer.
+    Settled rows pass.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,13 +451,16 @@ def _repeated(grams: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(out[1]), pa.array(out[0])], names=["hi", "gram"])
 
         for batch in batches:
-            g, h, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            g, h, t, done = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            if done.any():
+                yield pa.RecordBatch.from_arrays([pa.array(h[done]), pa.array(g[done])], names=["hi", "gram"])
+                g, h, t = g[~done], h[~done], t[~done]
             gram, hi, twice = np.concatenate([gram, g]), np.concatenate([hi, h]), np.concatenate([twice, t.astype(bool)])
             yield from emit(False)
         yield from emit(True)
 
-    sorted_ = grams.repartition("gram").sortWithinPartitions("gram", "hi")
-    return sorted_.mapInArrow(run, "hi long, gram long")
+    sorted_ = grams.repartition("part").sortWithinPartitions("gram", "hi")
+    return sorted_.select("gram", "hi", "twice", "settled").mapInArrow(run, "hi long, gram long")
 
 
 def _runs(texts_: DataFrame, bounds: np.ndarray) -> DataFrame:
