@@ -10,15 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shingles import spread
 from .tables import materialize
 
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 8192
 #: Entries of one list that are read at once, as a share of the list.
-PORTION = 1 / 64
+PORTION = 1 / 32
 #: Shares of all entries after which the bounds are looked at.
-LOOKS = (0.25, 0.375, *(x / 32 for x in range(15, 32)))
+LOOKS = (0.375, 0.5, *(x / 16 for x in range(9, 16)), 31 / 32)
 LOWEST = -(1 << 62)
 
 
@@ -31,6 +30,8 @@ class SortedLists:
         places = np.argsort(self.vectors, axis=0, kind="stable")
         self.places = np.ascontiguousarray(places.T)
         self.values = np.ascontiguousarray(np.take_along_axis(self.vectors, places, axis=0).T)
+        self.floats = self.values.astype(np.float64)
+        self.slots = self.places * self.vectors.shape[1] + np.arange(self.vectors.shape[1])[:, None]  # (row, list) of an entry as one number
         n = len(ids)
         self.cuts = np.unique(np.append(np.arange(0, n, max(1, int(n * PORTION))), n))
         # what an unread entry can be at most when a portion was read, from the high and from the low end
@@ -63,10 +64,11 @@ class SortedLists:
         n, d = len(self.ids), len(query)
         exact = float(np.abs(self.vectors).max(initial=0)) * float(np.abs(query).sum()) < 2**50
         kind = np.float64 if exact else np.int64  # doubles are exact while every sum stays below 2^53
-        high, weight = query > 0, query.astype(kind)
+        high, weight, values = query > 0, query.astype(kind), self.floats if exact else self.values
         worst = np.where(high, self.values[:, 0], self.values[:, -1]) * weight
         lower = np.full(n, worst.sum())
         seen = np.zeros((n, d), kind)
+        flags = seen.ravel()
         alive = np.ones(n, bool)
         alive[own] = False
         left = np.flatnonzero(alive)
@@ -75,15 +77,17 @@ class SortedLists:
         done = np.zeros(d, np.int64)  # portions read of each list
         for share in LOOKS if len(lists) else ():
             upto = np.bincount(lists[: int(len(lists) * share)], minlength=d)
-            begin, end = self.cuts[done], self.cuts[upto]
-            at = spread(np.where(high, n - end, begin), end - begin)  # places in the lists
-            j = np.repeat(np.arange(d), end - begin)
-            rows, values = self.places[j, at], self.values[j, at]
-            add = values * weight[j] - worst[j]
-            lower += np.bincount(rows, add, minlength=n) if exact else 0
-            if not exact:
+            more = np.flatnonzero(upto > done)
+            begin, end = self.cuts[done[more]], self.cuts[upto[more]]
+            begin, end = np.where(high[more], n - end, begin), np.where(high[more], n - begin, end)  # places in the lists
+            ranges = list(zip(more.tolist(), begin.tolist(), end.tolist(), strict=True))
+            rows = np.concatenate([self.places[j, x:y] for j, x, y in ranges])
+            add = np.concatenate([values[j, x:y] * w - v for (j, x, y), w, v in zip(ranges, weight[more].tolist(), worst[more].tolist(), strict=True)])
+            if exact:
+                lower += np.bincount(rows, add, minlength=n)
+            else:
                 np.add.at(lower, rows, add)
-            seen[rows, j] = 1
+            flags[np.concatenate([self.slots[j, x:y] for j, x, y in ranges])] = 1
             read, done = read + len(rows), upto
             # the best entry that a list still holds
             slack = np.where(high, self.high[np.arange(d), upto - 1], self.low[np.arange(d), upto - 1]) * weight
@@ -92,7 +96,8 @@ class SortedLists:
             if len(left) >= k:
                 some = lower[left]
                 bar = max(bar, int(np.partition(some, len(some) - k)[len(some) - k]))
-            left = left[lower[left] + slack.sum() - seen[left] @ slack >= bar]
+            unread = slack.sum() - ((seen @ slack)[left] if 2 * len(left) > n else seen[left] @ slack)
+            left = left[lower[left] + unread >= bar]
             if len(left) <= few:
                 break
         score = self.vectors[left] @ query
@@ -129,8 +134,8 @@ def search(
     n, nq = rows.agg(F.sum("c"), F.count_if("q")).first()
     spark = vectors.sparkSession
     cb, tiles = max(1, -(-(n or 0) // block_rows)), max(1, -(-(nq or 0) // block_queries))
-    # as many groups of blocks as give every task of a shuffle something to do
-    groups = min(cb, max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // tiles)))
+    # as many groups of blocks as give every core something to do; within a group bounds carry over
+    groups = min(cb, max(1, -(-spark.sparkContext.defaultParallelism // tiles)))
     cell = F.collect_list(F.struct("id", "v", "c")).alias("rows")
     tile = F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(tiles)).cast("int").alias("tile")
     queries = rows.where("q").groupBy(tile).agg(cell).select("tile", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(-1).alias("cb"), "rows")
