@@ -96,7 +96,7 @@ def _spans_sql() -> str:
     def one(i: int, r: secrets.Rule) -> str:
         p = r.pattern.replace("'", "''")
         value = f"regexp_extract(hit, '{p}', {r.group})" if r.group else "hit"
-        return f"""SELECT doc_id, {i} AS ord, '{r.kind}' AS kind, at - length(hit) AS a, at AS b FROM (SELECT doc_id, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY k) AS at
+        return f"""SELECT doc_id, {i} AS ord, '{r.kind}' AS kind, upto - length(hit) AS a, upto AS b FROM (SELECT doc_id, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY k) AS upto
   FROM (SELECT doc_id, unnest(hits) AS hit, unnest(gaps[:len(hits)]) AS gap, generate_subscripts(hits, 1) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS gaps FROM documents WHERE text IS NOT NULL))) WHERE length({value}) >= {r.min_length}"""
 
     every = " UNION ALL ".join(one(i, r) for i, r in enumerate(secrets.RULES))
