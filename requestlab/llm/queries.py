@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, mixing, secrets, sharding, suffixes, tokens, topk, wavelet
+from . import decontam, jaccard, langid, lexical, merkle, mixing, secrets, sharding, simhash, suffixes, tokens, topk, wavelet
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -73,11 +73,24 @@ def op10_jaccard_links(spark, sf_dir):
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark, sf_dir):
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_simhash(spark, sf_dir):
+    return simhash.simhash_classes(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_suffix_dedup, op3_exact_topk, op4_secret_scan, op5_decontamination, op6_token_ids,
-        op7_mixing, op8_sharding, op9_token_counts, op10_jaccard_join, op10_jaccard_links,
+        op7_mixing, op8_sharding, op9_token_counts, op10_jaccard_join, op10_jaccard_links, op11_lexical_search, op12_simhash,
+        op13_merkle_manifest,
     )
 }
 

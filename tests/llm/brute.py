@@ -126,3 +126,91 @@ def crc_ids(ids):
     import numpy as np
 
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
+
+
+def classes_by_bits(docs, distance=3):
+    """{row number: (fingerprint, component_id)} of rows (doc_id, text), by comparing all pairs."""
+    import xxhash
+
+    prints = []
+    for _, t in docs:
+        words = WORD.findall(lower(t or ""))
+        n = min(3, len(words))
+        h = [xxhash.xxh64_intdigest(" ".join(words[k : k + n]).encode(), 42) for k in range(len(words) - n + 1)] if words else []
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    known = sorted(set(prints))
+    parent = {f: f for f in known}
+
+    def find(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    for a, f in enumerate(known):
+        for g in known[a + 1 :]:
+            if (f ^ g).bit_count() <= distance:
+                parent[find(f)] = find(g)
+    least = {}
+    for (i, _), f in zip(docs, prints, strict=True):
+        if i is not None:
+            least[find(f)] = min(i, least.get(find(f), i))
+    return [(i, f"{f:016x}", least.get(find(f))) for (i, _), f in zip(docs, prints, strict=True)]
+
+
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def ranked(docs, items, k=50):
+    """Rows (item_id, rank, doc_id, score); docs may repeat, items have distinct ids."""
+    import collections
+    import math
+
+    tf = [(i, collections.Counter(TERM.findall(lower(t or "")))) for i, t in docs]
+    tf = [(i, c) for i, c in tf if c]
+    n_docs, n_all = len(tf), sum(sum(c.values()) for _, c in tf)
+    df = collections.Counter(t for _, c in tf for t in c)
+    out = []
+    for item, text in items:
+        terms, rows = set(TERM.findall(lower(text or ""))), []
+        for i, c in tf:
+            m = 100 - 50 + 50 * sum(c.values()) * n_docs // n_all
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 20 * m)) for t in terms if t in c)
+            if s > 0:
+                rows.append((-s, i is None, i or 0))
+        out += [(item, r + 1, None if null else i, -s) for r, (s, null, i) in enumerate(sorted(rows)[:k])]
+    return out
+
+
+def tree(nodes):
+    """(root, list of the paths of every node: (side, sibling) or None on each level)."""
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    paths, at = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for n, k in enumerate(at):
+            paths[n].append((("L" if k % 2 else "R"), nodes[k ^ 1]) if k ^ 1 < len(nodes) else None)
+        nodes, at = [h("".join(nodes[i : i + 2])) for i in range(0, len(nodes), 2)], [k // 2 for k in at]
+    return nodes[0], paths
+
+
+def merkle(rows):
+    """Rows of the manifest, from (doc_id, source, lang, n_chars, text)."""
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    part = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r: h("".join(map(part, r)))
+    langs, made = sorted({r[2] for r in rows}, key=lambda x: (x is not None, (x or "").encode())), {}
+    for x in langs:
+        own = sorted((r for r in rows if r[2] == x), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        made[x] = (own, *tree([leaf(r) for r in own]))
+    if not langs:
+        return []
+    root, ups = tree([made[x][1] for x in langs])
+    out = []
+    for x, up in zip(langs, ups, strict=True):
+        own, sub, paths = made[x]
+        for r, path in zip(own, paths, strict=True):
+            changed = r[3] is not None and r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0
+            node, whole = leaf((*r[:3], r[3] + 1, r[4])) if changed else leaf(r), path + up
+            for s in whole:
+                node = h(node) if s is None else h(s[1] + node if s[0] == "L" else node + s[1])
+            out.append((r[0], leaf(r), sub, root, h("".join(s[1] for s in whole if s)), node, node == root))
+    return out
