@@ -15,8 +15,8 @@ from .tables import discard, materialize
 #: Ids of one container: 2^CHUNK_BITS neighbours.
 CHUNK_BITS = 12
 CHUNK = 1 << CHUNK_BITS
-#: Levels that one slot array reduces: it has 2^LEVELS slots.
-LEVELS = 8
+#: Levels that one slot array reduces: it has 2^STEP slots.
+STEP = 8
 #: Ids that a task gathers before it sends containers.
 GATHER = 1_000_000
 
@@ -198,26 +198,35 @@ def _coordinates(leaves: DataFrame) -> DataFrame:
     if repeated.isEmpty():
         return _rank(leaves, index)
     key = ["tree", "chunk", "low"]
-    often = leaves.join(repeated.hint("merge"), ["tree", "chunk"], "left_semi").groupBy(*key).agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    often = leaves.join(repeated.hint("merge"), ["tree", "chunk"], "left_semi").groupBy(*key).agg(F.count("*").alias("c"), F.first("doc_id").alias("doc_id")).where("c > 1").drop("c")
     often = materialize(often, "repeated")
     single = leaves.join(often.hint("merge"), key, "left_anti")
-    first = _rank(often.selectExpr(*key, f"chunk * {CHUNK} + low doc_id", "cast(null as string) leaf", "cast(null as string) changed"), index)
-    first = first.selectExpr("tree", "doc_id id", "pos first", "n")
-    rows = leaves.join(often.hint("merge"), key, "left_semi").withColumn("id", F.expr(f"chunk * {CHUNK} + low"))
-    rows = rows.groupBy("tree", "id", "doc_id", "leaf", "changed").agg(F.count("*").alias("c"))
+    first = _rank(often.select(*key, "doc_id", F.lit(None).cast("string").alias("leaf"), F.lit(None).cast("string").alias("changed")), index)
+    first = first.select("tree", F.col("doc_id").alias("id"), F.col("pos").alias("first"), "n")
+    rows = leaves.join(often.hint("merge"), key, "left_semi")
+    rows = rows.groupBy("tree", F.col("doc_id").alias("id"), "leaf", "changed").agg(F.count("*").alias("c"))
     rows = materialize(rows.withColumn("digits", F.substring("leaf", 1, 3)), "repeats")
     upto = Window.unboundedPreceding, -1
     cells = rows.groupBy("tree", "id", "digits").agg(F.sum("c").alias("m"))
     cells = cells.withColumn("before", F.coalesce(F.sum("m").over(Window.partitionBy("tree", "id").orderBy("digits").rowsBetween(*upto)), F.lit(0))).drop("m")
     inside = F.coalesce(F.sum("c").over(Window.partitionBy("tree", "id", "digits").orderBy("leaf").rowsBetween(*upto)), F.lit(0))
-    rows = rows.withColumn("inside", inside).join(cells.hint("merge"), ["tree", "id", "digits"]).join(first.hint("merge"), ["tree", "id"])
-    rows = rows.withColumn("start", F.col("first") + F.col("before") + F.col("inside"))
+    rows = _by(_by(rows.withColumn("inside", inside), cells, "tree", "id", "digits"), first, "tree", "id")
+    rows = rows.withColumnRenamed("id", "doc_id").withColumn("start", F.col("first") + F.col("before") + F.col("inside"))
     # equal rows take the places one after the other, listed by blocks so that tasks share them
     rows = rows.withColumn("part", F.explode(F.expr(f"sequence(0L, (c - 1) div {CHUNK})"))).repartition("start", "part")
     rows = rows.withColumn("pos", F.explode(F.expr(f"sequence(start + part * {CHUNK}, start + least(c, (part + 1) * {CHUNK}) - 1)")))
     return _rank(single, index).unionByName(rows.select("tree", "doc_id", "leaf", "changed", "pos", "n"))
 
 
+def _by(a: DataFrame, b: DataFrame, *key: str) -> DataFrame:
+    """The rows of ``a`` with those of ``b`` that have their key, where null is a key as any other."""
+    named = b.withColumnsRenamed({k: f"{k}_" for k in key})
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return a.join(named.hint("merge"), same).drop(*[f"{k}_" for k in key])
+
+
 # ---- levels ---------------------------------------------------------------------------------
 
 
@@ -247,9 +256,9 @@ def fold(node: bytes, path: list[bytes]) -> bytes:
     return node
 
 
-def _height(n: int) -> int:
+def _height(n: int, step: int) -> int:
     """Levels that a slot array of a tree of ``n`` nodes reduces."""
-    return min(LEVELS, (n - 1).bit_length())
+    return min(step, (n - 1).bit_length())
 
 
 def _slots(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.StructArray, list[bytes]]]:
@@ -265,31 +274,31 @@ def _slots(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.StructArray, list[by
         yield r, flat.slice(a, b - a), placed
 
 
-def _slot_arrays(nodes: DataFrame, *more: str) -> DataFrame:
-    """``tree, block, n, items``: every 2^LEVELS nodes in an array, keyed by slot; items have ``slot, node`` and ``more``."""
-    item = F.struct(F.expr(f"cast(pos & {(1 << LEVELS) - 1} as int)").alias("slot"), "node", *more)
-    return nodes.groupBy("tree", F.expr(f"pos >> {LEVELS}").alias("block")).agg(F.first("n").alias("n"), F.collect_list(item).alias("items"))
+def _slot_arrays(nodes: DataFrame, step: int, *more: str) -> DataFrame:
+    """``tree, block, n, items``: every 2^step nodes in an array, keyed by slot; items have ``slot, node`` and ``more``."""
+    item = F.struct(F.expr(f"cast(pos & {(1 << step) - 1} as int)").alias("slot"), "node", *more)
+    return nodes.groupBy("tree", F.expr(f"pos >> {step}").alias("block")).agg(F.first("n").alias("n"), F.collect_list(item).alias("items"))
 
 
-def _tops(blocks: DataFrame) -> DataFrame:
+def _tops(blocks: DataFrame, step: int) -> DataFrame:
     """The next nodes: ``tree, pos, node, n``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.column("n").to_pylist()
-            top = [levels(placed, _height(size[r]))[-1][0].decode() for r, _, placed in _slots(batch)]
-            n = [-(-x // (1 << LEVELS)) for x in size]
+            top = [levels(placed, _height(size[r], step))[-1][0].decode() for r, _, placed in _slots(batch)]
+            n = [-(-x // (1 << step)) for x in size]
             yield pa.RecordBatch.from_arrays([batch.column("tree"), batch.column("block"), pa.array(top, pa.string()), pa.array(n, pa.int64())], names=["tree", "pos", "node", "n"])
 
     return blocks.mapInArrow(run, "tree string, pos long, node string, n long")
 
 
-def _grow(nodes: DataFrame, *more: str) -> tuple[list[DataFrame], DataFrame]:
+def _grow(nodes: DataFrame, step: int, *more: str) -> tuple[list[DataFrame], DataFrame]:
     """All slot arrays, from the bottom, and the tops of the trees."""
     arrays = []
     while True:
-        arrays.append(materialize(_slot_arrays(nodes, *(more if not arrays else ())), "slots"))
-        nodes = materialize(_tops(arrays[-1]), "tops")
+        arrays.append(materialize(_slot_arrays(nodes, step, *(more if not arrays else ())), "slots"))
+        nodes = materialize(_tops(arrays[-1], step), "tops")
         if nodes.where("n > 1").isEmpty():
             return arrays, nodes
 
@@ -297,15 +306,15 @@ def _grow(nodes: DataFrame, *more: str) -> tuple[list[DataFrame], DataFrame]:
 _UP = "tree string, pos long, subroot string, root string, up array<binary>"
 
 
-def _down(arrays: DataFrame, up: DataFrame) -> DataFrame:
+def _down(arrays: DataFrame, up: DataFrame, step: int) -> DataFrame:
     """Paths to the root of the nodes in slot arrays, from those of the arrays' tops: _UP."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tree, block, size, subroot, root, ups = (batch.column(c).to_pylist() for c in ("tree", "block", "n", "subroot", "root", "up"))
             for r, _, placed in _slots(batch):
-                rows, m = levels(placed, _height(size[r])), len(placed)
-                first = block[r] << LEVELS
+                rows, m = levels(placed, _height(size[r], step)), len(placed)
+                first = block[r] << step
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([tree[r]] * m, pa.string()), pa.array(np.arange(first, first + m)), pa.array([subroot[r]] * m, pa.string()),
@@ -321,14 +330,14 @@ def _meet(arrays: DataFrame, up: DataFrame) -> DataFrame:
     return arrays.join(up.withColumnRenamed("pos", "block").hint("merge"), ["tree", "block"])
 
 
-def _proofs(arrays: DataFrame, up: DataFrame) -> DataFrame:
+def _proofs(arrays: DataFrame, up: DataFrame, step: int) -> DataFrame:
     """Per leaf its proof, and the root that the leaf as it is found now gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, subroot, root, ups = (batch.column(c).to_pylist() for c in ("n", "subroot", "root", "up"))
             for r, items, placed in _slots(batch):
-                rows = levels(placed, _height(size[r]))
+                rows = levels(placed, _height(size[r], step))
                 proof, folded = [], []
                 for i, leaf, changed in zip(*(items.field(c).to_pylist() for c in ("slot", "node", "changed")), strict=True):
                     path = siblings(rows, i) + ups[r]
@@ -366,13 +375,13 @@ def tampered(doc_id: Column, n_chars: Column) -> Column:
     return F.when(F.crc32(doc_id.cast("string")) % 7 == 0, n_chars.cast("decimal(20,0)") + 1)
 
 
-def manifest(docs: DataFrame) -> DataFrame:
+def manifest(docs: DataFrame, step: int = STEP) -> DataFrame:
     """Each row's leaf in a Merkle tree over the table, with its proof and what the proof says of the row now.
 
     ``doc_id, leaf, subroot, root, proof_sha256, folded_root, verified``; one tree a lang, and one
     over the langs' roots.  Ids of a lang are gathered as compressed bitmaps, merged by chunks
     of neighbours; a rank in them is a leaf's place, so leaves are never sorted by id.
-    Nodes meet in slot arrays of 2^LEVELS, each of which reduces that many levels; paths go down
+    Nodes meet in slot arrays of 2^step, each of which reduces ``step`` levels; paths go down
     the same arrays.  Texts are read once; what is shuffled are hashes.
 
     Rows without an id come first in their lang and are never tampered with; rows that share an id
@@ -391,7 +400,7 @@ def manifest(docs: DataFrame) -> DataFrame:
         F.when(now.isNotNull(), leaf_hash(*fields[:3], now, fields[4])).alias("changed"),
     )
     leaves = materialize(leaves, "leaves")
-    arrays, tops = _grow(_coordinates(leaves).withColumnRenamed("leaf", "node"), "doc_id", "changed")
+    arrays, tops = _grow(_coordinates(leaves).withColumnRenamed("leaf", "node"), step, "doc_id", "changed")
 
     every = Window.partitionBy()
     numbered = tops.select(
@@ -399,13 +408,13 @@ def manifest(docs: DataFrame) -> DataFrame:
         (F.row_number().over(Window.orderBy("tree")) - 1).cast("long").alias("pos"), F.count("*").over(every).alias("n"),
     )
     numbered = materialize(numbered, "langs")
-    above, top = _grow(numbered)
+    above, top = _grow(numbered, step)
     up = top.selectExpr("tree", "pos", "cast(null as string) subroot", "node root", "cast(array() as array<binary>) up")
     for a in reversed(above):
-        up = _down(a, up)
+        up = _down(a, up, step)
     up = numbered.join(up.drop("subroot").hint("merge"), ["tree", "pos"]).selectExpr("lang tree", "0L pos", "node subroot", "root", "up")
     for a in reversed(arrays[1:]):
-        up = _down(a, up)
-    out = materialize(_proofs(arrays[0], up), "proofs")
+        up = _down(a, up, step)
+    out = materialize(_proofs(arrays[0], up, step), "proofs")
     discard(leaves, tops, numbered, top, *arrays, *above)
     return out

@@ -120,8 +120,43 @@ def _spans_sql() -> str:
 FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
+def _search_sql() -> str:
+    """Terms of both tables, document frequencies, and scores of the pairs that share a term."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    found = f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH d AS (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, {found} AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) > 0),
+g AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM d), tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), g),
+i AS (SELECT DISTINCT item_id, unnest({found}) AS term FROM benchmark WHERE text IS NOT NULL),
+s AS (SELECT item_id, doc_id, CAST(sum(w.w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nd) // l)))) AS BIGINT) AS score FROM i JOIN tf USING (term) JOIN w USING (term) JOIN d USING (doc_id), g GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s WHERE score > 0) WHERE rank <= 50"""
+
+
+def _merkle_sql() -> str:
+    """The tree level by level, one recursion for the langs and one for their roots; paths fold from the leaf up."""
+    part = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    leaf = lambda n: "sha256(" + " || ".join(map(part, ("doc_id", "source", "lang", n, "text"))) + ")"
+    bits = "list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    codes = "list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)))"
+    crc = f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+    level = "SELECT key, lv + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2 FROM {0} WHERE n > 1 GROUP BY key, lv, pos // 2, n"
+    path = """SELECT o.key, o.pos, list(CASE WHEN s.node IS NULL THEN '' WHEN (o.pos >> o.lv) & 1 = 1 THEN 'L' || s.node ELSE 'R' || s.node END ORDER BY o.lv) AS path
+  FROM (SELECT key, pos, unnest(range(CAST(ceil(log2(n)) AS BIGINT))) AS lv FROM {0} WHERE lv = 0) o LEFT JOIN {0} s ON s.key = o.key AND s.lv = o.lv AND s.pos = xor(o.pos >> o.lv, 1) GROUP BY 1, 2"""
+    return f"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: {bits}) AS t),
+l AS (SELECT doc_id, coalesce('+' || lang, '') AS key, {leaf("n_chars")} AS leaf, CASE WHEN n_chars IS NOT NULL AND {crc} % 7 = 0 THEN {leaf("n_chars + 1")} END AS changed FROM documents, crc),
+a AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM l),
+t AS (SELECT key, 0 AS lv, pos, leaf AS node, n FROM a UNION ALL {level.format("t")}), top AS (SELECT key AS lang, node, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS key, 0 AS lv, pos, node, n FROM top UNION ALL {level.format("u")}), root AS (SELECT node AS root FROM u WHERE n = 1),
+p AS ({path.format("t")}), q AS ({path.format("u")}),
+r AS (SELECT doc_id, leaf, changed, top.node AS subroot, root, list_concat(coalesce(p.path, []), coalesce(q.path, [])) AS path FROM a JOIN top ON top.lang = a.key LEFT JOIN p ON p.key = a.key AND p.pos = a.pos LEFT JOIN q ON q.pos = top.pos, root)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM (SELECT *,
+  list_reduce(list_prepend(coalesce(changed, leaf), path), lambda x, s: sha256(CASE WHEN s[1:1] = 'L' THEN s[2:] || x ELSE x || s[2:] END)) AS folded_root FROM r)"""
+
+
 #: SQL twins; the others (learned, hashed or library-bound) are tested against brute force.
 ORACLES: dict[str, str] = {
+    "op11_lexical_search": _search_sql(),
+    "op13_merkle_manifest": _merkle_sql(),
     "op4_secret_scan": _spans_sql(),
     "op3_exact_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)

@@ -216,35 +216,37 @@ def terms_of(rules: tuple[Rule, ...]) -> list[str]:
     return sorted(asked)
 
 
-def postings(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Inverted index ``(term, doc_id)`` over the trigrams that the rules' queries name."""
-    folded, exact = F.col("lowered"), F.col("text")
-    found = [F.when((folded if t[0] == "i" else exact).contains(t[2:]), F.lit(t)) for t in terms_of(rules)]
-    rows = docs.where("text is not null").select("doc_id", "text", F.lower("text").alias("lowered"))
-    return rows.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("term"))
+def keyed(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Rows with a key of their own: ``key, doc_id, text, terms`` (places, in ``terms_of``, of the trigrams that the text holds)."""
 
+    def held(text: Column, mode: str) -> Column:
+        own = [F.struct(F.lit(t[2:]).alias("t"), F.lit(i).alias("i")) for i, t in enumerate(terms_of(rules)) if t.startswith(mode)]
+        none = F.array().cast("array<int>")
+        return _bind(text, lambda x: F.transform(F.filter(F.array(*own), lambda a: x.contains(a["t"])), lambda a: a["i"])) if own else none
 
-#: Bits of one word of a document's set of terms.
+    terms = F.concat(held(F.col("text"), "s:"), held(F.lower("text"), "i:"))
+    return docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("terms", terms)
+
+
+def postings(rows: DataFrame) -> DataFrame:
+    """Inverted index ``(term, key)`` over the trigrams that the rules' queries name."""
+    return rows.select("key", F.explode("terms").alias("term"))
+
+
+#: Bits of one word of a document's set of terms, and of its set of rules.
 WORD = 60
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Documents that satisfy a rule's trigram query: ``doc_id, rule_bits``.
+    """Rows that satisfy a rule's trigram query: ``key, rules0, rules1, ...``, a bit a rule.
 
     Posting lists are intersected and united as bit sets: one aggregation with map-side
-    combine turns the lists into the set of terms of each document.
+    combine turns the lists into the set of terms of each row.
     """
     place = {t: divmod(i, WORD) for i, t in enumerate(terms_of(rules))}
     words = range(-(-len(place) // WORD))
-
-    def have(w: int) -> Column:
-        code = F.lit(0).cast("long")
-        for t, (at, bit) in place.items():
-            if at == w:
-                code = F.when(F.col("term") == t, F.lit(1 << bit).cast("long")).otherwise(code)
-        return F.bit_or(code).alias(f"have{w}")
-
-    got = index.groupBy("doc_id").agg(*map(have, words))
+    bit = F.expr(f"shiftleft(1L, term % {WORD})")
+    got = index.groupBy("key").agg(*[F.bit_or(F.when(F.floor(F.col("term") / WORD) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"have{w}") for w in words] or [F.lit(0).alias("have0")])
 
     def holds(terms: list[str]) -> Column:
         ok = F.lit(True)
@@ -254,14 +256,21 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
                 ok = ok & (F.col(f"have{w}").bitwiseAND(F.lit(mask).cast("long")) == mask)
         return ok
 
-    bits = F.lit(0).cast("long")
+    none = F.lit(0).cast("long")
+    bits = [none] * _rule_words(rules)
     for i, r in enumerate(rules):
         fold, query = trigram_query(r.pattern)
         if query:
             mode = "i:" if fold else "s:"
             factors = [reduce(Column.__or__, [holds([mode + t for t in sorted(s)]) for s in sorted(f, key=sorted)]) for f in query]
-            bits = bits + F.when(reduce(Column.__and__, factors), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-    return got.select("doc_id", bits.alias("rule_bits")).where("rule_bits > 0")
+            at, bit = divmod(i, WORD)
+            bits[at] = bits[at] + F.when(reduce(Column.__and__, factors), F.lit(1 << bit).cast("long")).otherwise(none)
+    got = got.select("key", *[b.alias(f"rules{w}") for w, b in enumerate(bits)])
+    return got.where(reduce(Column.__or__, [F.col(f"rules{w}") != 0 for w in range(len(bits))]))
+
+
+def _rule_words(rules: tuple[Rule, ...]) -> int:
+    return max(1, -(-len(rules) // WORD))
 
 
 SPAN = "array<struct<start:int,ord:int,end:int>>"
@@ -312,21 +321,21 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every document with its verified spans: ``doc_id, spans`` (array sorted by start, rule).
 
     Only texts that pass a rule's trigram query are matched against it; rules without a query
-    match all.  Null and empty texts have no spans.  doc_id may be null or repeated (the index
-    then names a superset of the rows, which verification settles); further columns are
+    match all; there may be any number of rules.  Rows are written with a key of their own, which the
+    index names, so doc_id may be null or repeated.  Null and empty texts have no spans; further columns are
     ignored; an empty table gives no rows.  The work on a text grows with its length, however
     many matches it holds.
     """
-    index = materialize(postings(docs, rules), "postings")
-    cand = candidates(index, rules).withColumnRenamed("doc_id", "cand_id")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = materialize(keyed(docs, rules), "keyed")
+    cand = candidates(postings(rows), rules)
     # both sides grow with the input: a sort-merge join at every size, never a broadcast
-    rows = rows.join(cand.hint("merge"), F.col("doc_id").eqNullSafe(F.col("cand_id")), "left")
+    rows = rows.drop("terms").join(cand.hint("merge"), "key", "left")
     parts = []
     for i, r in enumerate(rules):
         found = spans(F.col("text"), r, i)
         if trigram_query(r.pattern)[1]:
-            asked = F.coalesce(F.col("rule_bits"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0
+            at, bit = divmod(i, WORD)
+            asked = F.coalesce(F.col(f"rules{at}"), F.lit(0)).bitwiseAND(F.lit(1 << bit)) != 0
             found = F.when(asked, found).otherwise(F.array().cast(SPAN))
         parts.append(found)
     return rows.select("doc_id", F.array_sort(F.concat(*parts)).alias("spans"))

@@ -110,3 +110,18 @@ def test_sharding(spark, docs):
 def test_jaccard(spark, docs):
     want = brute.components([(i, t) for i, t, *_ in docs])
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in run(spark, "op10_jaccard_join")} == want
+
+
+def test_search(spark, docs):
+    items = [(r["item_id"], r["text"]) for r in Q.table(spark, SF, "benchmark").collect()]
+    assert sorted(map(tuple, run(spark, "op11_lexical_search"))) == sorted(brute.ranked([(i, t) for i, t, *_ in docs], items))
+
+
+def test_simhash(spark, docs):
+    assert sorted(map(tuple, run(spark, "op12_simhash"))) == sorted(brute.classes_by_bits([(i, t) for i, t, *_ in docs]))
+
+
+def test_merkle(spark):
+    rows = [(r["doc_id"], r["source"], r["lang"], r["n_chars"], r["text"]) for r in Q.table(spark, SF, "documents").collect()]
+    got = run(spark, "op13_merkle_manifest")
+    assert sorted(map(tuple, got)) == sorted(brute.merkle(rows)) and 0 < sum(not r["verified"] for r in got) < len(got) / 4

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from requestlab.llm import decontam, jaccard, langid, mixing, secrets, sharding, suffixes, tables, tokens, topk, wavelet
+from requestlab.llm import decontam, jaccard, langid, lexical, merkle, mixing, secrets, sharding, simhash, suffixes, tables, tokens, topk, wavelet
 from requestlab.llm import queries as Q
 
 from . import brute
@@ -139,9 +139,23 @@ def test_secrets(spark, docs, none):
     assert all(rows[i]["n_more"] for i in range(4))
 
 
+def test_secrets_many_rules(spark):
+    """Any number of rules, with and without trigrams, against plain Python; rows without an id count one by one."""
+    import re
+
+    rules = tuple(secrets.Rule(f"k{i}", f"key{i:03d}_[a-z]{{4,}}" if i % 50 else rf"[{'abcd'[i // 50]}]{{6,}}") for i in range(200))
+    r = random.Random(5)
+    texts = [" ".join(f"key{r.randrange(210):03d}_{'x' * r.randrange(2, 7)} {'abcd'[r.randrange(4)] * r.randrange(4, 8)}" for _ in range(r.randrange(9))) for _ in range(40)]
+    df = spark.createDataFrame([(None if i % 3 else i % 4, t) for i, t in enumerate(texts)] + [(None, None)], "doc_id long, text string").repartition(3)
+    got = secrets.scan_secrets(df, rules).collect()
+    want = [sorted((m.start(), o, m.end()) for o, x in enumerate(rules) for m in re.finditer(x.pattern, t)) for t in [*texts, ""]]
+    assert sorted([tuple(s) for s in g["spans"]] for g in got) == sorted(want) and sum(map(len, want)) > 100
+    assert sorted(g["doc_id"] is None for g in got) == sorted([bool(i % 3) for i in range(40)] + [True])
+
+
 @st.composite
 def patterns(draw, depth=2):
-    """A pattern and a text that it matches."""
+    """A pattern and a text that it matches; what is repeated without end holds no such repeat itself."""
     if depth == 0 or draw(st.booleans()):
         kind = draw(st.sampled_from("lct."))
         if kind == "l":
@@ -150,9 +164,9 @@ def patterns(draw, depth=2):
         if kind == "c":
             return "[b-d]", draw(st.sampled_from("bcd"))
         return ("[^a]", "z") if kind == "." else (r"\w", "q")
-    a, x = draw(patterns(depth - 1))
-    b, y = draw(patterns(depth - 1))
     kind = draw(st.sampled_from("cca?*+ni"))
+    a, x = draw(patterns(0 if kind in "*+n" else depth - 1))
+    b, y = draw(patterns(depth - 1))
     if kind == "a":
         return f"(?:{a}|{b})", draw(st.sampled_from([x, y]))
     if kind in "?*":
@@ -165,7 +179,7 @@ def patterns(draw, depth=2):
     return (f"(?i:{a}){b}", x.swapcase() + y) if kind == "i" else (a + b, x + y)
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=200, deadline=None)
 @given(patterns(3), st.text("abcd ", max_size=4))
 def test_trigram_queries_miss_nothing(made, around):
     """What a pattern matches satisfies the query derived from it, whatever stands around."""
@@ -376,3 +390,111 @@ def test_windows_with_equal_hashes(parts, seed):
         assert [c.tolist() for c in suffixes.later_windows(*args)] == want
     finally:
         suffixes.fmix = old
+
+
+def plain(rows):
+    """Rows as a sorted list of tuples; nulls first."""
+    return sorted((tuple(r) for r in rows), key=lambda r: [(x is not None, x) for x in r])
+
+
+ITEMS = [(1, "W1 w2, w3!"), (2, None), (3, "... "), (4, "one"), (5, BASE), (6, "w1 w2 w3"), (7, "naïve É é x"), (None, "two zz"), (8, "İ σς don"), (9, "w1 " * 500)]
+
+
+def test_lexical(spark, docs, none, monkeypatch):
+    items = spark.createDataFrame([(i, t, "x", 0) for i, t in ITEMS], "item_id long, text string, doc_id string, score int")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for k in (50, 3):
+        assert plain(lexical.ranked_search(docs, items, k).collect()) == plain(brute.ranked(rows, ITEMS, k))
+    # an item that is there twice is one item; an id with two texts has two lists
+    more = items.union(items).union(spark.createDataFrame([(4, "null", "x", 0)], items.schema))
+    got = lexical.ranked_search(docs, more, 50)
+    assert plain(got.collect()) == plain(brute.ranked(rows, [*ITEMS, (4, "null")], 50))
+    monkeypatch.setattr(lexical, "PASS_CHARS", 100)
+    monkeypatch.setattr(lexical, "BLOCK", 20)
+    assert plain(lexical.ranked_search(docs, items, 5).collect()) == plain(brute.ranked(rows, ITEMS, 5))
+    assert lexical.ranked_search(none, items).count() == lexical.ranked_search(docs, items.where("false")).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("aZ0 .é\x7f\x80\u2028İ", max_size=30))
+def test_terms(text):
+    data = text.encode()
+    want = brute.TERM.findall(brute.lower(text))
+    assert [t for t in lexical.guarded(data).split(" ") if t] == want and lexical.n_terms(data) == len(want)
+
+
+def test_simhash(spark, docs, none, monkeypatch):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    rows += [(100 + i, words(7, 900)[: 900 - i]) for i in range(12)] + [(None, None), (200, "x" * 70_000 + " y " * 70_000), (3, BASE)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain(brute.classes_by_bits(rows))
+    assert plain(simhash.simhash_classes(df).collect()) == want
+    monkeypatch.setattr(simhash, "PORTION", 7)
+    assert all(f"{simhash.simhash((t or '').encode()):016x}" == f for (_, t), (_, f, _) in zip(rows, brute.classes_by_bits(rows), strict=True))
+    assert simhash.simhash_classes(none).count() == 0
+
+
+@pytest.mark.parametrize("crowded", [4_096, 5])
+def test_fingerprint_links(spark, crowded):
+    """Components of links among clusters, chains and noise; crowded cells on ever finer grids; no far pair is linked."""
+    r = np.random.Generator(np.random.PCG64(crowded))
+    fps = set(r.integers(0, 2**63, 300).tolist())
+    for c in list(fps)[:6] + [0, 2**64 - 1]:
+        for _ in range(60):
+            fps.add(int(c) ^ sum(1 << int(b) for b in set(r.integers(0, 64, r.integers(1, 5)))))
+    chain = int(r.integers(0, 2**63))
+    for i in range(0, 60, 3):
+        chain ^= 7 << i
+        fps.add(chain)
+    fps |= {(1 << 40) | x for x in range(256)}
+    own = np.array(sorted(fps), np.uint64)
+    near = np.bitwise_count(own[:, None] ^ own[None]) <= 3
+    label = np.arange(len(own))
+    while True:
+        new = np.where(near, label[None], len(own)).min(1)
+        if (new == label).all():
+            break
+        label = new
+    df = spark.createDataFrame([(int(x),) for x in own.view(np.int64)], "fp long").repartition(4)
+    a, b = ([x[c] for x in simhash.links(df, 3, crowded).collect()] for c in (0, 1))
+    assert all((x ^ y).bit_count() <= 64 for x, y in zip(a, b, strict=True))
+    edges = spark.createDataFrame(list(zip(a, b, strict=True)), "a long, b long")
+    root = {x["node"]: x["component"] for x in tables.connected_components(edges).collect()}
+    mine = [root.get(int(x), int(x)) for x in own.view(np.int64)]
+    pairs = {(m, int(t)) for m, t in zip(mine, label, strict=True)}
+    assert len(pairs) == len(set(mine)) == len(set(label.tolist()))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**64 - 1), st.integers(0, 2**64 - 1))
+def test_manhattan_is_a_lower_bound(x, y):
+    count = lambda v: [(v >> s & 3).bit_count() for s in range(0, 64, 2)]
+    want = sum(abs(p - q) for p, q in zip(count(x), count(y), strict=True))
+    a, b = np.array([x], np.uint64), np.array([y], np.uint64)
+    assert simhash.manhattan(simhash.embed(a), simhash.embed(b))[0] == want <= (x ^ y).bit_count()
+
+
+def test_merkle(spark, docs, none, monkeypatch):
+    rows = [(r["doc_id"], r["source"], r["lang"], r["n_chars"], r["text"]) for r in docs.collect()]
+    assert plain(merkle.manifest(docs).collect()) == plain(brute.merkle(rows))
+    r = random.Random(8)
+    rows += [(r.choice([i, -i, i << 40, 2**63 - 1 - i, -(2**63) + i]), None, r.choice(["en", "de", None, "", "é", "z"]), r.choice([None, 5, 2**63 - 1]), f"t{i % 50}") for i in range(700)]
+    rows += [(77, "s", "en", 1, "same")] * 30 + [(None, "s", "de", 1, f"u{i % 9}") for i in range(40)] + [(5, None, None, None, None)] * 3
+    rows += [(i, "s", "lone" + str(i), 3, "x") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").repartition(5)
+    want = plain(brute.merkle(rows))
+    for level, gather in ((8, 1_000_000), (2, 50), (1, 7)):
+        monkeypatch.setattr(merkle, "GATHER", gather)
+        assert plain(merkle.manifest(df, level).collect()) == want
+    assert sum(not x[-1] for x in want) > 20
+    assert merkle.manifest(none).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(0, merkle.CHUNK - 1), st.integers(1, 4), max_size=700))
+def test_ranks(many):
+    low, count = np.array(sorted(many), np.int64), np.array([many[k] for k in sorted(many)], np.int64)
+    _, _, ids, rep, more, n = merkle._row("t", 0, low, count)
+    assert merkle.unpack(ids).tolist() == low.tolist() and n == count.sum()
+    asked = np.arange(0, merkle.CHUNK, 5)
+    assert merkle.Ranks(ids, rep, more).below(asked).tolist() == [int(count[low < a].sum()) for a in asked]
