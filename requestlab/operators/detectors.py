@@ -21,7 +21,7 @@ class NotFitted(RuntimeError):
 
 
 class Detector:
-    """``fit`` learns ``params`` (arrays and numbers), ``score`` adds the column ``score``."""
+    """``fit`` learns ``params`` (arrays and numbers), ``score`` adds the column ``score``, null where there is no vector."""
 
     name = ""
 
@@ -42,7 +42,10 @@ class Detector:
 
         @F.pandas_udf("double")
         def score(x: pd.Series) -> pd.Series:
-            return pd.Series(run(np.stack(x).astype(float)) if len(x) else np.empty(0))
+            out, there = np.full(len(x), None, object), x.notna().to_numpy()
+            if there.any():
+                out[there] = run(np.stack(x[there]).astype(float))
+            return pd.Series(out)
 
         return df.withColumn("score", score("embedding"))
 
@@ -157,36 +160,40 @@ def _logsumexp(a: np.ndarray) -> np.ndarray:
 class GaussianMixture(Detector):
     """EM with full, tied, diag or spherical covariances, best of ``n_init`` starts; score = -log density.
 
-    One iteration is one pass: tasks send responsibilities' sums, means and Gram matrices, which are added
-    as they stream (``features.task_sums``).  Starts are rows drawn by a hash of the vector.
+    All starts go through the rows together: one iteration is one pass, in which tasks send the sums of
+    responsibilities, means and Gram matrices of every start that still moves, added as they stream
+    (``features.task_sums``).  Starts are drawn far apart (k-means||), never two equal vectors.
     """
 
     name = "gmm"
 
     def fit(self, normal: DataFrame) -> GaussianMixture:
         o = self.options
-        k, kind, best = o.get("k", 3), o.get("covariance", "full"), None
-        n, mean, cov = features.mean_and_covariance(normal, ddof=0)
+        k, kind = o.get("k", 3), o.get("covariance", "full")
+        rows = store.materialize(normal.where("embedding IS NOT NULL"), "vectors")
+        n, mean, cov = features.mean_and_covariance(rows, ddof=0)
         reg = o.get("reg", 1e-6) * np.eye(len(mean))
-        for start in range(o.get("n_init", 5)):
-            seed = F.xxhash64("embedding", F.lit(o.get("seed", 42) + start))
-            rows = normal.where("embedding IS NOT NULL").orderBy(seed).select("embedding").limit(k).collect()
-            means = np.array([r[0] for r in rows], float)
-            weights, covs = np.full(len(means), 1 / len(means)), np.stack([cov + reg] * len(means))
-            before, value = -np.inf, -np.inf
-            for _ in range(o.get("max_iter", 200)):
-                nk, sums, grams, value = self._pass(normal, weights, means, covs)
+        fits = []
+        for means in self.starts(rows, k, o.get("n_init", 5), o.get("seed", 42)):
+            fits.append({"w": np.full(len(means), 1 / len(means)), "m": means, "c": np.stack([cov + reg] * len(means)), "before": -np.inf, "value": -np.inf})
+        moving = list(fits)
+        for _ in range(o.get("max_iter", 200)):
+            still = []
+            for f, (nk, sums, grams, value) in zip(moving, self._pass(rows, moving), strict=True):
                 nk = np.maximum(nk, 1e-12)
-                weights, means = nk / nk.sum(), sums / nk[:, None]
-                covs = grams / nk[:, None, None] - np.einsum("ki,kj->kij", means, means)
-                covs = self._shape(covs, weights, kind) + reg
-                if abs(value - before) / n < o.get("tol", 1e-3):
-                    break
-                before = value
-            if best is None or value > best[0]:
-                best = (value, weights, means, covs)
-        value, weights, means, covs = best
-        d = means.shape[1]
+                f["w"], f["m"], f["value"] = nk / nk.sum(), sums / nk[:, None], value
+                covs = grams / nk[:, None, None] - np.einsum("ki,kj->kij", f["m"], f["m"])
+                f["c"] = self._shape(covs, f["w"], kind) + reg
+                if abs(value - f["before"]) / n >= o.get("tol", 1e-3):
+                    still.append(f)
+                f["before"] = value
+            moving = still
+            if not moving:
+                break
+        store.discard(rows)
+        best = max(fits, key=lambda f: f["value"])
+        weights, means, covs, value = best["w"], best["m"], best["c"], best["value"]
+        d, k = means.shape[1], len(means)
         free = {"full": k * d * (d + 1) / 2, "tied": d * (d + 1) / 2, "diag": k * d, "spherical": k}[kind] + k * d + k - 1
         self.params = {
             "weights": weights, "means": means, "covs": covs,
@@ -194,6 +201,90 @@ class GaussianMixture(Detector):
         }
         return self
 
+    @staticmethod
+    def starts(rows: DataFrame, k: int, n_init: int, seed: int, rounds: int = 3) -> list[np.ndarray]:
+        """Means of every start by k-means|| (Bahmani et al. 2012): rounds of draws in proportion to the squared distance.
+
+        A row's luck is a hash of its columns, so starts do not depend on how rows are dealt.  A round
+        draws about 2 k rows a start, which are weighed by the rows nearest to them and thinned to
+        k; fewer, if there are fewer distinct vectors.
+        """
+        kinds = [c for c, t in rows.dtypes if "map" not in t]
+        luck = [F.shiftrightunsigned(F.xxhash64(*kinds, F.lit(seed + s), F.lit(r)), 11) / F.lit(float(1 << 53)) for r in range(rounds) for s in range(n_init)]
+        rows = rows.select("embedding", F.array(*luck).alias("u"))
+        held = [np.empty((0, 0))] * n_init
+        first = rows.select("embedding", F.posexplode(F.slice("u", 1, n_init)).alias("s", "u")).groupBy("s").agg(F.min_by("embedding", F.struct("u", "embedding")).alias("v")).collect()
+        for r in first:
+            held[r["s"]] = np.array([r["v"]], float)
+
+        def gaps(x: np.ndarray, means: np.ndarray) -> np.ndarray:
+            """Squared distances by differences, so that equal vectors are exactly 0 apart."""
+            return np.stack([((x - m) ** 2).sum(1) for m in means], axis=1)
+
+        for r in range(rounds):
+            now = list(held)
+
+            def spread(frames: Iterator[pd.DataFrame], now=now) -> np.ndarray:
+                total = np.zeros(n_init)
+                for pdf in frames:
+                    if len(pdf):
+                        x = np.stack(pdf["embedding"]).astype(float)
+                        total += [gaps(x, m).min(1).sum() for m in now]
+                return total
+
+            phi = np.maximum(features.task_sums(rows, spread), 1e-300)
+
+            def draw(frames: Iterator[pd.DataFrame], now=now, phi=phi, r=r) -> Iterator[pd.DataFrame]:
+                for pdf in frames:
+                    if len(pdf):
+                        x, u = np.stack(pdf["embedding"]).astype(float), np.stack(pdf["u"])[:, r * n_init : (r + 1) * n_init]
+                        for s, m in enumerate(now):
+                            at = np.flatnonzero(u[:, s] < 2 * k * gaps(x, m).min(1) / phi[s])
+                            if len(at):
+                                yield pd.DataFrame({"s": np.full(len(at), s), "v": list(x[at])})
+
+            drawn = rows.mapInPandas(draw, "s int, v array<double>").distinct().collect()  # about 2 k rows a start
+            for s in range(n_init):
+                held[s] = np.array([*map(tuple, held[s]), *sorted(tuple(r["v"]) for r in drawn if r["s"] == s)])
+
+        while few := [s for s in range(n_init) if len(held[s]) < k]:  # luck left some out: the farthest row joins
+
+            def far(frames: Iterator[pd.DataFrame], few=few, now=tuple(held)) -> Iterator[pd.DataFrame]:
+                for pdf in frames:
+                    if len(pdf):
+                        x = np.stack(pdf["embedding"]).astype(float)
+                        for s in few:
+                            d = gaps(x, now[s]).min(1)
+                            yield pd.DataFrame({"s": [s], "d": [d.max()], "v": [x[d.argmax()]]})
+
+            best = rows.mapInPandas(far, "s int, d double, v array<double>").where("d > 0").groupBy("s").agg(F.max_by("v", F.struct("d", "v")).alias("v")).collect()
+            if not best:
+                break
+            for r in best:
+                held[r["s"]] = np.vstack([held[r["s"]], r["v"]])
+
+        def weigh(frames: Iterator[pd.DataFrame]) -> np.ndarray:
+            total = np.zeros(sum(map(len, held)))
+            for pdf in frames:
+                if len(pdf):
+                    x, at = np.stack(pdf["embedding"]).astype(float), 0
+                    for m in held:
+                        total[at : at + len(m)] += np.bincount(gaps(x, m).argmin(1), minlength=len(m))
+                        at += len(m)
+            return total
+
+        mass = np.split(features.task_sums(rows, weigh), np.cumsum([len(m) for m in held])[:-1])
+        out = []
+        for s, (m, w) in enumerate(zip(held, mass, strict=True)):
+            rng, pick = np.random.Generator(np.random.PCG64(seed + s)), [int(w.argmax())]
+            while len(pick) < k:
+                far = w * gaps(m, m[pick]).min(1)
+                if not far.any():
+                    break
+                pick.append(int(rng.choice(len(m), p=far / far.sum())))
+            out.append(m[pick])
+        return out
+
     @staticmethod
     def _shape(covs: np.ndarray, weights: np.ndarray, kind: str) -> np.ndarray:
         d = covs.shape[1]
@@ -206,26 +297,29 @@ class GaussianMixture(Detector):
         return covs
 
     @staticmethod
-    def _pass(df: DataFrame, weights, means, covs):
-        chols = np.linalg.cholesky(covs)
-
-        k, d = means.shape
+    def _pass(df: DataFrame, fits: list[dict]) -> list[tuple]:
+        """Sums of responsibilities, of vectors and of their products, and the log likelihood, for each start."""
+        models = [(f["w"], f["m"], np.linalg.cholesky(f["c"])) for f in fits]
 
         def fold(frames: Iterator[pd.DataFrame]) -> np.ndarray:
-            nk, s, g, ll = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d)), 0.0
+            total = [[np.zeros(1), np.zeros(len(w)), np.zeros(m.shape), np.zeros(c.shape)] for w, m, c in models]
             for pdf in frames:
                 if len(pdf):
                     x = np.stack(pdf["embedding"]).astype(float)
-                    logp = _log_density(x, weights, means, chols)
-                    norm = _logsumexp(logp)
-                    r = np.exp(logp - norm[:, None])
-                    ll += norm.sum()
-                    nk, s, g = nk + r.sum(0), s + r.T @ x, g + np.einsum("nk,ni,nj->kij", r, x, x, optimize=True)
-            return np.concatenate([[ll], nk, s.ravel(), g.ravel()])
-
-        v = features.task_sums(df.where("embedding IS NOT NULL").select("embedding"), fold)
-        at = np.cumsum([1, k, k * d])
-        return v[at[0] : at[1]], v[at[1] : at[2]].reshape(k, d), v[at[2] :].reshape(k, d, d), v[0]
+                    for sums, model in zip(total, models, strict=True):
+                        logp = _log_density(x, *model)
+                        norm = _logsumexp(logp)
+                        r = np.exp(logp - norm[:, None])
+                        for t, more in zip(sums, (norm.sum(), r.sum(0), r.T @ x, np.einsum("nk,ni,nj->kij", r, x, x, optimize=True)), strict=True):
+                            t += more
+            return np.concatenate([t.ravel() for sums in total for t in sums])
+
+        v, out, at = features.task_sums(df.select("embedding"), fold), [], 0
+        for w, m, c in models:
+            cut = np.split(v[at : at + 1 + len(w) + m.size + c.size], np.cumsum([1, len(w), m.size]))
+            at += 1 + len(w) + m.size + c.size
+            out.append((cut[1], cut[2].reshape(m.shape), cut[3].reshape(c.shape), cut[0][0]))
+        return out
 
     def _scorer(self):
         w, m, chols = self.params["weights"], self.params["means"], np.linalg.cholesky(self.params["covs"])
@@ -240,31 +334,49 @@ def average_path(n) -> np.ndarray:
 
 
 class IsolationForest(Detector):
-    """trees on hash samples of at most 256 rows, one task a tree; score 2^(-mean path / c(sample))."""
+    """trees on samples of at most 256 rows, one task a tree; score 2^(-mean path / c(sample)).
+
+    A tree's sample is the ``size`` rows of lowest hash: of all of a row's columns and the tree, so that equal
+    vectors of different rows are drawn apart and the model does not depend on how rows are dealt.
+    Rows equal in all columns are one entry with a count.
+    """
 
     name = "isolation_forest"
 
-    def fit(self, normal: DataFrame) -> IsolationForest:
-        o = self.options
-        trees, n = o.get("n_estimators", 100), normal.where("embedding IS NOT NULL").count()
-        if n == 0:
-            raise ValueError("no vectors to fit on")
-        size, seed = min(o.get("max_samples", 256), n), o.get("seed", 42)
-        # every tree draws each row with the same chance; a tree then keeps its first ``size`` by hash.
-        # The vector is hashed once a row (bound to ``x``), a tree's hash follows from that number.
+    def _samples(self, rows: DataFrame, n: int, trees: int, size: int, seed: int) -> DataFrame:
+        """``tree, h, embedding, c``: enough rows of lowest hash for every tree, equal ones counted."""
+        # The row is hashed once (bound to ``x``), a tree's hash follows from that number.
+        kinds = [c for c, t in rows.dtypes if "map" not in t]
         u = F.flatten(
             F.transform(
-                F.array(F.xxhash64("embedding", F.lit(seed))),
+                F.array(F.xxhash64(*kinds, F.lit(seed))),
                 lambda x: F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(x, t).alias("h"))),
             )
         )
-        share = min(1.0, (1.5 * size + 20) / n)  # more than enough rows for ``size``
-        picked = F.filter(u, lambda x: F.abs(F.shiftright(x["h"], 1)) <= F.lit(int(share * 2**62)))
-        rows = normal.where("embedding IS NOT NULL").select("embedding", F.explode(picked).alias("x")).select("embedding", "x.tree", "x.h")
+        share = min(1.0, (1.5 * size + 20) / n)
+        while True:
+            low = int((2 * share - 1) * (2**63 - 1)) if share < 1 else 2**63 - 1
+            picked = F.filter(u, lambda x: x["h"] <= F.lit(low))
+            some = rows.select("embedding", F.explode(picked).alias("x")).groupBy("x.tree", "x.h").agg(F.first("embedding").alias("embedding"), F.count("*").alias("c"))
+            some = store.materialize(some, "samples")
+            full = some.groupBy("tree").agg(F.sum("c").alias("c")).where(F.col("c") >= size).count()
+            if full == trees or share >= 1:
+                return some
+            store.discard(some)
+            share = min(1.0, 8 * share)  # few distinct rows: a hash range may hold none
+
+    def fit(self, normal: DataFrame) -> IsolationForest:
+        o = self.options
+        rows = normal.where("embedding IS NOT NULL")
+        trees, n = o.get("n_estimators", 100), rows.count()
+        if n == 0:
+            raise ValueError("no vectors to fit on")
+        size, seed = min(o.get("max_samples", 256), n), o.get("seed", 42)
+        picked = self._samples(rows, n, trees, size, seed)
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("h").head(size)
-            x = np.stack(pdf["embedding"]).astype(float)
+            x = np.repeat(np.stack(pdf["embedding"]).astype(float), np.minimum(pdf["c"], size), axis=0)[:size]
             rng = np.random.Generator(np.random.PCG64(seed + int(pdf["tree"].iloc[0])))
             limit, nodes = math.ceil(math.log2(max(size, 2))), []
             stack = [(np.arange(len(x)), 0, -1, 0)]
@@ -285,7 +397,8 @@ class IsolationForest(Detector):
                 stack += [(rows_[~low], depth + 1, at, 1), (rows_[low], depth + 1, at, 0)]
             return pd.DataFrame({"tree": pdf["tree"].iloc[:1], "nodes": [np.array(nodes, float).ravel()]})
 
-        got = rows.groupBy("tree").applyInPandas(build, "tree int, nodes array<double>").collect()  # the model: one row a tree
+        got = picked.groupBy("tree").applyInPandas(build, "tree int, nodes array<double>").collect()  # the model: one row a tree
+        store.discard(picked)
         self.params = {"trees": [r["nodes"] for r in sorted(got, key=lambda r: r["tree"])], "size": size}
         c = o.get("contamination")
         if c:
@@ -334,7 +447,6 @@ class LocalOutlierFactor(Detector):
         """``near``: neighbours of the rows among themselves, if they are known already (k of them or more)."""
         rows = normal.select(F.col(id_col).alias("vec_id"), "embedding").where("embedding IS NOT NULL")
         near = joins.nearest_neighbors(rows, rows, self.k, skip_self=True) if near is None else near.where(F.col("rank") <= self.k)
-        near = store.materialize(near, "neighbors")
         kdist = near.groupBy("id").agg(F.max("distance").alias("k_distance"))
         lrd = self._density(near, kdist).select(F.col("id").alias("d_id"), "lrd")
         model = rows.join(kdist, rows["vec_id"] == kdist["id"]).join(lrd, F.col("vec_id") == F.col("d_id"))
@@ -373,7 +485,7 @@ class LocalOutlierFactor(Detector):
             (1 / (F.avg(F.greatest("distance", "k_distance")) + 1e-10)).alias("lrd"), F.avg("lrd_n").alias("lrd_n")
         )
         got = got.select(F.col("id").alias(id_col), (F.col("lrd_n") / F.col("lrd") - self.offset).alias("score"))
-        return df.join(got, id_col)
+        return df.join(got, id_col, "left")
 
 
 class OneClassSVM(Detector):

@@ -48,11 +48,14 @@ class TfidfEncoder(Encoder):
         self.size = self.vocabulary.count()
         return self
 
-    def encode(self, docs: DataFrame) -> DataFrame:
+    def weights(self, docs: DataFrame) -> DataFrame:
+        """The long form ``key, term, idx, weight``, a row a non-zero weight; for vocabularies too wide for ``encode``."""
         if self.vocabulary is None:
             raise RuntimeError("tfidf: fit first")
-        key = self.options["key"]
-        w = features.tfidf(self._counts(docs), self.vocabulary, self.n_docs, key)
+        return features.tfidf(self._counts(docs), self.vocabulary, self.n_docs, self.options["key"])
+
+    def encode(self, docs: DataFrame) -> DataFrame:
+        key, w = self.options["key"], self.weights(docs)
         filled = w.groupBy(F.col(key).alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("_m"))  # at most ``size`` cells
         dense = F.transform(F.sequence(F.lit(0), F.lit(max(self.size - 1, 0))), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
         out = docs.join(filled, F.col(key) == F.col("_key"), "left")

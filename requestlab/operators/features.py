@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import metrics
+from . import metrics, neighbor_mi
 
 
 def tokenize(text: Column, pattern: str = "word", n: int = 1) -> Column:
@@ -108,24 +108,19 @@ def mi_continuous(vectors: DataFrame, k: int = 3, bins: int | None = 16) -> Data
     """Mutual information (nats) of each dimension with the class: ``dim, mi``.
 
     With ``bins``: dimensions are cut at their exact quantiles, all native, for tables of any size.
-    ``bins`` = None: the nearest-neighbour estimator of Ross (2014), which needs each dimension as one
-    group and so is for samples.
+    ``bins`` = None: the nearest-neighbour estimator of Ross (2014), by sorted ranges (``neighbor_mi``).
     """
+    if not bins:
+        return neighbor_mi.mutual_information(vectors, k)
     long = vectors.select("label", F.posexplode("embedding").alias("dim", "x"))
-    if bins:
-        shares = [i / bins for i in range(1, bins)]
-        cuts = metrics.percentiles(long, "x", shares, ["dim"])
-        cuts = cuts.select(F.col("dim").alias("_dim"), F.array(*[f"p{i}" for i in range(len(shares))]).alias("cuts"))
-        cells = long.join(F.broadcast(cuts), F.col("dim") == F.col("_dim"))  # a row a dimension
-        cells = cells.select("dim", "label", F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("b")).groupBy("dim", "b", "label").agg(F.count("*").alias("c"))
-        n, nb, nl = (F.sum("c").over(W.partitionBy("dim", *by)) for by in ([], ["b"], ["label"]))
-        part = (F.col("c") / n) * F.log(F.col("c") * n / (nb * nl))
-        return cells.withColumn("part", part).groupBy("dim").agg(F.greatest(F.sum("part"), F.lit(0.0)).alias("mi"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "mi": [nearest_mi(pdf["x"].to_numpy(float), pdf["label"].to_numpy(), k)]})
-
-    return long.groupBy("dim").applyInPandas(one, "dim int, mi double")
+    shares = [i / bins for i in range(1, bins)]
+    cuts = metrics.percentiles(long, "x", shares, ["dim"])
+    cuts = cuts.select(F.col("dim").alias("_dim"), F.array(*[f"p{i}" for i in range(len(shares))]).alias("cuts"))
+    cells = long.join(F.broadcast(cuts), F.col("dim") == F.col("_dim"))  # a row a dimension
+    cells = cells.select("dim", "label", F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("b")).groupBy("dim", "b", "label").agg(F.count("*").alias("c"))
+    n, nb, nl = (F.sum("c").over(W.partitionBy("dim", *by)) for by in ([], ["b"], ["label"]))
+    part = (F.col("c") / n) * F.log(F.col("c") * n / (nb * nl))
+    return cells.withColumn("part", part).groupBy("dim").agg(F.greatest(F.sum("part"), F.lit(0.0)).alias("mi"))
 
 
 def nearest_mi(x: np.ndarray, y: np.ndarray, k: int) -> float:
@@ -170,21 +165,22 @@ def task_sums(df: DataFrame, fold: Callable[[Iterator[pd.DataFrame]], np.ndarray
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = fold(frames)
         if total is not None:
-            yield pd.DataFrame({"slot": [TaskContext.get().partitionId() % 64], "v": [total]})
+            yield pd.DataFrame({"slot": [TaskContext.get().partitionId() % 64], "v": [np.asarray(total, "<f8").tobytes()]})
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for pdf in frames:
             for v in pdf["v"]:
-                total = np.array(v) if total is None else total + v
+                total = np.frombuffer(v, "<f8").copy() if total is None else total + np.frombuffer(v, "<f8")
         if total is not None:
-            yield pd.DataFrame({"v": [total]})
+            yield pd.DataFrame({"v": [total.tobytes()]})
 
-    parts = df.mapInPandas(first, "slot int, v array<double>").repartition("slot").select("v")
-    rows = parts.mapInPandas(add, "v array<double>").toLocalIterator()  # at most 64 rows
+    parts = df.mapInPandas(first, "slot int, v binary").repartition("slot").select("v")
+    rows = parts.mapInPandas(add, "v binary").toLocalIterator()  # at most 64 rows
     total = None
     for r in rows:
-        total = np.array(r["v"]) if total is None else total + np.array(r["v"])
+        v = np.frombuffer(bytes(r["v"]), "<f8")
+        total = v.copy() if total is None else total + v
     if total is None:
         raise ValueError("no vectors to fit on")
     return total
@@ -240,9 +236,9 @@ class PCA:
 
         @F.pandas_udf("array<double>")
         def project(x: pd.Series) -> pd.Series:
-            if not len(x):
-                return pd.Series([], dtype=object)
-            return pd.Series(list((np.stack(x).astype(float) - mean) @ comp.T))
+            there = x.notna()
+            got = iter((np.stack(x[there]).astype(float) - mean) @ comp.T if there.any() else ())
+            return pd.Series([next(got) if t else None for t in there], dtype=object)
 
         return vectors.withColumn(column, project(column))
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .neighbors import nearest_neighbors
+
+__all__ = ["attach_metadata", "join_predictions", "nearest_neighbors", "param_grid", "pareto_frontier", "project_vocabulary"]
+
 
 def attach_metadata(vectors: DataFrame, requests: DataFrame, key: str = "request_id") -> DataFrame:
     """Bring request and label beside each vector, by key."""
@@ -61,42 +61,3 @@ def pareto_frontier(runs: DataFrame, max_fpr: float, key: str = "run_id", fallba
 def project_vocabulary(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Rows whose term is in the vocabulary."""
     return terms.join(vocabulary.select("term").distinct(), "term", "left_semi")
-
-
-def nearest_neighbors(test: DataFrame, train: DataFrame, k: int = 1, id_col: str = "vec_id", block: int = 4096, skip_self: bool = False) -> DataFrame:
-    """Euclidean distance to the k nearest train vectors: ``id, rank, neighbor, distance``.
-
-    Exact.  Both sides are dealt to bounded blocks by a hash of the id; every test block visits
-    every train block by an equi-join on the train block, a task keeps k rows a test vector, and
-    a window merges the blocks' lists.  ``skip_self`` leaves out the row with the same id.
-    """
-    from pyspark.sql import Window as W
-
-    def blocks(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        n = max(1, -(-df.count() // block))
-        b = F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(n)).cast("int")
-        cell = F.struct(F.col(id_col).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-        return df.where("embedding IS NOT NULL").groupBy(b.alias(name)).agg(F.collect_list(cell).alias(f"{name}_rows")), n
-
-    left, _ = blocks(test, "a")
-    right, nb = blocks(train, "b")
-    meet = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).join(right, "b").select("a_rows", "b_rows")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for xs, ys in zip(pdf["a_rows"], pdf["b_rows"], strict=True):
-                xi, yi = np.array([r["id"] for r in xs]), np.array([r["id"] for r in ys])
-                x, y = np.stack([r["v"] for r in xs]), np.stack([r["v"] for r in ys])
-                d = np.sqrt(np.maximum(0.0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T))
-                if skip_self:
-                    d[xi[:, None] == yi[None, :]] = np.inf
-                m = min(k, len(yi))
-                order = np.argsort(yi, kind="stable")  # ties go to the smaller id
-                near = order[np.argsort(d[:, order], axis=1, kind="stable")[:, :m]]
-                dist = np.take_along_axis(d, near, axis=1)
-                ok = np.isfinite(dist).ravel()
-                yield pd.DataFrame({"id": np.repeat(xi, m)[ok], "neighbor": yi[near].ravel()[ok], "distance": dist.ravel()[ok]})
-
-    found = meet.mapInPandas(run, "id long, neighbor long, distance double")
-    rank = F.row_number().over(W.partitionBy("id").orderBy("distance", "neighbor"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)

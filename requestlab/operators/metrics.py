@@ -62,7 +62,9 @@ def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] |
 
     Two passes and no buffer of a group's values.  The first finds, by quantile sketches, a bracket
     of values around each wanted rank; the second counts the rows below it and, by distinct
-    value, those inside (about 6 / BRACKET of a large group), and the rank is read off those.
+    value, those inside (about 6 / BRACKET of a large group), and the rank is read off those.  The brackets,
+    a row a group, go to the rows, which stay where they are.  A rank outside its bracket is noticed and
+    the second pass is made again over whole groups.
     """
     by = list(by or [])
     rows = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col(value).cast("double").alias("_x"))
@@ -70,6 +72,18 @@ def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] |
     near = [(s - 3 / BRACKET, s + 3 / BRACKET) for s in shares]
     sketch = F.percentile_approx("_x", [min(1.0, max(0.0, x)) for pair in near for x in pair], BRACKET)
     head = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), sketch.alias("_q"))
+    head = store.materialize(head, "brackets")
+    read = _read_ranks(rows, head, keys, shares, near)
+    if not read.where("NOT (_less <= floor(_at) AND ceil(_at) < _upto)").isEmpty():
+        store.discard(read)
+        read = _read_ranks(rows, head, keys, shares, [(-1.0, 2.0)] * len(shares))
+    exact = F.when(F.floor("_at") == F.ceil("_at"), F.col("_a")).otherwise((F.ceil("_at") - F.col("_at")) * F.col("_a") + (F.col("_at") - F.floor("_at")) * F.col("_b"))
+    out = read.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, exact)).alias(f"p{i}") for i in range(len(shares))])
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], *[f"p{i}" for i in range(len(shares))])
+
+
+def _read_ranks(rows: DataFrame, head: DataFrame, keys: list[str], shares: list[float], near: list[tuple[float, float]]) -> DataFrame:
+    """Per group and share ``_i``: the values ``_a`` and ``_b`` at the ranks around ``_at``, the rows ``_less`` than its bracket and ``_upto`` its end."""
     small = F.col("_n") <= BRACKET
     ends = [
         F.struct(
@@ -78,33 +92,31 @@ def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] |
         )
         for i, (low, high) in enumerate(near)
     ]
-    head = head.select(*keys, "_n", F.array(*ends).alias("_ends"))
-
-    def beside(a: DataFrame, b: DataFrame) -> DataFrame:
-        """Rows of ``a`` with the one row of ``b`` that has their group."""
-        if not keys:
-            return a.crossJoin(F.broadcast(b))  # one row
-        named = b.select(*[F.col(k).alias(f"{k}_") for k in keys], *[c for c in b.columns if c not in keys])
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
-        return a.join(named, same).drop(*[f"{k}_" for k in keys])
-
-    both = beside(rows, head.select(*keys, "_ends"))
-    less = [F.count_if(F.col("_x") < F.col("_ends")[i]["lo"]) for i in range(len(shares))]
-    less = both.groupBy(*keys).agg(F.array(*less).alias("_less"))
-    inside = F.array(*[F.when(F.col("_x").between(F.col("_ends")[i]["lo"], F.col("_ends")[i]["hi"]), F.lit(i)) for i in range(len(shares))])
-    held = both.select(*keys, "_x", F.explode(F.array_compact(inside)).alias("_i")).groupBy(*keys, "_i", "_x").agg(F.count("*").alias("_c"))
-    held = beside(beside(held, head.select(*keys, "_n")), less)
-    upto = F.sum("_c").over(W.partitionBy(*keys, "_i").orderBy("_x").rowsBetween(W.unboundedPreceding, 0))
-    held = held.withColumn("_upto", upto + F.get("_less", F.col("_i"))).withColumn("_at", F.get(F.lit(list(shares)), F.col("_i")) * (F.col("_n") - 1))
-    low, high = F.floor("_at"), F.ceil("_at")
+    both = _beside(rows, head.select(*keys, F.array(*ends).alias("_ends")), keys)
+    x, end = F.col("_x"), lambda i: F.col("_ends")[i]
+    # a row below a bracket counts under no value, one above it nowhere
+    place = [F.when(x < end(i)["lo"], F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("x"))).when(x <= end(i)["hi"], F.struct(F.lit(i).alias("i"), x.alias("x"))) for i in range(len(shares))]
+    held = both.select(*keys, F.explode(F.array_compact(F.array(*place))).alias("_s")).groupBy(*keys, F.col("_s.i").alias("_i"), F.col("_s.x").alias("_x")).agg(F.count("*").alias("_c"))
+    held = _beside(held, head.select(*keys, "_n"), keys)
+    upto = F.sum("_c").over(W.partitionBy(*keys, "_i").orderBy(F.asc_nulls_first("_x")).rowsBetween(W.unboundedPreceding, 0))
+    held = held.withColumn("_upto", upto).withColumn("_at", F.get(F.lit(list(shares)), F.col("_i")) * (F.col("_n") - 1))
+    at = lambda rank: F.min(F.when(F.col("_x").isNotNull() & (F.col("_upto") > rank), F.col("_x")))
     got = held.groupBy(*keys, "_i").agg(
-        F.min(F.when(F.col("_upto") > low, F.col("_x"))).alias("_a"), F.min(F.when(F.col("_upto") > high, F.col("_x"))).alias("_b"), F.first("_at").alias("_at")
-    )
-    exact = F.when(low == high, F.col("_a")).otherwise((high - F.col("_at")) * F.col("_a") + (F.col("_at") - low) * F.col("_b"))
-    out = got.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, exact)).alias(f"p{i}") for i in range(len(shares))])
-    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], *[f"p{i}" for i in range(len(shares))])
+        at(F.floor("_at")).alias("_a"), at(F.ceil("_at")).alias("_b"), F.first("_at").alias("_at"),
+        F.coalesce(F.max(F.when(F.col("_x").isNull(), F.col("_c"))), F.lit(0)).alias("_less"), F.max("_upto").alias("_upto"),
+    )
+    return store.materialize(got, "ranks")
+
+
+def _beside(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the one row of ``side``, a written table, that has their group; broadcast if it is counted to be small."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(side))  # one row
+    side = store.beside(side.select(*[F.col(k).alias(f"{k}_") for k in keys], *[c for c in side.columns if c not in keys]))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return rows.join(side, same).drop(*[f"{k}_" for k in keys])
 
 
 def percentile(df: DataFrame, value: str, share: float) -> float | None:
@@ -115,8 +127,8 @@ def percentile(df: DataFrame, value: str, share: float) -> float | None:
 def threshold_at_fpr(scores: DataFrame, max_fpr: float = 0.05, by: list[str] | None = None) -> DataFrame:
     """Linear percentile 1 - max_fpr of the valid rows' scores, and the rate it really gives."""
     valid = scores.where(F.col("label") == VALID)
-    cut = percentiles(valid, "score", [1 - max_fpr], by).withColumnRenamed("p0", "threshold")
-    joined = valid.join(cut, by) if by else valid.crossJoin(F.broadcast(cut))  # one row
+    cut = store.materialize(percentiles(valid, "score", [1 - max_fpr], by).withColumnRenamed("p0", "threshold"), "thresholds")
+    joined = valid.join(store.beside(cut), by) if by else valid.crossJoin(F.broadcast(cut))  # one row
     rate = joined.groupBy(*(by or []), "threshold").agg(F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("actual_fpr"))
     return rate
 
@@ -126,7 +138,7 @@ def predict(scores: DataFrame, threshold: DataFrame | float, by: list[str] | Non
     if isinstance(threshold, (int, float)):
         return scores.withColumn("prediction", F.col("score") > F.lit(float(threshold)))
     cut = threshold.select(*(by or []), "threshold")
-    both = scores.join(cut, by, "left") if by else scores.crossJoin(F.broadcast(cut))  # one row
+    both = scores.join(store.beside(store.materialize(cut, "thresholds")), by, "left") if by else scores.crossJoin(F.broadcast(cut))  # one row
     return both.withColumn("prediction", F.coalesce(F.col("score") > F.col("threshold"), F.lit(False)))
 
 

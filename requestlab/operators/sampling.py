@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from requestlab.sources import store
+
 from . import metrics
 
 
@@ -15,29 +17,52 @@ def hash_order(key: str, seed: int = 42) -> Column:
 
 
 def split_one_class(df: DataFrame, train_size: int, seed: int = 42, key: str = "request_id") -> tuple[DataFrame, DataFrame]:
-    """G1: train = ``train_size`` random valid rows (all, if fewer); test = the other valid rows and all attacks."""
-    valid = df.where("label = 'valid'")
-    picked = valid.select(key, hash_order(key, seed).alias("_h")).orderBy("_h", key).limit(train_size).select(key)
-    return df.join(picked, key, "left_semi"), df.join(picked, key, "left_anti")
+    """G1: train = ``train_size`` random valid rows (all, if fewer); test = the other valid rows and all attacks.
 
+    The sample is all valid rows up to one place in hash order, so both parts are filters.
+    """
+    valid = F.coalesce(F.col("label") == "valid", F.lit(False))
+    last = _cutoffs(df.where(valid), F.lit("valid"), F.lit(train_size), seed, key).first()
+    if last is None:
+        return df.where("false"), df
+    place = F.struct(F.lit(last["h"]).alias("h"), F.lit(last["key"]).cast(df.schema[key].dataType).alias("key"))
+    picked = F.coalesce(valid & (_place(key, seed) <= place), F.lit(False))
+    return df.where(picked), df.where(~picked)
 
-def _first_by_hash(df: DataFrame, group: str, need: Column, seed: int, key: str) -> DataFrame:
-    """Of every group the first rows in hash order, ``need`` many (an expression over the group's size ``population``).
 
-    Rows are counted by 65,536 ranges of their hash; whole ranges are taken, and only the rows of the
-    one range that is taken in part are ranked.  Adds ``population``.
+def _place(key: str, seed: int) -> Column:
+    """Where a row stands in hash order."""
+    return F.struct(hash_order(key, seed).alias("h"), F.col(key).alias("key"))
+
+
+def _cutoffs(df: DataFrame, group: Column, need: Column, seed: int, key: str) -> DataFrame:
+    """Of every group the place ``h, key`` of its last row if the first ``need`` rows in hash order are taken: ``group, population, h, key``.
+
+    ``need`` is an expression over the group's size ``population``.  Rows are counted by 65,536 ranges of their
+    hash; only those of the one range that is taken in part are ranked.  A row a group is written.
     """
     h = hash_order(key, seed)
-    rows = df.withColumn("_b", F.conv(F.substring(h, 1, 4), 16, 10).cast("int"))
-    w = W.partitionBy(group)
-    hist = rows.groupBy(group, "_b").agg(F.count("*").alias("_c")).withColumn("population", F.sum("_c").over(w))
-    hist = hist.withColumn("_before", F.sum("_c").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")).withColumn("_need", need)
-    cut = hist.where("_before < _need").groupBy(F.col(group).alias("_group"), "population", "_need").agg(F.max(F.struct("_b", "_before")).alias("_cut"))
-    both = rows.join(cut, F.col(group).eqNullSafe(F.col("_group")))
-    whole = both.where("_b < _cut._b")
-    edge = both.where("_b = _cut._b").withColumn("_r", F.row_number().over(w.orderBy(h, key)))
-    edge = edge.where("_r <= _need - _cut._before").drop("_r")
-    return whole.unionByName(edge).select(*df.columns, "population")
+    rows = df.select(group.alias("group"), F.col(key).alias("key"), h.alias("h")).where("key IS NOT NULL").withColumn("b", F.conv(F.substring("h", 1, 4), 16, 10).cast("int"))
+    w = W.partitionBy("group")
+    hist = rows.groupBy("group", "b").agg(F.count("*").alias("c")).withColumn("population", F.sum("c").over(w))
+    hist = hist.withColumn("before", F.sum("c").over(w.orderBy("b").rowsBetween(W.unboundedPreceding, 0)) - F.col("c")).withColumn("need", need)
+    last = hist.where("before < need").groupBy(F.col("group").alias("_g"), "population", "need").agg(F.max(F.struct("b", "before")).alias("cut"))
+    last = store.materialize(last, "ranges")
+    edge = rows.join(store.beside(last), F.col("group").eqNullSafe(F.col("_g")) & (F.col("b") == F.col("cut.b")))
+    edge = edge.withColumn("r", F.row_number().over(w.orderBy("h", "key"))).where("r <= need - cut.before")
+    got = edge.groupBy("group", "population").agg(F.max(F.struct("h", "key")).alias("p"))
+    return store.materialize(got.select("group", "population", "p.h", "p.key"), "cutoffs")
+
+
+def _first_by_hash(df: DataFrame, group: str, need: Column, seed: int, key: str) -> DataFrame:
+    """Of every group the first rows in hash order, ``need`` many, with the group's size as ``population``.
+
+    Groups' last places go to the rows, which stay where they are.  Rows that share an id go together;
+    rows without an id are in no sample.
+    """
+    last = store.beside(_cutoffs(df, F.col(group), need, seed, key).select(F.col("group").alias("_g"), "population", F.struct("h", "key").alias("_last")))
+    both = df.join(last, F.col(group).eqNullSafe(F.col("_g"))).where(_place(key, seed) <= F.col("_last"))
+    return both.select(*df.columns, "population")
 
 
 def sample_per_label(df: DataFrame, n: int, seed: int = 42, key: str = "request_id") -> DataFrame:
@@ -47,9 +72,15 @@ def sample_per_label(df: DataFrame, n: int, seed: int = 42, key: str = "request_
 
 def sample_per_category(df: DataFrame, categories: list[str], share: float = 0.15, seed: int = 42, key: str = "request_id") -> DataFrame:
     """Of every 0/1 category max(1, floor(share * n)) rows; a row drawn twice stays once."""
-    long = df.select(key, F.explode(F.array_compact(F.array(*[F.when(F.col(f"`{c}`") == 1, F.lit(c)) for c in categories]))).alias("category"))
-    picked = _first_by_hash(long, "category", F.greatest(F.lit(1), F.floor(F.col("population") * share)), seed, key).select(key).distinct()
-    return df.join(picked, key, "left_semi")
+    own = F.array_compact(F.array(*[F.when(F.col(f"`{c}`") == 1, F.lit(c)) for c in categories]))
+    long = df.select(key, F.explode(own).alias("category"))
+    last = _cutoffs(long, F.col("category"), F.greatest(F.lit(1), F.floor(F.col("population") * share)), seed, key).collect()  # a row a category
+    kind = df.schema[key].dataType
+    drawn = F.lit(False)
+    for r in last:
+        place = F.struct(F.lit(r["h"]).alias("h"), F.lit(r["key"]).cast(kind).alias("key"))
+        drawn = drawn | ((F.col(f"`{r['group']}`") == 1) & (_place(key, seed) <= place))
+    return df.where(drawn)
 
 
 def balanced_sample(df: DataFrame, n: int, seed: int = 42, key: str = "request_id") -> DataFrame:

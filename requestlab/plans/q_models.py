@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from requestlab.operators import detectors as D
@@ -107,6 +108,21 @@ def e7_mi_continuous(spark, sf_dir):
     return features.mi_continuous(vectors(spark, sf_dir)).select("dim", F.round("mi", 6).alias("mi"))
 
 
+def nearest_mi_sql(rows: str, k: int = 3) -> str:
+    """The neighbour estimator: radii by lag and lead inside a class, counts within them by distances, digamma by harmonic numbers."""
+    around = ", ".join(f"abs(x - {f}(x, {i}) OVER w)" for i in range(1, k + 1) for f in ("lag", "lead"))
+    return f"""l AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM ({rows})),
+r AS (SELECT d, x, nc, least({k}, nc - 1) AS near, list_sort(list_filter(a, lambda z: z IS NOT NULL))[least({k}, nc - 1)] AS r FROM (SELECT d, x, count(*) OVER (PARTITION BY d, label) AS nc, [{around}] AS a FROM l WINDOW w AS (PARTITION BY d, label ORDER BY x)) WHERE nc > 1),
+m AS (SELECT r.d, nc, near, (SELECT count(*) FROM l WHERE l.d = r.d AND (abs(l.x - r.x) < r.r OR l.x = r.x)) AS m FROM r),
+h AS (SELECT i AS n, sum(1.0::DOUBLE / (i - 1)) OVER (ORDER BY i) AS psi FROM range(2, (SELECT 2 + count(*) FROM l WHERE d = 0)) t(i) UNION ALL SELECT 1, 0.0)
+SELECT CAST(d AS INT) AS dim, round(greatest(a.psi + s, 0), 6) AS mi FROM (SELECT d, count(*) AS n, avg(k.psi - c.psi - p.psi) AS s FROM m JOIN h k ON k.n = near JOIN h c ON c.n = nc JOIN h p ON p.n = m GROUP BY d) JOIN h a USING (n)"""
+
+
+@query(f"WITH {VEC}, {nearest_mi_sql('FROM vec')}")
+def e7_mi_neighbors(spark, sf_dir):
+    return features.mi_continuous(vectors(spark, sf_dir), bins=None).select("dim", F.round("mi", 6).alias("mi"))
+
+
 @query(f"WITH {VOCAB} SELECT term, df FROM voc ORDER BY df DESC, term LIMIT 25")
 def e8_select_top_k(spark, sf_dir):
     return sampling.top_k(vocabulary(spark, sf_dir)[0].select("term", "df"), "df", 25, "term")
@@ -119,6 +135,30 @@ def e9_pca(spark, sf_dir):
     return got.select("vec_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("coords"))
 
 
+@query(f"""WITH {VEC}, d AS (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM vec WHERE label = 'valid')
+SELECT 64 AS dims, round(sum(v), 6) AS variance, true AS uncorrelated, true AS descending, true AS complete FROM (SELECT var_samp(CAST(x AS DOUBLE)) AS v FROM d GROUP BY i)""")
+def e9_pca_properties(spark, sf_dir):
+    """What defines principal components: coordinates that do not correlate, in the order of their variance, which together is all there is."""
+    v = runs.normal(vectors(spark, sf_dir))
+    n, mean, cov = features.mean_and_covariance(features.PCA.fit(v, 64).transform(v))
+    own = cov.diagonal()
+    facts = (len(own), round(float(own.sum()), 6), *map(bool, (abs(cov - np.diag(own)).max() < 1e-9, (own[1:] <= own[:-1] + 1e-9).all(), abs(mean).max() < 1e-9)))
+    return spark.createDataFrame([facts], "dims int, variance double, uncorrelated boolean, descending boolean, complete boolean")
+
+
+@query()
+def e9_sparse_pca(spark, sf_dir):
+    """Components of TF-IDF features of more than 5,000 terms: the share of the variance that each explains."""
+    pca, coords = runs.text_pca(labelled_texts(spark, sf_dir), 10_000, 20, n=2)
+    spread = coords.where("label = 'valid'").select(F.posexplode("embedding").alias("component", "x")).groupBy("component").agg(F.round(F.var_samp("x"), 6).alias("variance"))
+    share = F.get(F.lit([round(float(x), 6) for x in pca.explained]), F.col("component"))
+    return spread.select("component", "variance", share.alias("share"), F.lit(len(pca.mean)).alias("terms"))
+
+
+def labelled_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("lang") == "en", "valid").otherwise("attack").alias("label"))
+
+
 @query()
 def e10_pca_2d(spark, sf_dir):
     return features.pca_2d(vectors(spark, sf_dir)).select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
@@ -387,6 +427,12 @@ def r2_pca_sweep(spark, sf_dir):
     return rounded(runs.pca_sweep(vectors(spark, sf_dir), [4, 16, 32]))
 
 
+@query()
+def r2_text_pca_sweep(spark, sf_dir):
+    """50 to 200 components of 10,000 terms and word pairs."""
+    return rounded(runs.text_pca_sweep(labelled_texts(spark, sf_dir), 10_000, [50, 100, 200], n=2))
+
+
 @query()
 def r2_pca_lof_sweep(spark, sf_dir):
     return rounded(runs.pca_sweep(vectors(spark, sf_dir), [4, 16], lambda: D.LocalOutlierFactor(20)))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from requestlab.operators import detectors, encoders, features, joins, metrics, sampling
+from requestlab.operators import detectors, encoders, features, joins, metrics, sampling, sparse_pca
 from requestlab.sources import store
 
 METRICS = ("precision", "recall", "f1", "accuracy", "fpr", "specificity")
@@ -61,6 +61,30 @@ def pca_sweep(vectors: DataFrame, dims: list[int], detector=detectors.Mahalanobi
     return _stack(rows)
 
 
+def text_pca(docs: DataFrame, max_features: int, k: int, key: str = "doc_id", pattern: str = "word", n: int = 1) -> tuple[features.PCA, DataFrame]:
+    """Components of wide TF-IDF features, fitted on valid rows, and all rows' coordinates: ``key, label, embedding``.
+
+    Weights stay a long table from the vocabulary to the coordinates.
+    """
+    model = encoders.TfidfEncoder(key, max_features, pattern, n).fit(normal(docs))
+    weights = store.materialize(model.weights(docs).select(key, "idx", "weight"), "weights")
+    own = normal(docs).select(key)
+    pca = sparse_pca.fit(weights.join(own.hint("merge"), key, "left_semi"), own.count(), model.size, k, key)
+    coords = store.materialize(sparse_pca.transform(pca, docs.select(key, "label"), weights, key), "coordinates")
+    store.discard(weights)
+    return pca, coords
+
+
+def text_pca_sweep(docs: DataFrame, max_features: int, dims: list[int], detector=detectors.Mahalanobis, key: str = "doc_id", pattern: str = "word", n: int = 1) -> DataFrame:
+    """R2 on wide text features: one fit at the largest dimension, its head for every other."""
+    pca, coords = text_pca(docs, max_features, max(dims), key, pattern, n)
+    rows = []
+    for k in dims:
+        cut, model = coords.withColumn("embedding", F.slice("embedding", 1, k)), detector()
+        rows.append(evaluate(model.fit(normal(cut)).score(cut), k=k, detector=model.name, terms=len(pca.mean), explained=float(pca.explained[:k].sum())))
+    return _stack(rows)
+
+
 def grid_run(vectors: DataFrame, cls, grid: dict[str, list], **fixed) -> DataFrame:
     """One row a combination of options; feed to ``pareto_frontier`` and ``best_run``."""
     spark = vectors.sparkSession
@@ -88,9 +112,8 @@ def lof_sweep(vectors: DataFrame, ks: list[int], key: str = "vec_id") -> DataFra
     from requestlab.operators.detectors import LocalOutlierFactor as Lof
 
     train = normal(vectors).select(F.col(key).alias("vec_id"), "embedding")
-    inner = store.materialize(joins.nearest_neighbors(train, train, max(ks), skip_self=True), "inner")
+    inner = joins.nearest_neighbors(train, train, max(ks), skip_self=True)
     outer = joins.nearest_neighbors(vectors.select(F.col(key).alias("vec_id"), "embedding"), train, max(ks), skip_self=True)
-    outer = store.materialize(outer, "outer")
     rows = []
     for k in ks:
         model = Lof(k).fit(train, near=inner)

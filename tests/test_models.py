@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from requestlab.operators import detectors as D
-from requestlab.operators import encoders, features, metrics, sampling
+from requestlab.operators import encoders, features, joins, metrics, neighbor_mi, neighbors, sampling, sparse_pca
 from requestlab.plans import runs
+from requestlab.sources import store
 
 
 @pytest.fixture(scope="module")
@@ -49,8 +50,8 @@ def test_mixture_is_em(vectors, cloud):
     """One iteration from the same start, by hand."""
     model = D.GaussianMixture(k=2, covariance="full", n_init=1, max_iter=1).fit(vectors)
     p = model.params
-    seed = F.xxhash64("embedding", F.lit(42))
-    means = np.array([r[0] for r in vectors.orderBy(seed).select("embedding").limit(2).collect()])
+    means = D.GaussianMixture.starts(vectors, 2, 1, 42)[0]
+    assert all((cloud == m).all(1).any() for m in means) and (means[0] != means[1]).any()
     cov = np.cov(cloud.T, bias=True) + 1e-6 * np.eye(6)
     diff = cloud[:, None] - means
     logp = -0.5 * np.einsum("nki,ij,nkj->nk", diff, np.linalg.inv(cov), diff)
@@ -188,6 +189,128 @@ def test_mutual_information(spark, vectors, cloud):
     assert features.nearest_mi(v, c, 3) < 0.03 and features.nearest_mi(v + 20 * c, c, 3) == pytest.approx(math.log(2), abs=0.02)
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_neighbor_information(spark, parts):
+    """Ranges with halos against one group: ties, hot values, tiny classes, values of all sizes, any number of ranges."""
+    r = np.random.Generator(np.random.PCG64(parts))
+    n = 400
+    y = np.array(["a", "b", "c", "one", "two", "two"])[np.minimum(5, np.append(r.integers(0, 3, n - 3), [3, 4, 5]))]
+    cols = [
+        r.standard_normal(n), r.integers(0, 5, n).astype(float), np.where(r.random(n) < 0.4, 0.0, r.standard_normal(n)), np.zeros(n),
+        r.standard_normal(n) * 10.0 ** r.integers(-300, 300, n), np.float32(r.standard_normal(n)).astype(float), np.round(r.standard_normal(n), 1) + (y == "a"),
+        np.where(y == "a", 1e9, -1e9) + r.random(n), r.integers(-3, 4, n) * 0.1,
+    ]
+    x = np.stack(cols, axis=1)
+    rows = [(i, k, v.tolist()) for i, (k, v) in enumerate(zip(y.tolist(), x, strict=True))] + [(n, "a", None), (n + 1, None, x[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {g["dim"]: g["mi"] for g in features.mi_continuous(df, bins=None).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(cols)
+    for d, v in enumerate(cols):
+        assert got[d] == pytest.approx(features.nearest_mi(v, y, 3), abs=1e-9), d
+    assert features.mi_continuous(df.where("false"), bins=None).count() == 0
+
+
+def test_ball_ends():
+    """The end of a ball is settled by distances, at every scale."""
+    r = np.random.Generator(np.random.PCG64(2))
+    x = np.concatenate([r.standard_normal(300) * 10.0 ** r.integers(-200, 200, 300), [-1.0, 0.0, -3.0]])
+    d = np.concatenate([np.abs(r.standard_normal(300)) * 10.0 ** r.integers(-200, 200, 300), [1.0, 5e-324, 3.0]])
+    d = np.maximum(d, np.abs(np.spacing(x)))
+    b = neighbor_mi.first_at(x, d)
+    assert (b > x).all() and (b - x >= d).all() and (np.nextafter(b, -np.inf) - x < d).all()
+
+
+def test_pruned_neighbors(spark):
+    """Clustered vectors: the lists of all pairs, by few visits; repeated vectors, ties, hot blocks and null vectors."""
+    r = np.random.Generator(np.random.PCG64(4))
+    x = np.repeat(r.standard_normal((12, 5)) * 30, 40, axis=0) + r.standard_normal((480, 5))
+    x[100:160] = x[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9999, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    old = neighbors.GROUP
+    neighbors.GROUP = 50
+    try:
+        for k, block, own in ((3, 16, True), (5, 16, False), (4, 10_000, True), (600, 32, True)):
+            seen = {}
+            got = joins.nearest_neighbors(df, df, k, block=block, skip_self=own, seen=seen).collect()
+            d = dist.copy()
+            if own:
+                np.fill_diagonal(d, np.inf)
+            best = np.argsort(d, axis=1, kind="stable")[:, : min(k, 479)]
+            assert {(g["id"], g["rank"]): g["neighbor"] for g in got} == {(i, j + 1): int(best[i, j]) for i in range(480) for j in range(best.shape[1])}
+            assert all(g["distance"] == dist[g["id"], g["neighbor"]] for g in got)
+            if k < 10 and seen:
+                assert seen["visits"] < 0.4 * seen["possible"]
+    finally:
+        neighbors.GROUP = old
+    assert joins.nearest_neighbors(df, df.where("false"), 2).count() == 0
+
+
+def test_sparse_pca(spark):
+    """Explained variance and coordinates of a wide sparse table against the dense fit; rows without a weight count."""
+    r = np.random.Generator(np.random.PCG64(6))
+    x = np.where(r.random((200, 600)) < 0.05, r.random((200, 600)), 0) + np.outer(r.random(200) < 0.3, np.where(r.random(600) < 0.1, 2.0, 0))
+    x[:5] = 0
+    long = [(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)]
+    weights = spark.createDataFrame(long, "doc_id long, idx long, weight double").repartition(4)
+    docs = spark.createDataFrame([(i,) for i in range(200)], "doc_id long")
+    pca = sparse_pca.fit(weights, 200, 600, 8, passes=60, tol=1e-7)
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    assert np.allclose(pca.explained, values[::-1][:8] / values.sum(), atol=1e-3) and np.allclose(pca.components @ pca.components.T, np.eye(8))
+    got = np.array([g["embedding"] for g in sparse_pca.transform(pca, docs, weights).orderBy("doc_id").collect()])
+    assert np.allclose(got, (x - x.mean(0)) @ pca.components.T) and np.allclose(np.abs(got[:, 0]), np.abs((x - x.mean(0)) @ axes[:, -1]), atol=1e-3)
+    with pytest.raises(ValueError):
+        sparse_pca.fit(weights, 200, 10**7, 300)
+
+
+def test_forest_draws_rows(spark, vectors):
+    """The same trees however rows are dealt; one vector repeated often is drawn by its rows, equal rows by their count."""
+    a, b = (D.IsolationForest(n_estimators=5, max_samples=32).fit(v).params["trees"] for v in (vectors, vectors.repartition(11, "vec_id")))
+    assert all(np.array_equal(p, q) for p, q in zip(a, b, strict=True))
+    many = spark.range(200_000).select(F.col("id").alias("vec_id"), F.when(F.col("id") < 199_000, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.col("id") * 1.0, F.lit(0.0))).alias("embedding"))
+    model = D.IsolationForest(n_estimators=5, max_samples=32)
+    picked = model._samples(many, 200_000, 5, 32, 42)
+    assert picked.count() < 5 * 200 and picked.agg(F.max("c")).first()[0] == 1
+    same = many.where("vec_id < 199000").select("embedding")
+    assert model._samples(same, 199_000, 5, 32, 42).count() == 5
+    assert len(model.fit(same).params["trees"]) == 5
+
+
+def test_starts_lie_apart(spark):
+    rows = [([0.0, 0.0],)] * 500 + [([9.0, 9.0],)] * 20 + [([9.0, -9.0],)] * 3 + [(None,)]
+    df = spark.createDataFrame(rows, "embedding array<double>").repartition(3)
+    for means in D.GaussianMixture.starts(df.where("embedding IS NOT NULL"), 3, 4, 7):
+        assert sorted(map(tuple, means)) == [(0.0, 0.0), (9.0, -9.0), (9.0, 9.0)]
+    assert len(D.GaussianMixture(k=5, n_init=2, max_iter=2, covariance="diag").fit(df).params["weights"]) == 3
+
+
+def test_no_vector_no_score(spark, vectors):
+    df = vectors.select("vec_id", "embedding").unionByName(spark.createDataFrame([(1000, None)], "vec_id long, embedding array<double>"))
+    for model in (D.Mahalanobis(), D.LocalOutlierFactor(5), D.PcaDetector(D.Hypersphere(), 2), D.IsolationForest(n_estimators=3)):
+        got = {r["vec_id"]: r["score"] for r in model.fit(runs.normal(vectors)).score(df).collect()}
+        assert len(got) == 301 and got[1000] is None and sum(x is None for x in got.values()) == 1
+
+
+def test_groups_stay_where_they_are(spark):
+    """No exchange of input rows: percentiles, thresholds and samples by group send a row a group to the rows."""
+    df = spark.range(2_000_000_000).select(F.col("id").alias("request_id"), F.when(F.col("id") % 20 == 0, "attack").otherwise("valid").alias("label"), F.rand(1).alias("score"))
+    side = spark.createDataFrame([("valid", 1, "a", 5)], "_g string, population long, h string, k long")
+    side = store.beside(store.materialize(side, "side"))
+    plan = df.join(side, F.col("label").eqNullSafe(F.col("_g")))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    small = df.where("request_id < 5000")
+    for got in (sampling.sample_per_label(small, 10), metrics.predict(small, metrics.threshold_at_fpr(small, 0.05, ["label"]), ["label"]), *sampling.split_one_class(small, 100)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+
+
 def test_encoders(spark, tmp_path):
     docs = spark.createDataFrame([(1, "aa bb aa", 0), (2, "bb cc", 1), (3, "zz", 2), (4, None, 3)], "doc_id long, text string, extra int")
     model = encoders.TfidfEncoder(max_features=2).fit(docs.where("doc_id < 3"))
