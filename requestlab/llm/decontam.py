@@ -81,7 +81,9 @@ class ItemIndex:
             found = np.unique(np.concatenate([part.owner[a:b] for a, b in zip(lo, hi, strict=True)]))
             whole = np.unique(mine)
             for i in found.tolist():
-                shared = int(np.isin(self.sets[i], whole, assume_unique=True).sum())
+                at = np.searchsorted(whole, self.sets[i])
+                at[at == len(whole)] = 0
+                shared = int((whole[at] == self.sets[i]).sum())
                 if shared >= _need(len(self.sets[i]), self.percent):
                     out.append((i, shared, len(self.sets[i])))
         return out
