@@ -144,11 +144,11 @@ class Hypersphere(Detector):
 
 
 def _log_density(x: np.ndarray, weights, means, chols) -> np.ndarray:
-    """log(weight) + log N(x) for every component; ``chols`` are Cholesky factors of covariances."""
+    """log(weight) + log N(x) for every component; ``chols`` are Cholesky factors of covariances, or their diagonals if that is all."""
     out = []
     for w, m, c in zip(weights, means, chols, strict=True):
-        z = np.linalg.solve(c, (x - m).T)
-        out.append(math.log(max(w, 1e-300)) - 0.5 * (len(m) * math.log(2 * math.pi) + (z * z).sum(axis=0)) - np.log(np.diag(c)).sum())
+        z, own = ((x - m).T / c[:, None], c) if c.ndim == 1 else (np.linalg.solve(c, (x - m).T), np.diag(c))
+        out.append(math.log(max(w, 1e-300)) - 0.5 * (len(m) * math.log(2 * math.pi) + (z * z).sum(axis=0)) - np.log(own).sum())
     return np.stack(out, axis=1)
 
 
@@ -168,38 +168,54 @@ class GaussianMixture(Detector):
     name = "gmm"
 
     def fit(self, normal: DataFrame) -> GaussianMixture:
-        o = self.options
-        k, kind = o.get("k", 3), o.get("covariance", "full")
+        self.params = self.fit_all(normal, [self.options])[0].params
+        return self
+
+    @classmethod
+    def fit_all(cls, normal: DataFrame, options: list[dict]) -> list[GaussianMixture]:
+        """A mixture for each of the options, all of them moved by the same passes."""
         rows = store.materialize(normal.where("embedding IS NOT NULL"), "vectors")
         n, mean, cov = features.mean_and_covariance(rows, ddof=0)
-        reg = o.get("reg", 1e-6) * np.eye(len(mean))
-        fits = []
-        for means in self.starts(rows, k, o.get("n_init", 5), o.get("seed", 42)):
-            fits.append({"w": np.full(len(means), 1 / len(means)), "m": means, "c": np.stack([cov + reg] * len(means)), "before": -np.inf, "value": -np.inf})
-        moving = list(fits)
-        for _ in range(o.get("max_iter", 200)):
+        fits, drawn = [], {}
+        for at, o in enumerate(options):
+            key = o.get("n_init", 5), o.get("seed", 42)
+            if key not in drawn:  # means are picked one after the other, so fewer components take the first of them
+                most = max(p.get("k", 3) for p in options if (p.get("n_init", 5), p.get("seed", 42)) == key)
+                drawn[key] = cls.starts(rows, most, *key)
+            reg = o.get("reg", 1e-6) * np.eye(len(mean))
+            for means in drawn[key]:
+                m = means[: o.get("k", 3)]
+                fits.append({"of": at, "reg": reg, "w": np.full(len(m), 1 / len(m)), "m": m, "c": np.stack([cov + reg] * len(m)), "before": -np.inf, "value": -np.inf, "passes": 0})
+        moving = [f for f in fits if options[f["of"]].get("max_iter", 200) > 0]
+        while moving:
             still = []
-            for f, (nk, sums, grams, value) in zip(moving, self._pass(rows, moving), strict=True):
-                nk = np.maximum(nk, 1e-12)
-                f["w"], f["m"], f["value"] = nk / nk.sum(), sums / nk[:, None], value
-                covs = grams / nk[:, None, None] - np.einsum("ki,kj->kij", f["m"], f["m"])
-                f["c"] = self._shape(covs, f["w"], kind) + reg
-                if abs(value - f["before"]) / n >= o.get("tol", 1e-3):
+            for f, (nk, sums, grams, value) in zip(moving, cls._pass(rows, moving), strict=True):
+                o, nk = options[f["of"]], np.maximum(nk, 1e-12)
+                f["w"], f["m"], f["value"], f["passes"] = nk / nk.sum(), sums / nk[:, None], value, f["passes"] + 1
+                if grams.ndim == 2:  # squares alone
+                    covs = np.stack([np.diag(v) for v in grams / nk[:, None] - f["m"] ** 2])
+                else:
+                    covs = grams / nk[:, None, None] - np.einsum("ki,kj->kij", f["m"], f["m"])
+                f["c"] = cls._shape(covs, f["w"], o.get("covariance", "full")) + f["reg"]
+                f["narrow"] = o.get("covariance", "full") in ("diag", "spherical")
+                if abs(value - f["before"]) / n >= o.get("tol", 1e-3) and f["passes"] < o.get("max_iter", 200):
                     still.append(f)
                 f["before"] = value
             moving = still
-            if not moving:
-                break
         store.discard(rows)
-        best = max(fits, key=lambda f: f["value"])
-        weights, means, covs, value = best["w"], best["m"], best["c"], best["value"]
-        d, k = means.shape[1], len(means)
-        free = {"full": k * d * (d + 1) / 2, "tied": d * (d + 1) / 2, "diag": k * d, "spherical": k}[kind] + k * d + k - 1
-        self.params = {
-            "weights": weights, "means": means, "covs": covs,
-            "loglik": value, "aic": 2 * free - 2 * value, "bic": free * math.log(n) - 2 * value,
-        }
-        return self
+        out = []
+        for at, o in enumerate(options):
+            best = max((f for f in fits if f["of"] == at), key=lambda f: f["value"])
+            weights, means, covs, value = best["w"], best["m"], best["c"], best["value"]
+            k, d = means.shape
+            free = {"full": k * d * (d + 1) / 2, "tied": d * (d + 1) / 2, "diag": k * d, "spherical": k}[o.get("covariance", "full")] + k * d + k - 1
+            model = cls(**o)
+            model.params = {
+                "weights": weights, "means": means, "covs": covs,
+                "loglik": value, "aic": 2 * free - 2 * value, "bic": free * math.log(n) - 2 * value,
+            }
+            out.append(model)
+        return out
 
     @staticmethod
     def starts(rows: DataFrame, k: int, n_init: int, seed: int, rounds: int = 3) -> list[np.ndarray]:
@@ -299,7 +315,8 @@ class GaussianMixture(Detector):
     @staticmethod
     def _pass(df: DataFrame, fits: list[dict]) -> list[tuple]:
         """Sums of responsibilities, of vectors and of their products, and the log likelihood, for each start."""
-        models = [(f["w"], f["m"], np.linalg.cholesky(f["c"])) for f in fits]
+        # without covariances between dimensions, squares are all that travels
+        models = [(f["w"], f["m"], np.sqrt(np.einsum("kii->ki", f["c"])) if f.get("narrow") else np.linalg.cholesky(f["c"])) for f in fits]
 
         def fold(frames: Iterator[pd.DataFrame]) -> np.ndarray:
             total = [[np.zeros(1), np.zeros(len(w)), np.zeros(m.shape), np.zeros(c.shape)] for w, m, c in models]
@@ -310,7 +327,8 @@ class GaussianMixture(Detector):
                         logp = _log_density(x, *model)
                         norm = _logsumexp(logp)
                         r = np.exp(logp - norm[:, None])
-                        for t, more in zip(sums, (norm.sum(), r.sum(0), r.T @ x, np.einsum("nk,ni,nj->kij", r, x, x, optimize=True)), strict=True):
+                        products = r.T @ (x * x) if model[2].ndim == 2 else np.einsum("nk,ni,nj->kij", r, x, x, optimize=True)
+                        for t, more in zip(sums, (norm.sum(), r.sum(0), r.T @ x, products), strict=True):
                             t += more
             return np.concatenate([t.ravel() for sums in total for t in sums])
 
@@ -366,18 +384,39 @@ class IsolationForest(Detector):
             share = min(1.0, 8 * share)  # few distinct rows: a hash range may hold none
 
     def fit(self, normal: DataFrame) -> IsolationForest:
-        o = self.options
+        self.params = self.fit_all(normal, [self.options])[0].params
+        c = self.options.get("contamination")
+        if c:
+            self.params["offset"] = metrics.percentile(self.score(normal), "score", 1 - c)
+        return self
+
+    @classmethod
+    def fit_all(cls, normal: DataFrame, options: list[dict]) -> list[IsolationForest]:
+        """A forest for each of the options (``offset`` left open): one draw of rows a seed, each tree grown once a sample size."""
         rows = normal.where("embedding IS NOT NULL")
-        trees, n = o.get("n_estimators", 100), rows.count()
+        n = rows.count()
         if n == 0:
             raise ValueError("no vectors to fit on")
-        size, seed = min(o.get("max_samples", 256), n), o.get("seed", 42)
-        picked = self._samples(rows, n, trees, size, seed)
+        size = lambda o: min(o.get("max_samples", 256), n)
+        grown: dict = {}
+        for seed in {o.get("seed", 42) for o in options}:
+            own = [o for o in options if o.get("seed", 42) == seed]
+            trees, sizes = max(o.get("n_estimators", 100) for o in own), sorted({size(o) for o in own})
+            picked = cls()._samples(rows, n, trees, sizes[-1], seed)
+            got = picked.groupBy("tree").applyInPandas(cls._grower(sizes, seed), "tree int, size int, nodes array<double>").collect()  # the model: one row a tree
+            store.discard(picked)
+            grown |= {(seed, r["size"], r["tree"]): r["nodes"] for r in got}
+        out = []
+        for o in options:
+            model = cls(**o)
+            model.params = {"trees": [grown[o.get("seed", 42), size(o), t] for t in range(o.get("n_estimators", 100))], "size": size(o)}
+            out.append(model)
+        return out
 
-        def build(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("h").head(size)
-            x = np.repeat(np.stack(pdf["embedding"]).astype(float), np.minimum(pdf["c"], size), axis=0)[:size]
-            rng = np.random.Generator(np.random.PCG64(seed + int(pdf["tree"].iloc[0])))
+    @staticmethod
+    def _grower(sizes: list[int], seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def grow(x: np.ndarray, size: int, tree: int) -> np.ndarray:
+            rng = np.random.Generator(np.random.PCG64(seed + tree))
             limit, nodes = math.ceil(math.log2(max(size, 2))), []
             stack = [(np.arange(len(x)), 0, -1, 0)]
             while stack:
@@ -395,38 +434,52 @@ class IsolationForest(Detector):
                 nodes.append([f, cut, -1, -1, 0.0])
                 low = part[:, f] < cut
                 stack += [(rows_[~low], depth + 1, at, 1), (rows_[low], depth + 1, at, 0)]
-            return pd.DataFrame({"tree": pdf["tree"].iloc[:1], "nodes": [np.array(nodes, float).ravel()]})
+            return np.array(nodes, float).ravel()
 
-        got = picked.groupBy("tree").applyInPandas(build, "tree int, nodes array<double>").collect()  # the model: one row a tree
-        store.discard(picked)
-        self.params = {"trees": [r["nodes"] for r in sorted(got, key=lambda r: r["tree"])], "size": size}
-        c = o.get("contamination")
-        if c:
-            self.params["offset"] = metrics.percentile(self.score(normal), "score", 1 - c)
-        return self
+        def build(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf, tree = pdf.sort_values("h").head(sizes[-1]), int(pdf["tree"].iloc[0])
+            x = np.repeat(np.stack(pdf["embedding"]).astype(float), np.minimum(pdf["c"], sizes[-1]), axis=0)
+            return pd.DataFrame({"tree": tree, "size": sizes, "nodes": [grow(x[:s], s, tree) for s in sizes]})
+
+        return build
 
     def default_threshold(self) -> float:
         return self.params.get("offset", 0.5)
 
     def _scorer(self):
-        trees = [np.asarray(t, float).reshape(-1, 5) for t in self.params["trees"]]
-        scale = float(average_path(self.params["size"])) or 1.0
+        return lambda x, run=self.scorers([self])[0]: run(x)[:, 0]
 
-        def run(x: np.ndarray) -> np.ndarray:
-            total = np.zeros(len(x))
-            for t in trees:
-                at = np.zeros(len(x), int)
-                while True:
-                    f = t[at, 0].astype(int)
-                    live = np.flatnonzero(f >= 0)
-                    if not len(live):
-                        break
-                    low = x[live, f[live]] < t[at[live], 1]
-                    at[live] = np.where(low, t[at[live], 2], t[at[live], 3]).astype(int)
-                total += t[at, 4]
-            return 2.0 ** (-total / len(trees) / scale)
+    @staticmethod
+    def scorers(models: list[IsolationForest]) -> list[Callable[[np.ndarray], np.ndarray]]:
+        """One function for all: a column a model.  A forest that begins another one is scored on the way."""
+        plans: dict[int, tuple[list, list]] = {}
+        for i, m in enumerate(models):
+            longest = plans.setdefault(id(m.params["trees"][0]), (m.params["trees"], []))
+            if len(m.params["trees"]) > len(longest[0]):
+                plans[id(m.params["trees"][0])] = longest = (m.params["trees"], longest[1])
+            longest[1].append((len(m.params["trees"]), i, float(average_path(m.params["size"])) or 1.0))
+        walks = [([np.asarray(t, float).reshape(-1, 5) for t in trees], sorted(stops)) for trees, stops in plans.values()]
 
-        return run
+        def run(x: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(x), len(models)))
+            for trees, stops in walks:
+                total, due = np.zeros(len(x)), list(stops)
+                for done, t in enumerate(trees, 1):
+                    at = np.zeros(len(x), int)
+                    while True:
+                        f = t[at, 0].astype(int)
+                        live = np.flatnonzero(f >= 0)
+                        if not len(live):
+                            break
+                        low = x[live, f[live]] < t[at[live], 1]
+                        at[live] = np.where(low, t[at[live], 2], t[at[live], 3]).astype(int)
+                    total += t[at, 4]
+                    while due and due[0][0] == done:
+                        _, i, scale = due.pop(0)
+                        out[:, i] = 2.0 ** (-total / done / scale)
+            return out
+
+        return [run]
 
     def body(self, path):
         out = super().body(path)
@@ -498,56 +551,76 @@ class OneClassSVM(Detector):
     name = "ocsvm"
 
     def fit(self, normal: DataFrame) -> OneClassSVM:
-        o = self.options
-        n, mean, cov = features.mean_and_covariance(normal, ddof=0)
-        d, var = len(mean), float(np.trace(cov) / len(mean))
-        gamma = o.get("gamma", "scale")
-        gamma = 1 / (d * max(var, 1e-12)) if gamma == "scale" else 1 / d if gamma == "auto" else float(gamma)
-        m, nu = o.get("n_features", 256), o.get("nu", 0.05)
-        rng = np.random.Generator(np.random.PCG64(o.get("seed", 42)))
-        proj, phase = rng.standard_normal((d, m)) * math.sqrt(2 * gamma), rng.uniform(0, 2 * math.pi, m)
-        self.params = {"proj": proj, "phase": phase, "w": np.zeros(m), "rho": 0.0}
-        _, total, _ = features._moments(self._map(normal))
-        w = total / n  # the mean feature: the solution for nu = 1
-        rho = float(w @ w) * 0.5
-        for step in range(o.get("max_iter", 30)):
-            inside, grad = self._subgradient(normal, w, rho)
-            rate = 1.0 / (step + 2)
-            w = w - rate * (w - grad / (nu * n))
-            rho = rho + rate * (1 - inside / (nu * n)) * float(np.linalg.norm(w))
-        self.params |= {"w": w, "rho": rho}
-        cut = metrics.percentile(self.score(normal), "score", 1 - nu)
-        self.params["rho"] = float(rho - cut)  # nu of the fitted rows lie outside
+        self.params = self.fit_all(normal, [self.options])[0].params
         return self
 
-    def _features(self, x: np.ndarray) -> np.ndarray:
-        return math.sqrt(2 / len(self.params["phase"])) * np.cos(x @ self.params["proj"] + self.params["phase"])
-
-    def _map(self, df: DataFrame) -> DataFrame:
-        proj, phase = self.params["proj"], self.params["phase"]
+    @classmethod
+    def fit_all(cls, normal: DataFrame, options: list[dict]) -> list[OneClassSVM]:
+        """A model for each of the options: one pass a step for all of them, features made once a map."""
+        rows = store.materialize(normal.where("embedding IS NOT NULL").select("embedding"), "vectors")
+        n, mean, cov = features.mean_and_covariance(rows, ddof=0)
+        d, var = len(mean), float(np.trace(cov) / len(mean))
+        models, maps = [], {}
+        for o in options:
+            gamma = o.get("gamma", "scale")
+            gamma = 1 / (d * max(var, 1e-12)) if gamma == "scale" else 1 / d if gamma == "auto" else float(gamma)
+            m = o.get("n_features", 256)
+            if (key := (gamma, m, o.get("seed", 42))) not in maps:
+                rng = np.random.Generator(np.random.PCG64(key[2]))
+                maps[key] = (len(maps), rng.standard_normal((d, m)) * math.sqrt(2 * gamma), rng.uniform(0, 2 * math.pi, m))
+            at, proj, phase = maps[key]
+            model = cls(**o)
+            model.params = {"proj": proj, "phase": phase, "w": np.zeros(m), "rho": 0.0}
+            models.append((model, at))
+        pairs = [(proj, phase) for _, proj, phase in maps.values()]
+
+        def sums(state: list[tuple] | None) -> list[tuple]:
+            """For each model the rows below its margin and the sum of their features; all rows without a state."""
+
+            def fold(frames: Iterator[pd.DataFrame]) -> np.ndarray:
+                total = [[0.0, np.zeros(len(m.params["w"]))] for m, _ in models]
+                for pdf in frames:
+                    if len(pdf):
+                        x = np.stack(pdf["embedding"]).astype(float)
+                        z = [math.sqrt(2 / len(b)) * np.cos(x @ a + b) for a, b in pairs]
+                        for i, (t, (_, at)) in enumerate(zip(total, models, strict=True)):
+                            out = np.ones(len(x), bool) if state is None else z[at] @ state[i][0] < state[i][1]
+                            t[0], t[1] = t[0] + out.sum(), t[1] + z[at][out].sum(axis=0)
+                return np.concatenate([np.append(c, g) for c, g in total])
+
+            v = np.split(features.task_sums(rows, fold), np.cumsum([1 + len(m.params["w"]) for m, _ in models])[:-1])
+            return [(x[0], x[1:]) for x in v]
+
+        state = [(g / n, float(g @ g) / n / n * 0.5) for _, g in sums(None)]  # the mean feature: the solution for nu = 1
+        for step in range(max(o.get("max_iter", 30) for o in options)):
+            rate, moved = 1.0 / (step + 2), []
+            for (w, rho), (inside, grad), o in zip(state, sums(state), options, strict=True):
+                if step < o.get("max_iter", 30):
+                    nu = o.get("nu", 0.05)
+                    w = w - rate * (w - grad / (nu * n))
+                    rho = rho + rate * (1 - inside / (nu * n)) * float(np.linalg.norm(w))
+                moved.append((w, rho))
+            state = moved
+        for (model, _), (w, rho) in zip(models, state, strict=True):
+            model.params |= {"w": w, "rho": rho}
+        models = [m for m, _ in models]
+        # nu of the fitted rows lie outside: all scores at once, then each model's own percentile
+        shares = sorted({o.get("nu", 0.05) for o in options})
+        scorers = [m._scorer() for m in models]
 
         @F.pandas_udf("array<double>")
-        def run(x: pd.Series) -> pd.Series:
+        def all_scores(x: pd.Series) -> pd.Series:
             if not len(x):
                 return pd.Series([], dtype=object)
-            return pd.Series(list(math.sqrt(2 / len(phase)) * np.cos(np.stack(x).astype(float) @ proj + phase)))
-
-        return df.where("embedding IS NOT NULL").select(run("embedding").alias("embedding"))
-
-    def _subgradient(self, df: DataFrame, w: np.ndarray, rho: float) -> tuple[float, np.ndarray]:
-        proj, phase = self.params["proj"], self.params["phase"]
+            v = np.stack(x).astype(float)
+            return pd.Series(list(np.stack([s(v) for s in scorers], axis=1)))
 
-        def fold(frames: Iterator[pd.DataFrame]) -> np.ndarray:
-            n, g = 0, np.zeros(len(w))
-            for pdf in frames:
-                if len(pdf):
-                    z = math.sqrt(2 / len(phase)) * np.cos(np.stack(pdf["embedding"]).astype(float) @ proj + phase)
-                    out = z @ w < rho
-                    n, g = n + int(out.sum()), g + z[out].sum(axis=0)
-            return np.concatenate([[n], g])
-
-        v = features.task_sums(df.where("embedding IS NOT NULL").select("embedding"), fold)
-        return v[0], v[1:]
+        long = store.materialize(rows.select(all_scores("embedding").alias("s")), "scores").select(F.posexplode("s").alias("model", "score"))
+        for r in metrics.percentiles(long, "score", [1 - x for x in shares], ["model"]).collect():  # a row a model
+            m = models[r["model"]]
+            m.params["rho"] = float(m.params["rho"] - r[1 + shares.index(options[r["model"]].get("nu", 0.05))])
+        store.discard(rows)
+        return models
 
     def default_threshold(self) -> float:
         return 0.0

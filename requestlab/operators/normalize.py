@@ -277,10 +277,7 @@ def split_host(df: DataFrame) -> DataFrame:
 
 @F.pandas_udf(StringType())
 def _idna(values: pd.Series) -> pd.Series:
-    try:
-        import idna
-    except ImportError:
-        return values
+    import idna  # without the package the job fails: results must not depend on what a machine has installed
 
     def one(v: str | None) -> str | None:
         try:

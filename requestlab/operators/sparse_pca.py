@@ -1,4 +1,4 @@
-"""Principal components of wide sparse features: randomised subspace iteration on the long table."""
+"""Principal components of wide sparse features: block Lanczos on the long table."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from requestlab.sources import store
 
 from . import features
 
-#: Numbers of a basis (dimensions by components) that the driver and every task hold: 400 MB.
+#: Numbers of a block (dimensions by columns) that every task holds, 400 MB; the driver holds four times as many.
 BASIS = 50_000_000
 #: Non-zero weights multiplied at once in a task.
 CHUNK = 16_384
@@ -65,15 +65,20 @@ def fit(weights: DataFrame, n_rows: int, n_dims: int, k: int, key: str = "doc_id
     """E9 for wide text features: the first ``k`` components of ``key, idx, weight``, a row a non-zero weight.
 
     ``n_rows`` counts all documents, those without a weight too; ``n_dims`` is the size of the vocabulary.
-    No dense row and no matrix of all pairs of terms is built: a random basis of k + ``over`` columns is
-    multiplied by the centred covariance (the mean is taken off implicitly), one pass over the rows at a time,
-    until the variance that its k best directions explain grows by less than ``tol``.
-    The basis is held by driver and tasks; its size is checked.
+    No dense row and no matrix of all pairs of terms is built.  A random block of about k / 3 columns is
+    multiplied by the centred covariance (the mean is taken off implicitly), its image made orthogonal to
+    all before is the next block, and so on: one pass over the rows a block (block Lanczos).  Components come from the
+    space of all blocks; it grows until the variance that its k best directions explain does by less than ``tol``.
+    Blocks are held by the driver, one by the tasks; their size is checked.
     """
-    size = min(k + over, n_dims)
-    if n_dims * size > BASIS:
-        raise ValueError(f"a basis of {n_dims} x {size} numbers is over {BASIS}: fewer components or terms")
+    size = min(max(8, -(-(k + over) // 3)), n_dims)
+    if n_dims * size * passes > 4 * BASIS or n_dims * size > BASIS:
+        raise ValueError(f"{passes} blocks of {n_dims} x {size} numbers are too large: fewer components or terms")
     rows = store.materialize(sparse_rows(weights, key), "sparse")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # few splits: deal the rows over the cores, once
+        few, rows = rows, store.materialize(rows.repartition(cores), "sparse")
+        store.discard(few)
     sums = rows.select(F.explode(F.arrays_zip("idx", "w")).alias("s")).groupBy("s.idx").agg(F.sum("s.w").alias("m"), F.sum(F.col("s.w") * F.col("s.w")).alias("q")).collect()  # a row a term
     mean, square = np.zeros(n_dims), 0.0
     for r in sums:
@@ -83,22 +88,28 @@ def fit(weights: DataFrame, n_rows: int, n_dims: int, k: int, key: str = "doc_id
     total = (square - n_rows * mean @ mean) / (n_rows - 1)
     empty = n_rows - rows.count()  # documents without a weight are minus the mean, once centred
 
-    basis = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).standard_normal((n_dims, size)))[0]
-    before = -np.inf
+    block = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).standard_normal((n_dims, size)))[0]
+    basis, images, before = np.empty((n_dims, 0)), np.empty((n_dims, 0)), -np.inf
     for _ in range(passes):
-        got, rest = _times(rows, basis, mean)
+        got, rest = _times(rows, block, mean)
         # the mean's share of X'XQ: rows with weights add -mean * sum of y, empty ones mean * (mean Q)
-        image = (got - np.outer(mean, rest) + empty * np.outer(mean, mean @ basis)) / (n_rows - 1)
-        small = basis.T @ image
+        image = (got - np.outer(mean, rest) + empty * np.outer(mean, mean @ block)) / (n_rows - 1)
+        basis, images = np.hstack([basis, block]), np.hstack([images, image])
+        small = basis.T @ images
         values, turn = np.linalg.eigh((small + small.T) / 2)
         order = np.argsort(values)[::-1][:k]
         now = values[order].sum()
-        components = (basis @ turn[:, order]).T
-        if now - before <= tol * now:
+        if len(order) == k and now - before <= tol * now:
             break
         before = now
-        basis = np.linalg.qr(image)[0]
+        for _ in range(2):  # twice, against rounding
+            image = image - basis @ (basis.T @ image)
+        block, left = np.linalg.qr(image)
+        block = block[:, np.abs(np.diag(left)) > 1e-12 * total]
+        if not block.shape[1] or basis.shape[1] + block.shape[1] > n_dims:
+            break  # nothing is left outside the space
     store.discard(rows)
+    components = (basis @ turn[:, order]).T
     components *= np.sign(components[np.arange(len(components)), np.abs(components).argmax(axis=1)])[:, None]
     return features.PCA(mean, components, values[order] / total)
 

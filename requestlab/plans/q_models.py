@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from requestlab.operators import detectors as D
 from requestlab.operators import encoders, features, sampling
+from requestlab.operators.kernel_svm import KernelOneClassSVM
 from requestlab.sources import requests as R
 from requestlab.streaming import streams
 
@@ -267,6 +268,17 @@ def f6_one_class_svm(spark, sf_dir):
     return fitted(spark, sf_dir, D.OneClassSVM(n_features=128, max_iter=12))
 
 
+@query("SELECT count(*) AS rows, true AS optimal, true AS at_most_nu_outside, true AS at_least_nu_support FROM embeddings")
+def f6_kernel_svm(spark, sf_dir):
+    """The exact dual, and what its optimum guarantees: no violating pair, nu between the rows outside and the support vectors."""
+    v, nu = vectors(spark, sf_dir), 0.1
+    model = KernelOneClassSVM(nu=nu, working=400).fit(runs.normal(v))
+    scored, p = model.score(v), model.params
+    out = F.count_if((F.col("label") == "valid") & (F.col("score") > 2 * p["gap"] + 1e-9))
+    n = F.count_if(F.col("label") == "valid")
+    return scored.agg(F.count("score").alias("rows"), F.lit(p["gap"] <= 1e-3).alias("optimal"), (out <= nu * n + 1e-9).alias("at_most_nu_outside"), (F.lit(len(p["alpha"])) >= nu * n - 1e-9).alias("at_least_nu_support"))
+
+
 CENTER = f"""WITH {VEC}, dims AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM vec), c AS (SELECT d, avg(CAST(x AS DOUBLE)) AS m FROM dims WHERE label = 'valid' GROUP BY d)"""
 
 
@@ -408,6 +420,38 @@ def s4_flag_rate_monitor(spark, sf_dir):
     return streams.run_complete(streams.flag_rate_monitor(stream), folder(spark, "s4"))
 
 
+@query(f"{FLAGS} SELECT time_bucket(INTERVAL 10 MINUTES, CAST(ts AS TIMESTAMP)) AS window_start, {_FAMILY} AS family, count(*) AS n_flags FROM flg JOIN good USING (request_id) GROUP BY ALL")
+def s4_flag_rate_job(spark, sf_dir):
+    """The job with bounded state: what it counted in time and late makes up the whole."""
+    path = folder(spark, "s4-job")
+    streams.flag_rate_job(streams.stream_normalize(event_stream(spark, sf_dir)).where("error IS NULL"), path).awaitTermination()
+    return streams.flag_rates(spark, path).select("window_start", "family", (F.col("n_flags") + F.col("n_late")).alias("n_flags"))
+
+
+@query("""SELECT count(*) AS n, round(avg(norm), 6) AS norm_mean, round(stddev_pop(norm), 6) AS norm_std, count(*) AS observed, true AS timed
+FROM (SELECT sqrt(list_sum(list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE) * x))) AS norm FROM embeddings)""")
+def s3_stream_observed(spark, sf_dir):
+    """Norms of a stream of vectors (a quarter of their dimensions, as whole ones have norm 1) by batch, put together; rows and latency as the stream's listener saw them."""
+    schema, path, log = table(spark, sf_dir, "embeddings").schema, folder(spark, "s3-norms"), streams.BatchLog()
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/embeddings*")
+    stream = stream.select(F.col("vec_id").cast("string").alias("request"), F.slice("embedding", 1, 16).alias("embedding"))
+
+    def keep(batch, batch_id):
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(path)
+
+    spark.streams.addListener(log)
+    try:
+        streams.stream_batch_metrics(stream, keep, f"{path}-state").awaitTermination()
+        seen = log.totals()
+    finally:
+        spark.streams.removeListener(log)
+    got = spark.read.schema("n long, len_mean double, len_std double, norm_mean double, norm_std double, batch int").parquet(path)
+    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("norm_mean")) / F.sum("n")
+    square = F.sum(F.col("n") * (F.col("norm_std") * F.col("norm_std") + F.col("norm_mean") * F.col("norm_mean"))) / n
+    timed = seen["latency_max_ms"] >= (seen["latency_mean_ms"] or 0) > 0
+    return got.agg(n.alias("n"), F.round(mean, 6).alias("norm_mean"), F.round(F.sqrt(square - mean * mean), 6).alias("norm_std"), F.lit(seen["rows"]).cast("long").alias("observed"), F.lit(timed).alias("timed"))
+
+
 # ---- R -----------------------------------------------------------------------------------
 
 
@@ -443,6 +487,12 @@ def r3_iforest_grid(spark, sf_dir):
     return rounded(runs.grid_run(vectors(spark, sf_dir), D.IsolationForest, {"n_estimators": [20, 50], "max_samples": [64, 128]}))
 
 
+@query()
+def r3_iforest_search(spark, sf_dir):
+    """96 configurations: six contaminations, four sizes of forest, four of samples."""
+    return rounded(runs.grids.forest_search(vectors(spark, sf_dir), [100, 200, 300, 500], [None, 256, 512, 1024], [0.05, 0.1, 0.15, 0.2, 0.25, 0.3]))
+
+
 def tuned(spark, sf_dir, cls, grid, **fixed):
     """Size of the frontier, and the best configuration with the metrics of its new fit."""
     got = runs.tuned_run(vectors(spark, sf_dir), cls, grid, **fixed)
@@ -460,6 +510,13 @@ def r4_ocsvm_grid(spark, sf_dir):
     return rounded(runs.grid_run(vectors(spark, sf_dir), D.OneClassSVM, {"nu": [0.05, 0.2], "gamma": [0.5, 2.0]}, n_features=64, max_iter=5))
 
 
+@query()
+def r4_ocsvm_search(spark, sf_dir):
+    """42 configurations of nu and gamma."""
+    grid = {"nu": [0.01, 0.03, 0.05, 0.07, 0.1, 0.15, 0.2], "gamma": ["scale", "auto", 0.001, 0.01, 0.1, 1.0]}
+    return rounded(runs.grid_run(vectors(spark, sf_dir), D.OneClassSVM, grid, n_features=128, max_iter=12))
+
+
 @query()
 def r4_ocsvm_tuned(spark, sf_dir):
     return tuned(spark, sf_dir, D.OneClassSVM, {"nu": [0.05], "gamma": [0.5, 2.0]}, n_features=64, max_iter=5)
@@ -475,6 +532,12 @@ def r6_gmm_sweep(spark, sf_dir):
     return rounded(runs.grid_run(vectors(spark, sf_dir), D.GaussianMixture, {"k": [1, 2, 3]}, covariance="diag", n_init=1, max_iter=10))
 
 
+@query()
+def r6_gmm_components(spark, sf_dir):
+    """One to ten components with AIC and BIC, best of five starts each."""
+    return rounded(runs.grid_run(vectors(spark, sf_dir), D.GaussianMixture, {"k": list(range(1, 11))}, covariance="diag", n_init=5, max_iter=30))
+
+
 def mi_sweep_sql(ks: tuple[int, ...]) -> str:
     parts, out = [], []
     for k in ks:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from requestlab.operators import kernel_svm  # noqa: F401 - registers its detector
 from requestlab.operators.detectors import DETECTORS
 from requestlab.operators.encoders import ENCODERS as _ENCODERS
 from requestlab.sources import requests

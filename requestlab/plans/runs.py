@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from requestlab.operators import detectors, encoders, features, joins, metrics, sampling, sparse_pca
 from requestlab.sources import store
 
+from . import grids
+
 METRICS = ("precision", "recall", "f1", "accuracy", "fpr", "specificity")
 
 
@@ -86,15 +89,19 @@ def text_pca_sweep(docs: DataFrame, max_features: int, dims: list[int], detector
 
 
 def grid_run(vectors: DataFrame, cls, grid: dict[str, list], **fixed) -> DataFrame:
-    """One row a combination of options; feed to ``pareto_frontier`` and ``best_run``."""
-    spark = vectors.sparkSession
+    """One row a combination of options; feed to ``pareto_frontier`` and ``best_run``.
+
+    Fits share their passes where the detector can, all models score in one scan and all combinations are
+    evaluated together, so scans of ``vectors`` do not grow with the grid.
+    """
     vectors = store.materialize(vectors, "vectors")
-    rows = []
-    for i, options in enumerate(r.asDict() for r in joins.param_grid(spark, **grid).collect()):
-        model = cls(**options, **fixed).fit(normal(vectors))
-        extra = {m: float(model.params[m]) for m in ("aic", "bic") if m in model.params}
-        rows.append(evaluate(model.score(vectors), run_id=i, **options, **extra))
-    return _stack(rows)
+    names = list(grid)
+    configs = [dict(zip(names, values, strict=True)) for values in product(*grid.values())]
+    if cls._scorer is detectors.Detector._scorer:  # scores come from a join
+        return _stack(evaluate(cls(**c, **fixed).fit(normal(vectors)).score(vectors), run_id=i, **c) for i, c in enumerate(configs))
+    models = grids.fit_all(cls, normal(vectors), [c | fixed for c in configs])
+    scored = store.materialize(grids.score_arrays(vectors, grids.scorers(models)).select("label", "scores"), "scores")
+    return grids.evaluate_arrays(scored, [c | {m: float(x.params[m]) for m in ("aic", "bic") if m in x.params} for c, x in zip(configs, models, strict=True)])
 
 
 def tuned_run(vectors: DataFrame, cls, grid: dict[str, list], max_fpr: float = 0.05, **fixed) -> dict[str, DataFrame]:

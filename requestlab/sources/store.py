@@ -53,8 +53,13 @@ def discard(*written: DataFrame | None) -> None:
     """Delete tables of :func:`materialize` that no later job reads."""
     for df in written:
         if df is not None and (path := _paths.pop(df, None)):
-            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def beside(side: DataFrame, most: int = FEW) -> DataFrame:

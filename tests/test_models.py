@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from requestlab.operators import detectors as D
 from requestlab.operators import encoders, features, joins, metrics, neighbor_mi, neighbors, sampling, sparse_pca
-from requestlab.plans import runs
+from requestlab.operators.kernel_svm import KernelOneClassSVM
+from requestlab.plans import grids, runs
 from requestlab.sources import store
 
 
@@ -340,3 +341,52 @@ def test_batches(spark):
     assert got[0]["latency_ms"] == 18_000 and got[0]["norm_mean"] == 5 and got[0]["len_mean"] == np.mean([len(r[1]) for r in rows[:10]])
     total = metrics.run_totals(metrics.batch_metrics(df, 10, start="ts", end="ts")).first()
     assert (total["batches"], total["rows"], total["latency_max_ms"]) == (5, 45, 18_000)
+
+
+def test_grid_is_its_members(vectors, cloud):
+    """Models fitted and evaluated together are those fitted alone."""
+    normal = runs.normal(vectors)
+    for cls, options in (
+        (D.IsolationForest, [{"n_estimators": t, "max_samples": m} for t in (3, 7) for m in (16, 64)]),
+        (D.GaussianMixture, [{"k": k, "n_init": 2, "max_iter": 5, "covariance": c} for k in (1, 3) for c in ("full", "diag")]),
+        (D.OneClassSVM, [{"nu": n, "gamma": g, "n_features": 16, "max_iter": 4} for n in (0.05, 0.2) for g in ("scale", 0.1)]),
+    ):
+        models = grids.fit_all(cls, normal, options)
+        rows = grids.score_arrays(vectors, grids.scorers(models)).orderBy("vec_id").collect()
+        for i, (m, o) in enumerate(zip(models, options, strict=True)):
+            alone = scores((cls(**o).fit(normal) if i == 1 else m).score(vectors))
+            assert np.allclose([r["scores"][i] for r in rows], alone, rtol=1e-6), (cls, o)
+    got = {r["run_id"]: r for r in runs.grid_run(vectors, D.IsolationForest, {"n_estimators": [3, 7], "max_samples": [16, 64]}).collect()}
+    for i, (t, m) in enumerate([(3, 16), (3, 64), (7, 16), (7, 64)]):
+        one = runs.evaluate(D.IsolationForest(n_estimators=t, max_samples=m).fit(normal).score(vectors)).first()
+        assert all(got[i][c] == pytest.approx(one[c]) for c in ("tp", "fp", "tn", "fn", "threshold", "recall"))
+
+
+def test_forest_search(vectors):
+    got = grids.forest_search(vectors, [4, 9], [None, 32], [0.05, 0.3]).collect()
+    assert len(got) == 8 and sorted(r["run_id"] for r in got) == list(range(8))
+    for r in [x for x in got if x["run_id"] in (0, 3, 6)]:
+        model = D.IsolationForest(n_estimators=r["n_estimators"], max_samples=r["max_samples"] or 256, contamination=r["contamination"]).fit(runs.normal(vectors))
+        want = metrics.confusion_matrix(model.predict(vectors)).first()
+        assert r["threshold"] == pytest.approx(model.params["offset"]) and all(r[c] == want[c] for c in ("tp", "fp", "tn", "fn"))
+
+
+@pytest.mark.parametrize("working", [40, 1000])
+def test_kernel_svm(spark, vectors, cloud, working, tmp_path):
+    """The optimum of the whole dual, by its conditions over the full kernel matrix; null vectors; a saved model."""
+    df = runs.normal(vectors).unionByName(spark.createDataFrame([(999, "valid", None)], vectors.schema))
+    model = KernelOneClassSVM(nu=0.1, gamma=0.05, working=working, tol=1e-4).fit(df)
+    p, x = model.params, cloud[:280]
+    k = np.exp(-0.05 * ((x[:, None] - x[None]) ** 2).sum(2))
+    alpha = np.zeros(280)
+    for v, a in zip(p["vectors"], p["alpha"], strict=True):
+        alpha[np.flatnonzero((x == v).all(1))[0]] = a
+    g = k @ alpha
+    assert alpha.sum() == pytest.approx(28) and (alpha >= 0).all() and (alpha <= 1).all()
+    assert g[alpha > 0].max() - g[alpha < 1].min() <= 2e-4
+    far = np.exp(-0.05 * ((cloud[:, None] - x[None]) ** 2).sum(2)) @ alpha
+    rho = g[(alpha > 0) & (alpha < 1)].mean()
+    assert np.allclose(scores(model.score(vectors)), rho - far, atol=1e-3)
+    path = (tmp_path / "svm").as_uri()
+    model.save(spark, path)
+    assert np.allclose(scores(D.load(spark, path).score(vectors)), scores(model.score(vectors)))

@@ -157,3 +157,39 @@ def test_run_complete_late_rows(spark, tmp_path):
     counts = stream.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "10 minutes").alias("w")).agg(F.count("*").alias("n"))
     got = streams.run_complete(counts.select("w.start", "n"), f"{tmp_path}/out").collect()
     assert sorted((r["start"].hour, r["n"]) for r in got) == [(0, 1), (12, 2)]
+
+
+def test_flag_rate_job_bounds_its_state(spark, tmp_path):
+    """Three batches, out of order: late rows are counted beside, closed windows leave the state, the sum is that of a batch job."""
+    sf = "/root/testdata/sf0.001"
+    rows = tables.requests(spark, sf).limit(120).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.monotonically_increasing_id() % 3 * 1800 + F.col("request_id") % 500))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    cuts = [F.col("ts") < F.timestamp_seconds(F.lit(1_700_001_000)), F.col("ts") >= F.timestamp_seconds(F.lit(1_700_003_000)), F.col("ts").between(F.timestamp_seconds(F.lit(1_700_001_001)), F.timestamp_seconds(F.lit(1_700_002_999)))]
+    for k, cut in enumerate(cuts):
+        rows.where(cut).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    path = f"{tmp_path}/out"
+    streams.flag_rate_job(streams.stream_normalize(stream).where("error IS NULL"), path).awaitTermination()
+    got = streams.flag_rates(spark, path).collect()
+    want = streams.flag_rate_monitor(normalize.normalize_requests(spark.read.parquet(f"{tmp_path}/in/*")).where("error IS NULL")).collect()
+    assert {(r["window_start"], r["family"]): r["n_flags"] + r["n_late"] for r in got} == {(r["window_start"], r["family"]): r["n_flags"] for r in want}
+    assert sum(r["n_late"] for r in got) > 0 and sum(r["n_flags"] for r in got) > 0
+    assert sorted(x.name for x in (tmp_path / "out/open").iterdir()) == ["batch=1", "batch=2"]
+    mark = spark.read.parquet(f"{path}/mark/batch=2").first()["ts"]
+    states = [spark.read.parquet(f"{path}/open/batch={b}").select("window_start").distinct().collect() for b in (1, 2)]
+    assert all(r["window_start"].timestamp() + 600 > mark.timestamp() - 600 for r in states[1]) and all(1 <= len(s) <= 3 for s in states)
+
+
+def test_stream_reports(spark, tmp_path):
+    for k in range(3):
+        spark.range(k + 1).selectExpr("repeat('x', int(id)) request", "array(3.0d, 4.0d * id) embedding").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("request string, embedding array<double>").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    log, kept = streams.BatchLog(), []
+    spark.streams.addListener(log)
+    try:
+        streams.stream_batch_metrics(stream, lambda df, i: kept.append(df.first()), f"{tmp_path}/state").awaitTermination()
+        total = log.totals()
+    finally:
+        spark.streams.removeListener(log)
+    assert [r["n"] for r in kept] == [b["rows"] for b in log.batches] and sum(r["n"] for r in kept) == total["rows"] == 6 and total["batches"] == 3
+    assert total["latency_max_ms"] >= total["latency_mean_ms"] > 0 and kept[-1]["norm_mean"] > 3
