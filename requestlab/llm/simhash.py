@@ -276,9 +276,9 @@ def simhash_classes(docs: DataFrame, distance: int = 3, crowded: int = CROWDED)
     points = materialize(mine.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     tied = connected_components(links(points, distance, crowded))
     tied = materialize(tied.join(points.hint("merge"), F.col("node") == F.col("fp")).select("fp", "component", "least"), "tied")
-    low = tied.groupBy("component").agg(F.min("least").alias("component_id"))
+    # written, so that the joins read both sides through exchanges and a hot component or fingerprint can be split
+    low = materialize(tied.groupBy("component").agg(F.min("least").alias("component_id")), "low")
     named = tied.join(low.hint("merge"), "component").select("fp", "component_id")
-    # written, so that the last join reads both sides through exchanges and a hot fingerprint can be split
     named = materialize(points.join(named.hint("merge"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
     out = mine.join(named.hint("merge"), "fp", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

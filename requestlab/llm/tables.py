@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where that is unset, a folder of the warehouse, which is shared too."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    return os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_intermediate", spark.sparkContext.applicationId)
+from requestlab.sources.store import remove, shared_dir
 
 
 _paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
@@ -41,9 +34,7 @@ def discard(*written: DataFrame) -> None:
     """Delete tables of :func:`materialize` that no later job reads."""
     for df in written:
         if path := _paths.pop(df, None):
-            jvm = df.sparkSession.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            remove(df.sparkSession, path)
 
 
 #: Edges that one task contracts at once; a smaller graph is finished by one task, a larger one in rounds.

@@ -192,7 +192,8 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, shard_ids: int = S
             yield shard()
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
+    # rows that share an id, or have none, are dealt by the beginning of their text
+    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 256)).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), "text"
     )
     shards = rows.mapInArrow(
