@@ -49,6 +49,95 @@ def test_langid(docs, none):
     assert langid.keep_identified(docs).columns == docs.columns
 
 
+def test_langid_by_hand(spark):
+    """Grams, log-odds, weights of bits and loss-weighted decoding once more, gram by gram; a text of several pieces."""
+    import math
+
+    alphabets = {"aa": "etaoin shr", "bb": "enisra tdh", "cc": "aeosrn idl", "dd": "qwxzvk jyp"}
+    r = random.Random(3)
+    made = [(i, "".join(r.choice(alphabets[x]) for _ in range(r.randrange(5, 300))).upper() + "! 7", x) for i, x in enumerate(list(alphabets) * 20)]
+    made += [(500, "".join(r.choice(alphabets["cc"]) for _ in range(70_000)), "cc"), (501, "123", "aa"), (502, None, "bb"), (503, "ete nose", None)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(3)
+    half = {x["doc_id"]: x["h"] for x in df.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(4)), F.lit(2)).alias("h")).collect()}
+    out = {x["doc_id"]: x for x in langid.identify(df).collect()}
+
+    def grams(text):
+        for at in range(0, len(text), 1 << 16):
+            c = [32]
+            for k, ch in enumerate(text[at : at + (1 << 16)].lower()):
+                if ch.isalpha():
+                    c.append(ord(ch))
+                elif k == 0 or c[-1] != 32:
+                    c.append(32)
+            c.append(32)
+            for n in (1, 2, 3):
+                for i in range(len(c) - n + 1):
+                    v = c[i + n - 1]
+                    for j in range(n - 2, -1, -1):
+                        v = v * 0x1F123BB5 + c[i + j]
+                    yield ((v * 3 + n - 1) * 0x9E3779B97F4A7C15 % 2**64) >> 49
+
+    size, langs = langid.BUCKETS, sorted(alphabets)
+    code = langid.codewords(4)
+    train = [(i, t, x) for i, t, x in made if t and x and not out[i]["held_out"]]
+    count = {(h, x): np.zeros(size) for h in (0, 1) for x in langs}
+    seen = {i: list(grams(t)) for i, t, _ in made if t}
+    for i, _, x in train:
+        for g in seen[i]:
+            count[half[i], x][g] += 1
+
+    def weights(halves):
+        share = {}
+        for x in langs:
+            c = sum(count[h, x] for h in halves)
+            share[x] = (c + 0.5) / (c.sum() + 0.5 * size)
+        side = lambda b, s: np.mean([share[x] for k, x in enumerate(langs) if code[k, b] == s], axis=0)
+        return [np.log(side(b, 1)) - np.log(side(b, -1)) for b in range(code.shape[1])]
+
+    margin = lambda i, w: [sum(v[g] for g in seen[i]) / len(seen[i]) for v in w]
+    other, bits = [weights([1]), weights([0])], range(code.shape[1])
+    judged = [(x, margin(i, other[half[i]])) for i, t, x in train if any(map(str.isalpha, t))]
+    weight, slope = [], []
+    for b in bits:
+        m = [v[b] * code[langs.index(x), b] for x, v in judged]
+        right = (sum(v > 0 for v in m) + 1) / (len(m) + 2)
+        weight.append(max(0.05, math.log(right / (1 - right))) if right > 0.5 else 0.05)
+        slope.append(4 / max(sum(map(abs, m)) / len(m), 1e-9))
+    weight, whole = np.array(weight) / np.mean(weight), weights([0, 1])
+    for i, t, _ in made:
+        if not t or not any(map(str.isalpha, t)):
+            assert (out[i]["lang_pred"], out[i]["score"]) == ("und", 0)
+            continue
+        m = np.array(margin(i, whole)) * slope
+        loss = [sum(weight[b] * math.log1p(math.exp(-code[k, b] * m[b])) for b in bits) for k in range(4)]
+        p = np.exp(min(loss) - np.array(loss))
+        assert out[i]["lang_pred"] == langs[int(np.argmin(loss))] and out[i]["score"] == pytest.approx(p.max() / p.sum(), rel=1e-3)
+        assert out[i]["ambiguous"] == (out[i]["score"] < langid.AMBIGUOUS)
+
+
+def test_token_shards(spark, tmp_path):
+    """Several shards a partition, cut at ends of documents; null and repeated ids dealt by text, in the order of id and text."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(4)
+    rows = [(r.choice([None, 1, 2, r.randrange(50)]), words(k, r.randrange(0, 90))) for k in range(150)] + [(None, None), (3, ""), (1, words(1, 5000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = wavelet.write_shards(df, Q.vocabulary(), shard_ids=300)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.groupBy("part").count().agg(F.max("count")).first()[0] > 2 and files.where("doc_ids[0] IS NULL").select("part").distinct().count() > 1
+    got = wavelet.read_shards(files).orderBy("start").collect()
+    tok, at = Tokenizer.from_file(Q.vocabulary()), 0
+    want = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, (x[1] or "").encode()))
+    assert len(got) == len(want)
+    for g, (i, t) in zip(got, want, strict=True):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+        assert (g["doc_id"], g["start"], g["n_tokens"], g["ids_crc32"]) == (i, at, len(ids), brute.crc_ids(ids))
+        at += len(ids)
+
+
 def test_codewords_differ():
     for n in (1, 2, 4, 5, 9, 40):
         code = langid.codewords(n)
