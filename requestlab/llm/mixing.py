@@ -115,12 +115,12 @@ def mix(docs: DataFrame, cap: int = CAP, fixups: int = 6, bucket_rows: int = 200
     as rows of their own; null text has size 0 (taken 0); null source is a source; further
     columns are ignored; an empty table gives no rows.
     """
-    base = docs.select(F.lit(0).cast("long").alias("key"), *_base("doc_id", "source", "text"))
+    base = docs.select(F.monotonically_increasing_id().alias("key"), *_base("doc_id", "source", "text"))
     return _mix(base, cap, fixups, bucket_rows).drop("key")
 
 
 def _base(doc_id: str, source: str, text: str) -> list[Column]:
-    """What mixing needs of a document; ``h`` tells rows apart, so that rows without an id spread as well."""
+    """What mixing needs of a document; ``h`` tells rows apart, but for equal ones."""
     return [
         F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
         F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("h"),
@@ -168,7 +168,7 @@ def _mix(base: DataFrame, cap: int, fixups: int = 6, bucket_rows: int = 200_000)
         )
     cell = materialize(cell.select("idx", "size", "c", "k", "rate"), "mix")
 
-    # Deal a cell's k copies to its parts in proportion to their rows, then to rows by hash order.
+    # Deal a cell's k copies to its parts in proportion to their rows.
     part = fine.join(src.select(F.col("source").alias("s"), "idx", "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
     part = part.drop("s").join(cell, ["idx", "size"])
     w = W.partitionBy("idx", "size").orderBy("b").rowsBetween(W.unboundedPreceding, 0)
@@ -181,16 +181,44 @@ def _mix(base: DataFrame, cap: int, fixups: int = 6, bucket_rows: int = 200_000)
     part = part.select(
         F.col("source").alias("s"), F.col("size").alias("z"), F.col("b").alias("bb"), "cb", "kb", "source_size", "target", "rate"
     )
-    rank = F.row_number().over(W.partitionBy("source", "size", "b").orderBy(F.xxhash64("h", F.lit(7)), "doc_id", "key"))
-    ranked = base.withColumn("rank", rank)
-    out = ranked.join(part, ranked["source"].eqNullSafe(part["s"]) & (ranked["size"] == part["z"]) & (ranked["b"] == part["bb"]))
-    copies = (F.expr("kb div cb") + (F.col("rank") <= F.col("kb") % F.col("cb")).cast("long")).cast("long")
-    out = out.withColumn("copies", F.when(F.col("size") == 0, F.lit(1).cast("long")).otherwise(copies))
+    # Equal rows are one entry with a count, so that many of them are no large group; entries are served in hash order.
+    own = ["source", "size", "b", "h", "doc_id"]
+    row = W.partitionBy("source", "size", "b").orderBy(F.xxhash64("h", F.lit(7)), "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    entry = base.groupBy(*own).agg(F.count("*").alias("e"))
+    entry = entry.withColumn("start", F.sum("e").over(row) - F.col("e"))
+    entry = entry.join(part, entry["source"].eqNullSafe(part["s"]) & (entry["size"] == part["z"]) & (entry["b"] == part["bb"]))
+    more = F.greatest(F.lit(0), F.least(F.col("e"), F.col("kb") % F.col("cb") - F.col("start")))
+    entry = entry.select(*[F.col(c).alias(f"{c}_") for c in own], "e", "source_size", "target", "rate", F.expr("kb div cb").alias("each"), more.alias("more"))
+    entry = materialize(entry, "mix")
+    same = F.lit(True)
+    for c in own:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    out = base.join(entry.hint("merge"), same).drop(*[f"{c}_" for c in own])
+    whole = out.where("more = 0 OR more = e").withColumn("copies", F.col("each") + (F.col("more") > 0).cast("long"))
+    some = _some_of_equal(out.where("more > 0 AND more < e"), own, bucket_rows)
+    out = whole.unionByName(some).withColumn("copies", F.when(F.col("size") == 0, F.lit(1).cast("long")).otherwise(F.col("copies")))
     return out.select(
         "key", "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
+def _some_of_equal(rows: DataFrame, own: list[str], bucket_rows: int) -> DataFrame:
+    """``copies`` of rows of which ``more`` of ``e`` equal ones get one more than ``each``: any of them, dealt by parts of the group."""
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64("key"), F.ceil(F.col("e") / bucket_rows)).cast("int"))
+    sizes = rows.groupBy(*own, "sub", "e", "more").agg(F.count("*").alias("cs"))
+    seen = F.sum("cs").over(W.partitionBy(*own).orderBy("sub").rowsBetween(W.unboundedPreceding, 0))
+    upto = lambda s: F.floor(F.col("more") * s / F.col("e").cast("double") + 1e-9).cast("long")
+    sizes = sizes.withColumn("seen", seen).withColumn("due", upto(F.col("seen")) - upto(F.col("seen") - F.col("cs")))
+    sizes = sizes.select(*[F.col(c).alias(f"{c}_") for c in (*own, "sub")], "due")
+    rank = F.row_number().over(W.partitionBy(*own, "sub").orderBy("key"))
+    same = F.lit(True)
+    for c in (*own, "sub"):
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    got = rows.withColumn("rank", rank).join(sizes, same)
+    got = got.withColumn("copies", F.col("each") + (F.col("rank") <= F.col("due")).cast("long"))
+    return got.drop("rank", "due", "sub", *[f"{c}_" for c in (*own, "sub")])
+
+
 def repeat_by_mix(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """Every document as many times as the mix takes it, columns unchanged.
 

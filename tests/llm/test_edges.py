@@ -138,6 +138,22 @@ def test_token_shards(spark, tmp_path):
         at += len(ids)
 
 
+def test_mixing_equal_rows(spark):
+    """Very many equal rows without an id are served by their number; an id in two sources counts in both; reruns and other dealings agree."""
+    rows = [(None, "one two three", "a")] * 900 + [(i, words(i, 3 + i % 5), "b") for i in range(60)] + [(7, words(7, 4), "a"), (7, "", "a"), (8, None, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df.repartition(5), bucket_rows=100).collect()
+    total = {s: sum(r["size"] for r in got if r["source"] == s) for s in "abc"}
+    assert len(got) == len(rows) and all(r["source_size"] == total[r["source"]] for r in got)
+    want = brute.targets([total[s] for s in "abc"], [1, 2, 3])
+    for s, t in zip("abc", want, strict=True):
+        taken = sum(r["taken"] for r in got if r["source"] == s)
+        assert abs(taken - t) <= 7 and all(r["taken"] == r["copies"] * r["size"] and r["copies"] <= 3 for r in got if r["size"])
+    many = sorted(r["copies"] for r in got if r["doc_id"] is None)
+    assert many[-1] - many[0] <= 1 and len(set(many)) == 2
+    assert plain(got) == plain(mixing.mix(df.repartition(2), bucket_rows=100).collect())
+
+
 def test_codewords_differ():
     for n in (1, 2, 4, 5, 9, 40):
         code = langid.codewords(n)
