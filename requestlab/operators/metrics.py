@@ -72,7 +72,7 @@ def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] |
     near = [(s - 3 / BRACKET, s + 3 / BRACKET) for s in shares]
     sketch = F.percentile_approx("_x", [min(1.0, max(0.0, x)) for pair in near for x in pair], BRACKET)
     head = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), sketch.alias("_q"))
-    head = store.materialize(head, "brackets")
+    head = store.materialize(head, "brackets") if keys else df.sparkSession.createDataFrame(head.collect(), head.schema)  # one row
     read = _read_ranks(rows, head, keys, shares, near)
     if not read.where("NOT (_less <= floor(_at) AND ceil(_at) < _upto)").isEmpty():
         store.discard(read)
@@ -105,7 +105,7 @@ def _read_ranks(rows: DataFrame, head: DataFrame, keys: list[str], shares: list[
         at(F.floor("_at")).alias("_a"), at(F.ceil("_at")).alias("_b"), F.first("_at").alias("_at"),
         F.coalesce(F.max(F.when(F.col("_x").isNull(), F.col("_c"))), F.lit(0)).alias("_less"), F.max("_upto").alias("_upto"),
     )
-    return store.materialize(got, "ranks")
+    return store.materialize(got, "ranks") if keys else rows.sparkSession.createDataFrame(got.collect(), got.schema)  # a row a share
 
 
 def _beside(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,7 +127,8 @@ def percentile(df: DataFrame, value: str, share: float) -> float | None:
 def threshold_at_fpr(scores: DataFrame, max_fpr: float = 0.05, by: list[str] | None = None) -> DataFrame:
     """Linear percentile 1 - max_fpr of the valid rows' scores, and the rate it really gives."""
     valid = scores.where(F.col("label") == VALID)
-    cut = store.materialize(percentiles(valid, "score", [1 - max_fpr], by).withColumnRenamed("p0", "threshold"), "thresholds")
+    cut = percentiles(valid, "score", [1 - max_fpr], by).withColumnRenamed("p0", "threshold")
+    cut = store.materialize(cut, "thresholds") if by else cut
     joined = valid.join(store.beside(cut), by) if by else valid.crossJoin(F.broadcast(cut))  # one row
     rate = joined.groupBy(*(by or []), "threshold").agg(F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("actual_fpr"))
     return rate
