@@ -361,7 +361,7 @@ def event_stream(spark, sf_dir):
     """Requests from the events file as a file source in event time."""
     schema = table(spark, sf_dir, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*")
-    raw.createOrReplaceTempView("events_stream")
+    raw.select("event_id", "ts", "event_type", "user_id", "props").repartition("event_id", "ts", "user_id", "props").createOrReplaceTempView("events_stream")
     return spark.sql(REQUESTS_SQL.replace("FROM events", "FROM events_stream"))
 
 

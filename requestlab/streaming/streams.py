@@ -131,9 +131,12 @@ def flag_rate_job(normalized: DataFrame, path: str, window: str = "10 minutes",
     counts = "window_start timestamp, family string, n_flags long"
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        timed = batch.withColumn("ts", F.col("ts").cast("timestamp")).where("ts IS NOT NULL")
-        # rows without a flag move the watermark as well
-        top = timed.agg(F.max("ts").alias("ts"))
+        # one pass over the requests: rows without a flag have a null family, as they move the watermark as well
+        family = F.explode_outer("families").alias("family")
+        rows = batch.where("ts IS NOT NULL").select("ts", F.window("ts", window)["start"].alias("window_start"), family)
+        rows = rows.groupBy("window_start", "family").agg(F.count("family").alias("n_flags"), F.max("ts").alias("top"))
+        seen = store.materialize(rows, "flag-counts")
+        top = seen.agg(F.max("top").alias("ts"))
         if batch_id:
             before = spark.read.schema("ts timestamp").parquet(name("mark", batch_id - 1))
             held = spark.read.schema(counts).parquet(name("open", batch_id - 1))
@@ -144,21 +147,21 @@ def flag_rate_job(normalized: DataFrame, path: str, window: str = "10 minutes",
         before.unionByName(top).agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").coalesce(1).write.mode("overwrite").parquet(name("mark", batch_id))
         new = spark.read.schema("ts timestamp").parquet(name("mark", batch_id)).first()
         new = new["ts"] if new else None
-        flags = normalize.extract_flags(timed, keys=("request_id", "ts"))
-        rows = flags.groupBy(F.window("ts", window)["start"].alias("window_start"), normalize.family_of(F.col("flag")).alias("family")).agg(F.count("*").alias("n_flags"))
+        rows = seen.where("family IS NOT NULL").drop("top")
         passed = lambda mark: F.lit(False) if mark is None else F.col("window_start") + span <= F.lit(mark) - delay
-        rows = store.materialize(rows, "flag-counts")
         rows.where(passed(old)).coalesce(1).write.mode("overwrite").parquet(name("late", batch_id))
         now = held.unionByName(rows.where(~passed(old))).groupBy("window_start", "family").agg(F.sum("n_flags").alias("n_flags"))
         now = store.materialize(now, "flag-windows")
         now.where(passed(new)).coalesce(1).write.mode("overwrite").parquet(name("closed", batch_id))
         now.where(~passed(new)).coalesce(1).write.mode("overwrite").parquet(name("open", batch_id))
-        store.discard(rows, now)
+        store.discard(seen, now)
         for kind in ("open", "mark"):  # the batch before may be repeated, older ones are not
             if batch_id > 1:
                 store.remove(spark, name(kind, batch_id - 2))
 
-    writer = normalized.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}-state")
+    # a batch is read as it stands, so only what is counted goes into it
+    counted = normalize.all_flags(normalized).select(F.col("ts").cast("timestamp").alias("ts"), F.transform("all_flags", normalize.family_of).alias("families"))
+    writer = counted.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}-state")
     return writer.trigger(availableNow=True).start()
 
 
