@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from requestlab.sources import store
@@ -36,14 +39,16 @@ class TfidfEncoder(Encoder):
         self.options = {"key": key, "max_features": max_features, "pattern": pattern, "n": n, "min_df": min_df, "max_df": max_df}
         self.vocabulary, self.n_docs, self.size = None, 0, 0
 
-    def _counts(self, docs: DataFrame) -> DataFrame:
-        o = self.options
-        return features.term_counts(docs, o["key"], features.tokenize(F.col("text"), o["pattern"], o["n"]))
+    def _tokens(self) -> Column:
+        return features.tokenize(F.col("text"), self.options["pattern"], self.options["n"])
 
     def fit(self, docs: DataFrame) -> TfidfEncoder:
         o = self.options
         self.n_docs = docs.count()
-        words = features.build_vocabulary(self._counts(docs), self.n_docs, o["min_df"], o["max_df"], o["max_features"], o["key"])
+        if o["max_features"] is not None and features.all_df(self.n_docs, o["min_df"], o["max_df"]):
+            words = features.top_vocabulary(docs, o["key"], self._tokens(), o["max_features"])
+        else:
+            words = features.build_vocabulary(features.term_counts(docs, o["key"], self._tokens()), self.n_docs, o["min_df"], o["max_df"], o["max_features"], o["key"])
         self.vocabulary = store.materialize(words, "vocabulary")
         self.size = self.vocabulary.count()
         return self
@@ -52,14 +57,25 @@ class TfidfEncoder(Encoder):
         """The long form ``key, term, idx, weight``, a row a non-zero weight; for vocabularies too wide for ``encode``."""
         if self.vocabulary is None:
             raise RuntimeError("tfidf: fit first")
-        return features.tfidf(self._counts(docs), self.vocabulary, self.n_docs, self.options["key"])
+        counts = features.term_counts(docs, self.options["key"], self._tokens(), store.beside(self.vocabulary.select("term")))
+        return features.tfidf(counts, self.vocabulary, self.n_docs, self.options["key"])
 
     def encode(self, docs: DataFrame) -> DataFrame:
         key, w = self.options["key"], self.weights(docs)
-        filled = w.groupBy(F.col(key).alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("_m"))  # at most ``size`` cells
-        dense = F.transform(F.sequence(F.lit(0), F.lit(max(self.size - 1, 0))), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
+        cells = w.groupBy(F.col(key).alias("_key")).agg(F.collect_list("idx").alias("idx"), F.collect_list("weight").alias("w"))  # at most ``size`` cells
+        size = self.size
+
+        def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                for a in range(0, len(pdf), 1024):
+                    some = pdf.iloc[a : a + 1024]
+                    dense = np.zeros((len(some), size))
+                    dense[np.repeat(np.arange(len(some)), some["idx"].map(len)), np.concatenate(some["idx"].to_list())] = np.concatenate(some["w"].to_list())
+                    yield pd.DataFrame({"_key": some["_key"], "_v": list(dense)})
+
+        filled = cells.mapInPandas(fill, f"_key {docs.select(key).dtypes[0][1]}, _v array<double>")
         out = docs.join(filled, F.col(key) == F.col("_key"), "left")
-        return out.select(*docs.columns, F.coalesce(dense, F.array_repeat(F.lit(0.0), self.size)).alias("embedding"))
+        return out.select(*docs.columns, F.coalesce("_v", F.array_repeat(F.lit(0.0), self.size)).alias("embedding"))
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.vocabulary.write.mode("overwrite").parquet(f"{path}-vocabulary")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from requestlab.sources import store
+
 from . import metrics, neighbor_mi
 
 
@@ -36,9 +38,33 @@ def tokenize(text: Column, pattern: str = "word", n: int = 1) -> Column:
     return F.element_at(whole, 1)
 
 
-def term_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """Long table ``key, term, tf``."""
-    return docs.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def term_counts(docs: DataFrame, key: str, tokens: Column, only: DataFrame | None = None) -> DataFrame:
+    """Long table ``key, term, tf``; of the terms of ``only`` (a column ``term``), if given: others leave before the shuffle."""
+    rows = docs.select(key, F.explode(tokens).alias("term"))
+    if only is not None:
+        rows = rows.join(only, "term", "left_semi")
+    return rows.groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def all_df(n_docs: int, min_df: float, max_df: float) -> bool:
+    """Whether the bounds on document frequencies exclude no term of a document with a key."""
+    low = min_df if isinstance(min_df, int) else min_df * n_docs
+    high = max_df if isinstance(max_df, int) else max_df * n_docs
+    return 0 < low <= 1 and high >= n_docs
+
+
+def top_vocabulary(docs: DataFrame, key: str, tokens: Column, max_features: int) -> DataFrame:
+    """E2 without bounds on document frequencies: the table of :func:`build_vocabulary`.
+
+    Terms are ranked by occurrences alone, which tasks add up before the shuffle; documents are counted for the
+    chosen terms only, so no row for every term of every document is shuffled.
+    """
+    every = docs.select(key, F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("tf"), F.count(key).alias("n")).where("n > 0").drop("n")
+    top = store.materialize(every.orderBy(F.desc("tf"), "term").limit(max_features), "terms")
+    own = term_counts(docs.where(F.col(key).isNotNull()), key, tokens, store.beside(top.select("term")))
+    df = own.groupBy("term").agg(F.count("*").alias("df"))
+    got = top.join(df, "term").select("term", "df", "tf")
+    return got.withColumn("idx", F.row_number().over(W.orderBy("term")) - 1)
 
 
 def build_vocabulary(counts: DataFrame, n_docs: int, min_df: float = 1, max_df: float = 1.0, max_features: int | None = None, key: str = "doc_id") -> DataFrame:

@@ -22,7 +22,11 @@ def _stack(rows: Iterable[DataFrame]) -> DataFrame:
 
 
 def evaluate(scored: DataFrame, max_fpr: float = 0.05, **columns) -> DataFrame:
-    """One row: metrics at the budgeted threshold and the configuration's columns."""
+    """One row: metrics at the budgeted threshold and the configuration's columns.
+
+    Scores are written once, as the threshold takes several scans of them.
+    """
+    scored = store.materialize(scored.select("label", "score"), "scores")
     return metrics.metrics_at_fpr(scored, max_fpr).withColumns({k: F.lit(v) for k, v in columns.items()})
 
 
@@ -37,7 +41,8 @@ def text_vectors(docs: DataFrame, max_features: int, key: str = "doc_id", patter
 
 
 def pca_detector_run(vectors: DataFrame, k: int, detector=None, **columns) -> DataFrame:
-    """PCA on valid rows, a detector on the coordinates, metrics at 5 % false positives."""
+    """PCA on valid rows, a detector on the coordinates, metrics at 5 % false positives; ``vectors`` are written once."""
+    vectors = store.materialize(vectors, "vectors")
     model = detectors.PcaDetector(detector or detectors.Mahalanobis(), k).fit(normal(vectors))
     return evaluate(model.score(vectors), k=k, **columns)
 
@@ -48,8 +53,7 @@ def normalization_effect(normalized: DataFrame, max_features: int, k: int, key:
     out = []
     for name in ("request", "canonical"):
         docs = rows.select(key, "label", F.col(name).alias("text"))
-        vectors = store.materialize(text_vectors(docs, max_features, key, "space"), "vectors")
-        out.append(pca_detector_run(vectors, k, input="raw" if name == "request" else "canonical"))
+        out.append(pca_detector_run(text_vectors(docs, max_features, key, "space"), k, input="raw" if name == "request" else "canonical"))
     return _stack(out)
 
 
