@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from requestlab.functions import text as T
 from requestlab.sources import store
 
 from . import metrics, neighbor_mi
@@ -30,17 +31,21 @@ def tokenize(text: Column, pattern: str = "word", n: int = 1) -> Column:
     if n == 1:
         return base
 
-    def grams(t: Column, k: int) -> Column:
-        starts = F.when(F.size(t) >= k, F.sequence(F.lit(1), F.size(t) - (k - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(k)), " "))
+    def grams(t: Column) -> list[Column]:
+        """Grams of one term, of two, and so on: the shorter ones, each with the term behind it."""
+        out = [t]
+        for k in range(2, n + 1):
+            left = F.greatest(F.size(t) - (k - 1), F.lit(0))
+            out.append(F.zip_with(F.slice(out[-1], F.lit(1), left), F.slice(t, F.lit(k), left), lambda a, b: F.concat(a, F.lit(" "), b)))
+        return out
 
-    whole = F.transform(F.array(base), lambda t: F.flatten(F.array(*[grams(t, k) for k in range(1, n + 1)])))
+    whole = F.transform(F.array(base), lambda t: F.flatten(F.array(*grams(t))))
     return F.element_at(whole, 1)
 
 
 def term_counts(docs: DataFrame, key: str, tokens: Column, only: DataFrame | None = None) -> DataFrame:
     """Long table ``key, term, tf``; of the terms of ``only`` (a column ``term``), if given: others leave before the shuffle."""
-    rows = docs.select(key, F.explode(tokens).alias("term"))
+    rows = T.unnest(docs, tokens, "term", key)
     if only is not None:
         rows = rows.join(only, "term", "left_semi")
     return rows.groupBy(key, "term").agg(F.count("*").alias("tf"))
@@ -59,7 +64,7 @@ def top_vocabulary(docs: DataFrame, key: str, tokens: Column, max_features: int)
     Terms are ranked by occurrences alone, which tasks add up before the shuffle; documents are counted for the
     chosen terms only, so no row for every term of every document is shuffled.
     """
-    every = docs.select(key, F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("tf"), F.count(key).alias("n")).where("n > 0").drop("n")
+    every = T.unnest(docs, tokens, "term", key).groupBy("term").agg(F.count("*").alias("tf"), F.count(key).alias("n")).where("n > 0").drop("n")
     top = store.materialize(every.orderBy(F.desc("tf"), "term").limit(max_features), "terms")
     own = term_counts(docs.where(F.col(key).isNotNull()), key, tokens, store.beside(top.select("term")))
     df = own.groupBy("term").agg(F.count("*").alias("df"))
