@@ -62,8 +62,7 @@ def pca_sweep(vectors: DataFrame, dims: list[int], detector=detectors.Mahalanobi
     pca = features.PCA.fit(normal(vectors), max(dims))
     rows = []
     for k in dims:
-        coords = pca.head(k).transform(vectors)
-        model = detector()
+        coords, model = store.materialize(pca.head(k).transform(vectors), "coordinates"), detector()
         rows.append(evaluate(model.fit(normal(coords)).score(coords), k=k, detector=model.name, explained=float(pca.explained[:k].sum())))
     return _stack(rows)
 
