@@ -390,3 +390,18 @@ def test_kernel_svm(spark, vectors, cloud, working, tmp_path):
     path = (tmp_path / "svm").as_uri()
     model.save(spark, path)
     assert np.allclose(scores(D.load(spark, path).score(vectors)), scores(model.score(vectors)))
+
+
+def test_kernel_svm_of_a_spread_dual_settles(spark):
+    """Unit vectors in near copies, nearly all of them free support vectors: the working rows grow, so few rounds are enough."""
+    r = np.random.Generator(np.random.PCG64(5))
+    x = np.repeat(r.standard_normal((200, 16)), 3, axis=0) + 0.05 * r.standard_normal((600, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    p = KernelOneClassSVM(nu=0.1, gamma=1.0, working=20, max_rounds=25).fit(df).params
+    alpha = np.zeros(600)
+    for v, a in zip(p["vectors"], p["alpha"], strict=True):
+        alpha[np.flatnonzero((x == v).all(1))[0]] = a
+    g = np.exp(-((x[:, None] - x[None]) ** 2).sum(2)) @ alpha
+    assert alpha.sum() == pytest.approx(60) and (alpha >= 0).all() and (alpha <= 1).all() and len(p["alpha"]) > 200
+    assert g[alpha > 0].max() - g[alpha < 1].min() <= 1.1e-3
