@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from requestlab.operators import detectors as D
-from requestlab.operators import encoders, features, joins
+from requestlab.operators import encoders, features, joins, neighbors
 from requestlab.plans import runs
 from requestlab.sources import store
 
@@ -65,3 +65,30 @@ def test_lof_joins_only_new_rows(spark, monkeypatch, tmp_path):
     assert [q["n"] for q in few] == [6, 6]
     # joined: id 7 twice, id 9 twice, 12 (moved), 200 and 201
     assert joined == [7, 7]
+
+
+def test_candidates_of_single_precision():
+    """The k nearest are those of double precision: copies, ties, shared ids, vectors far from the origin, very long and very short ones."""
+    r = np.random.Generator(np.random.PCG64(9))
+    for case in range(40):
+        d, m, k = int(r.integers(1, 9)), int(r.integers(1, 80)), int(r.integers(1, 12))
+        scale = 10.0 ** int(r.integers(-120, 110) if case % 5 == 0 else r.integers(-8, 8))
+        y = r.standard_normal((m, d)).round(int(r.integers(0, 6))) * scale + (case % 3) * scale * 10.0 ** int(r.integers(-3, 9))
+        x = np.vstack([y[r.integers(0, m, 10)], r.standard_normal((10, d)) * scale + y.mean(0), y[:3] + scale * 1e-7])
+        y_ids, ids = r.integers(0, m + 1, m), r.integers(0, m + 1, len(x))
+        theta = np.full(len(x), np.inf) if case % 4 else np.abs(r.standard_normal(len(x))) * scale * d
+        row, near, dist = neighbors.nearest_rows(x, ids, theta, neighbors.Block(y, y_ids), k, bool(case % 2))
+        want = []
+        for i in range(len(x)):
+            far = np.sqrt(((x[i] - y) ** 2).sum(1))
+            ok = (far <= theta[i]) & ((y_ids != ids[i]) | (case % 2 == 0))
+            want += [(i, y_ids[j], far[j]) for j in np.lexsort((y_ids, far)) if ok[j]][:k]
+        assert [t for t in zip(row, near, dist, strict=True) if t[2] <= theta[t[0]]] == want, case
+
+
+def test_join_has_a_partition_for_each_piece(spark):
+    """Pieces of work (a block, and as many visits as a task answers) are not dealt to a fixed number of shuffle partitions."""
+    cells = [(i % 12, 0, i, [float(i % 7), float(i)]) for i in range(240)]
+    train = spark.createDataFrame(cells, "cell int, part int, id long, v array<double>")
+    visits = train.withColumn("theta", F.lit(float("inf")))
+    assert neighbors._meet(visits, train, 2, True, 20).rdd.getNumPartitions() >= 12
