@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from requestlab.operators import detectors as D
 from requestlab.operators import encoders, features, joins, metrics, neighbor_mi, neighbors, sampling, sparse_pca
+from requestlab.operators import kernel_svm
 from requestlab.operators.kernel_svm import KernelOneClassSVM
 from requestlab.plans import grids, runs
 from requestlab.sources import store
@@ -405,3 +406,22 @@ def test_kernel_svm_of_a_spread_dual_settles(spark):
     g = np.exp(-((x[:, None] - x[None]) ** 2).sum(2)) @ alpha
     assert alpha.sum() == pytest.approx(60) and (alpha >= 0).all() and (alpha <= 1).all() and len(p["alpha"]) > 200
     assert g[alpha > 0].max() - g[alpha < 1].min() <= 1.1e-3
+
+
+def test_kernel_svm_takes_free_rows_at_once(spark, monkeypatch):
+    """More free rows than a kernel matrix has room for: the tasks multiply by the kernel, so few rounds are enough; one row is repeated."""
+    monkeypatch.setattr(kernel_svm, "WORKING", 60)
+    r = np.random.Generator(np.random.PCG64(6))
+    x = np.repeat(r.standard_normal((200, 16)), 3, axis=0) + 0.05 * r.standard_normal((600, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[500:] = x[500]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    p = KernelOneClassSVM(nu=0.1, gamma=1.0, working=40, max_rounds=8).fit(df).params
+    v, alpha = p["vectors"], p["alpha"]
+    assert alpha.sum() == pytest.approx(60) and (alpha > 0).all() and (alpha <= 1).all() and len(alpha) > 200
+    kernel = lambda y: np.exp(-((x[:, None] - y[None]) ** 2).sum(2))
+    g = kernel(v) @ alpha
+    held = (x[:, None] == v[None]).all(2)
+    some = held.any(1)  # rows of the model, and the copies of one of them
+    below = np.array([(alpha[h] < 1).any() or h.sum() < (x == y).all(1).sum() for h, y in zip(held, x, strict=True)])
+    assert g[some].max() - g[below].min() <= 1.1e-3
