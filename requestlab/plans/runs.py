@@ -143,15 +143,13 @@ def mi_sweep(vectors: DataFrame, ks: list[int], bins: int | None = 16) -> DataFr
 
 def token_mi_sweep(docs: DataFrame, ks: list[int], make, key: str = "doc_id") -> DataFrame:
     """R7, tokens: terms ranked by mutual information with the class, a detector on the counts of the best k."""
-    counts = store.materialize(features.term_counts(docs, key, features.tokenize(F.col("text"))), "terms")
-    ranked = sampling.top_k(features.mi_discrete(counts, docs.select(key, "label"), "tf", key), "mi", max(ks), "term").collect()  # at most max(ks) rows
+    tokens = features.tokenize(F.col("text"))
+    terms = [r["term"] for r in sampling.top_k(features.mi_tokens(docs, tokens), "mi", max(ks), "term").collect()]  # at most max(ks) rows
+    vectors = store.materialize(features.in_rows(docs, [key, "label"], tokens, terms, [features.EMBEDDING], features.dense(len(terms))), "vectors")
     rows = []
     for k in ks:
-        terms = [r["term"] for r in ranked[:k]]
-        own = counts.where(F.col("term").isin(terms)).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("m"))  # at most k cells
-        dense = F.array(*[F.coalesce(F.try_element_at("m", F.lit(t)), F.lit(0)).cast("double") for t in terms])
-        vectors = store.materialize(docs.select(key, "label").join(own, key, "left").select(key, "label", dense.alias("embedding")), "vectors")
-        rows.append(evaluate(make().fit(normal(vectors)).score(vectors), k=k))
+        cut = vectors.withColumn("embedding", F.slice("embedding", 1, k))
+        rows.append(evaluate(make().fit(normal(cut)).score(cut), k=k))
     return _stack(rows)
 
 

@@ -92,3 +92,28 @@ def test_join_has_a_partition_for_each_piece(spark):
     train = spark.createDataFrame(cells, "cell int, part int, id long, v array<double>")
     visits = train.withColumn("theta", F.lit(float("inf")))
     assert neighbors._meet(visits, train, 2, True, 20).rdd.getNumPartitions() >= 12
+
+
+def _many(spark, rows: int = 300):
+    """Texts of words of very different frequency, with ties, null texts, null and shared ids."""
+    r = np.random.Generator(np.random.PCG64(11))
+    words = [f"w{i}" for i in range(60)]
+    texts = [None if i % 40 == 7 else " ".join(words[min(59, int(r.exponential(9)))] for _ in range(int(r.integers(0, 14)))) for i in range(rows)]
+    table = [(None if i % 50 == 3 else i, t, "attack" if i % 3 == 0 else "valid") for i, t in enumerate(texts)]
+    return spark.createDataFrame([*table, (None, "only here only here", "valid")], "doc_id long, text string, label string")
+
+
+def test_token_information_in_tasks(spark, monkeypatch):
+    """Terms are ranked without a table of all terms of all documents: the same numbers, the same vectors."""
+    docs = _many(spark).where("doc_id IS NOT NULL")
+    tokens = features.tokenize(F.col("text"))
+    want = dict(features.mi_discrete(features.term_counts(docs, "doc_id", tokens), docs, "tf").collect())
+    got = dict(features.mi_tokens(docs, tokens).collect())
+    assert got.keys() == want.keys() and all(np.isclose(got[t], want[t], atol=1e-12) for t in want)
+    made, plain = {}, store.materialize
+    monkeypatch.setattr(store, "materialize", lambda df, name: made.setdefault(name, plain(df, name)))
+    runs.token_mi_sweep(docs, [3], D.Mahalanobis)
+    best = [t for t, _ in sorted(want.items(), key=lambda x: (-round(x[1], 9), x[0]))[:3]]
+    assert "terms" not in made
+    for r in made["vectors"].join(docs.select("doc_id", "text"), "doc_id").collect():
+        assert sorted(r["embedding"]) == sorted(float((r["text"] or "").split().count(t)) for t in best)
