@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField
 
 from requestlab.sources import store
 
@@ -46,7 +47,7 @@ class TfidfEncoder(Encoder):
         o = self.options
         self.n_docs = docs.count()
         if o["max_features"] is not None and features.all_df(self.n_docs, o["min_df"], o["max_df"]):
-            words = features.top_vocabulary(docs, o["key"], self._tokens(), o["max_features"])
+            words = features.top_vocabulary(docs, o["key"], self._tokens(), o["max_features"], features.tokenize(F.col("text"), o["pattern"]), o["n"])
         else:
             words = features.build_vocabulary(features.term_counts(docs, o["key"], self._tokens()), self.n_docs, o["min_df"], o["max_df"], o["max_features"], o["key"])
         self.vocabulary = store.materialize(words, "vocabulary")
@@ -57,25 +58,35 @@ class TfidfEncoder(Encoder):
         """The long form ``key, term, idx, weight``, a row a non-zero weight; for vocabularies too wide for ``encode``."""
         if self.vocabulary is None:
             raise RuntimeError("tfidf: fit first")
-        counts = features.term_counts(docs, self.options["key"], self._tokens(), store.beside(self.vocabulary.select("term")))
+        counts = features.term_counts(docs, self.options["key"], self._tokens(), self.vocabulary.select("term"))
+        counts = counts.groupBy(self.options["key"], "term").agg(F.sum("tf").alias("tf"))
         return features.tfidf(counts, self.vocabulary, self.n_docs, self.options["key"])
 
-    def encode(self, docs: DataFrame) -> DataFrame:
-        key, w = self.options["key"], self.weights(docs)
-        cells = w.groupBy(F.col(key).alias("_key")).agg(F.collect_list("idx").alias("idx"), F.collect_list("weight").alias("w"))  # at most ``size`` cells
-        size = self.size
-
-        def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
-                for a in range(0, len(pdf), 1024):
-                    some = pdf.iloc[a : a + 1024]
-                    dense = np.zeros((len(some), size))
-                    dense[np.repeat(np.arange(len(some)), some["idx"].map(len)), np.concatenate(some["idx"].to_list())] = np.concatenate(some["w"].to_list())
-                    yield pd.DataFrame({"_key": some["_key"], "_v": list(dense)})
-
-        filled = cells.mapInPandas(fill, f"_key {docs.select(key).dtypes[0][1]}, _v array<double>")
-        out = docs.join(filled, F.col(key) == F.col("_key"), "left")
-        return out.select(*docs.columns, F.coalesce("_v", F.array_repeat(F.lit(0.0), self.size)).alias("embedding"))
+    def _weighted(self, docs: DataFrame, keep: list[str], fields: list[StructField], make) -> DataFrame:
+        """:func:`features.in_rows` with weights instead of counts."""
+        if self.vocabulary is None:
+            raise RuntimeError("tfidf: fit first")
+        words = self.vocabulary.select("term", "df").orderBy("idx").collect()  # ``size`` rows
+        idf = np.array([math.log((1 + self.n_docs) / (1 + r["df"])) + 1 for r in words])
+
+        def weigh(n: int, row: np.ndarray, at: np.ndarray, tf: np.ndarray) -> list[pa.Array]:
+            w = tf * idf[at]
+            return make(n, row, at, w / np.sqrt(np.bincount(row, weights=w * w, minlength=n))[row])
+
+        return features.in_rows(docs, keep, self._tokens(), [r["term"] for r in words], fields, weigh)
+
+    def rows(self, docs: DataFrame, keep: list[str]) -> DataFrame:
+        """``keep, idx, w``: the non-zero weights of each row as two arrays; for vocabularies too wide for ``encode``."""
+
+        def make(n: int, row: np.ndarray, at: np.ndarray, w: np.ndarray) -> list[pa.Array]:
+            start = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+            return [pa.ListArray.from_arrays(start, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(start, pa.array(w))]
+
+        return self._weighted(docs, keep, [StructField("idx", ArrayType(IntegerType())), StructField("w", ArrayType(DoubleType()))], make)
+
+    def encode(self, docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        """With ``keep``, of the columns of ``docs`` only these."""
+        return self._weighted(docs, docs.columns if keep is None else keep, [features.EMBEDDING], features.dense(self.size))
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.vocabulary.write.mode("overwrite").parquet(f"{path}-vocabulary")

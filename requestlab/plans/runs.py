@@ -37,7 +37,7 @@ def normal(df: DataFrame) -> DataFrame:
 def text_vectors(docs: DataFrame, max_features: int, key: str = "doc_id", pattern: str = "word", n: int = 1) -> DataFrame:
     """Dense TF-IDF vectors ``key, label, embedding`` on the most frequent terms (fitted on valid rows)."""
     model = encoders.TfidfEncoder(key, max_features, pattern, n).fit(normal(docs))
-    return model.encode(docs).select(key, "label", "embedding")
+    return model.encode(docs, [key, "label"])
 
 
 def pca_detector_run(vectors: DataFrame, k: int, detector=None, **columns) -> DataFrame:

@@ -117,3 +117,16 @@ def test_token_information_in_tasks(spark, monkeypatch):
     assert "terms" not in made
     for r in made["vectors"].join(docs.select("doc_id", "text"), "doc_id").collect():
         assert sorted(r["embedding"]) == sorted(float((r["text"] or "").split().count(t)) for t in best)
+
+
+def test_rows_are_encoded_where_they_are(spark):
+    """No row of an encoder's input is shuffled; rows without an id or with a shared one have vectors of their own text."""
+    docs = _many(spark)
+    model = encoders.TfidfEncoder("doc_id", 20).fit(docs)
+    for got in (model.encode(docs), model.rows(docs, ["doc_id"]), features.term_counts(docs, "doc_id", features.tokenize(F.col("text")), model.vocabulary.select("term"))):
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([(None, "w0 w1"), (1, "w0 w1"), (1, "w2"), (2, "zz")], "doc_id long, text string")
+    v = [np.array(r["embedding"]) for r in model.encode(rows).collect()]
+    assert np.allclose(v[0], v[1]) and np.isclose(np.linalg.norm(v[0]), 1) and (v[0] > 0).sum() == 2 and (v[2] > 0).sum() == 1 and not v[3].any()
+    sparse = {r["n"]: (r["idx"], r["w"]) for r in model.rows(rows.withColumn("n", F.monotonically_increasing_id()), ["n"]).collect()}
+    assert len(sparse) == 4 and sum(len(i) for i, _ in sparse.values()) == 5
