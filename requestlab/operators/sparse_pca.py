@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from requestlab.sources import store
 
@@ -25,15 +26,17 @@ def sparse_rows(weights: DataFrame, key: str) -> DataFrame:
     return some.select(key, F.col("s.idx").alias("idx"), F.col("s.weight").alias("w"))
 
 
-def _slices(pdf: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of a batch, about CHUNK weights at a time: from, to, all idx, all w, and where each row starts."""
+def _slices(pdf: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows of a batch, about CHUNK weights at a time: from, to, the terms they have and their weights as a dense matrix on these."""
     sizes = pdf["idx"].map(len).to_numpy()
     ends = np.cumsum(sizes)
     a = 0
     while a < len(pdf):
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, side="right")))
-        start = np.concatenate([[0], np.cumsum(sizes[a:b])[:-1]])
-        yield a, b, np.concatenate(pdf["idx"].iloc[a:b].to_list()), np.concatenate(pdf["w"].iloc[a:b].to_list()), start
+        terms, at = np.unique(np.concatenate(pdf["idx"].iloc[a:b].to_list()), return_inverse=True)
+        cell = np.repeat(np.arange(b - a), sizes[a:b]) * len(terms) + at
+        x = np.bincount(cell, weights=np.concatenate(pdf["w"].iloc[a:b].to_list()), minlength=(b - a) * len(terms))
+        yield a, b, terms.astype(np.int64), x.reshape(b - a, len(terms))
         a = b
 
 
@@ -46,12 +49,9 @@ def _times(rows: DataFrame, basis: np.ndarray, mean: np.ndarray) -> np.ndarray:
         q, shift = held.value
         out, rest, seen = np.zeros(shape), np.zeros(shape[1]), False
         for pdf in frames:
-            for _, _, idx, w, start in _slices(pdf):
-                y = np.add.reduceat(w[:, None] * q[idx], start, axis=0) - shift
-                part = w[:, None] * np.repeat(y, np.diff(np.append(start, len(idx))), axis=0)
-                order = np.argsort(idx, kind="stable")
-                first = np.flatnonzero(np.append(True, np.diff(idx[order])))
-                out[idx[order][first]] += np.add.reduceat(part[order], first, axis=0)
+            for _, _, terms, x in _slices(pdf):
+                y = x @ q[terms] - shift
+                out[terms] += x.T @ y
                 rest += y.sum(axis=0)
                 seen = True
         return np.concatenate([out.ravel(), rest]) if seen else None
@@ -71,10 +71,15 @@ def fit(weights: DataFrame, n_rows: int, n_dims: int, k: int, key: str = "doc_id
     space of all blocks; it grows until the variance that its k best directions explain does by less than ``tol``.
     Blocks are held by the driver, one by the tasks; their size is checked.
     """
+    return fit_rows(sparse_rows(weights, key), n_rows, n_dims, k, over, passes, tol, seed)
+
+
+def fit_rows(sparse: DataFrame, n_rows: int, n_dims: int, k: int, over: int = 10, passes: int = 12, tol: float = 1e-4, seed: int = 42) -> features.PCA:
+    """:func:`fit` on a row a document, its weights as the arrays ``idx`` and ``w``; rows without a weight may be left out."""
     size = min(max(8, -(-(k + over) // 3)), n_dims)
     if n_dims * size * passes > 4 * BASIS or n_dims * size > BASIS:
         raise ValueError(f"{passes} blocks of {n_dims} x {size} numbers are too large: fewer components or terms")
-    rows = store.materialize(sparse_rows(weights, key), "sparse")
+    rows = store.materialize(sparse.where(F.size("idx") > 0).select("idx", "w"), "sparse")
     cores = rows.sparkSession.sparkContext.defaultParallelism
     if rows.rdd.getNumPartitions() < cores:  # few splits: deal the rows over the cores, once
         few, rows = rows, store.materialize(rows.repartition(cores), "sparse")
@@ -114,6 +119,24 @@ def fit(weights: DataFrame, n_rows: int, n_dims: int, k: int, key: str = "doc_id
     return features.PCA(mean, components, values[order] / total)
 
 
+def transform_rows(pca: features.PCA, rows: DataFrame) -> DataFrame:
+    """Rows with the arrays ``idx`` and ``w`` get ``embedding``, their coordinates, instead."""
+    held = rows.sparkSession.sparkContext.broadcast((np.ascontiguousarray(pca.components.T), pca.mean @ pca.components.T))
+    keep = [c for c in rows.columns if c not in ("idx", "w")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        comp, shift = held.value
+        for pdf in frames:
+            out = np.tile(-shift, (len(pdf), 1))
+            full = np.flatnonzero(pdf["idx"].map(len).to_numpy())
+            for a, b, terms, x in _slices(pdf.iloc[full]):
+                out[full[a:b]] += x @ comp[terms]
+            yield pdf[keep].assign(embedding=list(out))
+
+    schema = StructType([*rows.select(*keep).schema.fields, StructField("embedding", ArrayType(DoubleType()))])
+    return rows.mapInPandas(run, schema)
+
+
 def transform(pca: features.PCA, docs: DataFrame, weights: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` with ``embedding``, their coordinates; documents without a weight are at the coordinates of zero."""
     origin = pca.mean @ pca.components.T
@@ -122,7 +145,7 @@ def transform(pca: features.PCA, docs: DataFrame, weights: DataFrame, key: str =
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         comp, shift = held.value
         for pdf in frames:
-            out = [np.add.reduceat(w[:, None] * comp[idx], start, axis=0) - shift for _, _, idx, w, start in _slices(pdf)]
+            out = [x @ comp[terms] - shift for _, _, terms, x in _slices(pdf)]
             if out:
                 yield pd.DataFrame({"_key": pdf["_key"], "embedding": list(np.concatenate(out))})
 

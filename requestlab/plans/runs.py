@@ -70,14 +70,13 @@ def pca_sweep(vectors: DataFrame, dims: list[int], detector=detectors.Mahalanobi
 def text_pca(docs: DataFrame, max_features: int, k: int, key: str = "doc_id", pattern: str = "word", n: int = 1) -> tuple[features.PCA, DataFrame]:
     """Components of wide TF-IDF features, fitted on valid rows, and all rows' coordinates: ``key, label, embedding``.
 
-    Weights stay a long table from the vocabulary to the coordinates.
+    A row keeps its weights as arrays from the vocabulary to the coordinates.
     """
     model = encoders.TfidfEncoder(key, max_features, pattern, n).fit(normal(docs))
-    weights = store.materialize(model.weights(docs).select(key, "idx", "weight"), "weights")
-    own = normal(docs).select(key)
-    pca = sparse_pca.fit(weights.join(own.hint("merge"), key, "left_semi"), own.count(), model.size, k, key)
-    coords = store.materialize(sparse_pca.transform(pca, docs.select(key, "label"), weights, key), "coordinates")
-    store.discard(weights)
+    rows = store.materialize(model.rows(docs, [key, "label"]), "weights")
+    pca = sparse_pca.fit_rows(normal(rows), normal(rows).count(), model.size, k)
+    coords = store.materialize(sparse_pca.transform_rows(pca, rows), "coordinates")
+    store.discard(rows)
     return pca, coords
 
 

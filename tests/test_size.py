@@ -103,6 +103,16 @@ def _many(spark, rows: int = 300):
     return spark.createDataFrame([*table, (None, "only here only here", "valid")], "doc_id long, text string, label string")
 
 
+def test_grams_of_rare_words_are_not_counted(spark):
+    """The vocabulary is that of all grams; tasks send numbers, and none for a gram with a rare word."""
+    docs = _many(spark)
+    for n, most in ((2, 5), (2, 40), (3, 30), (2, 10_000)):
+        tokens, words = features.tokenize(F.col("text"), n=n), features.tokenize(F.col("text"))
+        want = features.build_vocabulary(features.term_counts(docs, "doc_id", tokens), docs.count(), 1, 1.0, most)
+        got = features.top_vocabulary(docs, "doc_id", tokens, most, words, n)
+        assert [tuple(r) for r in got.select("term", "df", "tf", "idx").orderBy("idx").collect()] == [tuple(r) for r in want.select("term", "df", "tf", "idx").orderBy("idx").collect()]
+
+
 def test_token_information_in_tasks(spark, monkeypatch):
     """Terms are ranked without a table of all terms of all documents: the same numbers, the same vectors."""
     docs = _many(spark).where("doc_id IS NOT NULL")
